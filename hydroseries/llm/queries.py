@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, url_rules
+from . import chat, edit_embedding, language_id, mixing, url_rules
+from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
 
@@ -14,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text", "lang"))
+    found = language_id.label(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
+
+
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
@@ -76,5 +88,11 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_no FROM counted, generate_series(1, c::BIGINT) AS j(j)
 """
 
-QUERIES = {"op7_url_rules": op7_url_rules, "op8_chat_format": op8_chat_format, "op10_poisson_mixing": op10_poisson_mixing}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_edit_embedding": op2_edit_embedding,
+    "op7_url_rules": op7_url_rules,
+    "op8_chat_format": op8_chat_format,
+    "op10_poisson_mixing": op10_poisson_mixing,
+}
 ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op10_poisson_mixing": OP10_SQL}
