@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, language_id, mixing, url_rules
+from . import chat, edit_embedding, language_id, mixing, simhash, url_rules
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -26,6 +26,10 @@ def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.compare_with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
@@ -91,6 +95,7 @@ SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_n
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_edit_embedding": op2_edit_embedding,
+    "op5_simhash": op5_simhash,
     "op7_url_rules": op7_url_rules,
     "op8_chat_format": op8_chat_format,
     "op10_poisson_mixing": op10_poisson_mixing,
