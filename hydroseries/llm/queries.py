@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, language_id, mixing, simhash, url_rules
+from . import chat, edit_embedding, language_id, mixing, simhash, substring_dedup, url_rules
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -69,6 +69,28 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), m AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+cov AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN m USING (g) WHERE first < doc_id
+), tok AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS t FROM w),
+kept AS (
+  SELECT tok.doc_id, string_agg(t, ' ' ORDER BY tok.p) AS k, count(*) AS n FROM tok ANTI JOIN cov ON tok.doc_id = cov.doc_id AND tok.p = cov.p GROUP BY tok.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))[0]
 
@@ -98,6 +120,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_url_rules": op7_url_rules,
     "op8_chat_format": op8_chat_format,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
-ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_poisson_mixing": OP10_SQL}
