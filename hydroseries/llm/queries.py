@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, language_id, mixing, simhash, substring_dedup, url_rules
+from . import chat, edit_embedding, language_id, mixing, simhash, substring_dedup, url_rules, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -30,6 +30,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op6_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_edit_embedding": op2_edit_embedding,
     "op5_simhash": op5_simhash,
+    "op6_vector_forest": op6_vector_forest,
     "op7_url_rules": op7_url_rules,
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
