@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, language_id, mixing, simhash, substring_dedup, url_rules, vector_forest
+from . import chat, edit_embedding, hmm, language_id, mixing, simhash, substring_dedup, url_rules, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -26,6 +26,11 @@ def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.compare_with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score(_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 5, 1))
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
@@ -122,6 +127,7 @@ SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_n
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_edit_embedding": op2_edit_embedding,
+    "op3_hmm": op3_hmm,
     "op5_simhash": op5_simhash,
     "op6_vector_forest": op6_vector_forest,
     "op7_url_rules": op7_url_rules,
