@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, hmm, language_id, mixing, simhash, substring_dedup, url_rules, vector_forest
+from . import chat, edit_embedding, hmm, language_id, mixing, piece_lattice, simhash, substring_dedup, url_rules, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -31,6 +31,16 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = piece_lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
+    read = piece_lattice.decode(made)
+    return read.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "scores",
+        F.transform("nbest_ids", lambda x: F.md5(F.array_join(x, " "))).alias("nbest_md5"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
@@ -128,6 +138,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_edit_embedding": op2_edit_embedding,
     "op3_hmm": op3_hmm,
+    "op4_piece_lattice": op4_piece_lattice,
     "op5_simhash": op5_simhash,
     "op6_vector_forest": op6_vector_forest,
     "op7_url_rules": op7_url_rules,
