@@ -28,7 +28,7 @@ from .common import mix, write_shared
 
 SEED = 42
 #: Rows that are worked on at once in a task: fingerprints, and pairs of query and node.
-ROWS, PAIRS = 1 << 18, 1 << 21
+ROWS, PAIRS = 1 << 18, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ class BkForest:
     def __init__(self, lanes: np.ndarray, shard: np.ndarray):
         self.lanes = lanes
         self.span = lanes.shape[1] * 64 + 1
-        first = np.flatnonzero(np.concatenate(([True], np.diff(shard) != 0)))
+        self.first = first = np.flatnonzero(np.concatenate(([True], np.diff(shard) != 0)))
         self.size = np.diff(np.concatenate((first, [len(shard)])))
         self.root = np.repeat(first, self.size)
         rest = np.setdiff1d(np.arange(len(shard)), first, assume_unique=True)
@@ -166,6 +166,11 @@ class BkForest:
         label = np.arange(len(self.root))
         block = np.cumsum(np.repeat(self.size, self.size)) // PAIRS
         for rows in np.split(label.copy(), np.flatnonzero(np.diff(block)) + 1):
+            begin = self.root[rows[0]]
+            size = int(self.size[np.searchsorted(self.first, begin)])
+            # A part of one large shard: once all of the shard is one component, further links change nothing.
+            if size > len(rows) and (label[begin : begin + size] == label[begin]).all():
+                continue
             a, b = self.search(rows, radius)
             while len(a):
                 x, y = label[a], label[b]
