@@ -1,0 +1,38 @@
+"""Nearest-neighbour reprojection by inverse mapping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hydroseries.functions.geo import from_utm, to_utm
+
+
+def reproject_nearest(pixels: DataFrame, granules: DataFrame, target_srid: int) -> DataFrame:
+    """Pixels of UTM granules on a grid of the target zone: row, col, x, y and the source pixel's variables.
+
+    Each target cell is mapped back to its source and takes the pixel it falls in, by an equi-join on (granule, row, col), so there
+    are no gaps and no doubles. A granule already in the target zone passes unchanged. The target grid covers the granule's four
+    corners and edge middles at the source's resolution; its origin is the north-west corner.
+    """
+    same = granules.where(F.col("srid") == target_srid)
+    other = granules.where(F.col("srid") != target_srid)
+    target = F.lit(target_srid)
+    edges = [[F.col(a), (F.col(a) + F.col(b)) / 2, F.col(b)] for a, b in (("minx", "maxx"), ("miny", "maxy"))]
+    ring = other.select("granule_id", "srid", F.explode(F.array(*[F.struct(x.alias("px"), y.alias("py")) for x in edges[0] for y in edges[1]])).alias("p")).select("granule_id", "srid", "p.px", "p.py")
+    ring = to_utm(from_utm(ring, "px", "py", F.col("srid"), "_lon", "_lat"), "_lon", "_lat", target, "tx", "ty")
+    frame = ring.groupBy("granule_id").agg(F.min("tx").alias("t_minx"), F.max("tx").alias("t_maxx"), F.min("ty").alias("t_miny"), F.max("ty").alias("t_maxy"))
+    grid = other.join(frame, "granule_id")
+    rows = F.ceil((F.col("t_maxy") - F.col("t_miny")) / F.col("res_y")).cast("int")
+    cols = F.ceil((F.col("t_maxx") - F.col("t_minx")) / F.col("res_x")).cast("int")
+    cells = grid.withColumn("t_row", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("t_col", F.explode(F.sequence(F.lit(0), cols - 1)))
+    cells = cells.withColumns({"t_x": F.col("t_minx") + (F.col("t_col") + 0.5) * F.col("res_x"), "t_y": F.col("t_maxy") - (F.col("t_row") + 0.5) * F.col("res_y")})
+    cells = to_utm(from_utm(cells, "t_x", "t_y", target, "_lon", "_lat"), "_lon", "_lat", F.col("srid"), "_sx", "_sy")
+    cells = cells.select(
+        "granule_id", F.floor((F.col("maxy") - F.col("_sy")) / F.col("res_y")).cast("int").alias("row"), F.floor((F.col("_sx") - F.col("minx")) / F.col("res_x")).cast("int").alias("col"), "t_row", "t_col", "t_x", "t_y"
+    )
+    variables = [c for c in pixels.columns if c not in ("granule_id", "row", "col", "x", "y", "longitude", "latitude")]
+    moved = cells.join(pixels, ["granule_id", "row", "col"]).select("granule_id", F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.col("t_x").alias("x"), F.col("t_y").alias("y"), *variables)
+    kept = pixels.join(same.select("granule_id"), "granule_id", "left_semi").select("granule_id", "row", "col", "x", "y", *variables)
+    both = from_utm(kept.unionByName(moved), "x", "y", target, "longitude", "latitude")
+    return both.withColumns({"longitude": F.col("longitude").cast("float"), "latitude": F.col("latitude").cast("float")})
