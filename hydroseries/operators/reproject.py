@@ -28,9 +28,9 @@ def reproject_nearest(pixels: DataFrame, granules: DataFrame, target_srid: int)
     cells = grid.withColumn("t_row", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("t_col", F.explode(F.sequence(F.lit(0), cols - 1)))
     cells = cells.withColumns({"t_x": F.col("t_minx") + (F.col("t_col") + 0.5) * F.col("res_x"), "t_y": F.col("t_maxy") - (F.col("t_row") + 0.5) * F.col("res_y")})
     cells = to_utm(from_utm(cells, "t_x", "t_y", target, "_lon", "_lat"), "_lon", "_lat", F.col("srid"), "_sx", "_sy")
-    cells = cells.select(
-        "granule_id", F.floor((F.col("maxy") - F.col("_sy")) / F.col("res_y")).cast("int").alias("row"), F.floor((F.col("_sx") - F.col("minx")) / F.col("res_x")).cast("int").alias("col"), "t_row", "t_col", "t_x", "t_y"
-    )
+    # The source cell is never NULL for Spark, else it would test the whole projection for NULL below the join.
+    at = {"row": (F.col("maxy") - F.col("_sy")) / F.col("res_y"), "col": (F.col("_sx") - F.col("minx")) / F.col("res_x")}
+    cells = cells.select("granule_id", *[F.coalesce(F.floor(c).cast("int"), F.lit(-1)).alias(n) for n, c in at.items()], "t_row", "t_col", "t_x", "t_y")
     variables = [c for c in pixels.columns if c not in ("granule_id", "row", "col", "x", "y", "longitude", "latitude")]
     moved = cells.join(pixels, ["granule_id", "row", "col"]).select("granule_id", F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.col("t_x").alias("x"), F.col("t_y").alias("y"), *variables)
     kept = pixels.join(same.select("granule_id"), "granule_id", "left_semi").select("granule_id", "row", "col", "x", "y", *variables)
