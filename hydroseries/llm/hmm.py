@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, write_shared
+from .common import write_shared
 
 #: The end of a text; no word is empty.
 END = ""
@@ -46,25 +46,30 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def shared_class(word: bytes) -> int:
-    """The class of a word that has none of its own: by its last three bytes and its length, the end of words and digits apart."""
-    kind = (3 if word.isdigit() else 2 if not word.isalpha() and word.isascii() else 1) * 8 + min(len(word).bit_length(), 7)
-    return FREQUENT + int(mix(np.array([int.from_bytes(word[-3:], "little") * 64 + kind], np.uint64))[0] % np.uint64(SHARED))
+    """The class of a word that has none of its own: by its last three bytes and its length; words, numbers and other strings apart."""
+    kind = (3 if word.isdigit() else 2 if word.isascii() and not word.isalpha() else 1) * 8 + min(len(word).bit_length(), 7)
+    h = (int.from_bytes(word[-3:], "little") * 64 + kind) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return FREQUENT + (h >> 32) % SHARED
 
 
-class Classes:
-    """word -> class; own: the words with a class of their own, in order."""
+class Classes(dict):
+    """word -> class; own: the words with a class of their own, in order. Other words are added as they are met, up to a bound."""
+
+    MOST = 1 << 19
 
     def __init__(self, own: list[bytes]):
-        self.own = {w: i for i, w in enumerate(own)}
-        self.met: dict[bytes, int] = {}
+        super().__init__((w, i) for i, w in enumerate(own))
+        self.own = own
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = shared_class(word)
+        return k
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        own, met = self.own, self.met
-        if len(met) > 1 << 18:
-            met.clear()
-        for w in {*words}.difference(own).difference(met):
-            met[w] = shared_class(w)
-        return np.array([own[w] if w in own else met[w] for w in words], np.uint16)
+        if len(self) > self.MOST:
+            self.clear()
+            self.update((w, i) for i, w in enumerate(self.own))
+        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
 
 
 @dataclass
@@ -87,11 +92,11 @@ class Hmm:
 
     def forward(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The natural logarithm of each sequence's probability."""
-        flat, first, alive, order = _side_by_side(sequences)
+        shown, begin, alive, order = _by_step(sequences)
         out = np.zeros(len(sequences))
         alpha = np.tile(self.start, (len(order), 1))
         for t, n in enumerate(alive):
-            now = alpha[:n] * self.emit[flat[first[:n] + t]]
+            now = alpha[:n] * self.emit[shown[begin[t] : begin[t] + n]]
             scale = now.sum(1)
             out[:n] += np.log(scale)
             alpha = (now / scale[:, None]) @ self.move
@@ -101,44 +106,48 @@ class Hmm:
 
     def expect(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch: expected counts of first states, moves, and emissions."""
-        flat, first, alive, order = _side_by_side(sequences)
+        shown, begin, alive, order = _by_step(sequences)
         states = len(self.start)
-        shown = self.emit[flat]
-        alphas = np.empty((len(flat), states))
-        scales = np.empty(len(flat))
+        alphas, seen = np.empty((len(shown), states)), np.empty((len(shown), states))
         alpha = np.tile(self.start, (len(order), 1))
         for t, n in enumerate(alive):
-            at = first[:n] + t
-            now = alpha[:n] * shown[at]
-            scale = now.sum(1)
-            now /= scale[:, None]
-            alphas[at], scales[at] = now, scale
-            alpha = now @ self.move
-        start, move = np.zeros(states), np.zeros((states, states))
-        gammas = alphas.copy()
+            at = slice(begin[t], begin[t] + n)
+            emitted = self.emit[shown[at]]
+            now = alpha[:n] * emitted
+            scale = now.sum(1)[:, None]
+            np.divide(now, scale, out=alphas[at])
+            np.divide(emitted, scale, out=seen[at])
+            alpha = alphas[at] @ self.move
+        move = np.zeros((states, states))
+        back = self.move.T.copy()
         beta = np.ones((len(order), states))
         for t in range(len(alive) - 1, 0, -1):
             n = alive[t]
-            at = first[:n] + t
-            right = shown[at] * beta[:n] / scales[at][:, None]
-            move += alphas[at - 1].T @ right
-            beta[:n] = right @ self.move.T
-            gammas[at - 1] *= beta[:n]
-        if len(order):
-            start = gammas[first].sum(0)
-        emit = np.stack([np.bincount(flat, weights=gammas[:, k], minlength=len(self.emit)) for k in range(states)], 1)
+            right = seen[begin[t] : begin[t] + n] * beta[:n]
+            before = alphas[begin[t - 1] : begin[t - 1] + n]
+            move += before.T @ right
+            np.matmul(right, back, out=beta[:n])
+            before *= beta[:n]  # now the state's probability given the whole sequence
+        start = alphas[: len(order)].sum(0) if len(shown) else np.zeros(states)
+        weights = alphas.T.copy()
+        emit = np.stack([np.bincount(shown, weights=w, minlength=len(self.emit)) for w in weights], 1)
         return start, move * self.move, emit
 
 
-def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """All tokens, where each sequence begins (the longest first), how many are alive at each step, and the order."""
+def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
+    """All tokens, step by step and the longest sequence first in each; where each step begins, how many are alive in it, and the order.
+
+    No sequence is empty, for each has its end.
+    """
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     order = np.argsort(-lengths, kind="stable")
-    begin = np.cumsum(lengths) - lengths
-    flat = np.concatenate(sequences).astype(np.int64) if sequences else np.zeros(0, np.int64)
-    steps = np.arange(lengths.max(initial=0))
-    alive = np.searchsorted(-lengths[order], -steps, side="left")
-    return flat, begin[order], alive.tolist(), order
+    ordered = lengths[order]
+    alive = np.searchsorted(-ordered, -np.arange(lengths.max(initial=0)), side="left")
+    begin = np.cumsum(alive) - alive
+    shown = np.empty(lengths.sum(), np.int64)
+    for rank, k in enumerate(order.tolist()):
+        shown[begin[: lengths[k]] + rank] = sequences[k]
+    return shown, begin.tolist(), alive.tolist(), order
 
 
 def count_tokens(docs: DataFrame, training: Column) -> DataFrame:
@@ -179,13 +188,12 @@ def _sequences(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column]
 
 
-def _parts(sequences: list[np.ndarray]):
-    """Slices with about BLOCK tokens."""
-    block = np.cumsum([len(s) for s in sequences]) // BLOCK
-    cut = [0, *(np.flatnonzero(np.diff(block)) + 1), len(sequences)]
-    for a, b in zip(cut, cut[1:], strict=False):
-        if b > a:
-            yield slice(int(a), int(b))
+def _parts(sequences: list[np.ndarray], limit: int = BLOCK) -> list[np.ndarray]:
+    """The sequences in parts of about limit tokens. Those of like length are together, for a part takes as many steps as its longest has tokens."""
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    order = np.argsort(-lengths, kind="stable")
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths[order]) // limit)) + 1
+    return [part for part in np.split(order, cut) if len(part)]
 
 
 def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
@@ -197,7 +205,7 @@ def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iteratio
     model = Hmm.first(totals, states)
     some = _sequences(encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS).select("classes").toPandas()["classes"])
     for _ in range(START_ROUNDS if some else 0):
-        sums = [model.expect(some[p]) for p in _parts(some)]
+        sums = [model.expect([some[i] for i in p]) for p in _parts(some)]
         model = Hmm.of_counts(*[sum(x) for x in zip(*sums, strict=True)])
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)
@@ -207,7 +215,7 @@ def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iteratio
             for pdf in batches:
                 sequences = _sequences(pdf["classes"])
                 for p in _parts(sequences):
-                    total = [a + b for a, b in zip(total, shared.value.expect(sequences[p]), strict=True)]
+                    total = [a + b for a, b in zip(total, shared.value.expect([sequences[i] for i in p]), strict=True)]
             flat = np.concatenate([x.ravel() for x in total])
             at = np.flatnonzero(flat)
             yield pd.DataFrame({"at": at, "n": flat[at]})
@@ -228,25 +236,32 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     top = [(r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
     own = [w for w, _ in top[:FREQUENT]]
     class_n, class_v = class_totals(counts, own)
-    tables = spark.sparkContext.broadcast((own, dict(top), np.log10(np.where(np.arange(FREQUENT + SHARED) < FREQUENT, 1.0, class_n + 0.5 * (class_v + 1)))))
+    # What a token's (c + 0.5) is divided by, given its class: its own value in a class of one.
+    below = class_n + 0.5 * (class_v + 1)
+    below[:FREQUENT] = 1.0
+    below[: len(own)] = [c + 0.5 for _, c in top[:FREQUENT]]
+    tables = spark.sparkContext.broadcast((own, dict(top), np.log10(below)))
 
     # 1. Each text becomes its classes; frequent words are summed here, and what is left are the words to look up.
     def encode(batches):
         own, known, below = tables.value
         classes = Classes(own)
-        logs = {w: float(np.log10(c + 0.5)) for w, c in known.items()}
+        log_of = {w: float(np.log10(c + 0.5)) for w, c in known.items()}.get
         for pdf in batches:
             out = []
             for text in pdf["text"]:
                 words = tokens(text)
                 k = classes.of(words)
-                n = Counter(words)
-                rare = [w for w in n if w not in known]
-                n_known = len(words) - sum(n[w] for w in rare)
-                log_c = sum(logs[w] * c for w, c in n.items() if w in known)
-                own_log = sum(logs[w] * c for w, c in n.items() if w in classes.own)
-                rest = k[k >= FREQUENT]
-                out.append((k.tobytes(), len(words), n_known, log_c, own_log + float(below[rest].sum()), [w.decode("utf-8", "surrogatepass") for w in rare], [n[w] for w in rare]))
+                log_c, n_known, rare, times = 0.0, 0, [], []
+                for w, c in Counter(words).items():
+                    log = log_of(w)
+                    if log is None:
+                        rare.append(w.decode("utf-8", "surrogatepass"))
+                        times.append(c)
+                    else:
+                        log_c += log * c
+                        n_known += c
+                out.append((k.tobytes(), len(words), n_known, log_c, float(below[k].sum()), rare, times))
             frame = pd.DataFrame(out, columns=["classes", "n_tokens", "seen", "log_c", "log_below", "rare", "times"])
             yield pd.concat((pdf[["uid", "doc_id", "training"]].reset_index(drop=True), frame), axis=1)
 
@@ -266,9 +281,10 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     def forward(batches):
         for pdf in batches:
             sequences = _sequences(pdf["classes"])
-            states = [model.value.forward(sequences[p]) for p in _parts(sequences)]
-            pdf["log_states"] = np.concatenate(states) / np.log(10.0) if states else np.zeros(0)
-            yield pdf.drop(columns="classes")
+            log = np.zeros(len(sequences))
+            for p in _parts(sequences, 8 * BLOCK):
+                log[p] = model.value.forward([sequences[i] for i in p])
+            yield pdf.drop(columns="classes").assign(log_states=log / np.log(10.0))
 
     lighter = "uid long, doc_id long, n_tokens long, seen long, log_c double, log_below double, log_states double"
     scored = encoded.select("uid", "doc_id", "classes", "n_tokens", "seen", "log_c", "log_below").mapInPandas(forward, lighter)
