@@ -88,6 +88,18 @@ def record_fingerprint(json_text: Column, layouts=LAYOUTS) -> Column:
     return F.when(keys.isNotNull(), F.sha2(F.array_join(paths, "\n"), 256))
 
 
+def _message(layout: Layout):
+    """A function from one message, a variant, to a canonical turn."""
+
+    def turn(v: Column) -> Column:
+        role = F.coalesce(F.try_variant_get(v, f"$.{layout.role}", "string"), F.lit(""))
+        for was, now in layout.roles:
+            role = F.when(role == was, now).otherwise(role)
+        return F.struct(role.alias("role"), F.coalesce(F.try_variant_get(v, f"$.{layout.text}", "string"), F.lit("")).alias("text"))
+
+    return turn
+
+
 def record_turns(json_text: Column, fingerprint: Column, layouts=LAYOUTS) -> Column:
     """Canonical turns of JSON records, by the mapping that the fingerprint selects; null for an unknown layout."""
     value = F.try_parse_json(json_text)
@@ -98,14 +110,7 @@ def record_turns(json_text: Column, fingerprint: Column, layouts=LAYOUTS) -> Col
             turns = F.filter(F.array(*pairs), lambda t: t["text"].isNotNull() & (t["text"] != ""))
         elif x.list_path:
             items = F.try_variant_get(value, x.list_path, "array<variant>")
-
-            def turn(v: Column, x: Layout = x) -> Column:
-                role = F.coalesce(F.try_variant_get(v, f"$.{x.role}", "string"), F.lit(""))
-                for was, now in x.roles:
-                    role = F.when(role == was, now).otherwise(role)
-                return F.struct(role.alias("role"), F.coalesce(F.try_variant_get(v, f"$.{x.text}", "string"), F.lit("")).alias("text"))
-
-            turns = F.transform(items, turn)
+            turns = F.transform(items, _message(x))
         else:
             continue
         out = F.when(fingerprint == x.fingerprint, turns.cast(TURNS)).otherwise(out)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix
+from .simhash import BkForest
 
 BITS = 256
 #: The random bits repeat after PERIOD steps, and characters share CLASSES rows of them; both only add chance agreement.
@@ -170,5 +171,35 @@ def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int) -> np.ndarra
     """bands hashes of width sampled bits each."""
     rng = np.random.default_rng(7)
     with np.errstate(over="ignore"):
-        keys = np.array([np.packbits(fingerprint_bits[rng.permutation(BITS)[:width]]).astype(np.uint64) @ (np.uint64(257) ** np.arange((width + 7) // 8, dtype=np.uint64)) for _ in range(bands)], np.uint64)
-        return mix(keys * np.uint64(64) + np.arange(bands, dtype=np.uint64))
+        keys = [np.packbits(fingerprint_bits[rng.permutation(BITS)[:width]]).astype(np.uint64) @ (np.uint64(257) ** np.arange((width + 7) // 8, dtype=np.uint64)) for _ in range(bands)]
+        return mix(np.array(keys, np.uint64) * np.uint64(64) + np.arange(bands, dtype=np.uint64))
+
+
+def near_pairs(docs: DataFrame, radius: int = 40, bands: int = 24, width: int = 16) -> DataFrame:
+    """a, b: pairs of different fingerprints that link near copies, a spanning forest in each band's bucket; a has the smaller text.
+
+    Copies are one fingerprint. Buckets meet by band, links are verified on whole fingerprints, and no bucket gives out all pairs.
+    """
+    distinct = fingerprint(docs).select("fingerprint").distinct()
+
+    def band(batches):
+        for pdf in batches:
+            for fp in pdf["fingerprint"]:
+                bits = np.unpackbits(np.frombuffer(bytes.fromhex(fp), np.uint8))
+                yield pd.DataFrame({"key": band_keys(bits, bands, width).view(np.int64), "fingerprint": fp})
+
+    def link(batches):
+        held = pd.DataFrame({"key": [], "fingerprint": []})
+        for pdf in [*batches, None]:
+            whole = held if pdf is None else pd.concat((held, pdf), ignore_index=True)
+            cut = len(whole) if pdf is None or not len(whole) else int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iat[-1]))
+            done, held = whole[:cut], whole[cut:]
+            if len(done):
+                names = done["fingerprint"].to_numpy()
+                lanes = np.frombuffer(bytes.fromhex("".join(names)), np.uint64).reshape(len(names), BITS // 64)
+                label = BkForest(lanes, done["key"].to_numpy().astype(np.int64)).components(radius)
+                other = np.flatnonzero(label != np.arange(len(label)))
+                yield pd.DataFrame({"a": np.minimum(names[other], names[label[other]]), "b": np.maximum(names[other], names[label[other]])})
+
+    rows = distinct.mapInPandas(band, "key long, fingerprint string").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
+    return rows.mapInPandas(link, "a string, b string").distinct()

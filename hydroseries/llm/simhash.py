@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
     def run(batches):
         for pdf in batches:
             lanes = np.array([simhash(t or "", shingle, bits) for t in pdf["text"]], np.uint64).reshape(len(pdf), bits // 64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp_id": lane_id(lanes), "lanes": list(lanes.view(np.int64))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp_id": lane_id(lanes), "lanes": pd.Series(list(lanes.view(np.int64)), index=pdf.index, dtype=object)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp_id long, lanes array<long>")
 

@@ -166,7 +166,7 @@ def _earliest(segments: DataFrame, shards: int, window: int) -> DataFrame:
             first[part] = np.minimum.reduceat(np.append(owner, LAST), ends)[::2][which] if len(lows) else 0
         firsts = np.split(first, np.cumsum(count)[:-1])
         hit = np.fromiter((f.min() < m for f, m in zip(firsts, pdf["most"], strict=True)), bool, len(firsts))
-        return pd.DataFrame({"h": pdf["h"][hit], "seg": pdf["seg"][hit], "firsts": [f for f, x in zip(firsts, hit, strict=True) if x]})
+        return pd.DataFrame({"h": pdf["h"][hit], "seg": pdf["seg"][hit], "firsts": pd.Series([f for f, x in zip(firsts, hit, strict=True) if x], index=pdf.index[hit], dtype=object)})
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, seg string, firsts array<long>")
