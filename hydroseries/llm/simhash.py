@@ -258,7 +258,7 @@ def classes(fps: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
     return distinct.select("fp_id", "least").join(joined, "fp_id", "left").select("fp_id", F.coalesce("component_id", "least").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of each row, all links within the radius followed; exact."""
     fps = write_shared(fingerprints(docs, shingle), "doc-fingerprints")
     found = classes(fps, Blocks(radius))
