@@ -208,9 +208,12 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
         if not len(key):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         label = BkForest(lanes, key).components(scheme.radius)
-        linked = np.flatnonzero(label != np.arange(len(label)))
         ids = lane_id(lanes)
-        return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]})
+        # The smallest node stands for its component, so that the same nodes stand for it in many shards.
+        least = ids.copy()
+        np.minimum.at(least, label, ids)
+        linked = np.flatnonzero(least[label] != ids)
+        return pd.DataFrame({"a": least[label[linked]], "b": ids[linked]})
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -232,11 +235,16 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each component, for all nodes that have a link. edges: a, b.
+    """node, label: the smallest node of each component, for all nodes that have a link. edges: a, b; a node is b in a few rows at most.
 
     Each round takes the least label among neighbours and then the label's own label; every round is written to the shared folder.
     """
-    both = write_shared(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    # First each node keeps one edge, to the least a it is linked to, and its other a's are linked to that one: of these there are few.
+    least = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("others"))
+    star = write_shared(least, "edges")
+    others = star.select("a", F.explode(F.filter("others", lambda x: x != F.col("a"))).alias("b")).distinct()
+    star = star.select("a", "b").union(others)
+    both = write_shared(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = write_shared(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
