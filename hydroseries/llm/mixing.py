@@ -20,6 +20,8 @@ from .common import free_name
 PART = 16.0
 #: Terms of a part's distribution: beyond them less than 1e-16 of the mass is left at a mean of PART.
 TERMS = 64
+#: Rates that may be broadcast: TERMS numbers and a name each, a few MB.
+FEW = 4096
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> DataFrame:
@@ -43,8 +45,8 @@ def _uniform(*parts):
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, source: str = "source") -> tuple[DataFrame, str, str]:
     """The replicated documents in a random order, and the names of the columns copy number and rate.
 
-    The one large shuffle is the global one that is asked for. Rates are one row a source; Spark broadcasts them only below its own
-    size threshold and else joins by shuffle, splitting a hot source.
+    The one large shuffle is the global one that is asked for. Rates are one row a source, and they are broadcast only after a count has
+    shown that there are FEW at most; else the join is a shuffle, in which Spark splits a hot source.
     """
     copy, rate, key = (free_name(docs, x) for x in ("copy_no", "mix_rate", "_mix_key"))
     rates = repetition_rates(docs, weights, total, source)
@@ -58,13 +60,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
         lambda acc: acc["cdf"],
     )
     rates = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias(rate), parts.alias("_mix_parts"), cdf.alias("_mix_cdf"))
+    if rates.limit(FEW + 1).count() <= FEW:
+        rates = F.broadcast(rates)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = docs.join(rates, docs[source].eqNullSafe(F.col("_mix_source"))).withColumn(
         "_mix_count",
         F.aggregate(
-            F.sequence(F.lit(1), F.col("_mix_parts")),
+            F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda i: _uniform(F.lit(str(seed)), ident, i.cast("string"))),
             F.lit(0),
-            lambda n, i: n + F.size(F.filter("_mix_cdf", lambda c: _uniform(F.lit(str(seed)), ident, i.cast("string")) >= c)),
+            lambda n, u: n + F.size(F.filter("_mix_cdf", lambda c: u >= c)),
         ),
     )
     copies = drawn.where(F.col("_mix_count") > 0).select(*docs.columns, rate, F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias(copy))
