@@ -4,8 +4,8 @@ A word is a run of letters. Its script, from Unicode ranges, narrows the candida
 log-likelihood of the word's character trigrams. Viterbi decoding over the words, with a penalty for each switch of language, labels
 spans. The language of a text is the one that most of its letters carry.
 
-The trigram counts are learned from at most max_docs labelled documents, chosen by a hash of doc_id: a bounded sample, whose whole texts are
-read. Every document is labelled over its whole text.
+The trigram counts are learned from about max_docs labelled documents at most, chosen by a hash of doc_id: a bounded sample, whose whole texts
+are read. Every document is labelled over its whole text.
 
 Defined cases: a null text, a text without letters, or a model that saw no labelled document gives `und` with score 0 and no spans;
 a word in a script that no training text uses is open to all languages; ties go to the language first by name; repeated rows are
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_sample
+
 UNKNOWN = "und"
 #: Unicode ranges (first, last) by script.
 SCRIPTS = {
@@ -171,14 +173,12 @@ def blocks(texts: list[str], limit: int = BLOCK):
 
 
 def train(docs: DataFrame, max_docs: int = 20_000, switch: float = 12.0) -> LanguageModel:
-    """Learns from the columns text and lang of docs (doc_id only orders the sample of max_docs rows).
+    """Learns from the columns text and lang of docs (doc_id only chooses the sample of about max_docs rows).
 
     Only counts come to the driver: buckets x languages, CELLS at most.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = F.xxhash64(F.col("doc_id"))
-    chosen = rows.select(order.alias("h"), "doc_id").orderBy("h", "doc_id").limit(max_docs).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
+    sample = hash_sample(rows, max_docs, rows.count(), "doc_id").select("text", "lang")
     langs = tuple(sorted(r[0] for r in sample.select("lang").distinct().collect()))
     if not langs:
         return LanguageModel((), np.zeros((1, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool), switch)
