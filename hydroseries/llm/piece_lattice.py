@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding: N-best segmentation over the piece lattice of a public model.
 
-Pieces never cross a word's beginning (the mark that stands for a space begins a piece or stands alone in it), so a text's lattice is a chain of
+A text is cut where no piece of the model crosses: before each space, and between letters and other characters, so its lattice is a chain of
 word lattices. In each, a forward Viterbi pass gives the best score to every position; these scores are the exact heuristic of a backward
 A* search, which yields the word's segmentations best first. Texts' N best follow by A* over the words' ranked losses. Segmentations of words
 are kept in a bounded cache, since most words are frequent ones.
 
 Scores are the model's own. A character without a piece falls back to its bytes, at a penalty below every piece, as one edge.
-Ties go to the longer first piece. Decoding joins pieces, turns runs of byte pieces into text and marks into
+Ties go to the longer last piece. Decoding joins pieces, turns runs of byte pieces into text and marks into
 spaces, and gives the text back exactly; the mark itself occurring in a text is encoded by its bytes.
 
 Defined cases: a null or empty text has no pieces and score 0; N beyond what a text allows gives all there are; repeated rows are encoded
@@ -16,32 +16,51 @@ alike; an empty table gives no rows; columns of the input named like the output
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segmentations of words that a task keeps.
-CACHE = 600_000
+CACHE = 160_000
 PENALTY = 10.0
+#: Characters whose segmentations a task holds at once.
+BLOCK = 1 << 19
 INF = float("inf")
-_WORD = re.compile(r" [^ ]*|[^ ]+")
+
+
+#: At which of the best ids it begins, how many of them it replaces, and by what.
+Change = tuple[int, int, tuple[int, ...]]
+
+
+def changed(ids: list[int], changes: list[Change]) -> list[int]:
+    """Another segmentation of a text, from its best one."""
+    out, at = [], 0
+    for start, n, new in changes:
+        out += [*ids[at:start], *new]
+        at = start + n
+    return out + list(ids[at:])
 
 
 class Pieces:
-    """The pieces of a SentencePiece model file, as a tree of characters."""
+    """The pieces of a SentencePiece model file, and an automaton that finds all of them in a word."""
 
     def __init__(self, model_file: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.bytes = [-1] * 256
         self.text: list[str | int | None] = []  # an int: a byte
-        self.tree: dict = {}  # character -> [subtree, score or None, ids]
+        self.scores: dict[str, tuple[float, tuple[int, ...]]] = {}
         lowest = 0.0
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -54,38 +73,50 @@ class Pieces:
                 self.text.append(piece.replace(MARK, " "))
                 # A piece with a mark beyond its beginning would cross words; runs of spaces are encoded one by one.
                 if MARK not in piece[1:]:
-                    self._add(piece.replace(MARK, " "), model.get_score(i), i)
+                    self.scores[piece.replace(MARK, " ")] = (model.get_score(i), (i,))
                     lowest = min(lowest, model.get_score(i))
         self.fallback = lowest - PENALTY
+        self.longest = max(map(len, self.scores), default=1)
+        self.single = {p for p in self.scores if len(p) == 1}
+        self.matches = ahocorasick.Automaton()
+        for piece, (score, ids) in self.scores.items():
+            self.matches.add_word(piece, (len(piece), score, ids))
+        self.matches.make_automaton()
+        self.words = self._cuts([p for p in self.text if isinstance(p, str)]).findall
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def _add(self, piece: str, score: float, i: int) -> None:
-        tree = self.tree
-        for c in piece[:-1]:
-            tree = tree.setdefault(c, [{}, None, ()])[0]
-        node = tree.setdefault(piece[-1], [{}, None, ()])
-        node[1:] = [score, (i,)]
+    @staticmethod
+    def _cuts(pieces: list[str]) -> re.Pattern:
+        """Letter runs and runs of others, each with a space before it. Letters that a piece joins to others count as others."""
+        others: set[str] = set()
+        while True:
+            letter = re.compile(r"[^\W\d_]") if not others else re.compile(r"[^\W\d_" + "".join(map(re.escape, sorted(others))) + "]")
+            more = {c for p in pieces for a, b in itertools.pairwise(p) if " " not in (a, b) and bool(letter.match(a)) != bool(letter.match(b)) for c in (a, b) if letter.match(c)}
+            if not more:
+                break
+            others |= more
+        run = letter.pattern
+        return re.compile(rf" ?{run}+| ?(?:(?!{run})[^ ])+| ")
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position, the edges that begin there: end, score, ids."""
         n = len(word)
         out = []
         for i in range(n):
-            here = []
-            tree = self.tree
-            for j in range(i, n):
-                node = tree.get(word[j])
-                if node is None:
-                    break
-                tree, score, ids = node
-                if score is not None:
-                    here.append((j + 1, score, ids))
-            if not here or here[0][0] != i + 1:
+            here = [(j, *self.scores[word[i:j]]) for j in range(i + 1, min(n, i + self.longest) + 1) if word[i:j] in self.scores]
+            if word[i] not in self.single:
                 here.append((i + 1, self.fallback, tuple([self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")])))
             out.append(here)
         return out
 
+    def _arriving(self, word: str):
+        """(end, (length, score, ids)) of all edges, in order of their ends and the longest first."""
+        if self.single.issuperset(word):
+            return ((i + 1, e) for i, e in self.matches.iter(word))
+        found = [(j, (j - i, s, ids)) for i, here in enumerate(self.edges(word)) for j, s, ids in here]
+        return sorted(found, key=lambda x: (x[0], -x[1][0]))
+
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
         """The best score and ids of a word, and what its second choice loses (infinite if it has none)."""
         found = self.young.get(word)
@@ -100,42 +131,26 @@ class Pieces:
 
     def _viterbi(self, word: str) -> tuple[float, tuple[int, ...], float]:
         n = len(word)
-        ahead, step, gap = [0.0] * (n + 1), [n] * n, [INF] * n
-        taken: list[tuple[int, ...]] = [()] * n
-        root = self.tree
-        for i in range(n - 1, -1, -1):
-            tree = root
-            top = second = -INF
-            whole = False
-            for j in range(i, n):
-                node = tree.get(word[j])
-                if node is None:
-                    break
-                tree, score, ids = node
-                if score is not None:
-                    whole = whole or j == i
-                    v = score + ahead[j + 1]
-                    if v >= top:
-                        second, top, step[i], taken[i] = top, v, j + 1, ids
-                    elif v > second:
-                        second = v
-            if not whole:  # the character itself is no piece
-                v = self.fallback + ahead[i + 1]
-                if v > top:
-                    second, top, step[i] = top, v, i + 1
-                    taken[i] = tuple([self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")])
-                elif v > second:
-                    second = v
-            ahead[i], gap[i] = top, top - second
-        # The second choice leaves the best path at one of its nodes, by that node's second edge.
-        out: list[int] = []
+        best, gap = [0.0] * (n + 1), [INF] * (n + 1)
+        last: list = [None] * (n + 1)
         at = 0
+        for end, edge in self._arriving(word):
+            v = best[end - edge[0]] + edge[1]
+            if end != at:
+                best[end], last[end], at = v, edge, end
+            elif v > best[end]:
+                gap[end] = v - best[end]
+                best[end], last[end] = v, edge
+            elif best[end] - v < gap[end]:
+                gap[end] = best[end] - v
+        # The second choice comes into the best path at one of its nodes, by that node's second edge.
+        parts = []
         loss = INF
-        while at < n:
+        while at:
             loss = min(loss, gap[at])
-            out += taken[at]
-            at = step[at]
-        return ahead[0], tuple(out), loss
+            parts.append(last[at][2])
+            at -= last[at][0]
+        return best[n], tuple([i for ids in reversed(parts) for i in ids]), loss
 
     def ranked(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word, best first: forward Viterbi, then A* from the end."""
@@ -165,20 +180,23 @@ class Pieces:
                 heapq.heappush(queue, (-(forward[i] + s + behind), k, i, s + behind, (taken, path)))
         return out
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text. The model's leading space is put before it."""
+    def n_best(self, text: str, n: int) -> tuple[list[int], list[tuple[float, list[Change]]]]:
+        """The best ids, and the n best segmentations as (score, changes to the best ids). The model's leading space is put before the text."""
         if not text:
-            return [(0.0, [])]
-        words = _WORD.findall(" " + text)
-        found = [self.best(w) for w in words]
+            return [], [(0.0, [])]
+        words = self.words(" " + text)
+        get = self.young.get
+        found = [get(w) or self.best(w) for w in words]
         base = sum([f[0] for f in found])
-        out = [(base, [i for f in found for i in f[1]])]
+        ids = [i for f in found for i in f[1]]
+        out: list = [(base, [])]
         if n == 1:
-            return out
+            return ids, out
         # Only the n - 1 words whose second choice loses least can be changed in the n best.
         cheap = heapq.nsmallest(n - 1, [(f[2], w) for w, f in enumerate(found) if f[2] < INF])
-        choices = {w: self.ranked(words[w], n) for _, w in cheap}
         order = [w for _, w in cheap]
+        choices = {w: self.ranked(words[w], n) for w in order}
+        start = {w: sum([len(f[1]) for f in found[:w]]) for w in order}
 
         def loss(w: int, c: int) -> float:
             return choices[w][0][0] - choices[w][c][0]
@@ -186,8 +204,7 @@ class Pieces:
         queue = [(loss(order[0], 1), (0,), (1,))] if order else []
         while queue and len(out) < n:
             cost, changed, choice = heapq.heappop(queue)
-            swap = {order[k]: choices[order[k]][c][1] for k, c in zip(changed, choice, strict=True)}
-            out.append((base - cost, [i for w, f in enumerate(found) for i in swap.get(w, f[1])]))
+            out.append((base - cost, sorted([(start[w], len(found[w][1]), choices[w][c][1]) for w, c in zip([order[k] for k in changed], choice, strict=True)])))
             k, c = changed[-1], choice[-1]
             if c + 1 < len(choices[order[k]]):  # a worse choice for the last changed word
                 heapq.heappush(queue, (cost - loss(order[k], c) + loss(order[k], c + 1), changed, (*choice[:-1], c + 1)))
@@ -196,7 +213,7 @@ class Pieces:
                 heapq.heappush(queue, (cost + more, (*changed, k + 1), (*choice, 1)))  # one word more
                 if c == 1:
                     heapq.heappush(queue, (cost - loss(order[k], 1) + more, (*changed[:-1], k + 1), choice))  # another word instead
-        return out
+        return ids, out
 
     def decode(self, ids) -> str:
         out, pending = [], bytearray()
@@ -225,23 +242,34 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+CHANGES = "array<array<struct<start:int,n:int,ids:array<int>>>>"
+
+
 def encode(docs: DataFrame, n: int = 4, model_file: str | None = None) -> DataFrame:
-    """docs with ids (array<int>, the best segmentation), scores (array<double>, of the n best) and nbest_ids (the others). No shuffle."""
+    """docs with ids (array<int>, the best segmentation), scores (of the n best) and changes (of each of the others, see changed). No shuffle.
+
+    Rows are taken and given out in parts of about BLOCK characters, so a batch of long texts is never held with all its segmentations.
+    """
     file = model_file or default_model()
+    added = T.StructType.fromDDL(f"ids array<int>, scores array<double>, changes {CHANGES}")
+    kept = [c for c in docs.columns if c.lower() not in added.fieldNames()]
+    narrow = docs.select(*kept)
+    place = next(i for i, c in enumerate(kept) if c.lower() == "text")
 
-    @F.pandas_udf("ids array<int>, scores array<double>, nbest_ids array<array<int>>")
-    def run(column: pd.Series) -> pd.DataFrame:
+    def run(batches):
         pieces = load(file)
-        found = [pieces.n_best(t or "", n) for t in column]
-        return pd.DataFrame({
-            "ids": [np.array(f[0][1], np.int32) for f in found],
-            "scores": [[s for s, _ in f] for f in found],
-            "nbest_ids": [[np.array(ids, np.int32) for _, ids in f[1:]] for f in found],
-        })
-
-    names = ("ids", "scores", "nbest_ids")
-    kept = [c for c in docs.columns if c.lower() not in names]
-    return docs.withColumn("_pieces", run(F.col("text"))).select(*kept, *[F.col(f"_pieces.{c}").alias(c) for c in names])
+        change = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        types = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.list_(change)))
+        for batch in batches:
+            lengths = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // BLOCK)) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cut):
+                part = batch.slice(a, b - a)
+                found = [pieces.n_best(t or "", n) for t in part.column(place).to_pylist()]
+                new = ([f[0] for f in found], [[s for s, _ in f[1]] for f in found], [[[{"start": i, "n": k, "ids": ids} for i, k, ids in c] for _, c in f[1][1:]] for f in found])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, t) for x, t in zip(new, types, strict=True)]], names=[*part.schema.names, *added.fieldNames()])
+
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, *added.fields]))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model_file: str | None = None) -> DataFrame:

@@ -183,9 +183,9 @@ def test_n_best_equals_enumeration():
         best = [0.0]
         for w in pieces.words(" " + text):
             best = sorted((a + s for a in best for s, _ in all_ways(pieces, w)[:8]), reverse=True)[:8]
-        assert [round(s, 6) for s, _ in pieces.n_best(text, 8)] == [round(s, 6) for s in best]
+        assert [round(s, 6) for s, _ in pieces.n_best(text, 8)[1]] == [round(s, 6) for s in best]
     uncut = all_ways(pieces, " ab, cd")[0][0]  # cutting a text into words loses nothing
-    assert pieces.n_best("ab, cd", 1)[0][0] == uncut
+    assert pieces.n_best("ab, cd", 1)[1][0][0] == uncut
 
 
 def test_round_trip(spark, corpus, corpus_dir):
@@ -193,14 +193,15 @@ def test_round_trip(spark, corpus, corpus_dir):
     assert len(rows) == len(corpus) and all(r.round_trip for r in rows)
     pieces = piece_lattice.load(piece_lattice.default_model())
     for s in ("a  b\n▁x  ", " lead", "  ", "▁", "\x00 \U0001f600"):
-        for _, ids in pieces.n_best(s, 3):
-            assert pieces.decode(ids) == s
+        ids, ways = pieces.n_best(s, 3)
+        each = [piece_lattice.changed(ids, c) for _, c in ways]
+        assert all(pieces.decode(x) == s for x in each) and len({tuple(x) for x in each}) == len(each)
 
 
 def test_piece_edges(spark, make, none):
     assert piece_lattice.encode(none).count() == 0
     out = piece_lattice.decode(piece_lattice.encode(make([(1, None, None, None), (1, "", None, None), (None, "x" * 5000, None, None)]).withColumn("IDS", F.lit(1)), n=2)).collect()
-    assert [len(r.ids) for r in out[:2]] == [0, 0] and out[2].decoded == "x" * 5000 and len(out[2].nbest_ids) == 1
+    assert [len(r.ids) for r in out[:2]] == [0, 0] and out[2].decoded == "x" * 5000 and len(out[2].changes) == 1
 
 
 # Near duplicates.
