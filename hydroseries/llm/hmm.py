@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import hash_sample, write_shared
 
 #: The end of a text; no word is empty.
 END = ""
@@ -203,7 +203,7 @@ def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iteratio
     """
     spark = encoded.sparkSession
     model = Hmm.first(totals, states)
-    some = _sequences(encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS).select("classes").toPandas()["classes"])
+    some = _sequences(hash_sample(encoded, START_TEXTS, encoded.count(), "doc_id").orderBy("doc_id", "classes").select("classes").toPandas()["classes"])
     for _ in range(START_ROUNDS if some else 0):
         sums = [model.expect([some[i] for i in p]) for p in _parts(some)]
         model = Hmm.of_counts(*[sum(x) for x in zip(*sums, strict=True)])
@@ -231,9 +231,12 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row; training: a condition on doc_id."""
     spark = docs.sparkSession
     counts = count_tokens(docs, training)
-    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *[F.count_if(F.col("c") >= (1 << k)).alias(f"above{k}") for k in range(63)]).first()
     n_train, v_train = whole["n"] or 0, whole["v"]
-    top = [(r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
+    # Frequent is what occurs at least 2^k times, for the least k that leaves at most KNOWN words: no task sends more than its share of them.
+    least = next(1 << k for k in range(63) if whole[f"above{k}"] <= KNOWN)
+    frequent = counts.where(F.col("c") >= least).collect()
+    top = sorted(((r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     own = [w for w, _ in top[:FREQUENT]]
     class_n, class_v = class_totals(counts, own)
     # What a token's (c + 0.5) is divided by, given its class: its own value in a class of one.
