@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segmentations of words that a task keeps.
-CACHE = 160_000
+CACHE = 420_000
 PENALTY = 10.0
 #: Characters whose segmentations a task holds at once.
 BLOCK = 1 << 19
@@ -75,6 +75,7 @@ class Pieces:
                 if MARK not in piece[1:]:
                     self.scores[piece.replace(MARK, " ")] = (model.get_score(i), (i,))
                     lowest = min(lowest, model.get_score(i))
+        self.raw = [bytes([p]) if isinstance(p, int) else (p or "").encode("utf-8", "surrogatepass") for p in self.text]
         self.fallback = lowest - PENALTY
         self.longest = max(map(len, self.scores), default=1)
         self.single = {p for p in self.scores if len(p) == 1}
@@ -216,19 +217,7 @@ class Pieces:
         return ids, out
 
     def decode(self, ids) -> str:
-        out, pending = [], bytearray()
-        for i in ids:
-            piece = self.text[i]
-            if isinstance(piece, int):
-                pending.append(piece)
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "surrogatepass"))
-                pending = bytearray()
-            out.append(piece or "")
-        if pending:
-            out.append(pending.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 @lru_cache(2)
