@@ -168,9 +168,9 @@ class BkForest:
         for rows in np.split(label.copy(), np.flatnonzero(np.diff(block)) + 1):
             begin = self.root[rows[0]]
             size = int(self.size[np.searchsorted(self.first, begin)])
-            # A part of one large shard: once all of the shard is one component, further links change nothing.
+            # A part of one large shard: once all of the shard is one component, further links change nothing. The block can go on into other shards.
             if size > len(rows) and (label[begin : begin + size] == label[begin]).all():
-                continue
+                rows = rows[self.root[rows] != begin]
             a, b = self.search(rows, radius)
             while len(a):
                 x, y = label[a], label[b]

@@ -229,6 +229,20 @@ def test_bk_forest_equals_all_pairs():
         assert all(label[i] == label[j] for i, j in near)
 
 
+def test_shards_after_a_large_one_are_searched():
+    rng = np.random.default_rng(9)
+    flips = [0, *[1 << i for i in range(64)], *[1 << i | 1 << j for i in range(64) for j in range(i)]][:600]
+    large = np.uint64(rng.integers(0, 1 << 63)) ^ np.array(flips, np.uint64)
+    base = rng.integers(0, 1 << 63, (3, 200), np.uint64)
+    small = np.concatenate([base, base ^ np.uint64(1)], 1)
+    lanes, shard = np.concatenate([large, small.ravel()])[:, None], np.repeat(np.arange(4), [600, 400, 400, 400])
+    label = simhash.BkForest(lanes, shard).components(2)
+    near = (np.bitwise_count(lanes ^ lanes.T) <= 2) & (shard[:, None] == shard)
+    assert (label[:600] == 0).all() and len(np.unique(label)) == 1 + 600
+    a, b = np.nonzero(near)
+    assert (label[a] == label[b]).all()
+
+
 def test_block_keys_miss_nothing():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 63, (50, 1), np.uint64)
