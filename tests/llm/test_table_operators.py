@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 
 import brute
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hydroseries.llm import chat, mixing, queries, url_rules, vector_forest
+from hydroseries.llm import chat, language_id, mixing, queries, url_rules, vector_forest
 
 SF = "/root/testdata/sf0.001"
 
@@ -216,5 +217,19 @@ def test_pipeline_stages(spark, corpus, corpus_dir, tmp_path):
     assert none.count() == 0
 
 
+def test_mixed_and_short_documents_stay(spark, make):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    tongues = ["abcdefgh", "ijklmnop", "qrstuvwx"]
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choices(letters, k=5))
+    rows = [(i, " ".join(word(tongues[i % 3]) for _ in range(40)), f"l{i % 3}", "s") for i in range(30)]
+    mixed = " ".join(word(letters) for letters, n in zip(tongues, (45, 40, 15), strict=True) for _ in range(n))
+    docs = make([*rows, (100, mixed, None, "s"), (101, "a i q", None, "s"), (102, "12 34", None, "s")])
+    found = {r.doc_id: r for r in language_id.label(docs, language_id.train(docs)).collect()}
+    assert len(found[100].lang_spans) == 3 and found[100].lang_score < 0.5 and found[101].lang_score < 0.5
+    left = {r.doc_id for r in pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert left == {*range(30), 100, 101}
+
+
 def test_digest_of_kept_words_is_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest() == duckdb.execute("SELECT sha256('é')").fetchone()[0]
