@@ -1,7 +1,7 @@
 """SimHash near-duplicates: word-shingle fingerprints, linked within a Hamming radius by BK-trees, one tree a shard.
 
 A fingerprint bit is 1 where over half of the shingles' hashes have it set. Copies share a fingerprint and are one class; only
-distinct fingerprints are linked. A shard holds the fingerprints that agree on one key; its BK-tree files each under its parent by
+distinct fingerprints are linked. (drop_near_copies takes distinct shingles; there a class is one set of them, and links are verified.) A shard holds the fingerprints that agree on one key; its BK-tree files each under its parent by
 integer Hamming distance, and a search follows only edges within the radius of its own distance. Keys are either all pairs of
 radius + 2 blocks (any two fingerprints within the radius agree on two blocks: nothing is missed), or, for wide radii, tables of sampled bits
 with a stated recall. Trees of many small shards are built and searched together, level by level, in numpy. A shard gives a
@@ -29,6 +29,8 @@ from .common import mix, write_shared
 SEED = 42
 #: Rows that are worked on at once in a task: fingerprints, and pairs of query and node.
 ROWS, PAIRS = 1 << 18, 1 << 18
+#: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
+SHORT = 24
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,17 @@ class Sampled:
         width = max(16, math.ceil(math.log2(max(n, 2))) - 4)
         return cls(radius, bits, width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / bits) ** width)))
 
+    @classmethod
+    def at(cls, similarity: float, bits: int, n: int, recall: float = 0.98) -> Sampled:
+        """For candidates: a pair of that similarity is within the radius and shares a key with probability recall, over the spread of its distance."""
+        radius, p = radius_for(similarity, bits, 3.0), bit_difference(similarity)
+        width = cls.of(radius, bits, n).width
+        d = np.arange(radius + 1)
+        chance = np.exp([math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log(1 - p) for k in d])
+        recall = min(recall, 0.99 * chance.sum())
+        miss = 1 - (1 - d / bits) ** width
+        return cls(radius, bits, width, next(t for t in itertools.count(1) if (chance * (1 - miss**t)).sum() >= recall))
+
     def keys(self, lanes: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng(SEED)
         bit = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
@@ -88,8 +101,11 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 
 def simhash(text: str, shingle: int, bits: int = 64) -> np.ndarray:
+    return fold(shingle_hashes(text, shingle), bits)
+
+
+def fold(h: np.ndarray, bits: int) -> np.ndarray:
     """bits / 64 lanes; further lanes come from remixed hashes."""
-    h = shingle_hashes(text, shingle)
     lanes = np.zeros(bits // 64, np.uint64)
     for k in range(len(lanes) if len(h) else 0):
         with np.errstate(over="ignore"):
@@ -118,6 +134,20 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp_id long, lanes array<long>")
 
 
+def shingle_sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """doc_id, fp_id (a hash of the set), lanes and sorted distinct shingles of each row of docs; no shuffle."""
+
+    def run(batches):
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(t or "", shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].to_numpy(), "fp_id": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                "lanes": [fold(s, bits).view(np.int64) for s in sets], "shingles": [s.view(np.int64) for s in sets],
+            })
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp_id long, lanes array<long>, shingles array<long>")
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
@@ -182,8 +212,27 @@ class BkForest:
         return label
 
 
-def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
-    """a, b: a spanning forest of the links in each shard, from fp_id and lanes of distinct fingerprints.
+def _whole_keys(batches):
+    """Frames sorted by key, cut so that the rows of a key stay together; keys of one row are left out."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in itertools.chain(batches, [None]):
+        if pdf is not None:
+            held.append(pdf)
+            n += len(pdf)
+        if not n or (pdf is not None and n < ROWS):
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        whole = len(frame) if pdf is None else int(np.searchsorted(frame["key"].to_numpy(), frame["key"].iat[-1]))
+        held, n = [frame[whole:]], len(frame) - whole
+        key = frame["key"].to_numpy()[:whole]
+        if len(key):
+            apart = key[1:] != key[:-1]
+            yield frame[:whole][~(np.concatenate(([True], apart)) & np.concatenate((apart, [True])))]
+
+
+def _shards(distinct: DataFrame, scheme: Blocks | Sampled, carried: list[str]) -> DataFrame:
+    """key, the lanes l0 and on, and the carried columns: a row for each key of a fingerprint.
 
     Rows are dealt by a hash of the key, so shards spread over all tasks; a shard's rows stream in sorted order and small shards are
     worked on together.
@@ -196,42 +245,115 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
             keys = scheme.keys(lanes)
             for part in np.array_split(np.arange(keys.size), keys.size // ROWS + 1):
                 row = part // keys.shape[1]
-                yield pd.DataFrame({"key": keys.ravel()[part]} | {f"l{k}": lanes[row, k].view(np.int64) for k in range(width)})
-
-    lane_names = [f"l{k}" for k in range(width)]
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame["key"].to_numpy()
-        alone = np.concatenate(([True], key[1:] != key[:-1])) & np.concatenate((key[1:] != key[:-1], [True]))
-        key = key[~alone]
-        lanes = np.stack([frame[c].to_numpy()[~alone] for c in lane_names], 1).view(np.uint64)
-        if not len(key):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        label = BkForest(lanes, key).components(scheme.radius)
-        ids = lane_id(lanes)
-        # The smallest node stands for its component, so that the same nodes stand for it in many shards.
-        least = ids.copy()
-        np.minimum.at(least, label, ids)
-        linked = np.flatnonzero(least[label] != ids)
-        return pd.DataFrame({"a": least[label[linked]], "b": ids[linked]})
+                yield pd.DataFrame({"key": keys.ravel()[part]} | {f"l{k}": lanes[row, k].view(np.int64) for k in range(width)} | {c: pdf[c].to_numpy()[row] for c in carried})
+
+    names = ["key", *[f"l{k}" for k in range(width)], *carried]
+    rows = distinct.select("lanes", *carried).mapInPandas(shard, ", ".join(f"{c} long" for c in names))
+    return rows.repartition(F.col("key")).sortWithinPartitions("key")
+
+
+def _lanes_of(frame: pd.DataFrame, scheme: Blocks | Sampled) -> np.ndarray:
+    return np.stack([frame[f"l{k}"].to_numpy() for k in range(scheme.bits // 64)], 1).view(np.uint64)
+
+
+def _forest(label: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """a, b: the smallest node stands for its component, so that the same nodes stand for it in many shards."""
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    linked = np.flatnonzero(least[label] != ids)
+    return pd.DataFrame({"a": least[label[linked]], "b": ids[linked]})
+
+
+def links(distinct: DataFrame, scheme: Blocks | Sampled, named: bool = False) -> DataFrame:
+    """a, b: a spanning forest of the links in each shard, from fp_id and lanes of distinct fingerprints. named: fp_id is not lane_id."""
 
     def run(batches):
-        held: list[pd.DataFrame] = []
-        n = 0
+        for frame in _whole_keys(batches):
+            if len(frame):
+                lanes = _lanes_of(frame, scheme)
+                yield _forest(BkForest(lanes, frame["key"].to_numpy()).components(scheme.radius), frame["fp_id"].to_numpy() if named else lane_id(lanes))
+
+    return _shards(distinct, scheme, ["fp_id"] if named else []).mapInPandas(run, "a long, b long").distinct()
+
+
+def links_between(distinct: DataFrame, scheme: Sampled) -> DataFrame:
+    """a, b, part_a, part_b: all links whose ends are in different parts, from fp_id, lanes and part."""
+
+    def run(batches):
+        for frame in _whole_keys(batches):
+            if not len(frame):
+                continue
+            ids, part = frame["fp_id"].to_numpy(), frame["part"].to_numpy()
+            forest = BkForest(_lanes_of(frame, scheme), frame["key"].to_numpy())
+            # Of a shard's largest part no row need ask: the other end of each of its links does.
+            both, which, count = np.unique(np.stack([forest.root, part], 1), axis=0, return_inverse=True, return_counts=True)
+            order = np.lexsort((count, both[:, 0]))
+            largest = np.zeros(len(both), bool)
+            largest[order[np.concatenate((both[order][1:, 0] != both[order][:-1, 0], [True]))]] = True
+            asking = np.flatnonzero(~largest[which.ravel()])
+            work = np.cumsum(forest.size[np.searchsorted(forest.first, forest.root[asking])])
+            for rows in np.split(asking, np.flatnonzero(np.diff(work // PAIRS)) + 1):
+                a, b = forest.search(rows, scheme.radius)
+                apart = part[a] != part[b]
+                a, b = a[apart], b[apart]
+                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+                yield pd.DataFrame({"a": ids[a], "b": ids[b], "part_a": part[a], "part_b": part[b]}).drop_duplicates()
+
+    return _shards(distinct, scheme, ["fp_id", "part"]).mapInPandas(run, "a long, b long, part_a long, part_b long").distinct()
+
+
+def _needed(similarity: float, n: int) -> int:
+    """Shingles that a set of n shares with any set that similar, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the first one of its component by links of at least that Jaccard similarity; exact."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    there = np.arange(n.max()) < n[:, None]
+    cells = np.zeros(there.shape, np.uint64)
+    cells[there] = np.concatenate(sets)
+    label = np.arange(len(sets))
+    left = label.copy()
+    while len(left):
+        first, left, asking = left[0], left[1:], [left[0]]
+        while asking and len(left):
+            k = asking.pop()
+            shared = (np.isin(cells[left], sets[k]) & there[left]).sum(1)
+            near = shared >= similarity * (n[left] + n[k] - shared) - 1e-9
+            label[left[near]] = first
+            asking += left[near].tolist()
+            left = left[~near]
+    return label
+
+
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: a spanning forest, in each shard, of all links of a set of SHORT shingles or fewer, from fp_id and shingles. Exact.
+
+    Sets that similar share one of the first shingles of each, so a shard is a shingle; its sets come along and are compared there.
+    """
+    most = int(SHORT / similarity + 1e-9)
+
+    def keys(batches):
         for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= ROWS:
-                frame = pd.concat(held, ignore_index=True)
-                whole = int(np.searchsorted(frame["key"].to_numpy(), frame["key"].iat[-1]))
-                if whole:
-                    yield solve(frame[:whole])
-                held, n = [frame[whole:]], len(frame) - whole
-        if n:
-            yield solve(pd.concat(held, ignore_index=True))
+            rows = []
+            for i, s in zip(pdf["fp_id"], pdf["shingles"], strict=True):
+                if _needed(similarity, len(s)) < len(s) or _needed(similarity, len(s) + 1) <= len(s):
+                    rows += [(k, i, s) for k in s[: len(s) - _needed(similarity, len(s)) + 1].tolist()]
+            yield pd.DataFrame(rows, columns=["key", "fp_id", "shingles"])
+
+    def run(batches):
+        for frame in _whole_keys(batches):
+            key, ids = frame["key"].to_numpy(), frame["fp_id"].to_numpy()
+            sets = [np.asarray(s, np.int64).view(np.uint64) for s in frame["shingles"]]
+            label = np.arange(len(key))
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for a, b in zip(cut, [*cut[1:], len(key)], strict=True) if len(key) else ():
+                label[a:b] = a + set_components(sets[a:b], similarity)
+            yield _forest(label, ids)
 
-    rows = distinct.select("fp_id", "lanes").mapInPandas(shard, ", ".join(f"{c} long" for c in ["key", *lane_names]))
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    short = one_each(sets.where(F.size("shingles").between(1, most))).mapInPandas(keys, "key long, fp_id long, shingles array<long>")
+    return short.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +381,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(fps: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
     """fp_id, component_id: the smallest doc_id of the component, for each distinct fingerprint. fps: doc_id, fp_id, lanes."""
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least")), "fingerprints")
-    label = components(links(distinct, scheme))
+    return class_ids(distinct, components(links(distinct, scheme)))
+
+
+def class_ids(distinct: DataFrame, label: DataFrame) -> DataFrame:
+    """fp_id, component_id of each fingerprint, from its smallest doc_id (least) and the labels of linked nodes."""
     linked = distinct.select(F.col("fp_id").alias("node"), "least").join(label, "node")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     joined = linked.join(least, "label").select(F.col("node").alias("fp_id"), "component_id")
@@ -273,20 +399,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataF
     return fps.join(found, "fp_id").select("doc_id", F.lower(F.lpad(F.hex("fp_id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Hamming radius that holds five in six pairs of that Jaccard similarity: the mean distance and one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+def bit_difference(similarity: float) -> float:
+    """Share of bits in which two sets of that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """Hamming radius: the mean distance of pairs of that Jaccard similarity, and so many standard deviations."""
+    p = bit_difference(similarity)
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def one_each(sets: DataFrame) -> DataFrame:
+    """fp_id, shingles: of copies one row, summed up before the shuffle."""
+    return sets.groupBy("fp_id").agg(F.any_value("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets (fp_id, shingles) have at least that Jaccard similarity; exact."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp_id")).distinct()
+    told = write_shared(one_each(sets).join(ends, "fp_id", "left_semi"), "shingle-sets")
+    both = pairs.join(told.select(F.col("fp_id").alias("a"), F.col("shingles").alias("_a")), "a").join(told.select(F.col("fp_id").alias("b"), F.col("shingles").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(pairs.columns)
+
+
+def similar_classes(fps: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """fp_id, component_id: the smallest doc_id of the component by verified links, for each distinct set. fps: as of shingle_sets.
+
+    Candidates are first a forest in each shard; where one of its links fails, all candidates between the parts that remain.
+    """
+    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least")), "fingerprints")
+    sets = fps.select("fp_id", "shingles")
+    scheme = Sampled.at(similarity, bits, distinct.count())
+    near = write_shared(links(distinct, scheme, named=True), "candidates")
+    edges = write_shared(verified(near, sets, similarity).union(short_links(sets, similarity)).distinct(), "verified")
+    label = components(edges)
+    if not near.join(edges, ["a", "b"], "left_anti").isEmpty():
+        parts = components(near).withColumnRenamed("label", "whole").join(label, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("part"))
+        broken = parts.groupBy("whole").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("whole")
+        rest = distinct.join(parts.join(broken, "whole").select(F.col("node").alias("fp_id"), "part"), "fp_id")
+        more = write_shared(links_between(rest, scheme), "candidates")
+        joined = verified(more, sets, similarity).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
+        label = components(edges.union(joined).distinct())
+    return class_ids(distinct, label)
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest doc_id; rows with a null doc_id stay.
 
-    Fingerprints are wide, so that their distance tells the similarity; links are those within radius_for(similarity).
+    Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give
+    candidates; each link is verified on whole sets.
     """
-    fps = write_shared(fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle, bits), "doc-fingerprints")
-    scheme = Sampled.of(radius_for(similarity, bits), bits, fps.count())
-    found = classes(fps, scheme)
+    fps = write_shared(shingle_sets(docs.where(F.col("doc_id").isNotNull()), shingle, bits), "doc-fingerprints")
+    found = similar_classes(fps, similarity, bits)
     dropped = fps.join(found, "fp_id").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     repeats = fps.groupBy("doc_id").count().where("count > 1")

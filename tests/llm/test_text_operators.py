@@ -276,6 +276,68 @@ def test_near_copies_go(spark, make, none, corpus):
     assert clash.count() == 2 and clash.columns[-2:] == ["lanes", "count"]
 
 
+def jaccard_components(texts, shingle=5, similarity=0.8):
+    sets = {i: set(simhash.shingle_hashes(t, shingle).tolist()) for i, t in texts.items()}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    return label
+
+
+def test_only_similar_texts_go(spark, make):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(16))
+    shared = [" ".join([line, *(w for _ in range(20) for w in (line,)), *(word() for _ in range(104))]) for _ in range(6)]
+    texts = dict(enumerate(shared))
+    for n, changed in ((200, 4), (200, 5), (200, 6), (200, 7), (200, 9), (60, 1), (60, 2), (28, 1), (12, 1), (9, 1), (8, 1)):
+        for _ in range(12):
+            w = [word() for _ in range(n)]
+            first = len(texts)
+            texts[first] = " ".join(w)
+            for _ in range(2):
+                other = list(w)
+                for k in rng.sample(range(0, n, 1 + n // 20), changed) if n >= 60 else [rng.choice((0, n - 1))]:
+                    other[k] = word()
+                texts[len(texts)] = " ".join(other)
+    want = jaccard_components(texts)
+    kept = {r.doc_id for r in simhash.drop_near_copies(make([(i, t, "aa", "s") for i, t in texts.items()])).collect()}
+    clean, copies = {i for i in want if want[i] == i}, {i for i in want if want[i] != i}
+    assert clean <= kept and set(range(6)) <= clean and len(copies) > 60
+    assert len(copies & kept) <= 0.03 * len(copies)
+    short = {i for i in copies if len(texts[i].split()) <= 28}
+    assert short and not short & kept
+
+
+def test_parts_of_a_broken_candidate_are_told_apart(spark, make, monkeypatch):
+    rng = random.Random(13)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for k in range(5, 5 * (2 * i + 1), 10):
+            w[k] = f"new{k}"
+        rows.append((i, " ".join(w), "aa", "s"))
+    rng.shuffle(rows)
+    want = jaccard_components({i: t for i, t, _, _ in rows})
+    assert set(want.values()) == {0}
+    monkeypatch.setattr(simhash, "PAIRS", 64)
+    assert [r.doc_id for r in simhash.drop_near_copies(make(rows)).collect()] == [0]
+
+
+def test_set_components_equal_all_pairs():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 9, rng.integers(3, 9)).astype(np.uint64)) for _ in range(60)]
+    label = simhash.set_components(sets, 0.8)
+    near = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    while (near != (near @ near)).any():
+        near = near @ near
+    assert label.tolist() == near.argmax(1).tolist()
+
+
 # Substrings.
 
 
