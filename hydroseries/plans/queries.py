@@ -325,7 +325,7 @@ def utm_round_trip(spark, sf_dir):
 @query()
 def reproject_nearest(spark, sf_dir):
     n = F.col("c_custkey")
-    granules = v.table(spark, sf_dir, "customer").where(n % 100 == 1).select(n.cast("string").alias("granule_id"), F.when(n % 200 == 1, 32645).otherwise(32646).alias("srid"), (700000.0 + n % 50 * 1000).alias("minx"), (3300000.0 + n % 70 * 1000).alias("miny")).withColumns({"maxx": F.col("minx") + 1000, "maxy": F.col("miny") + 1200, "res_x": F.lit(100.0), "res_y": F.lit(100.0)})
+    granules = v.table(spark, sf_dir, "customer").select(n.cast("string").alias("granule_id"), F.when(n % 2 == 1, 32645).otherwise(32646).alias("srid"), (700000.0 + n % 50 * 1000).alias("minx"), (3300000.0 + n % 70 * 1000).alias("miny")).withColumns({"maxx": F.col("minx") + 1000, "maxy": F.col("miny") + 1200, "res_x": F.lit(100.0), "res_y": F.lit(100.0)})
     px = granules.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(9))))
     px = px.select("granule_id", "row", "col", (F.col("minx") + (F.col("col") + 0.5) * 100).alias("x"), (F.col("maxy") - (F.col("row") + 0.5) * 100).alias("y"), (F.col("row") * 100 + F.col("col")).cast("double").alias("wse"))
     return reproject.reproject_nearest(px, granules, 32646)

@@ -12,6 +12,7 @@ from hydroseries.config import FLOAT_FILL, CurveConfig, FilterConfig, QualityCon
 from hydroseries.functions import geo, naming
 from hydroseries.functions.missing import fill_to_null, nodata_to_null, with_valid_mask
 from hydroseries.operators import audit, clip, continuity, curve, lakesp, mosaic, outline, quality, reproject, timeseries, wse_filter
+from hydroseries.plans.queries import QUERIES
 from hydroseries.plans.run import merge, run, split_malformed
 from hydroseries.sources import readers, writers
 from hydroseries.streaming.daily import daily_levels
@@ -274,6 +275,13 @@ def test_reprojection_moves_pixels_by_less_than_a_pixel(spark):
     assert same.count() == 25
 
 
+def test_every_customer_is_reprojected(spark, tmp_path):
+    spark.range(1, 8).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    out = QUERIES["reproject_nearest"](spark, f"file://{tmp_path}")
+    found = {r.granule_id: r["count"] for r in out.groupBy("granule_id").count().collect()}
+    assert set(found) == {str(k) for k in range(1, 8)} and all(found[str(k)] == 120 for k in (2, 4, 6)) and all(110 < found[str(k)] < 130 for k in (1, 3, 5, 7))
+
+
 def test_vector_product(spark):
     rows = [("1", "d", "p", 10.0, 1.0, 5.0, 2, 0), ("1", "d", "p", 12.0, 1.0, 7.0, 0, -999), ("1", "d", "p", 99.0, 1.0, 7.0, 3, 0), (None, "d", "p", 1.0, 1.0, 1.0, 0, 0), ("1", "d", "p", 9.0, 1.0, 7.0, 0, 1)]
     obs = lakesp.usable(spark.createDataFrame(rows, "lake_id string, obs_date string, pass string, wse double, uncertainty double, area double, quality_f short, ice_clim_f int"))
