@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -175,12 +176,21 @@ def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int) -> np.ndarra
         return mix(np.array(keys, np.uint64) * np.uint64(64) + np.arange(bands, dtype=np.uint64))
 
 
-def near_pairs(docs: DataFrame, radius: int = 40, bands: int = 24, width: int = 16) -> DataFrame:
+def bands_for(radius: int, width: int, recall: float) -> int:
+    """Bands of width bits, so that two fingerprints at the radius share one with probability recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / BITS) ** width))
+
+
+def near_pairs(docs: DataFrame, radius: int = 40, bands: int | None = None, width: int = 16, recall: float = 0.95) -> DataFrame:
+    """near_fingerprints of the texts of docs; bands follow from the recall at the radius if they are not given."""
+    return near_fingerprints(fingerprint(docs).select("fingerprint").distinct(), radius, bands or bands_for(radius, width, recall), width)
+
+
+def near_fingerprints(distinct: DataFrame, radius: int, bands: int, width: int) -> DataFrame:
     """a, b: pairs of different fingerprints that link near copies, a spanning forest in each band's bucket; a has the smaller text.
 
     Copies are one fingerprint. Buckets meet by band, links are verified on whole fingerprints, and no bucket gives out all pairs.
     """
-    distinct = fingerprint(docs).select("fingerprint").distinct()
 
     def band(batches):
         for pdf in batches:

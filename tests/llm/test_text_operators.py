@@ -107,6 +107,21 @@ def test_near_copies_share_bands(spark, make):
     assert fp[1] != fp[2] and pairs == {tuple(sorted((fp[1], fp[2])))}
 
 
+def test_recall_at_the_radius(spark):
+    rng = np.random.default_rng(15)
+    left = rng.integers(0, 2, (300, 256), np.uint8)
+    right = left.copy()
+    for row in right:
+        row[rng.permutation(256)[:40]] ^= 1
+    hexes = [[np.packbits(row).tobytes().hex() for row in x] for x in (left, right)]
+    want = {tuple(sorted(x)) for x in zip(*hexes, strict=True)}
+    table = spark.createDataFrame([(x,) for x in hexes[0] + hexes[1]], "fingerprint string")
+    found = {(r.a, r.b) for r in edit_embedding.near_fingerprints(table, 40, edit_embedding.bands_for(40, 16, 0.95), 16).collect()}
+    few = {(r.a, r.b) for r in edit_embedding.near_fingerprints(table, 40, 24, 16).collect()}
+    print("recall", len(found & want) / 300, len(few & want) / 300)
+    assert found <= want and len(found) >= 0.92 * 300 and len(few & want) < 0.9 * 300
+
+
 # Language model.
 
 
