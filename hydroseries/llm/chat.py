@@ -123,18 +123,23 @@ def turns_of_records(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     return df.withColumn("turns", record_turns(F.col(record), F.col("schema_fingerprint"), layouts))
 
 
+def row_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout | None:
+    """The row layout whose fingerprint the schema has, as it is or without the paths that no row layout names."""
+    rows = {x.fingerprint: x for x in layouts if not x.fixed and not x.list_path}
+    named = {p for x in rows.values() for p in x.paths}
+    paths = schema_paths(schema)
+    return rows.get(paths_fingerprint(paths)) or rows.get(paths_fingerprint(p for p in paths if p in named))
+
+
 def turns_of_rows(df: DataFrame, key: str = "conv_id", turn: str = "turn", layouts=LAYOUTS) -> DataFrame:
-    """One row a conversation from one row a turn: key, turns. The row layout is found by the fingerprint of its columns.
+    """One row a conversation from one row a turn: key, turns. The row layout is found by the fingerprint of the table's schema.
 
     A conversation is the unit that is formatted, so its rows meet in one row; no other group is gathered.
     """
-    for layout in (x for x in layouts if not x.fixed and not x.list_path):
-        if set(layout.paths) <= set(df.columns):
-            break
-    else:
+    layout = row_layout(df.schema, layouts)
+    if layout is None:
         raise ValueError("no row layout has these columns: " + ", ".join(df.columns))
     rows = df.select(key, turn, F.coalesce(layout.role, F.lit("")).alias("role"), F.coalesce(layout.text, F.lit("")).alias("text"))
-    assert paths_fingerprint(layout.paths) == layout.fingerprint
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).isNotNull().alias("known"), F.coalesce(turn, F.lit(0)).alias("turn"), "role", "text")))
     return rows.groupBy(key).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 

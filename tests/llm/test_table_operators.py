@@ -53,6 +53,16 @@ def test_formatting_edges(spark):
         chat.turns_of_rows(spark.createDataFrame([(1,)], "x int"))
 
 
+def test_row_layout_by_schema_fingerprint(spark):
+    plain, rich = chat.Layout(("conv_id", "turn", "role", "text"), role="role", text="text"), chat.Layout(("conv_id", "turn", "role", "text", "edited"), role="role", text="edited")
+    rows = spark.createDataFrame([(1, 1, "user", "was", "now")], "conv_id long, turn int, role string, text string, edited string")
+    assert chat.turns_of_rows(rows, layouts=(plain, rich)).first().turns[0].text == "now"
+    assert chat.turns_of_rows(rows).first().turns[0].text == "was"
+    assert chat.turns_of_rows(rows.drop("edited"), layouts=(plain, rich)).first().turns[0].text == "was"
+    with pytest.raises(ValueError, match="no row layout"):
+        chat.turns_of_rows(rows.drop("role"))
+
+
 def test_layouts_by_fingerprint(spark):
     records = [
         {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, {"instruction": "a", "output": "b"},
