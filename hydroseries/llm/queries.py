@@ -33,10 +33,10 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = piece_lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
-    read = piece_lattice.decode(made)
+    read = piece_lattice.round_trips(made)
     return read.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "scores",
-        "changes", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "scores", "changes",
+        "round_trips", F.forall("round_trips", lambda x: x).alias("round_trip"),
     )
 
 

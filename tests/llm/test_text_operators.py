@@ -189,23 +189,54 @@ def all_ways(pieces, word):
 
 def test_n_best_equals_enumeration():
     pieces = piece_lattice.load(piece_lattice.default_model())
-    for word in (" hello", " théâtre", "aaaaaaa", " 中x", "\n.\n"):
+    for word in (" hello", " théâtre", "aaaaaaa", " 中x", "\n.\n", "   of"):
         ways = all_ways(pieces, word)
-        assert [s for s, _ in pieces.ranked(word, 6)] == [s for s, _ in ways[:6]]
-        score, _, loss = pieces.best(word)
-        assert score == ways[0][0] and (len(ways) == 1 or loss == pytest.approx(ways[0][0] - ways[1][0]))
-    for text in ("the cat sat on mats", "a bc  d", "ab, ab ab.\nab cd"):
-        best = [0.0]
-        for w in pieces.words(" " + text):
-            best = sorted((a + s for a in best for s, _ in all_ways(pieces, w)[:8]), reverse=True)[:8]
-        assert [round(s, 6) for s, _ in pieces.n_best(text, 8)[1]] == [round(s, 6) for s in best]
-    uncut = all_ways(pieces, " ab, cd")[0][0]  # cutting a text into words loses nothing
-    assert pieces.n_best("ab, cd", 1)[1][0][0] == uncut
+        assert [s for s, _ in pieces.ranked(word, 6)] == pytest.approx([s for s, _ in ways[:6]])
+        score, loss, ids = pieces.best(word)
+        assert score == pytest.approx(ways[0][0]) and tuple(ids) in {w for s, w in ways if s == pytest.approx(score)}
+        assert len(ways) == 1 or loss == pytest.approx(ways[0][0] - ways[1][0])
+    for text in ("the cat sat", "a bc  d", "ab, ab", "x\n y", "   z"):
+        ways = all_ways(pieces, " " + text)  # of the whole text, uncut
+        ids, found = pieces.n_best(text, 8)
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in ways[:8]])
+        by_ids = {w: s for s, w in ways}
+        each = [tuple(piece_lattice.changed(ids, c)) for _, c in found]
+        assert len(set(each)) == len(each) and [by_ids[x] for x in each] == pytest.approx([s for s, _ in found])
+
+
+def test_words_side_by_side_equal_one_by_one(corpus):
+    pieces = piece_lattice.load(piece_lattice.default_model())
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abeinrst éü中.,0", k=rng.randint(1, 60))) for _ in range(400)] + [" ", "a", "\n", "x" * 47, "x" * 48, "x" * 49, "    the"]
+    found = pieces.segment(words)
+    for i, w in enumerate(words):
+        score, loss, ids = pieces.best(w)
+        assert found.score[i] == pytest.approx(score) and found.of(i).tolist() == ids
+        assert found.loss[i] == pytest.approx(loss)
+
+
+def test_scores_are_probabilities_and_pieces_few(corpus):
+    import sentencepiece
+
+    pieces = piece_lattice.load(piece_lattice.default_model())
+    assert sum(np.exp(s) for s, _ in pieces.scores.values()) == pytest.approx(1.0)
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.default_model())
+    prose = "The committee met on Tuesday, and nobody could say which of the three reports was the one that mattered most.  Later they read all of them."
+    assert len(pieces.n_best(prose, 1)[0]) <= 1.05 * len(library.encode(prose))
+    assert [pieces.raw[i] for i in pieces.n_best("hello  world", 1)[0]][-2:] == [b" ", b" world"] or b"  " in [pieces.raw[i] for i in pieces.n_best("hello  world", 1)[0]]
+
+
+def test_ties_go_to_the_longer_last_piece():
+    pieces = piece_lattice.load(piece_lattice.default_model())
+    two = [i for i in pieces.best("aaa")[2]]
+    ways = [w for s, w in all_ways(pieces, "aaa") if s == pytest.approx(pieces.best("aaa")[0])]
+    assert len(pieces.raw[two[-1]]) == max(len(pieces.raw[w[-1]]) for w in ways)
 
 
 def test_round_trip(spark, corpus, corpus_dir):
     rows = queries.op4_piece_lattice(spark, corpus_dir).collect()
-    assert len(rows) == len(corpus) and all(r.round_trip for r in rows)
+    assert len(rows) == len(corpus) and all(r.round_trip and all(r.round_trips) and len(r.round_trips) == len(r.scores) for r in rows)
+    assert max(len(r.scores) for r in rows) == 4 and all(list(r.scores) == sorted(r.scores, reverse=True) for r in rows)
     pieces = piece_lattice.load(piece_lattice.default_model())
     for s in ("a  b\n▁x  ", " lead", "  ", "▁", "\x00 \U0001f600"):
         ids, ways = pieces.n_best(s, 3)
@@ -213,10 +244,24 @@ def test_round_trip(spark, corpus, corpus_dir):
         assert all(pieces.decode(x) == s for x in each) and len({tuple(x) for x in each}) == len(each)
 
 
+def test_a_wrong_segmentation_is_told(spark, make):
+    made = piece_lattice.encode(make([(1, "some words here", None, None)]), n=3).withColumn("text", F.lit("some words there"))
+    assert piece_lattice.round_trips(made).first().round_trips == [False] * 3
+
+
+def test_decoding_takes_any_ids(spark):
+    pieces = piece_lattice.load(piece_lattice.default_model())
+    word = pieces.n_best("word", 1)[0]
+    rows = [([pieces.bytes[0xC3]],), ([1, *word, 2],), ([-5, *word, 10**6, None],), ([],), (None,), ([i for i in word if not pieces.raw[i].startswith(b" ")] or word,), ([pieces.bytes[0xC3], pieces.bytes[0xA9]],)]
+    out = [r.decoded for r in piece_lattice.decode(spark.createDataFrame(rows, "ids array<int>").coalesce(1)).collect()]
+    assert out[:5] == ["\ufffd", "word", "word", "", None] and out[6] == "é"
+
+
 def test_piece_edges(spark, make, none):
-    assert piece_lattice.encode(none).count() == 0
+    assert piece_lattice.encode(none).count() == 0 and piece_lattice.round_trips(piece_lattice.encode(none)).count() == 0
     out = piece_lattice.decode(piece_lattice.encode(make([(1, None, None, None), (1, "", None, None), (None, "x" * 5000, None, None)]).withColumn("IDS", F.lit(1)), n=2)).collect()
     assert [len(r.ids) for r in out[:2]] == [0, 0] and out[2].decoded == "x" * 5000 and len(out[2].changes) == 1
+    assert [list(r.scores) for r in out[:2]] == [[0.0]] * 2
 
 
 # Near duplicates.
