@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,31 +13,77 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but blanks; the six ASCII blanks are the only separators.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys that join_hot may broadcast.
+HOT = 1000
 ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if set_dir:
-            return set_dir
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="hydroseries-")
-        spark.sparkContext.setCheckpointDir(path)
+    """The folder that the driver and all executors see: spark.checkpoint.dir, else the one that the context has, else, in local mode only, a new temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="hydroseries-"))
+    return path
+
+
+#: Temporary folders of local sessions without spark.checkpoint.dir.
+_local: dict[str, str] = {}
+#: The tables of each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession):
+    """Tables written inside are deleted at the end. Results that are read from them must be written or consumed before.
+
+    Outside of any scope they stay until the shared folder is cleared, for a lazy result can be read at any time.
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which the open scope deletes at its end."""
+    path = f"{shared_dir(spark)}/hydroseries/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
 def write_shared(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hydroseries/{name}-{uuid.uuid4().hex}"
+    path = new_table(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """The inner join of rows with keyed (one row a key; count: how many of the n rows have it) on a key that may be very hot.
+
+    Keys with more than 1 / HOT of all rows are HOT at most, so they are broadcast, and their rows stay where they are; only the
+    others' rows are shuffled.
+    """
+    hot = keyed.where(F.col(count) > n / HOT)
+    cold = keyed.where(F.col(count) <= n / HOT)
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(apart)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -63,13 +110,14 @@ def hash_sample(df: DataFrame, most: int, n: int, *columns: str) -> DataFrame:
 
 
 class FlatWords:
-    """Words of many texts in one byte buffer, with a polynomial hash of any byte range in O(1).
+    """Words of many texts in one byte buffer, each with a 64-bit hash.
 
     text k holds the words first[k]:first[k + 1]; word i is the bytes start[i]:end[i]. Each text is its words joined by single spaces.
     """
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
-    INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    #: Bytes that are hashed at once.
+    CHUNK = 1 << 19
 
     def __init__(self, joined: list[bytes]):
         self.buffer = b"\n".join(joined) + b"\n"
@@ -79,22 +127,29 @@ class FlatWords:
         real = space > begin  # an empty text has no word
         self.start, self.end = begin[real], space[real]
         lengths = np.fromiter((len(x) for x in joined), np.int64, len(joined))
-        self.text_start = np.concatenate(([0], np.cumsum(lengths + 1)))
-        self.first = np.searchsorted(self.start, self.text_start)
+        self.first = np.searchsorted(self.start, np.concatenate(([0], np.cumsum(lengths + 1))))
+        self.hash = np.empty(len(self.start), np.uint64)
+        cut = [0, *(np.flatnonzero(np.diff(self.end // self.CHUNK)) + 1).tolist(), len(self.start)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a < b:
+                self.hash[a:b] = self._hashed(raw[self.start[a] : self.end[b - 1]], self.start[a:b] - self.start[a], self.end[a:b] - self.start[a:b])
+
+    def _hashed(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+        powers = np.full(int(place.max()) + 1, self.BASE)
+        powers[0] = 1
         with np.errstate(over="ignore"):
-            n = len(raw)
-            powers = np.full(n + 1, self.BASE)
-            powers[0] = 1
-            self.powers = np.cumprod(powers, dtype=np.uint64)
-            back = np.full(n + 1, self.INVERSE)
-            back[0] = 1
-            self.back = np.cumprod(back, dtype=np.uint64)
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], dtype=np.uint64)))
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A mixed 64-bit hash of each byte range; equal bytes have equal hashes."""
+            # The space after a word counts as zero.
+            return mix(np.add.reduceat(np.where(raw == 32, 0, raw + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64)[place], start))
+
+    def grams(self, n: int) -> np.ndarray:
+        """A mixed 64-bit hash of each n consecutive words; equal words have equal hashes."""
+        count = max(len(self.hash) - n + 1, 0)
+        out = np.zeros(count, np.uint64)
         with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+            for k in range(n):
+                out = out * self.BASE + self.hash[k : k + count]
+        return mix(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

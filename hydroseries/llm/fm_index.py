@@ -44,10 +44,10 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Backward search for patterns of up to `depth` tokens. Suffixes are sorted by their first `depth` tokens, which is all that such patterns tell apart."""
+    """Backward search and matching statistics for up to `depth` tokens. Suffixes are sorted by their first `depth` tokens, which is all that these tell apart."""
 
     def __init__(self, tokens: np.ndarray, depth: int):
-        self.tokens = tokens
+        self.tokens, self.depth = tokens, depth
         n = len(tokens)
         rank = tokens.astype(np.int64)
         step = 1
@@ -74,3 +74,58 @@ class FmIndex:
         for j in range(length - 1, -1, -1):
             low, high = self.extend_left(self.tokens[start + j], low, high)
         return low, high
+
+    def common(self) -> np.ndarray:
+        """How many of their first `depth` tokens each suffix shares with the one before it; 0 at both ends."""
+        n = len(self.tokens)
+        padded = np.concatenate((self.tokens, np.full(self.depth, -1)))
+        out = np.zeros(n + 1, np.int64)
+        same = np.arange(1, n)
+        for j in range(self.depth):
+            same = same[padded[self.suffixes[same] + j] == padded[self.suffixes[same - 1] + j]]
+            same = same[padded[self.suffixes[same] + j] >= 0]
+            out[same] += 1
+        return out
+
+    def matching_statistics(self, owner: np.ndarray, begin: np.ndarray, end: np.ndarray, me: np.ndarray) -> np.ndarray:
+        """For each token, the length (depth at most) of the longest match from it to its text's end that a lesser owner has too.
+
+        owner: of each token of the index. Text k is tokens[begin[k]:end[k]], me[k] is its own number. All texts are streamed from right to
+        left, side by side: a match grows by one token to the left by backward search; where no lesser owner has the longer one,
+        it is cut on the right to the next shorter length that more suffixes share, and tried again.
+        """
+        n, depth = len(self.tokens), self.depth
+        common = self.common()
+        # By length and suffix: the interval of suffixes that share so many tokens, and its least owner.
+        first, after, least = (np.empty((depth + 1, n), np.int32) for _ in range(3))
+        by_suffix = owner[self.suffixes]
+        for d in range(depth + 1):
+            edge = np.flatnonzero(np.concatenate(([True], common[1:n] < d))) if n else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate((edge, [n])))
+            first[d], after[d] = np.repeat(edge, size), np.repeat(edge + size, size)
+            least[d] = np.repeat(np.minimum.reduceat(by_suffix, edge), size) if n else 0
+        out = np.zeros(n, np.int64)
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        begin, at, me = begin[order], end[order].copy(), me[order]
+        length = at - begin
+        alive = np.searchsorted(-length, -np.arange(1, length.max(initial=0) + 1), side="right")
+        low, high, have = np.zeros(len(at), np.int64), np.full(len(at), n, np.int64), np.zeros(len(at), np.int64)
+        for k in alive.tolist():
+            at[:k] -= 1
+            symbol = self.tokens[at[:k]]
+            full = np.flatnonzero(have[:k] == depth)
+            have[full] -= 1
+            low[full], high[full] = first[depth - 1, low[full]], after[depth - 1, low[full]]
+            going = np.arange(k)
+            while len(going):
+                a, b = self.extend_left(symbol[going], low[going], high[going])
+                longer = have[going] + 1
+                found = least[longer, a] < me[going]
+                took = going[found]
+                low[took], high[took], have[took] = a[found], b[found], longer[found]
+                going = going[~found]
+                going = going[have[going] > 0]
+                cut = np.maximum(common[low[going]], common[high[going]])
+                have[going], low[going], high[going] = cut, first[cut, low[going]], after[cut, low[going]]
+            out[at[:k]] = have[:k]
+        return out

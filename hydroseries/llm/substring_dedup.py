@@ -1,13 +1,14 @@
 """Substring deduplication: words covered by a passage that also starts in an earlier document are removed.
 
-1. Whole texts, as words with single spaces, go once by a row number into a bucketed table; later joins with it shuffle only the
-   other side. Exact copies of an earlier text are found by a digest and need no further search.
-2. Each window of `window` words has a minimiser, the least hash of the GRAM-word grams in it. Equal windows have equal minimisers, so
-   only stretches whose minimiser occurs in two documents can repeat; the others, most of a corpus, are not looked at again.
-3. Candidate stretches meet by minimiser in shards. A shard's distinct stretches form a compressed FM-index, and the windows of the
-   stretches are streamed through it by backward search over its wavelet matrix: a match of the whole window gives a suffix interval,
-   and the interval's earliest document is the answer. Minimisers that are very frequent are cut into single windows, dealt by the
-   window itself, so no shard grows with one passage.
+1. Whole texts go once by a row number into a bucketed table; later joins with it shuffle only the other side. Exact copies of an
+   earlier text are found by a digest of their words and need no further search.
+2. A prefilter tells which stretches can repeat at all: each window of `window` words has a minimiser, the least hash of the GRAM-word
+   grams in it, and equal windows have equal minimisers. Only stretches whose minimiser occurs in two documents go on, most of a corpus
+   does not. A stretch has STRETCH windows at most; longer ones are cut, with the words of a window less one in common.
+3. Stretches meet by minimiser in shards. A shard's distinct stretches form a compressed FM-index, and each is streamed through it from
+   right to left: backward search over the wavelet matrix gives its matching statistics against the documents earlier than its own
+   earliest one, and the intervals that reach the window's length are reported. A later document with the same stretch repeats
+   all of it. Minimisers that are very frequent are cut into single windows, dealt by the window itself, so no shard grows with one passage.
 
 Shards hold about SHARD_WORDS words whatever the input. Nothing but counts comes to the driver.
 
@@ -25,48 +26,52 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FlatWords, shared_dir, write_shared
+from .common import FlatWords, join_hot, new_table, write_shared
 from .fm_index import FmIndex
 
 GRAM = 4
 SHARD_WORDS = 250_000
 #: A minimiser in more stretches than this is dealt window by window.
 FREQUENT = 5_000
-#: Bytes of text, and windows in a search, that are worked on at once.
-BLOCK, SEARCH = 1 << 21, 1 << 17
+#: Windows of one stretch.
+STRETCH = 64
+#: Characters of text that are worked on at once.
+BLOCK = 1 << 19
 LAST = (1 << 63) - 1
 
 
-def _words_table(docs: DataFrame, keep: list[str], raw: bool) -> DataFrame:
-    """uid, ord, body, n_words, digest and the columns keep, bucketed by uid in the shared folder.
-
-    raw: the text is stored as it is and its words are joined anew at each use, so that it can be given back.
-    """
+def _words_table(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """uid, ord, text, digest (of its words) and the columns keep, bucketed by uid in the shared folder."""
     spark = docs.sparkSession
-    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    words = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text", *keep)
-    if not raw:
-        words = words.withColumn("text", body)
+    body = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"hydroseries_words_{uuid.uuid4().hex}"
-    # Buckets are written by the partitions that hash to them, one file each.
-    words.repartition(n, "uid").write.bucketBy(n, "uid").option("compression", "zstd").option("path", f"{shared_dir(spark)}/hydroseries/{name}").saveAsTable(name)
-    table = spark.table(name).withColumn("body", body if raw else F.col("text"))
-    spaces = F.char_length("body") - F.char_length(F.replace("body", F.lit(" "), F.lit("")))
-    return table.withColumn("n_words", F.when(F.col("body") == "", 0).otherwise(spaces + 1)).withColumn("digest", F.md5("body"))
+    # Buckets are written by the partitions that hash to them, one file each. Only a catalog knows of buckets, so the files get a name there, for a moment.
+    rows = rows.withColumn("digest", F.md5(body)).repartition(n, "uid")
+    rows.write.bucketBy(n, "uid").option("compression", "zstd").option("path", new_table(spark, "words")).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved now
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return table
+
+
+def _joined(text: str) -> bytes:
+    """Its words, with single spaces. Bytes are split at the six ASCII blanks only."""
+    return b" ".join(text.encode().split())
 
 
 class _Windows:
-    """The minimiser runs of some texts: stretches of consecutive windows of one text that share a minimiser."""
+    """The minimiser runs of some texts: stretches of consecutive windows of one text that share a minimiser, of STRETCH windows at most."""
 
-    def __init__(self, bodies: list[str], window: int):
-        self.words = w = FlatWords([b.encode("utf-8", "surrogatepass") for b in bodies])
+    def __init__(self, texts: list[str], window: int):
+        self.words = w = FlatWords([_joined(t) for t in texts])
         n = np.diff(w.first)
         grams = len(w.start) - GRAM + 1
         self.run_text = self.run_start = self.run_length = self.run_hash = np.zeros(0, np.int64)
         if grams < window - GRAM + 1 or not (n >= window).any():
             return
-        least = w.hashes(w.start[:grams], w.end[GRAM - 1 :]).view(np.int64)
+        least = w.grams(GRAM).view(np.int64)
         reach = 1
         span = window - GRAM + 1
         while 2 * reach <= span:
@@ -80,17 +85,21 @@ class _Windows:
         value = least[at]
         new = np.concatenate(([True], (np.diff(value) != 0) | (np.diff(text) != 0)))
         first = np.flatnonzero(new)
+        length = np.diff(np.concatenate((first, [len(text)])))
+        pieces = -(-length // STRETCH)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + nth * STRETCH
         self.run_text, self.run_start, self.run_hash = text[first], at[first], value[first]
-        self.run_length = np.diff(np.concatenate((first, [len(text)])))
+        self.run_length = np.minimum(np.repeat(length, pieces) - nth * STRETCH, STRETCH)
 
     def stretch(self, i: int, j: int) -> str:
         """Words i to j of all texts, both included."""
-        return self.words.buffer[self.words.start[i] : self.words.end[j]].decode("utf-8", "surrogatepass")
+        return self.words.buffer[self.words.start[i] : self.words.end[j]].decode()
 
 
 def _blocks(pdf: pd.DataFrame):
     """Parts of a batch with about BLOCK characters."""
-    size = pdf["body"].str.len().cumsum().to_numpy()
+    size = pdf["text"].str.len().cumsum().to_numpy()
     cut = np.flatnonzero(np.diff(size // BLOCK)) + 1
     for a, b in zip([0, *cut], [*cut, len(pdf)], strict=True):
         if b > a:
@@ -103,136 +112,136 @@ def _minimisers(table: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for pdf in _blocks(batch):
-                w = _Windows(pdf["body"].tolist(), window)
-                pair = np.unique(np.stack((w.run_text, w.run_hash), 1), axis=0) if len(w.run_text) else np.zeros((0, 2), np.int64)
-                yield pd.DataFrame({"h": pair[:, 1], "uid": pdf["uid"].to_numpy()[pair[:, 0]], "ord": pdf["ord"].to_numpy()[pair[:, 0]]})
+                w = _Windows(pdf["text"].tolist(), window)
+                order = np.lexsort((w.run_hash, w.run_text))
+                text, h = w.run_text[order], w.run_hash[order]
+                new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, bool)
+                yield pd.DataFrame({"h": h[new], "uid": pdf["uid"].to_numpy()[text[new]], "ord": pdf["ord"].to_numpy()[text[new]]})
 
-    return table.select("uid", "ord", "body").mapInPandas(run, "h long, uid long, ord long")
+    return table.select("uid", "ord", "text").mapInPandas(run, "h long, uid long, ord long")
 
 
 def _stretches(flagged: DataFrame, window: int) -> DataFrame:
-    """h, seg, uid, ord, at: candidate stretches and the word at which each starts in its text. flagged: uid, ord, body, hs, frequent."""
+    """h, seg, uid, ord, at: candidate stretches and the word at which each starts in its text. flagged: uid, ord, text, hs, frequent."""
 
     def run(batches):
         for batch in batches:
             for pdf in _blocks(batch):
-                w = _Windows(pdf["body"].tolist(), window)
+                w = _Windows(pdf["text"].tolist(), window)
                 cut = np.searchsorted(w.run_text, np.arange(len(pdf) + 1))
+                windows = w.words.grams(window).view(np.int64)
                 out = []
                 for k, (uid, ord_, hs, frequent) in enumerate(zip(pdf["uid"], pdf["ord"], pdf["hs"], pdf["frequent"], strict=True)):
-                    known, often = set(hs.tolist()), set(frequent.tolist())
+                    often = set(frequent.tolist())
                     base = int(w.words.first[k])
-                    for r in range(cut[k], cut[k + 1]):
-                        h = int(w.run_hash[r])
-                        if h not in known:
-                            continue
-                        i, n = int(w.run_start[r]), int(w.run_length[r])
+                    for r in (cut[k] + np.flatnonzero(np.isin(w.run_hash[cut[k] : cut[k + 1]], hs))).tolist():
+                        h, i, n = int(w.run_hash[r]), int(w.run_start[r]), int(w.run_length[r])
                         if h not in often:
                             out.append((h, w.stretch(i, i + n + window - 2), uid, ord_, i - base))
-                            continue
-                        starts = np.arange(i, i + n)
-                        own = w.words.hashes(w.words.start[starts], w.words.end[starts + window - 1]).view(np.int64)
-                        out += [(int(x), w.stretch(a, a + window - 1), uid, ord_, a - base) for a, x in zip(starts.tolist(), own, strict=True)]
+                        else:
+                            out += [(int(windows[a]), w.stretch(a, a + window - 1), uid, ord_, a - base) for a in range(i, i + n)]
                 yield pd.DataFrame(out, columns=["h", "seg", "uid", "ord", "at"])
 
-    return flagged.select("uid", "ord", "body", "hs", "frequent").mapInPandas(run, "h long, seg string, uid long, ord long, at int")
+    return flagged.select("uid", "ord", "text", "hs", "frequent").mapInPandas(run, "h long, seg string, uid long, ord long, at int")
 
 
-def _earliest(segments: DataFrame, shards: int, window: int) -> DataFrame:
-    """h, seg, firsts: for each window of each distinct stretch, the earliest document that has it. segments: h, seg, least, most."""
+def _matches(segments: DataFrame, shards: int, window: int) -> DataFrame:
+    """h, seg, least, begins, ends: in each distinct stretch, the intervals of words that documents earlier than its earliest one (least) have.
+
+    segments: h, seg, least, most. Stretches without an interval, and with no later document, are left out.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [s.split(" ") for s in pdf["seg"]]
         n = np.fromiter(map(len, words), np.int64, len(words))
         flat, _ = pd.factorize(np.array([x for s in words for x in s], dtype=object))
         tokens = np.zeros(n.sum() + len(n), np.int64)  # 0 ends each stretch
-        segment = np.repeat(np.arange(len(n)), n + 1)
         inside = np.ones(len(tokens), bool)
-        inside[np.cumsum(n + 1) - 1] = False
+        end = np.cumsum(n + 1) - 1
+        inside[end] = False
         tokens[inside] = flat + 1
-        index = FmIndex(tokens, window)
-        owner = pdf["least"].to_numpy()[segment[index.suffixes]]
-        count = n - window + 1
-        begin = np.cumsum(n + 1) - (n + 1)
-        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-        first = np.empty(len(start), np.int64)
-        for part in np.array_split(np.arange(len(start)), len(start) // SEARCH + 1):
-            low, high = index.intervals(start[part], window)
-            # Windows are equally long, so their intervals are equal or apart.
-            lows, which = np.unique(low, return_inverse=True)
-            highs = np.empty(len(lows), np.int64)
-            highs[which] = high
-            ends = np.stack((lows, highs), 1).ravel()
-            first[part] = np.minimum.reduceat(np.append(owner, LAST), ends)[::2][which] if len(lows) else 0
-        firsts = np.split(first, np.cumsum(count)[:-1])
-        hit = np.fromiter((f.min() < m for f, m in zip(firsts, pdf["most"], strict=True)), bool, len(firsts))
-        return pd.DataFrame({"h": pdf["h"][hit], "seg": pdf["seg"][hit], "firsts": pd.Series([f for f, x in zip(firsts, hit, strict=True) if x], index=pdf.index[hit], dtype=object)})
+        rank = np.unique(pdf["least"].to_numpy(), return_inverse=True)[1]
+        reach = FmIndex(tokens, window).matching_statistics(np.repeat(rank, n + 1), end - n, end, rank)
+        hit = np.concatenate(([False], reach >= window, [False]))
+        first, after = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
+        owner = np.searchsorted(end, first)
+        cut = np.searchsorted(owner, np.arange(len(n) + 1))
+        begins, ends = first - (end - n)[owner], after - 1 + window - (end - n)[owner]
+        told = np.flatnonzero((np.diff(cut) > 0) | (pdf["most"].to_numpy() > pdf["least"].to_numpy()))
+        each = lambda x: pd.Series([x[cut[k] : cut[k + 1]] for k in told.tolist()], dtype=object)
+        return pd.DataFrame({"h": pdf["h"].to_numpy()[told], "seg": pdf["seg"].to_numpy()[told], "least": pdf["least"].to_numpy()[told], "begins": each(begins), "ends": each(ends)})
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, seg string, firsts array<long>")
+    return dealt.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, seg string, least long, begins array<int>, ends array<int>")
 
 
-def covered(docs: DataFrame, window: int, keep: list[str], raw: bool = False) -> DataFrame:
-    """text, body, n_words, starts (of windows that an earlier document has) and the columns keep, for each row of docs."""
-    table = _words_table(docs, keep, raw)
-    first = table.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = write_shared(table.select("uid", "ord", "digest").join(first, "digest").where("ord > first").select("uid", F.lit(True).alias("copy")), "copies")
-    own = table.where(F.col("n_words") >= window).join(copies, "uid", "left_anti")
+def covered(docs: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    """text, copy (true: an earlier document has the same words), begins, ends (of word intervals to remove) and the columns keep, for each row of docs."""
+    table = _words_table(docs, keep)
+    first = write_shared(table.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "digests")
+    copies = join_hot(table.select("uid", "ord", "digest"), first, "digest", "rows", table.count()).where("ord > first")
+    copies = write_shared(copies.select("uid", F.lit(True).alias("copy")), "copies")
+    own = table.join(copies, "uid", "left_anti")
 
     grams = _minimisers(own, window)
     shared = grams.groupBy("h").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("h", (F.col("n") > FREQUENT).alias("often"))
     flags = grams.select("h", "uid").join(shared, "h").groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("frequent"))
-    found = write_shared(_stretches(table.select("uid", "ord", "body").join(flags, "uid"), window), "stretches")
+    found = write_shared(_stretches(table.select("uid", "ord", "text").join(flags, "uid"), window), "stretches")
 
     size = found.agg(F.sum(F.size(F.split("seg", " "))).alias("words")).first()["words"] or 0
     distinct = found.groupBy("h", "seg").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
-    earliest = _earliest(distinct, max(1, -(-size // SHARD_WORDS)), window)
-    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size("firsts") - 1), lambda j: F.get("firsts", j) < F.col("ord")), lambda j: F.col("at") + j)
-    hits = found.join(earliest, ["h", "seg"]).select("uid", starts.alias("starts")).where(F.size("starts") > 0)
-    hits = write_shared(hits.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
+    matches = _matches(distinct, max(1, -(-size // SHARD_WORDS)), window)
+    later = F.col("ord") > F.col("least")
+    shifted = lambda c: F.transform(c, lambda x: F.col("at") + x)
+    whole = F.when(later, F.array(F.col("at") + F.size(F.split("seg", " "))))
+    hits = found.join(matches, ["h", "seg"]).select("uid", F.when(later, F.array("at")).otherwise(shifted("begins")).alias("begins"), F.coalesce(whole, shifted("ends")).alias("ends")).where(F.size("begins") > 0)
+    hits = write_shared(hits.groupBy("uid").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends")), "hits")
 
     none = F.array().cast("array<int>")
-    whole = F.when(F.col("copy") & (F.col("n_words") >= window), F.sequence(F.lit(0), F.col("n_words") - window))
     out = table.join(copies, "uid", "left").join(hits, "uid", "left")
-    return out.select("text", "body", "n_words", F.coalesce(whole, "starts", none).alias("starts"), *keep)
+    return out.select("text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("begins", none).alias("begins"), F.coalesce("ends", none).alias("ends"), *keep)
+
+
+def _keep_words(text: Column, copy: Column, begins: Column, ends: Column, window: int) -> Column:
+    """struct(kept: the kept words joined by single spaces, n_words, n_removed)."""
 
+    @F.pandas_udf("kept string, n_words long, n_removed long")
+    def keep(texts: pd.Series, copies: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, same, a, b in zip(texts, copies, begin, end, strict=True):
+            words = t.encode().split()
+            n = len(words)
+            if same and n >= window:
+                words = []
+            elif len(a):
+                # Both lists are collected in one order; their sums do not depend on it.
+                depth = np.zeros(n + 1, np.int64)
+                np.add.at(depth, a, 1)
+                np.subtract.at(depth, b, 1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
+            out.append((b" ".join(words).decode(), n, n - len(words)))
+        return pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
 
-def _keep_words(body: Column, starts: Column, window: int) -> Column:
-    """struct(kept: the kept words joined by single spaces, n_removed)."""
+    return keep(text, copy, begins, ends)
 
-    @F.pandas_udf("kept string, n_removed long")
-    def keep(bodies: pd.Series, at: pd.Series) -> pd.DataFrame:
-        kept, removed = [], []
-        for text, begins in zip(bodies, at, strict=True):
-            if not len(begins):
-                kept.append(text)
-                removed.append(0)
-                continue
-            words = text.split(" ")
-            depth = np.zeros(len(words) + 1, np.int64)
-            np.add.at(depth, begins, 1)
-            np.add.at(depth, np.asarray(begins) + window, -1)
-            stay = np.cumsum(depth)[:-1] == 0
-            kept.append(" ".join([w for w, s in zip(words, stay, strict=True) if s]))
-            removed.append(int(len(words) - stay.sum()))
-        return pd.DataFrame({"kept": kept, "n_removed": removed})
 
-    return keep(body, starts)
+def _kept(docs: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    rows = covered(docs, window, keep)
+    return rows.withColumn("out", _keep_words(F.col("text"), F.col("copy"), F.col("begins"), F.col("ends"), window))
 
 
 def deduplicate(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space) of each row."""
-    rows = covered(docs.select("doc_id", "text"), window, ["doc_id"])
-    rows = rows.withColumn("out", _keep_words(F.col("body"), F.col("starts"), window))
-    return rows.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), "out.n_removed", "out.kept")
+    rows = _kept(docs.select("doc_id", "text"), window, ["doc_id"])
+    return rows.select("doc_id", "out.n_words", "out.n_removed", "out.kept")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """docs, with the repeated words of each text removed; a text that loses nothing is unchanged, one that loses all goes."""
     others = [c for c in docs.columns if c.lower() != "text"]
     inner = {c: f"_keep{i}" for i, c in enumerate(others)}
-    renamed = docs.select("doc_id", "text", *[F.col(c).alias(x) for c, x in inner.items()])
-    rows = covered(renamed, window, list(inner.values()), raw=True).withColumn("out", _keep_words(F.col("body"), F.col("starts"), window))
+    renamed = docs.select("doc_id", "text", F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
+    rows = _kept(renamed, window, ["_null", *inner.values()])
     rows = rows.where((F.col("out.n_removed") == 0) | (F.col("out.kept") != ""))
-    text = F.when(F.col("out.n_removed") == 0, F.col("text")).otherwise(F.col("out.kept"))
+    text = F.when(F.col("_null"), F.lit(None)).when(F.col("out.n_removed") == 0, F.col("text")).otherwise(F.col("out.kept"))
     return rows.select(*[(text if c.lower() == "text" else F.col(inner[c])).alias(c) for c in docs.columns])

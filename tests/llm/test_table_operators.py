@@ -241,5 +241,14 @@ def test_mixed_and_short_documents_stay(spark, make):
     assert left == {*range(30), 100, 101}
 
 
+def test_columns_named_like_the_operators_own_stay(spark, make, corpus):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = make(corpus[:20]).withColumn("lang_pred", F.lit("mine")).withColumn("LANG_SCORE", F.lit(7)).withColumn("_text_id", F.lit("t")).withColumn("uid", F.lit("u")).withColumn("copy_no", F.lit("c"))
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {(r["lang_pred"], r["LANG_SCORE"], r["_text_id"], r["uid"], r["copy_no"]) for r in out.collect()} == {("mine", 7, "t", "u", "c")}
+
+
 def test_digest_of_kept_words_is_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest() == duckdb.execute("SELECT sha256('é')").fetchone()[0]

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import brute
@@ -332,6 +333,9 @@ def test_near_copies_go(spark, make, none, corpus):
     again = simhash.drop_near_copies(make(rows + rows[:5])).collect()
     assert len(again) == 40
     assert simhash.drop_near_copies(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+    several = [(1, base[0], None, "s"), (1, base[1], None, "s"), (2, base[2], None, "s"), (1, base[1], None, "s"), (3, base[1], None, "s"), (3, base[3], None, "s")]
+    left = sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(make(several)).collect())
+    assert left == sorted([(1, base[0]), (1, base[1]), (2, base[2]), (3, base[3])])
     clash = simhash.drop_near_copies(make(rows[:2]).withColumn("lanes", F.lit("x")).withColumn("count", F.lit(1)))
     assert clash.count() == 2 and clash.columns[-2:] == ["lanes", "count"]
 
@@ -412,9 +416,25 @@ def test_fm_index_equals_counting():
         assert set(index.suffixes[a:b].tolist()) == want
 
 
-@pytest.mark.parametrize("frequent", [5000, 1])
-def test_repeats(spark, corpus, corpus_dir, frequent, monkeypatch):
+def test_matching_statistics_equal_brute_force():
+    rng = np.random.default_rng(16)
+    for depth, kinds in ((5, 3), (3, 2), (13, 2)):
+        texts = [rng.integers(1, kinds + 1, rng.integers(1, 30)) for _ in range(25)]
+        owner = rng.integers(0, 6, 25)
+        tokens = np.concatenate([np.append(t, 0) for t in texts])
+        end = np.cumsum([len(t) + 1 for t in texts]) - 1
+        begin = end - [len(t) for t in texts]
+        got = FmIndex(tokens, depth).matching_statistics(np.repeat(owner, end - begin + 1), begin, end, owner)
+        for k, t in enumerate(texts):
+            known = {tuple(u[i : i + n]) for j, u in enumerate(texts) if owner[j] < owner[k] for n in range(1, depth + 1) for i in range(len(u) - n + 1)}
+            want = [max((n for n in range(1, min(depth, len(t) - i) + 1) if tuple(t[i : i + n]) in known), default=0) for i in range(len(t))]
+            assert got[begin[k] : end[k]].tolist() == want
+
+
+@pytest.mark.parametrize("frequent,stretch", [(5000, 64), (1, 64), (5000, 3)])
+def test_repeats(spark, corpus, corpus_dir, frequent, stretch, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
     want = brute.substring_dedup([(i, t) for i, t, _, _ in corpus])
     got = by_id(queries.op9_substring_dedup(spark, corpus_dir), "n_words", "n_removed", "kept_sha256")
@@ -422,6 +442,27 @@ def test_repeats(spark, corpus, corpus_dir, frequent, monkeypatch):
     assert sum(k for _, k, _ in want.values()) > 500
 
 
+def test_phrases_repeated_within_a_text(spark, make):
+    rng = random.Random(22)
+    phrase = [f"p{i}" for i in range(3)] * 300
+    docs = [(5, " ".join(phrase)), (7, " ".join(["x", *phrase[:200], "y", *phrase[1:150]])), (9, " ".join(rng.choices(["a", "b"], k=400))), (11, " ".join(rng.choices(["a", "b"], k=400))), (3, "z " * 100), (4, "z " * 12), (6, "z " * 13)]
+    got = by_id(substring_dedup.deduplicate(make([(i, t, None, None) for i, t in docs])), "n_words", "n_removed", "kept")
+    assert got == brute.substring_dedup(docs)
+
+
+def test_no_table_is_left(spark, make, tmp_path):
+    from hydroseries.llm import common
+
+    names = lambda: {t.name for t in spark.catalog.listTables()}
+    before = names()
+    with common.intermediates(spark):
+        path = common.new_table(spark, "probe")
+        kept = substring_dedup.remove_repeats(make([(1, "a " * 20, None, None), (2, "a " * 20, None, None)])).collect()
+        spark.range(3).write.parquet(path)
+        assert len(os.listdir(path.removeprefix("file://"))) > 0
+    assert len(kept) == 1 and names() == before and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_repeat_edges(spark, make, none):
     assert substring_dedup.deduplicate(none).count() == 0
     t = " ".join(f"w{i}" for i in range(20))
