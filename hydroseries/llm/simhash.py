@@ -1,15 +1,17 @@
 """SimHash near-duplicates: word-shingle fingerprints, linked within a Hamming radius by BK-trees, one tree a shard.
 
 A fingerprint bit is 1 where over half of the shingles' hashes have it set. Copies share a fingerprint and are one class; only
-distinct fingerprints are linked. (drop_near_copies takes distinct shingles; there a class is one set of them, and links are verified.) A shard holds the fingerprints that agree on one key; its BK-tree files each under its parent by
-integer Hamming distance, and a search follows only edges within the radius of its own distance. Keys are either all pairs of
-radius + 2 blocks (any two fingerprints within the radius agree on two blocks: nothing is missed), or, for wide radii, tables of sampled bits
-with a stated recall. Trees of many small shards are built and searched together, level by level, in numpy. A shard gives a
-spanning forest of its links, never all pairs; components come from the forests by label propagation over tables in the shared folder.
+distinct fingerprints are linked. (drop_near_copies takes distinct shingles; there a class is one set of them, and links are verified.)
+A shard holds the fingerprints that agree on one key; its BK-tree files each under its parent by integer Hamming distance, and a search
+follows only edges within the radius of its own distance. Keys are either all pairs of radius + 2 blocks (any two fingerprints within
+the radius agree on two blocks: nothing is missed), or, for wide radii, tables of sampled bits with a stated recall. Trees of many
+small shards are built and searched together, level by level, in numpy. A shard gives a spanning forest of its links, never all pairs;
+components come from the forests by label propagation over tables in the shared folder.
 
 Defined cases: a null or blank text has the fingerprint zero and links like any other; fewer words than a shingle are one shingle; a
 null doc_id takes part but names no component unless the whole one is null; repeated rows are copies; an empty table gives no
-rows; further columns are ignored, or kept by drop_near_copies.
+rows; further columns are ignored, or kept by drop_near_copies. drop_near_copies keeps the row with the least (doc_id, hash of the text) of each
+group, so rows of one doc_id with texts that are no near copies all stay; of rows alike in both one stays, and rows with a null doc_id stay.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, write_shared
+from .common import free_name, join_hot, mix, write_shared
 
 SEED = 42
 #: Rows that are worked on at once in a task: fingerprints, and pairs of query and node.
 ROWS, PAIRS = 1 << 18, 1 << 18
+#: Characters of text that are worked on at once.
+CHARACTERS = 1 << 21
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -123,11 +127,21 @@ def lane_id(lanes: np.ndarray) -> np.ndarray:
     return (mix(out) if lanes.shape[1] > 1 else out).view(np.int64)
 
 
+def _text_parts(batches):
+    """Frames of about CHARACTERS characters of the column text."""
+    for pdf in batches:
+        size = pdf["text"].str.len().fillna(0).astype(np.int64).cumsum().to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(size // CHARACTERS)) + 1).tolist(), len(pdf)]
+        for a, b in itertools.pairwise(cut):
+            if b > a:
+                yield pdf.iloc[a:b]
+
+
 def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
     """doc_id, fp_id and lanes of each row of docs; no shuffle."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _text_parts(batches):
             lanes = np.array([simhash(t or "", shingle, bits) for t in pdf["text"]], np.uint64).reshape(len(pdf), bits // 64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp_id": lane_id(lanes), "lanes": pd.Series(list(lanes.view(np.int64)), index=pdf.index, dtype=object)})
 
@@ -135,17 +149,17 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """doc_id, fp_id (a hash of the set), lanes and sorted distinct shingles of each row of docs; no shuffle."""
+    """doc_id, text_id (a hash of the text), fp_id (a hash of the set), lanes and sorted distinct shingles of each row of docs; no shuffle."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _text_parts(batches):
             sets = [np.unique(shingle_hashes(t or "", shingle)) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy(), "fp_id": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                "doc_id": pdf["doc_id"].to_numpy(), "text_id": pdf["text_id"].to_numpy(), "fp_id": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
                 "lanes": [fold(s, bits).view(np.int64) for s in sets], "shingles": [s.view(np.int64) for s in sets],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp_id long, lanes array<long>, shingles array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(run, "doc_id long, text_id long, fp_id long, lanes array<long>, shingles array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,22 +227,35 @@ class BkForest:
 
 
 def _whole_keys(batches):
-    """Frames sorted by key, cut so that the rows of a key stay together; keys of one row are left out."""
-    held: list[pd.DataFrame] = []
+    """Frames sorted by key, of about ROWS rows, cut so that the rows of a key stay together; keys of one row are left out."""
+    done: list[pd.DataFrame] = []  # of keys that are complete
+    last: list[pd.DataFrame] = []  # of the key that may go on
     n = 0
-    for pdf in itertools.chain(batches, [None]):
-        if pdf is not None:
-            held.append(pdf)
-            n += len(pdf)
-        if not n or (pdf is not None and n < ROWS):
+
+    def several(frames: list[pd.DataFrame]):
+        frame = pd.concat(frames, ignore_index=True)
+        key = frame["key"].to_numpy()
+        apart = key[1:] != key[:-1]
+        return frame[~(np.concatenate(([True], apart)) & np.concatenate((apart, [True])))]
+
+    for pdf in batches:
+        if not len(pdf):
             continue
-        frame = pd.concat(held, ignore_index=True)
-        whole = len(frame) if pdf is None else int(np.searchsorted(frame["key"].to_numpy(), frame["key"].iat[-1]))
-        held, n = [frame[whole:]], len(frame) - whole
-        key = frame["key"].to_numpy()[:whole]
-        if len(key):
-            apart = key[1:] != key[:-1]
-            yield frame[:whole][~(np.concatenate(([True], apart)) & np.concatenate((apart, [True])))]
+        key = pdf["key"].to_numpy()
+        if last and last[0]["key"].iat[0] != key[-1]:
+            done += last
+            n += sum(map(len, last))
+            last = []
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            done.append(pdf[:cut])
+            n += cut
+        last.append(pdf[cut:])
+        if n >= ROWS:
+            yield several(done)
+            done, n = [], 0
+    if done or last:
+        yield several(done + last)
 
 
 def _shards(distinct: DataFrame, scheme: Blocks | Sampled, carried: list[str]) -> DataFrame:
@@ -379,24 +406,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
-    """fp_id, component_id: the smallest doc_id of the component, for each distinct fingerprint. fps: doc_id, fp_id, lanes."""
-    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least")), "fingerprints")
+    """fp_id, component_id (the smallest doc_id of the component), rows, for each distinct fingerprint. fps: doc_id, fp_id, lanes."""
+    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     return class_ids(distinct, components(links(distinct, scheme)))
 
 
 def class_ids(distinct: DataFrame, label: DataFrame) -> DataFrame:
-    """fp_id, component_id of each fingerprint, from its smallest doc_id (least) and the labels of linked nodes."""
+    """fp_id, component_id, rows of each fingerprint, from its smallest id (least) and the labels of linked nodes."""
     linked = distinct.select(F.col("fp_id").alias("node"), "least").join(label, "node")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     joined = linked.join(least, "label").select(F.col("node").alias("fp_id"), "component_id")
-    return distinct.select("fp_id", "least").join(joined, "fp_id", "left").select("fp_id", F.coalesce("component_id", "least").alias("component_id"))
+    return distinct.select("fp_id", "least", "rows").join(joined, "fp_id", "left").select("fp_id", F.coalesce("component_id", "least").alias("component_id"), "rows")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of each row, all links within the radius followed; exact."""
     fps = write_shared(fingerprints(docs, shingle), "doc-fingerprints")
-    found = classes(fps, Blocks(radius))
-    return fps.join(found, "fp_id").select("doc_id", F.lower(F.lpad(F.hex("fp_id"), 16, "0")).alias("fingerprint"), "component_id")
+    found = write_shared(classes(fps, Blocks(radius)), "classes")
+    joined = join_hot(fps.select("doc_id", "fp_id"), found, "fp_id", "rows", fps.count())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp_id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def bit_difference(similarity: float) -> float:
@@ -425,11 +453,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_classes(fps: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """fp_id, component_id: the smallest doc_id of the component by verified links, for each distinct set. fps: as of shingle_sets.
+    """fp_id, component_id: the smallest (doc_id, text_id) of the component by verified links, and rows, for each distinct set. fps: as of shingle_sets.
 
     Candidates are first a forest in each shard; where one of its links fails, all candidates between the parts that remain.
     """
-    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least")), "fingerprints")
+    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     sets = fps.select("fp_id", "shingles")
     scheme = Sampled.at(similarity, bits, distinct.count())
     near = write_shared(links(distinct, scheme, named=True), "candidates")
@@ -446,17 +474,20 @@ def similar_classes(fps: DataFrame, similarity: float, bits: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256) -> DataFrame:
-    """docs with one row of each group of near copies, the one with the smallest doc_id; rows with a null doc_id stay.
+    """docs with one row of each group of near copies, the one with the smallest (doc_id, hash of the text); rows with a null doc_id stay.
 
     Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give
     candidates; each link is verified on whole sets.
     """
     fps = write_shared(shingle_sets(docs.where(F.col("doc_id").isNotNull()), shingle, bits), "doc-fingerprints")
-    found = similar_classes(fps, similarity, bits)
-    dropped = fps.join(found, "fp_id").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeats = fps.groupBy("doc_id").count().where("count > 1")
-    if repeats.isEmpty():
-        return kept
-    named, nameless = kept.where(F.col("doc_id").isNotNull()), kept.where(F.col("doc_id").isNull())
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless)
+    found = write_shared(similar_classes(fps, similarity, bits), "classes")
+    rows = join_hot(fps.select("fp_id", F.struct("doc_id", "text_id").alias("row")), found, "fp_id", "rows", fps.count())
+    dropped = rows.where(F.col("row") != F.col("component_id")).select("row.doc_id", F.col("row.text_id").alias("_text_id")).distinct()
+    own = free_name(docs, "_text_id")
+    named = docs.withColumn(own, F.xxhash64("text"))
+    kept = named.join(dropped.withColumnRenamed("_text_id", own), ["doc_id", own], "left_anti").select(*[f"`{c}`" for c in named.columns])
+    # Rows alike in doc_id and text were not told apart so far.
+    if not fps.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():
+        some, nameless = kept.where(F.col("doc_id").isNotNull()), kept.where(F.col("doc_id").isNull())
+        kept = some.dropDuplicates(["doc_id", own]).unionByName(nameless)
+    return kept.drop(own)
