@@ -1,16 +1,19 @@
 """Chat formatting: records of many layouts become canonical turns, turns become one templated string with a loss mask.
 
-A record's layout is told by its schema fingerprint: the SHA-256 of its sorted nested field paths, types left out. Each known
-fingerprint selects a declarative mapping, a row of LAYOUTS, and new layouts are added as data. All of it is Spark SQL.
+A record's layout is told by its schema fingerprint: the SHA-256 of all its nested field paths, types left out, as its variant's schema
+shows them. Each known fingerprint selects a declarative mapping, a row of LAYOUTS, and new layouts are added as data. Rows of a table go
+the same way: each row is a record of its columns. All of it is Spark SQL.
 
 Defined cases: a null text or role is empty; rows of one conversation are ordered by turn, ties by role and text, nulls first; repeated
-rows stay; a record whose fingerprint is unknown has null turns and its fingerprint is kept, so it can be counted and mapped; an
-empty table gives no rows; further columns are ignored.
+rows stay; a record whose fingerprint is unknown has null turns, a row has an empty turn, and a record's fingerprint is kept, so it can be
+counted and mapped; a field that is null counts as a field; the fields of a list's items are those of all its items together, and an empty
+list or one of unlike items has none; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: the nested field paths of a record; list_path, role, text: where its messages are; or fixed: (role, path) pairs."""
+    """paths: the nested field paths of a record; list_path, role, text: where its messages are; or fixed: (role, path) pairs; else role, text: of a row."""
 
     paths: tuple[str, ...]
     list_path: str = ""
@@ -40,13 +43,26 @@ class Layout:
 
 
 def paths_fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
+    """Of a record with these paths: a.b for the fields of an object, a[] for the items of a list."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for name in re.findall(r"\[\]|[^.\[\]]+", path):
+            at = at.setdefault(name, {})
+
+    def shape(node: dict) -> str:
+        if "[]" in node:
+            return f"ARRAY<{shape(node['[]'])}>"
+        fields = [f"{k if re.fullmatch('[A-Za-z_][A-Za-z_0-9]*', k) else f'`{k}`'}: {shape(node[k])}" for k in sorted(node)]
+        return f"OBJECT<{', '.join(fields)}>" if fields else "_"
+
+    return hashlib.sha256(shape(tree).encode()).hexdigest()
 
 
 LAYOUTS = (
-    Layout(("conv_id", "turn", "role", "text"), role="role", text="text"),
-    Layout(("messages", "messages[]", "messages[].role", "messages[].content"), "$.messages", "role", "content"),
-    Layout(("conversations", "conversations[]", "conversations[].from", "conversations[].value"), "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Layout(("role", "text"), role="role", text="text"),
+    Layout(("messages[].role", "messages[].content"), "$.messages", "role", "content"),
+    Layout(("conversations[].from", "conversations[].value"), "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
     Layout(("instruction", "output"), fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
     Layout(("instruction", "input", "output"), fixed=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout(("prompt", "completion"), fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
@@ -55,37 +71,15 @@ LAYOUTS = (
 )
 
 
-def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a Spark type: a.b for structs, a[] for arrays."""
-    if isinstance(schema, T.ArrayType):
-        return [f"{at}[]", *schema_paths(schema.elementType, f"{at}[]")]
-    if isinstance(schema, T.StructType):
-        return [p for f in schema.fields for name in [f"{at}.{f.name}" if at else f.name] for p in (name, *schema_paths(f.dataType, name))]
-    return []
-
+def variant_fingerprint(value: Column) -> Column:
+    """The fingerprint of all nested field paths of a variant; null if it is not an object."""
+    schema = F.schema_of_variant(value)
+    return F.when(F.startswith(schema, F.lit("OBJECT<")), F.sha2(F.regexp_replace(schema, r"(?<=: |ARRAY<)[A-Z_]+(\([0-9,]*\))?(?=[,>])", "_"), 256))
 
-def record_fingerprint(json_text: Column, layouts=LAYOUTS) -> Column:
-    """The fingerprint of each JSON record, from its variant schema.
 
-    The paths of a record are those among the layouts' own and its other top-level keys, so a record with a further field has another
-    fingerprint than the layout it resembles. A record that is not a JSON object has a null one.
-    """
-    value = F.try_parse_json(json_text)
-    known = sorted({p for x in layouts for p in x.paths})
-    keys = F.json_object_keys(json_text)
-
-    def there(path: str) -> Column:
-        head, _, leaf = path.partition("[].")
-        if path.endswith("[]"):
-            return F.try_variant_get(value, f"$.{path[:-2]}", "array<variant>").isNotNull()
-        if leaf:
-            items = F.try_variant_get(value, f"$.{head}", "array<variant>")
-            return F.exists(items, lambda x: F.coalesce(F.array_contains(F.json_object_keys(F.to_json(x)), leaf), F.lit(False)))
-        return F.array_contains(keys, path)
-
-    found = F.array(*[F.when(there(p), F.lit(p)) for p in known])
-    paths = F.array_sort(F.array_union(F.array_compact(found), keys))
-    return F.when(keys.isNotNull(), F.sha2(F.array_join(paths, "\n"), 256))
+def record_fingerprint(json_text: Column) -> Column:
+    """The fingerprint of each JSON record. A record that is not a JSON object, or is larger than a variant may be, has a null one."""
+    return variant_fingerprint(F.try_parse_json(json_text))
 
 
 def _message(layout: Layout):
@@ -119,29 +113,36 @@ def record_turns(json_text: Column, fingerprint: Column, layouts=LAYOUTS) -> Col
 
 def turns_of_records(df: DataFrame, record: str, layouts=LAYOUTS) -> DataFrame:
     """Adds schema_fingerprint and turns to a table of JSON records."""
-    df = df.drop("schema_fingerprint", "turns").withColumn("schema_fingerprint", record_fingerprint(F.col(record), layouts))
+    df = df.drop("schema_fingerprint", "turns").withColumn("schema_fingerprint", record_fingerprint(F.col(record)))
     return df.withColumn("turns", record_turns(F.col(record), F.col("schema_fingerprint"), layouts))
 
 
-def row_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout | None:
-    """The row layout whose fingerprint the schema has, as it is or without the paths that no row layout names."""
-    rows = {x.fingerprint: x for x in layouts if not x.fixed and not x.list_path}
-    named = {p for x in rows.values() for p in x.paths}
-    paths = schema_paths(schema)
-    return rows.get(paths_fingerprint(paths)) or rows.get(paths_fingerprint(p for p in paths if p in named))
+def row_fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """The fingerprint of each row of df as a record of these columns. Of strings only whether they are null goes into the variant, so long texts cost nothing."""
+    held = [F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in columns]
+    return variant_fingerprint(F.to_variant_object(F.struct(*held)))
 
 
 def turns_of_rows(df: DataFrame, key: str = "conv_id", turn: str = "turn", layouts=LAYOUTS) -> DataFrame:
-    """One row a conversation from one row a turn: key, turns. The row layout is found by the fingerprint of the table's schema.
+    """One row a conversation from one row a turn: key, turns.
 
-    A conversation is the unit that is formatted, so its rows meet in one row; no other group is gathered.
+    Each row is a record of those of its columns, besides key and turn, that some row layout names; its fingerprint selects the layout. A
+    conversation is the unit that is formatted, so its rows meet in one row; no other group is gathered.
     """
-    layout = row_layout(df.schema, layouts)
-    if layout is None:
+    rows = [x for x in layouts if not x.fixed and not x.list_path]
+    named = {p.split(".")[0].removesuffix("[]") for x in rows for p in x.paths}
+    columns = [c for c in df.columns if c in named - {key, turn}]
+    rows = [x for x in rows if x.role in columns and x.text in columns]
+    if not rows:
         raise ValueError("no row layout has these columns: " + ", ".join(df.columns))
-    rows = df.select(key, turn, F.coalesce(layout.role, F.lit("")).alias("role"), F.coalesce(layout.text, F.lit("")).alias("text"))
+    told = df.select(key, turn, *columns, row_fingerprint(df, columns).alias("_layout"))
+
+    def by_layout(column: str) -> Column:
+        return F.coalesce(*[F.when(F.col("_layout") == x.fingerprint, F.col(getattr(x, column))) for x in rows], F.lit(""))
+
+    turns = told.select(key, turn, by_layout("role").alias("role"), by_layout("text").alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).isNotNull().alias("known"), F.coalesce(turn, F.lit(0)).alias("turn"), "role", "text")))
-    return rows.groupBy(key).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return turns.groupBy(key).agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -54,7 +54,7 @@ def test_formatting_edges(spark):
 
 
 def test_row_layout_by_schema_fingerprint(spark):
-    plain, rich = chat.Layout(("conv_id", "turn", "role", "text"), role="role", text="text"), chat.Layout(("conv_id", "turn", "role", "text", "edited"), role="role", text="edited")
+    plain, rich = chat.Layout(("role", "text"), role="role", text="text"), chat.Layout(("role", "text", "edited"), role="role", text="edited")
     rows = spark.createDataFrame([(1, 1, "user", "was", "now")], "conv_id long, turn int, role string, text string, edited string")
     assert chat.turns_of_rows(rows, layouts=(plain, rich)).first().turns[0].text == "now"
     assert chat.turns_of_rows(rows).first().turns[0].text == "was"
@@ -63,6 +63,29 @@ def test_row_layout_by_schema_fingerprint(spark):
         chat.turns_of_rows(rows.drop("role"))
 
 
+def test_rows_of_unlike_shape_take_their_own_layouts(spark):
+    plain, rated = chat.Layout(("role", "text", "meta"), role="role", text="text"), chat.Layout(("role", "text", "meta.better"), role="text", text="role")
+    rows = spark.createDataFrame([(1, 1, "user", "a", None), (1, 2, "b", "assistant", ("x",))], "conv_id long, turn int, role string, text string, meta struct<better: string>")
+    assert [tuple(t) for t in chat.turns_of_rows(rows, layouts=(plain, rated)).first().turns] == [("user", "a"), ("assistant", "b")]
+    assert [tuple(t) for t in chat.turns_of_rows(rows, layouts=(plain,)).first().turns] == [("user", "a"), ("", "")]
+
+
+def test_every_nested_path_counts(spark):
+    records = ['{"messages": [{"role": "user", "content": "a"}]}', '{"messages": [{"role": "user", "content": "a", "name": "x"}]}', '{"messages": [{"role": "u", "content": null}, {"content": 1.5, "role": true}]}', '{"a": {"b c": {"d": [[{"e": 1}]]}}, "STRING": 2}', '{"messages": []}']
+    out = [r.f for r in spark.createDataFrame([(r,) for r in records], "r string").coalesce(1).select(chat.record_fingerprint(F.col("r")).alias("f")).collect()]
+    assert out[0] == out[2] == chat.LAYOUTS[1].fingerprint and len(set(out)) == 4
+    assert out[1] == chat.paths_fingerprint(["messages[].role", "messages[].content", "messages[].name"])
+    assert out[3] == chat.paths_fingerprint(["a.b c.d[][].e", "STRING"])
+
+
+def test_long_conversations(spark):
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("<[~x"), 200).alias("text")).withColumnRenamed("id", "turn")
+    one = conversation(spark, [(2, 1, "assistant", "<|end|>" * 500_000)])
+    made = chat.format_turns(chat.turns_of_rows(rows.unionByName(one)))
+    out = {r.conv_id: r for r in made.select("conv_id", F.size(chat.parse_formatted(F.col("formatted"))).alias("n"), F.char_length(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("loss")).collect()}
+    assert (out[1].n, out[1].loss) == (3000, 1500 * 800) and (out[2].n, out[2].loss) == (1, 3_500_000)
+
+
 def test_layouts_by_fingerprint(spark):
     records = [
         {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, {"instruction": "a", "output": "b"},
@@ -74,8 +97,6 @@ def test_layouts_by_fingerprint(spark):
     assert [[tuple(t) for t in r.turns] for r in out[:7]] == want
     assert out[7].turns is None and out[7].schema_fingerprint is not None and [r.turns for r in out[8:]] == [None] * 3 and out[9].schema_fingerprint is None
     assert out[0].schema_fingerprint == chat.LAYOUTS[1].fingerprint
-    nested = spark.createDataFrame([], "a struct<b: array<struct<c: int>>>").schema
-    assert chat.schema_paths(nested) == ["a", "a.b", "a.b[]", "a.b[].c"]
 
 
 # Mixing.
