@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places of the fields in a file name that is split at underscores.
+#: Places of the fields in a file name that is split at underscores, as the data product names its files.
 FIELDS = {"resolution": 4, "grid": 5, "overlap": 6, "cycle": 10, "pass": 11, "scene": 12, "start_time": 13, "end_time": 14, "crid": 15, "version": 16}
 
 
@@ -46,15 +46,26 @@ def epsg_of_grid(grid: Column) -> Column:
 
 
 def utm_zone_of_text(crs: Column) -> Column:
-    """46N from a CRS text: its UTM ZONE phrase, else its EPSG code in 32601-32660 or 32701-32760."""
-    upper = F.upper(crs)
-    number, half = F.regexp_extract(upper, r"UTM\s*ZONE\s*(\d{1,2})([NS])", 1), F.regexp_extract(upper, r"UTM\s*ZONE\s*(\d{1,2})([NS])", 2)
-    code = F.try_to_number(F.nullif(F.regexp_extract(upper, r"EPSG[:\s]*(\d+)", 1), F.lit("")), F.lit("9999999999")).cast("int")
-    return (
-        F.when(number != "", F.concat(number.cast("int").cast("string"), half))
-        .when(code.between(32601, 32660), F.concat((code - 32600).cast("string"), F.lit("N")))
-        .when(code.between(32701, 32760), F.concat((code - 32700).cast("string"), F.lit("S")))
-    )
+    """46N from a CRS text: what follows its words "UTM zone", in any case and spacing, else the last part of its first EPSG code, if that is a UTM zone's."""
+    words = F.split(F.regexp_replace(F.upper(crs), r"[^A-Z0-9]+", ""), "UTMZONE", 2)
+    after = F.regexp_extract(F.get(words, F.lit(1)), "^([0-9]+)([NS])", 0)
+    number, half = F.try_to_number(F.nullif(F.rtrim(after, F.lit("NS")), F.lit("")), F.lit("99")).cast("int"), F.right(after, F.lit(1))
+    code = F.regexp_extract(F.get(F.split(F.upper(crs), "EPSG", 2), F.lit(1)), "^[^A-Z0-9]*([0-9]+)", 1)
+    srid = F.try_to_number(F.nullif(code, F.lit("")), F.lit("9999999999")).cast("int")
+    return F.coalesce(F.concat(number.cast("string"), half), zone_of_epsg(srid))
+
+
+def zone_of_epsg(srid: Column) -> Column:
+    """46N from 32646; NULL for other projections."""
+    zone = srid % 100
+    half = F.when(F.floor(srid / 100) == 326, "N").when(F.floor(srid / 100) == 327, "S")
+    return F.when(zone.between(1, 60), F.concat(zone.cast("string"), half))
+
+
+def epsg_of_zone(zone: Column) -> Column:
+    """32646 from 46N; NULL for anything else."""
+    number = F.try_to_number(F.nullif(F.regexp_extract(zone, "^([0-9]{1,2})[NS]$", 1), F.lit("")), F.lit("99")).cast("int")
+    return F.when(number.between(1, 60), number + F.when(F.endswith(zone, F.lit("S")), 32700).otherwise(32600))
 
 
 def utm_epsg_of_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

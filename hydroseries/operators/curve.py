@@ -6,7 +6,6 @@ few hundred observations are fitted in a grouped task.
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
@@ -31,29 +30,29 @@ def curve_input(series: DataFrame) -> DataFrame:
 
 
 def iqr_clean(series: DataFrame, keys: list[str], value: str, cfg: CurveConfig = CurveConfig()) -> DataFrame:
-    """Rows whose value is within the quartiles widened by iqr_factor times their distance; all rows where that is 0."""
-    q = series.groupBy(*keys).agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+    """Rows whose value is within the quartiles widened by iqr_factor times their distance; all rows where that is 0. One shuffle, by keys."""
+    whole = W.partitionBy(*keys)
+    q = series.withColumns({"_q1": F.percentile(value, 0.25).over(whole), "_q3": F.percentile(value, 0.75).over(whole)})
     iqr = F.col("_q3") - F.col("_q1")
     inside = F.col(value).between(F.col("_q1") - cfg.iqr_factor * iqr, F.col("_q3") + cfg.iqr_factor * iqr)
-    return series.join(q, keys).where((iqr == 0) | inside).drop("_q1", "_q3")
+    return q.where((iqr == 0) | inside).drop("_q1", "_q3")
 
 
 def with_sigma(series: DataFrame, keys: list[str], uncert: str = "wse_uncert") -> DataFrame:
     """Adds sigma: the uncertainty, its median over the valid ones where it is not positive, 1 if none is."""
     ok = F.when((F.col(uncert) > 0) & ~F.isnan(uncert), F.col(uncert).cast("double"))
-    middle = series.groupBy(*keys).agg(F.median(ok).alias("_m"))
-    return series.join(middle, keys).withColumn("sigma", F.coalesce(ok, "_m", F.lit(1.0))).drop("_m")
+    return series.withColumn("sigma", F.coalesce(ok, F.median(ok).over(W.partitionBy(*keys)), F.lit(1.0)))
 
 
 def fit_polynomials(points: DataFrame, keys: list[str], h: str = "wse", area: str = "area", sigma: str = "sigma") -> DataFrame:
-    """Weighted line and parabola of each key, in powers of h centred at its mean: h_mean, l0, l1, q0, q1, q2.
+    """Weighted line and parabola of each key, in powers of h centred at its mean: h_mean, l0, l1, q0, q1, q2. A singular system gives NULL.
 
-    One shuffle for the centre and one for the sums; each is partly summed before it. A singular system gives NULL.
+    The centre is a window and the sums are an aggregate over the same shuffle, none if the points have met by keys.
     """
-    centre = points.groupBy(*keys).agg(F.avg(h).alias("h_mean"))
+    centred = points.withColumn("h_mean", F.avg(h).over(W.partitionBy(*keys)))
     d, w, a = F.col(h) - F.col("h_mean"), 1.0 / (F.col(sigma) * F.col(sigma)), F.col(area)
-    sums = points.join(centre, keys).groupBy(*keys, "h_mean").agg(
-        *[F.sum(w * F.pow(d, F.lit(float(p)))).alias(f"s{p}") for p in range(5)], *[F.sum(w * a * F.pow(d, F.lit(float(p)))).alias(f"t{p}") for p in range(3)], F.count(F.lit(1)).alias("n")
+    sums = centred.groupBy(*keys).agg(
+        F.any_value("h_mean").alias("h_mean"), *[F.sum(w * F.pow(d, F.lit(float(p)))).alias(f"s{p}") for p in range(5)], *[F.sum(w * a * F.pow(d, F.lit(float(p)))).alias(f"t{p}") for p in range(3)], F.count(F.lit(1)).alias("n")
     )
     s, t = [F.col(f"s{p}") for p in range(5)], [F.col(f"t{p}") for p in range(3)]
     det2 = s[0] * s[2] - s[1] * s[1]
@@ -81,9 +80,8 @@ def fit_polynomials(points: DataFrame, keys: list[str], h: str = "wse", area: st
 def fit_metrics(points: DataFrame, keys: list[str], predicted: Column, n_params: int, area: str = "area") -> DataFrame:
     """n, rss, r_squared (0 without spread), bic and rmse of each key; all unweighted. No points give an infinite bic, no residual a negative one."""
     y = F.col(area)
-    both = points.withColumn("_p", predicted)
-    mean = both.groupBy(*keys).agg(F.avg(y).alias("_mean"))
-    sums = both.join(mean, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((y - F.col("_p")) * (y - F.col("_p"))).alias("rss"), F.sum((y - F.col("_mean")) * (y - F.col("_mean"))).alias("_tot"))
+    both = points.withColumns({"_p": predicted, "_mean": F.avg(y).over(W.partitionBy(*keys))})
+    sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((y - F.col("_p")) * (y - F.col("_p"))).alias("rss"), F.sum((y - F.col("_mean")) * (y - F.col("_mean"))).alias("_tot"))
     n, rss = F.col("n"), F.col("rss")
     return sums.select(
         *keys, "n", "rss",
@@ -228,35 +226,50 @@ def fit_lake(h: np.ndarray, a: np.ndarray, sigma: np.ndarray, cfg: CurveConfig)
     return out
 
 
-def fit_candidates(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig()) -> DataFrame:
-    """lake_id and one candidate a row. A lake's points, one a day, are a small group."""
+def fit_models(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig()) -> DataFrame:
+    """lake_id and models, an array of all candidates in the order of MODELS. A lake's points, one a day, are a small group, and are fitted once."""
+    names = CANDIDATE.fieldNames()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([h, area, sigma])
         rows = fit_lake(*[pdf[c].to_numpy(np.float64) for c in (h, area, sigma)], cfg)
-        return pd.DataFrame([(pdf["lake_id"].iat[0], *r) for r in rows], columns=["lake_id", *CANDIDATE.fieldNames()])
+        return pd.DataFrame({"lake_id": [pdf["lake_id"].iat[0]], "models": [[dict(zip(names, r, strict=True)) for r in rows]]})
 
-    schema = T.StructType([T.StructField("lake_id", T.StringType()), *CANDIDATE.fields])
+    schema = T.StructType([T.StructField("lake_id", T.StringType()), T.StructField("models", T.ArrayType(CANDIDATE))])
     return points.select("lake_id", h, area, sigma).groupBy("lake_id").applyInPandas(run, schema)
 
 
+def fit_candidates(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig()) -> DataFrame:
+    """lake_id and one candidate a row."""
+    return fit_models(points, h, area, sigma, cfg).select("lake_id", F.explode("models").alias("m")).select("lake_id", "m.*")
+
+
+def best_of(models: Column) -> Column:
+    """best_model for an array of candidates: least BIC among the monotone ones, else among all fitted; ties go by reg_idx."""
+    ranked = F.transform(models, lambda m: F.struct((~m["fitted"]).alias("a"), (~(m["fitted"] & m["monotonic"])).alias("b"), m["bic"].alias("c"), m["reg_idx"].alias("d"), m.alias("model")))
+    return F.array_min(ranked)["model"]
+
+
 def area_level_curves(series: DataFrame, cfg: CurveConfig = CurveConfig()) -> DataFrame:
-    """One row a lake: n_obs, n_cleaned, the chosen function with its figures and grade, and all candidates. series: lake_id, wse, wse_uncert, water_area."""
-    points = curve_input(series).withColumn("area", F.col("water_area") / 1e6)
-    clean = iqr_clean(points, ["lake_id"], "area", cfg)
-    cleaned = clean.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n_cleaned"), (F.max("wse") - F.min("wse")).alias("wse_range"), (F.max("area") - F.min("area")).alias("area_range_km2"))
-    counts = points.groupBy("lake_id").agg(F.count(F.lit(1)).alias("n_obs")).join(cleaned, "lake_id")
+    """One row a lake: n_obs, n_cleaned, the chosen function with its figures and grade, and all candidates. series: lake_id, wse, wse_uncert, water_area.
+
+    All steps work over one shuffle by lake, and each lake is fitted once.
+    """
+    keys = ["lake_id"]
+    points = curve_input(series).withColumn("area", F.col("water_area") / 1e6).withColumn("n_obs", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    clean = with_sigma(iqr_clean(points, keys, "area", cfg), keys)
+    counts = clean.groupBy(*keys).agg(F.any_value("n_obs").alias("n_obs"), F.count(F.lit(1)).alias("n_cleaned"), (F.max("wse") - F.min("wse")).alias("wse_range"), (F.max("area") - F.min("area")).alias("area_range_km2"))
     enough = F.col("n_cleaned") >= cfg.min_cleaned_points
-    fitted = fit_candidates(with_sigma(clean.join(counts.where(enough).select("lake_id"), "lake_id", "left_semi"), ["lake_id"]), cfg=cfg)
-    best = best_model(fitted, ["lake_id"]).where("fitted")
-    detail = fitted.groupBy("lake_id").agg(F.array_sort(F.collect_list(F.struct("reg_idx", *[c for c in CANDIDATE.fieldNames() if c not in ("reg_idx", "fitted")]))).alias("candidates"))
-    out = counts.join(best, "lake_id", "left").join(detail, "lake_id", "left")
-    there = F.col("function_type").isNotNull()
+    many = clean.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_n") >= cfg.min_cleaned_points)
+    out = counts.join(fit_models(many, cfg=cfg), keys, "left").withColumn("best", best_of(F.col("models")))
+    best, there = F.col("best"), F.coalesce(F.col("best.fitted"), F.lit(False))
+    told = [c for c in CANDIDATE.fieldNames() if c not in ("reg_idx", "fitted")]
+    shown = F.transform("models", lambda m: F.struct(m["reg_idx"].alias("reg_idx"), *[m[c].alias(c) for c in told]))
     return out.select(
-        "lake_id", "n_obs", "n_cleaned", F.coalesce("function_type", F.lit("none")).alias("function_type"),
-        F.when(there, F.to_json("params")).otherwise("{}").alias("params_json"), "r_squared", "bic", "rmse",
+        "lake_id", "n_obs", "n_cleaned", F.when(there, best["function_type"]).otherwise("none").alias("function_type"),
+        F.when(there, F.to_json(best["params"])).otherwise("{}").alias("params_json"), *[F.when(there, best[c]).alias(c) for c in ("r_squared", "bic", "rmse")],
         F.when(enough, F.col("wse_range")).otherwise(0.0).alias("wse_range"), F.when(enough, F.col("area_range_km2")).otherwise(0.0).alias("area_range_km2"),
-        F.when(there, grade(F.col("r_squared"), F.col("n_cleaned"), F.col("wse_range"), F.col("monotonic"))).otherwise("unreliable").alias("quality"), "candidates",
+        F.when(there, grade(best["r_squared"], F.col("n_cleaned"), F.col("wse_range"), best["monotonic"])).otherwise("unreliable").alias("quality"), shown.alias("candidates"),
     )
 
 
@@ -269,10 +282,34 @@ def run_summary(curves: DataFrame) -> DataFrame:
     return by_grade.union(by_function).orderBy("kind", F.desc("n"), "value")
 
 
-def plot_series(curves: DataFrame, n: int = 300) -> DataFrame:
-    """lake_id, i, share of the range: the levels at which a diagnostic plot draws the chosen curve."""
-    return curves.where("function_type <> 'none'").select("lake_id", "function_type", "params_json", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("share", F.col("i") / F.lit(float(n - 1)))
+def curve_at(function: Column, p: Column, h: Column) -> Column:
+    """The area of a chosen function at a level; p: its parameters."""
+    above = lambda base: F.greatest(h - base, F.lit(FLOOR))
+    return (
+        F.when(function == "linear", p[0] * h + p[1])
+        .when(function == "quadratic", (p[0] * h + p[1]) * h + p[2])
+        .when(function == "power", p[0] * F.pow(above(p[2]), p[1]))
+        .when(function == "exponential", p[0] * F.exp(p[1] * (h - p[2])))
+        .when(function == "logarithmic", p[0] * F.ln(above(p[1])) + p[2])
+    )
 
 
-def params_of(params_json: str) -> list[float]:
-    return json.loads(params_json) or []
+def plot_series(series: DataFrame, curves: DataFrame, cfg: CurveConfig = CurveConfig(), n: int = 300) -> DataFrame:
+    """What a diagnostic plot of each lake shows: lake_id, kind (raw, cleaned or curve), wse, area (square kilometres), shown_sigma.
+
+    shown_sigma, of cleaned points, is their sigma, but 1.5 % of the range of cleaned levels at least (of 1 if they have none). The curve has n even levels over that range.
+    """
+    keys = ["lake_id"]
+    points = curve_input(series).withColumn("area", F.col("water_area") / 1e6)
+    whole = W.partitionBy(*keys)
+    clean = with_sigma(iqr_clean(points, keys, "area", cfg), keys).withColumns({"_low": F.min("wse").over(whole), "_high": F.max("wse").over(whole)})
+    span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
+    none = F.lit(None).cast("double")
+    raw = points.select("lake_id", F.lit("raw").alias("kind"), "wse", "area", none.alias("shown_sigma"))
+    cleaned = clean.select("lake_id", F.lit("cleaned").alias("kind"), "wse", "area", F.greatest("sigma", span * 0.015).alias("shown_sigma"))
+    ends = clean.groupBy(*keys).agg(F.min("wse").alias("_low"), F.max("wse").alias("_high"))
+    chosen = curves.where("function_type <> 'none'").select("lake_id", "function_type", F.from_json("params_json", "array<double>").alias("_p")).join(ends, keys)
+    level = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_i") / F.lit(float(n - 1))
+    drawn = chosen.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("wse", level)
+    drawn = drawn.select("lake_id", F.lit("curve").alias("kind"), "wse", curve_at(F.col("function_type"), F.col("_p"), F.col("wse")).alias("area"), none.alias("shown_sigma"))
+    return raw.unionByName(cleaned).unionByName(drawn)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydroseries.config import QualityConfig
-from hydroseries.operators.mosaic import inverse_variance, weight
+from hydroseries.operators.mosaic import inverse_variance
 from hydroseries.operators.quality import apply_quality
 
 DAY = ["lake_id", "obs_date"]
@@ -19,39 +20,46 @@ SIGMA_LIMIT = 1000.0
 def merge_same_day(pixels: DataFrame, source: str = "group_id") -> DataFrame:
     """One row for each lake, date and cell: inverse-variance wse and sigma, and the mean water_frac where wse is there, as floats.
 
-    A lake and date seen once pass through. The number of sources is a small table joined by lake and date.
+    A lake and date seen once pass through. Rows meet by lake and date in one shuffle; cells, and the sources of the day, are worked out there.
     """
+    return _merged(pixels.repartition(*DAY), source)
+
+
+def _merged(pixels: DataFrame, source: str) -> DataFrame:
     wse, sigma = inverse_variance()
     frac = F.avg(F.when(F.col("wse").isNotNull(), F.col("water_frac")))
-    sources = pixels.groupBy(*DAY).agg(F.count_distinct(source).alias("n_sources"), F.array_join(F.array_sort(F.collect_set(F.when(F.col(source) != "", F.col(source)))), ",").alias("sources"))
     cells = pixels.groupBy(*DAY, *CELL).agg(
-        wse.alias("m_wse"), sigma.alias("m_sigma"), frac.alias("m_frac"), F.min_by("wse", source).alias("s_wse"), F.min_by("wse_uncert", source).alias("s_sigma"), F.min_by("water_frac", source).alias("s_frac")
+        wse.alias("m_wse"), sigma.alias("m_sigma"), frac.alias("m_frac"), F.min_by("wse", source).alias("s_wse"), F.min_by("wse_uncert", source).alias("s_sigma"), F.min_by("water_frac", source).alias("s_frac"), F.array_sort(F.collect_set(source)).alias("_seen")
     )
-    alone = F.col("n_sources") == 1
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_seen").over(W.partitionBy(*DAY)))))
+    cells = cells.withColumn("_seen", seen)
+    alone = F.size("_seen") == 1
     picked = {name: F.when(alone, F.col(f"s_{k}")).otherwise(F.col(f"m_{k}")).cast("float") for name, k in (("wse", "wse"), ("wse_uncert", "sigma"), ("water_frac", "frac"))}
-    return cells.join(sources, DAY).select(*DAY, *CELL, *[v.alias(k) for k, v in picked.items()], "n_sources", "sources")
+    return cells.select(*DAY, *CELL, *[v.alias(k) for k, v in picked.items()], F.size("_seen").cast("bigint").alias("n_sources"), F.array_join(F.filter("_seen", lambda x: x != ""), ",").alias("sources"))
 
 
-def lake_statistics(pixels: DataFrame, keys: list[str] = DAY) -> DataFrame:
-    """wse, wse_med, wse_std, wse_uncert and valid_pixels for each key.
+def lake_statistics(pixels: DataFrame, keys: list[str] = DAY, others: tuple[str, ...] = ()) -> DataFrame:
+    """wse, wse_med, wse_std, wse_uncert and valid_pixels for each key, and any value of the columns others.
 
     With pixels whose 0 < sigma < SIGMA_LIMIT, wse is their inverse-variance mean and wse_std their population deviation; else wse is
-    the median and wse_uncert MAD_SCALE times the median absolute deviation, which is worked out for such keys only.
+    the median and wse_uncert MAD_SCALE times the median absolute deviation, which is worked out for such keys only. One shuffle by
+    keys, none if the pixels have met by them.
     """
     v = F.col("wse").cast("double")
     sigma = F.col("wse_uncert").cast("double")
     good = F.col("wse").isNotNull() & (sigma > 0) & (sigma < SIGMA_LIMIT)
     w = F.when(good, 1.0 / (sigma * sigma))
-    first = pixels.groupBy(*keys).agg(
-        F.median(v).alias("wse_med"), F.stddev_pop(v).alias("_std_all"), F.stddev_pop(F.when(good, v)).alias("_std_good"), F.sum(v * w).alias("_wv"), F.sum(w).alias("_w"), F.count("wse").alias("valid_pixels")
-    )
-    lacking = first.where(F.col("_w").isNull() & (F.col("valid_pixels") > 0)).select(*keys, F.col("wse_med").alias("_m"))
-    spread = pixels.join(lacking, keys).groupBy(*keys).agg((MAD_SCALE * F.median(F.abs(v - F.col("_m")))).alias("_mad"))
+    whole = W.partitionBy(*keys)
+    known = pixels.withColumns({"_med": F.median(v).over(whole), "_good": F.max(F.when(good, 1)).over(whole)})
+    first = known.groupBy(*keys).agg(
+        F.any_value("_med").alias("wse_med"), F.stddev_pop(v).alias("_std_all"), F.stddev_pop(F.when(good, v)).alias("_std_good"), F.sum(v * w).alias("_wv"), F.sum(w).alias("_w"), F.count("wse").alias("valid_pixels"),
+        (MAD_SCALE * F.median(F.when(F.col("_good").isNull(), F.abs(v - F.col("_med"))))).alias("_mad"), *[F.any_value(c).alias(c) for c in others],
+    )
     weighted = F.col("_w").isNotNull()
-    return first.join(spread, keys, "left").select(
+    return first.select(
         *keys, F.when(weighted, F.try_divide("_wv", "_w")).otherwise(F.col("wse_med")).alias("wse"), "wse_med",
         F.when(weighted, F.col("_std_good")).otherwise(F.col("_std_all")).alias("wse_std"),
-        F.when(weighted, F.sqrt(F.try_divide(F.lit(1.0), F.col("_w")))).otherwise(F.col("_mad")).alias("wse_uncert"), "valid_pixels",
+        F.when(weighted, F.sqrt(F.try_divide(F.lit(1.0), F.col("_w")))).otherwise(F.col("_mad")).alias("wse_uncert"), "valid_pixels", *others,
     )
 
 
@@ -59,22 +67,24 @@ def water_area(pixels: DataFrame, keys: list[str] = DAY, res_x: float = 100.0, r
     return pixels.groupBy(*keys).agg((F.count("wse") * (abs(res_x) * abs(res_y))).alias("water_area"))
 
 
+def day_series(day: DataFrame, res_x: float = 100.0, res_y: float = 100.0) -> DataFrame:
+    """Same-day cells (see merge_same_day) to one row a lake and date that has valid pixels."""
+    stats = lake_statistics(day, others=("sources",)).where("valid_pixels > 0")
+    return stats.select("lake_id", F.col("obs_date").alias("date"), "wse", "wse_med", "wse_std", "wse_uncert", (F.col("valid_pixels") * (abs(res_x) * abs(res_y))).alias("water_area"), "valid_pixels", F.col("sources").alias("granule_id"))
+
+
 def lake_timeseries(pixels: DataFrame, cfg: QualityConfig = QualityConfig(), res_x: float = 100.0, res_y: float = 100.0) -> DataFrame:
     """Raw lake pixels (NULL is no data) to one row a lake and date.
 
-    Quality control, then the gate on valid pixels of each pass, then the same-day merge and its statistics.
+    Quality control, then the gate on valid pixels of each pass, then the same-day merge and its statistics: one scan and one shuffle,
+    by lake and date, which each later step's keys hold.
     """
-    clean = apply_quality(pixels, cfg)
-    passes = clean.groupBy(*DAY, "group_id").agg(F.count("wse").alias("_n")).where(F.col("_n") >= cfg.min_valid_pixels).drop("_n")
-    merged = merge_same_day(clean.join(passes, [*DAY, "group_id"], "left_semi"))
-    stats = lake_statistics(merged).where("valid_pixels > 0")
-    names = merged.groupBy(*DAY).agg(F.any_value("sources").alias("granule_id"))
-    return stats.join(names, DAY).select("lake_id", F.col("obs_date").alias("date"), "wse", "wse_med", "wse_std", "wse_uncert", (F.col("valid_pixels") * (abs(res_x) * abs(res_y))).alias("water_area"), "valid_pixels", "granule_id")
+    clean = apply_quality(pixels, cfg).select(*DAY, "group_id", *CELL, "wse", "wse_uncert", "water_frac").repartition(*DAY)
+    passes = clean.withColumn("_n", F.count("wse").over(W.partitionBy(*DAY, "group_id"))).where(F.col("_n") >= cfg.min_valid_pixels).drop("_n")
+    return day_series(_merged(passes, "group_id"), res_x, res_y)
 
 
 def summarise(series: DataFrame) -> DataFrame:
     """One row: how many observations and lakes, and the first and last date."""
     return series.agg(F.count(F.lit(1)).alias("total_observations"), F.count_distinct("lake_id").alias("n_lakes"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
-
-__all__ = ["lake_statistics", "lake_timeseries", "merge_same_day", "summarise", "water_area", "weight"]

@@ -10,18 +10,26 @@ from hydroseries.config import FilterConfig
 from hydroseries.operators.timeseries import DAY, MAD_SCALE
 
 
+def _bounded(pixels: DataFrame, keys: list[str], cfg: FilterConfig) -> DataFrame:
+    """Pixels with the figures of their key beside them. Both medians are windows over one shuffle by keys."""
+    v, whole = F.col("wse").cast("double"), W.partitionBy(*keys)
+    beside = pixels.withColumns({"wse_median": F.median(v).over(whole), "valid_pixels_orig": F.count("wse").over(whole)})
+    beside = beside.withColumn("scaled_mad", MAD_SCALE * F.median(F.abs(v - F.col("wse_median"))).over(whole)).where("valid_pixels_orig > 0")
+    half = F.when(F.col("scaled_mad") == 0, 0.0).otherwise(F.least((cfg.mad_k or FilterConfig.mad_k) * F.col("scaled_mad"), F.lit(cfg.max_half_range)))
+    return beside.withColumns({"wse_lower": F.col("wse_median") - half, "wse_upper": F.col("wse_median") + half})
+
+
+BOUNDS = ("wse_median", "wse_lower", "wse_upper", "scaled_mad", "valid_pixels_orig")
+
+
 def mad_bounds(pixels: DataFrame, keys: list[str] = DAY, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """wse_median, wse_lower, wse_upper, scaled_mad and valid_pixels_orig of each key; a spread of zero gives bounds at the median."""
-    v = F.col("wse").cast("double")
-    middle = pixels.groupBy(*keys).agg(F.median(v).alias("wse_median"), F.count("wse").alias("valid_pixels_orig"))
-    spread = pixels.join(middle.select(*keys, "wse_median"), keys).groupBy(*keys).agg((MAD_SCALE * F.median(F.abs(v - F.col("wse_median")))).alias("scaled_mad"))
-    half = F.when(F.col("scaled_mad") == 0, 0.0).otherwise(F.least((cfg.mad_k or FilterConfig.mad_k) * F.col("scaled_mad"), F.lit(cfg.max_half_range)))
-    return middle.join(spread, keys).where("valid_pixels_orig > 0").select(*keys, "wse_median", (F.col("wse_median") - half).alias("wse_lower"), (F.col("wse_median") + half).alias("wse_upper"), "scaled_mad", "valid_pixels_orig")
+    return _bounded(pixels, keys, cfg).groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in BOUNDS])
 
 
 def mad_keep(pixels: DataFrame, keys: list[str] = DAY, cfg: FilterConfig = FilterConfig()) -> DataFrame:
     """Pixels with wse and water_frac only where wse is within bounds; keys with too few valid pixels go."""
-    near = pixels.join(mad_bounds(pixels, keys, cfg).where(F.col("valid_pixels_orig") >= cfg.min_pixels), keys)
+    near = _bounded(pixels, keys, cfg).where(F.col("valid_pixels_orig") >= cfg.min_pixels)
     kept = F.col("wse").between(F.col("wse_lower"), F.col("wse_upper"))
     return near.withColumns({c: F.when(kept, F.col(c)) for c in ("water_frac", "wse") if c in pixels.columns})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,10 +145,11 @@ def lake_wse_stats(spark, sf_dir):
     return _rounded(timeseries.lake_statistics(v.good_pixels(spark, sf_dir)))
 
 
-@query(f"WITH {v.PX}, nu AS (SELECT * REPLACE (CASE WHEN lake_id::INT % 2 = 1 THEN wse_uncert END AS wse_uncert) FROM pq), {STATS.format(keys='lake_id, obs_date', src='nu')} SELECT lake_id, obs_date, {ROUNDED}, valid_pixels FROM st")
+@query(f"WITH {v.PX}, nu AS (SELECT * REPLACE (CASE WHEN lake_id::INT % 2 = 1 THEN wse_uncert END AS wse_uncert) FROM pq), {STATS.format(keys='lake_id, obs_date', src='nu')} SELECT lake_id, obs_date, round(wse, 4) AS wse, round(wse_med, 4) AS wse_med, round(wse_std, 4) AS wse_std, round(wse_uncert, 6) AS wse_uncert, valid_pixels FROM st")
 def lake_wse_stats_mad_fallback(spark, sf_dir):
     odd = F.when(F.col("lake_id").cast("int") % 2 == 1, F.col("wse_uncert"))
-    return _rounded(timeseries.lake_statistics(v.good_pixels(spark, sf_dir).withColumn("wse_uncert", odd)))
+    stats = timeseries.lake_statistics(v.good_pixels(spark, sf_dir).withColumn("wse_uncert", odd))
+    return _rounded(stats, STAT_COLUMNS[:3]).withColumn("wse_uncert", F.round("wse_uncert", 6))
 
 
 @query(f"WITH {v.PX} SELECT lake_id, obs_date, count(wse) * 10000.0::DOUBLE AS water_area FROM pq GROUP BY ALL")
@@ -322,19 +324,71 @@ def utm_round_trip(spark, sf_dir):
     return geo.from_utm(there, "x", "y", F.lit(32646), "lon", "lat").select("point_id", r6("lon"), r6("lat"))
 
 
-@query()
+def _sql_series(terms, a: str, b: str, sign: int) -> tuple[str, str]:
+    """Krueger's sums in SQL: northward and eastward, from the columns a and b."""
+    north = " + ".join(f"{c!r} * sin({2 * j} * {a}) * cosh({2 * j} * {b})" for j, c in enumerate(terms, 1))
+    east = " + ".join(f"{c!r} * cos({2 * j} * {a}) * sinh({2 * j} * {b})" for j, c in enumerate(terms, 1))
+    return f"({a} + {sign} * ({north}))", f"({b} + {sign} * ({east}))"
+
+
+def _sql_from_utm(src: str, out: str, x: str, y: str, srid: str) -> str:
+    """CTEs that add lon and lat (degrees) to src, from northern UTM coordinates."""
+    n, e = _sql_series(geo.INVERSE, "i0", "i1", -1)
+    c = [2 * geo.N - 2 * geo.N**2 / 3 - 2 * geo.N**3 + 116 * geo.N**4 / 45, 7 * geo.N**2 / 3 - 8 * geo.N**3 / 5 - 227 * geo.N**4 / 45, 56 * geo.N**3 / 15 - 136 * geo.N**4 / 35, 4279 * geo.N**4 / 630]
+    lat = " + ".join(f"{v!r} * sin({2 * j} * i4)" for j, v in enumerate(c, 1))
+    return f"""{out}_a AS (SELECT *, {y} / {_K!r} AS i0, ({x} - 500000) / {_K!r} AS i1 FROM {src}), {out}_b AS (SELECT *, {n} AS i2, {e} AS i3 FROM {out}_a), {out}_c AS (SELECT *, asin(sin(i2) / cosh(i3)) AS i4 FROM {out}_b),
+{out} AS (SELECT * EXCLUDE (i0, i1, i2, i3, i4), degrees(atan2(sinh(i3), cos(i2))) + (({srid}) % 100) * 6 - 183 AS lon, degrees(i4 + {lat}) AS lat FROM {out}_c)"""
+
+
+def _sql_to_utm(src: str, out: str, srid: str) -> str:
+    """CTEs that add ux and uy to src, from lon and lat, which go."""
+    n, e = _sql_series(geo.FORWARD, "f2", "f3", 1)
+    return f"""{out}_a AS (SELECT *, radians(lon - (({srid}) % 100) * 6 + 183) AS f0, sinh(atanh(sin(radians(lat))) - {geo.ECC!r} * atanh({geo.ECC!r} * sin(radians(lat)))) AS f1 FROM {src}), {out}_b AS (SELECT *, atan2(f1, cos(f0)) AS f2, atanh(sin(f0) / sqrt(1 + f1 * f1)) AS f3 FROM {out}_a),
+{out} AS (SELECT * EXCLUDE (f0, f1, f2, f3, lon, lat), {_K!r} * {e} + 500000 AS ux, {_K!r} * {n} AS uy FROM {out}_b)"""
+
+
+REPROJECT = f"""WITH gr AS (SELECT c_custkey::VARCHAR AS granule_id, CASE WHEN c_custkey % 2 = 1 THEN 32645 ELSE 32646 END AS srid, 700000.0::DOUBLE + c_custkey % 50 * 1000 AS minx, 3300000.0::DOUBLE + c_custkey % 70 * 1000 AS miny FROM customer),
+px AS (SELECT granule_id, srid, r::INT AS row, c::INT AS col, minx + (c + 0.5::DOUBLE) * 100 AS x, miny + 1200 - (r + 0.5::DOUBLE) * 100 AS y, (r * 100 + c)::DOUBLE AS wse FROM gr, range(12) a(r), range(10) b(c)),
+ot AS (SELECT * FROM gr WHERE srid <> 32646), rp AS (SELECT granule_id, srid, minx + i * 500.0::DOUBLE AS qx, miny + j * 600.0::DOUBLE AS qy FROM ot, range(3) a(i), range(3) b(j)),
+{_sql_from_utm("rp", "rl", "qx", "qy", "srid")}, {_sql_to_utm("rl", "rt", "32646")}, fr AS (SELECT granule_id, min(ux) AS x0, max(ux) AS x1, min(uy) AS y0, max(uy) AS y1 FROM rt GROUP BY granule_id),
+ce AS (SELECT ot.*, r::INT AS t_row, c::INT AS t_col, x0 + (c + 0.5::DOUBLE) * 100 AS tx, y1 - (r + 0.5::DOUBLE) * 100 AS ty FROM ot JOIN fr USING (granule_id), range(40) a(r), range(40) b(c) WHERE r < ceil((y1 - y0) / 100) AND c < ceil((x1 - x0) / 100)),
+{_sql_from_utm("ce", "cl", "tx", "ty", "32646")}, {_sql_to_utm("cl", "cs", "srid")}, mv AS (SELECT cs.granule_id, t_row AS row, t_col AS col, tx AS x, ty AS y, wse FROM cs JOIN px ON px.granule_id = cs.granule_id AND px.row = floor((miny + 1200 - uy) / 100) AND px.col = floor((ux - minx) / 100)),
+al AS (SELECT granule_id, row, col, x, y, wse FROM px WHERE srid = 32646 UNION ALL SELECT * FROM mv), {_sql_from_utm("al", "an", "x", "y", "32646")}
+SELECT granule_id, row, col, round(x, 3) AS x, round(y, 3) AS y, wse, round(lon::FLOAT::DOUBLE, 4) AS longitude, round(lat::FLOAT::DOUBLE, 4) AS latitude FROM an"""
+
+
+@query(REPROJECT)
 def reproject_nearest(spark, sf_dir):
     n = F.col("c_custkey")
     granules = v.table(spark, sf_dir, "customer").select(n.cast("string").alias("granule_id"), F.when(n % 2 == 1, 32645).otherwise(32646).alias("srid"), (700000.0 + n % 50 * 1000).alias("minx"), (3300000.0 + n % 70 * 1000).alias("miny")).withColumns({"maxx": F.col("minx") + 1000, "maxy": F.col("miny") + 1200, "res_x": F.lit(100.0), "res_y": F.lit(100.0)})
     px = granules.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(9))))
     px = px.select("granule_id", "row", "col", (F.col("minx") + (F.col("col") + 0.5) * 100).alias("x"), (F.col("maxy") - (F.col("row") + 0.5) * 100).alias("y"), (F.col("row") * 100 + F.col("col")).cast("double").alias("wse"))
-    return reproject.reproject_nearest(px, granules, 32646)
+    out = reproject.reproject_nearest(px, granules, 32646)
+    return out.select("granule_id", "row", "col", r6("x", digits=3), r6("y", digits=3), "wse", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("longitude", "latitude")])
 
 
-@query()
+def _sql_albers(lon: str, lat: str) -> tuple[str, str]:
+    """Equal-area coordinates of degrees in SQL."""
+    q = lambda s: f"({1 - geo.E2!r} * ({s} / (1 - {geo.E2!r} * {s} * {s}) + atanh({geo.ECC!r} * {s}) / {geo.ECC!r}))"
+    at = {k: math.sin(math.radians(x)) for k, x in geo.ALBERS.items()}
+    q_at = {k: (1 - geo.E2) * (s / (1 - geo.E2 * s * s) + math.atanh(geo.ECC * s) / geo.ECC) for k, s in at.items()}
+    m2 = {k: (1 - s * s) / (1 - geo.E2 * s * s) for k, s in at.items()}
+    n = (m2["lat_1"] - m2["lat_2"]) / (q_at["lat_2"] - q_at["lat_1"])
+    c = m2["lat_1"] + n * q_at["lat_1"]
+    rho0 = geo.A * math.sqrt(c - n * q_at["lat_0"]) / n
+    rho, theta = f"({geo.A!r} * sqrt({c!r} - {n!r} * {q(f'sin(radians({lat}))')}) / {n!r})", f"({n!r} * radians({lon} - {geo.ALBERS['lon_0']!r}))"
+    return f"{rho} * sin({theta})", f"{rho0!r} - {rho} * cos({theta})"
+
+
+_CORNERS = [_sql_albers(f"(lon + {a!r}::DOUBLE)", f"(lat + {b!r}::DOUBLE)") for a, b in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1))]
+
+
+@query(f"""WITH ll AS (SELECT c_custkey AS point_id, 84.0::DOUBLE + (c_custkey * 7 % 1800) / 100.0::DOUBLE AS lon, 25.0::DOUBLE + (c_custkey * 13 % 1500) / 100.0::DOUBLE AS lat FROM customer),
+xy AS (SELECT point_id, {', '.join(f'{x} AS x{i}, {y} AS y{i}' for i, (x, y) in enumerate(_CORNERS))} FROM ll)
+SELECT point_id, round(abs({' + '.join(f'(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})' for i in range(4))}) / 2 / 1000000.0::DOUBLE, 4) AS area_km2 FROM xy""")
 def albers_area(spark, sf_dir):
     p = _lonlat(spark, sf_dir)
-    return p.select("point_id", r6(geo.equal_area(geo.box_polygon(F.col("lon"), F.col("lat"), F.col("lon") + 0.1, F.col("lat") + 0.1)) / 1e6, "area_km2"))
+    return p.select("point_id", r6(geo.equal_area(geo.box_polygon(F.col("lon"), F.col("lat"), F.col("lon") + 0.1, F.col("lat") + 0.1)) / 1e6, "area_km2", 4))
 
 
 # Pixel filter.
@@ -446,9 +500,26 @@ def fit_nonlinear(spark, sf_dir):
     return _candidates(spark, sf_dir).where("reg_idx >= 2").select("lake_id", "function_type", "params", "param_errors", "r_squared", "bic", "rmse", "monotonic", "fitted")
 
 
-@query()
+CANDIDATES = """WITH c AS (SELECT (l_orderkey % 500)::VARCHAR AS lake_id, (l_linenumber - 1)::INT AS reg_idx, min(CASE WHEN l_quantity > 45 THEN 10.0::DOUBLE ELSE floor(l_extendedprice / 1000) END) AS bic, min(l_orderkey) % 3 = 0 AS monotonic, min(l_orderkey) % 7 <> 0 AS fitted FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(CANDIDATES + " SELECT lake_id, reg_idx, bic, monotonic, fitted FROM (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY fitted DESC, fitted AND monotonic DESC, bic, reg_idx) AS r FROM c) WHERE r = 1")
 def best_model(spark, sf_dir):
-    return curve.best_model(_candidates(spark, sf_dir), ["lake_id"])
+    """Of candidates as the fits give them, here from lineitem: with ties, and with lakes where none is monotone or fitted."""
+    bic = F.when(F.col("l_quantity") > 45, 10.0).otherwise(F.floor(F.col("l_extendedprice") / 1000).cast("double"))
+    rows = v.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).cast("string").alias("lake_id"), (F.col("l_linenumber") - 1).cast("int").alias("reg_idx"))
+    candidates = rows.agg(F.min(bic).alias("bic"), (F.min("l_orderkey") % 3 == 0).alias("monotonic"), (F.min("l_orderkey") % 7 != 0).alias("fitted"))
+    return curve.best_model(candidates, ["lake_id"])
+
+
+@query(CANDIDATES + " SELECT lake_id, reg_idx, bic, monotonic, fitted FROM (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY fitted DESC, fitted AND monotonic DESC, bic, reg_idx) AS r FROM c) WHERE r = 1")
+def best_of_models(spark, sf_dir):
+    """The same choice from one array a lake, as the curves make it."""
+    bic = F.when(F.col("l_quantity") > 45, 10.0).otherwise(F.floor(F.col("l_extendedprice") / 1000).cast("double"))
+    rows = v.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).cast("string").alias("lake_id"), (F.col("l_linenumber") - 1).cast("int").alias("reg_idx"))
+    candidates = rows.agg(F.min(bic).alias("bic"), (F.min("l_orderkey") % 3 == 0).alias("monotonic"), (F.min("l_orderkey") % 7 != 0).alias("fitted"))
+    models = candidates.groupBy("lake_id").agg(F.collect_list(F.struct("reg_idx", "bic", "monotonic", "fitted")).alias("models"))
+    return models.select("lake_id", curve.best_of(F.col("models")).alias("m")).select("lake_id", "m.*")
 
 
 @query()
@@ -456,9 +527,12 @@ def area_wse_curves(spark, sf_dir):
     return curve.area_level_curves(v.series(spark, sf_dir))
 
 
-@query()
+@query("""WITH c AS (SELECT CASE WHEN c_acctbal > 5000 THEN 'reliable' WHEN c_custkey % 3 = 0 THEN 'acceptable' ELSE 'none at all' END AS quality, c_mktsegment AS function_type FROM customer)
+SELECT 'quality' AS kind, g AS value, count(quality) AS n FROM (VALUES ('reliable'), ('acceptable'), ('unreliable')) t(g) LEFT JOIN c ON quality = g GROUP BY g UNION ALL SELECT 'function', function_type, count(*) FROM c GROUP BY function_type""")
 def curve_run_summary(spark, sf_dir):
-    return curve.run_summary(curve.area_level_curves(v.series(spark, sf_dir)))
+    """Of a table of curves, here from customer, in which one grade does not occur."""
+    quality = F.when(F.col("c_acctbal") > 5000, "reliable").when(F.col("c_custkey") % 3 == 0, "acceptable").otherwise("none at all")
+    return curve.run_summary(v.table(spark, sf_dir, "customer").select(quality.alias("quality"), F.col("c_mktsegment").alias("function_type")))
 
 
 # Continuity and outlines.
@@ -502,9 +576,16 @@ def fill_ratio(spark, sf_dir):
     return continuity.fill_ratio(v.cells(spark, sf_dir)).withColumn("fill_ratio", F.round("fill_ratio", 6))
 
 
-@query()
+HOLES = """, zs AS (SELECT raster_id, component, count(*) AS size FROM cc GROUP BY ALL), zr AS (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY size DESC, component) AS k FROM zs),
+zb AS (SELECT raster_id, count(*) AS n_components, sum(size)::BIGINT AS n_valid, list(size ORDER BY k) FILTER (k <= 5) AS largest FROM zr GROUP BY raster_id), zm AS (SELECT cc.raster_id, row, col FROM cc JOIN zr ON zr.raster_id = cc.raster_id AND zr.component = cc.component AND k = 1),
+zx AS (SELECT raster_id, min(row) - 1 AS r0, max(row) + 1 AS r1, min(col) - 1 AS c0, max(col) + 1 AS c1 FROM zm GROUP BY raster_id), zf AS (SELECT zx.raster_id, r::INT AS row, c::INT AS col, r = r0 AND c = c0 AS corner FROM zx, range(-1, 14) a(r), range(-1, 14) b(c) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 AND NOT EXISTS (SELECT 1 FROM zm WHERE zm.raster_id = zx.raster_id AND zm.row = r AND zm.col = c)),
+zo AS (SELECT raster_id, row, col FROM zf WHERE corner UNION SELECT f.raster_id, f.row, f.col FROM zo o JOIN zf f ON f.raster_id = o.raster_id AND abs(f.row - o.row) + abs(f.col - o.col) = 1)
+SELECT zb.raster_id, n_components, n_valid, largest, (SELECT count(*) FROM zf WHERE zf.raster_id = zb.raster_id) - (SELECT count(*) FROM zo WHERE zo.raster_id = zb.raster_id) AS hole_cells, round(largest[1] / n_valid, 6) AS largest_share FROM zb"""
+
+
+@query(REACH.rstrip() + HOLES)
 def continuity_report(spark, sf_dir):
-    return continuity.continuity(v.cells(spark, sf_dir))
+    return continuity.continuity(v.cells(spark, sf_dir)).withColumn("largest_share", F.round("largest_share", 6))
 
 
 @query(f"""WITH {v.CELL}, ed AS (SELECT raster_id, row AS r0, col AS c0, row AS r1, col + 1 AS c1 FROM ce UNION ALL SELECT raster_id, row, col + 1, row + 1, col + 1 FROM ce UNION ALL SELECT raster_id, row + 1, col + 1, row + 1, col FROM ce UNION ALL SELECT raster_id, row + 1, col, row, col FROM ce)

@@ -5,16 +5,17 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroseries.config import LONLAT_SRID
+from hydroseries.functions.naming import epsg_of_zone, utm_zone_of_text
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 TIMESERIES_SCHEMA = "lake_id string, date date, wse double, wse_med double, wse_std double, wse_uncert double, water_area double, valid_pixels bigint, granule_id string"
-#: Variables that are read if none are named.
+#: The pixel variables that are read if none are named, in the data product's own order.
 DEFAULT_VARIABLES = (
-    "wse", "wse_qual", "wse_qual_bitwise", "wse_uncert", "water_area", "water_area_qual", "water_frac", "cross_track", "ice_clim_flag", "ice_dyn_flag", "layover_impact", "n_wse_pix", "illumination_time", "longitude", "latitude", "x", "y",
+    "x", "y", "longitude", "latitude", "wse", "wse_qual", "wse_qual_bitwise", "wse_uncert", "water_area", "water_area_qual", "water_frac", "cross_track", "illumination_time", "n_wse_pix", "ice_clim_flag", "ice_dyn_flag", "layover_impact",
 )
 
 
@@ -67,8 +68,8 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """A merged pixel table; rows whose group has no date are kept, with the date NULL."""
-    return spark.read.parquet(path)
+    """A merged pixel table with date, the observation's day as text; where it is not known, date is 'unknown'."""
+    return spark.read.parquet(path).withColumn("date", F.coalesce(F.col("obs_date").cast("string"), F.lit("unknown")))
 
 
 def lakes_to_read(lakes: DataFrame, ids: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -148,4 +149,43 @@ def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"source": source, "attributes": rows, "rings": [[[{"x": x, "y": y} for x, y in ring] for ring in rings] for rings in shapes], "crs_wkt": None if prj is None else prj.decode("utf-8", "replace")})
 
     parsed = pairs.mapInPandas(run, f"source string, attributes map<string,string>, rings {RINGS}, crs_wkt string")
-    return with_box(parsed).withColumn("srid", F.when(F.col("crs_wkt").isNull(), F.lit(LONLAT_SRID)))
+    return with_box(parsed).withColumn("srid", srid_of_text(F.col("crs_wkt")))
+
+
+def srid_of_text(crs: Column) -> Column:
+    """The code of a CRS text: a UTM zone, lon/lat for a geographic one and for none at all, else NULL."""
+    geographic = F.regexp_like(F.upper(crs), F.lit(r"^\s*GEOG")) | (F.regexp_extract(crs, r"^\s*EPSG:(\d+)\s*$", 1) == str(LONLAT_SRID))
+    return F.when(crs.isNull() | geographic, LONLAT_SRID).otherwise(epsg_of_zone(utm_zone_of_text(crs)))
+
+
+def read_lakes(spark: SparkSession, path: str) -> DataFrame:
+    """Lakes with lake_id, rings, srid and box, by the path's ending: .geojson and .json, .shp or a folder of shapefiles (shp/), else Parquet."""
+    if path.endswith((".geojson", ".json")):
+        return read_lakes_geojson(spark, path)
+    if path.endswith((".shp", "shp", "shp/")):
+        shapes = read_shapefiles(spark, path.rsplit("/", 1)[0] if path.endswith(".shp") else path)
+        if path.endswith(".shp"):
+            shapes = shapes.where(F.endswith("source", F.lit(path.rsplit("/", 1)[-1].removesuffix(".shp"))))
+        ident = F.coalesce(F.col("attributes")["lake_id"], F.col("attributes")["id_unified"])
+        return shapes.select(ident.alias("lake_id"), "rings", "minx", "miny", "maxx", "maxy", "srid")
+    return spark.read.parquet(path)
+
+
+#: Names of the attributes in the vector product, by the column that takes them.
+VECTOR_ATTRIBUTES = {"lake_id": "lake_id", "wse": "wse", "uncertainty": "wse_u", "area": "area_total", "quality_f": "quality_f", "ice_clim_f": "ice_clim_f"}
+
+
+def vector_observations(shapes: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """lake_id, obs_date, pass, wse, uncertainty, area, quality_f, ice_clim_f from features of read_shapefiles (attributes, source).
+
+    names: the attributes by column, where they differ from VECTOR_ATTRIBUTES. The day and the pass are told by the file's name: the first run of
+    eight digits, and the first run of three between underscores. An id of no lake is NULL; attributes that are not there or no numbers are NULL.
+    """
+    told = VECTOR_ATTRIBUTES | (names or {})
+    value = lambda c, kind: F.col("attributes")[told[c]].try_cast(kind).alias(c)
+    name = F.substring_index("source", "/", -1)
+    ident = F.trim(F.col("attributes")[told["lake_id"]])
+    return shapes.select(
+        F.when(~ident.isin("", "no_data", "None", "-999"), ident).alias("lake_id"), F.try_to_timestamp(F.regexp_extract(name, r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date").alias("obs_date"), F.nullif(F.regexp_extract(name, r"_(\d{3})_", 1), F.lit("")).alias("pass"),
+        *[value(c, "double") for c in ("wse", "uncertainty", "area")], value("quality_f", "smallint"), value("ice_clim_f", "int"),
+    )

@@ -17,9 +17,15 @@ def write_pixels(cells: DataFrame, path: str, bands=MERGED_BANDS, partition: str
     cells.select(*keys, *[F.col(b).cast("float").alias(b) for b in there]).write.partitionBy(partition).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header: a series has one row a lake and day."""
-    df.coalesce(1).write.option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, files: int | None = 1) -> None:
+    """CSV with a header: one file by default, as a series has one row a lake and day; files=None leaves Spark's own parts."""
+    (df if files is None else df.coalesce(files)).write.option("header", True).csv(path)
+
+
+def typed_lake_id(df: DataFrame) -> DataFrame:
+    """lake_id as a number where all ids are whole numbers, else as it is."""
+    numbers = df.agg(F.count_if(F.col("lake_id").isNotNull() & F.col("lake_id").try_cast("bigint").isNull()).alias("n")).first()["n"] == 0
+    return df.withColumn("lake_id", F.col("lake_id").cast("bigint")) if numbers else df
 
 
 def statistics_json(series: DataFrame) -> DataFrame:
@@ -29,8 +35,15 @@ def statistics_json(series: DataFrame) -> DataFrame:
     return per_lake.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def global_statistics(series: DataFrame) -> DataFrame:
+    """One row of JSON: observations, lakes, first and last date of the whole series."""
+    whole = series.agg(F.count(F.lit(1)).alias("total_observations"), F.count_distinct("lake_id").alias("n_lakes"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("wse").alias("mean_wse"), F.avg("water_area").alias("mean_water_area"))
+    return whole.select(F.to_json(F.struct(F.lit("all").alias("scope"), "*")).alias("value"))
+
+
 def write_statistics(series: DataFrame, path: str) -> None:
-    statistics_json(series).write.text(path)
+    """Lines of JSON: one record of the whole series, then one a lake."""
+    global_statistics(series).unionByName(statistics_json(series)).write.text(path)
 
 
 def write_curves(curves: DataFrame, path: str) -> None:

@@ -1,6 +1,8 @@
 """Operators on hand-made tables; each odd rule that decides results is pinned by one test."""
 
+import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from hydroseries.config import FLOAT_FILL, CurveConfig, FilterConfig, QualityCon
 from hydroseries.functions import geo, naming
 from hydroseries.functions.missing import fill_to_null, nodata_to_null, with_valid_mask
 from hydroseries.operators import audit, clip, continuity, curve, lakesp, mosaic, outline, quality, reproject, timeseries, wse_filter
+from hydroseries.plans import connectivity, explorer, projection
 from hydroseries.plans.queries import QUERIES
 from hydroseries.plans.run import merge, run, split_malformed
 from hydroseries.sources import readers, writers
@@ -327,21 +330,127 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_pipeline_end_to_end(spark, tmp_path):
     name = "SAT_L2_HR_Raster_100m_UTM46N_N_x_x_x_034_287_{}F_20250618T233535_20250618T233556_PID0_01"
     granules = [(f"/d/{name.format(i)}.nc", 0.0 + 500 * k, 0.0, 1000.0 + 500 * k, 1000.0, 100.0, 100.0) for k, i in enumerate(("001", "002"))]
-    spark.createDataFrame([*granules, ("/d/bad.nc", 0.0, 0.0, 1.0, 1.0, 100.0, 100.0)], "path string, minx double, miny double, maxx double, maxy double, res_x double, res_y double").write.parquet(f"{tmp_path}/raw/granules")
+    unknown = (f"/d/{name.format('003')}.nc", 0.0, 0.0, 1000.0, 1000.0, 100.0, 100.0)
+    table = spark.createDataFrame([*granules, ("/d/bad.nc", 0.0, 0.0, 1.0, 1.0, 100.0, 100.0), unknown], "path string, minx double, miny double, maxx double, maxy double, res_x double, res_y double")
+    table.withColumn("crs_wkt", F.when(~F.col("path").contains("003F"), "EPSG:32646")).write.parquet(f"{tmp_path}/raw/granules")
     px = [(name.format(i), r, c, 10.0 + k, 1.0, 0.5, 0, 0, 20000.0) for k, i in enumerate(("001", "002")) for r in range(10) for c in range(10)]
     spark.createDataFrame(px, "granule_id string, row int, col int, wse double, wse_uncert double, water_frac double, wse_qual short, water_area_qual short, cross_track double").write.parquet(f"{tmp_path}/raw/pixels")
-    lakes_of(spark, [("1", [[(0.0, 0.0), (1500.0, 0.0), (1500.0, 1000.0), (0.0, 1000.0)]])]).write.parquet(f"{tmp_path}/lakes")
+    lakes_of(spark, [("1", [[(0.0, 0.0), (1500.0, 0.0), (1500.0, 1000.0), (0.0, 1000.0)]])]).withColumn("srid", F.lit(32646)).write.parquet(f"{tmp_path}/lakes")
     run(spark, "all", f"{tmp_path}/lakes", f"{tmp_path}/raw", f"{tmp_path}/out")
     row = readers.read_series(spark, f"{tmp_path}/out/summary/lake_timeseries.csv").first()
     assert (row.lake_id, row.valid_pixels, row.water_area, row.granule_id) == ("1", 150, 1.5e6, "034_287_PID0")
     assert row.wse == pytest.approx((50 * 10 + 50 * 2 * 10.5 + 50 * 11) / 200)
-    assert spark.read.json(f"{tmp_path}/out/errors").count() == 1
+    errors = {r.error for r in spark.read.json(f"{tmp_path}/out/errors").collect()}
+    assert errors == {"malformed file name", "no UTM projection: unknown"}
+    out = f"{tmp_path}/out"
+    figures = {(r.stage, r.figure): r.value for r in spark.read.parquet(f"{out}/statistics").collect()}
+    assert figures["merge", "granules"] == 4 and figures["merge", "merged_groups"] == figures["clip", "lakes_with_series"] == figures["filter", "filtered"] == 1 and figures["filter", "mean_retention"] > 0
+    shape = json.loads(spark.read.text(f"{out}/outlines").first().value)
+    assert shape["properties"]["lake_id"] == "1" and sorted({tuple(p) for p in shape["geometry"]["coordinates"][0][0]}) == [(0.0, 0.0), (0.0, 1000.0), (1500.0, 0.0), (1500.0, 1000.0)]
+    kept = spark.read.parquet(f"{out}/lake_pixels_filtered")
+    assert kept.where("wse IS NOT NULL").count() == spark.read.option("header", True).csv(f"{out}/summary/lake_timeseries_filtered.csv").select(F.col("valid_pixels_filtered").cast("int")).first()[0]
+    assert spark.read.text(f"{out}/outlines_filtered").count() == 1 and {r.kind for r in spark.read.parquet(f"{out}/curves/plots").select("kind").distinct().collect()} == {"raw", "cleaned"}
+    scopes = [json.loads(r.value) for r in spark.read.text(f"{out}/summary/statistics.json").collect()]
+    assert {"all"} == {x["scope"] for x in scopes if "scope" in x} and len(scopes) == 2
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/summary/lake_timeseries_filtered.csv").count() == 1
     with pytest.raises(ValueError):
         run(spark, "none", "", "", "")
     assert merge is not None
 
 
+def test_zones_and_lonlat_lakes_meet(spark, tmp_path):
+    """Two granules of one pass in zones 45 and 46 see one lake that is given in degrees."""
+    west, east, south, north = 90.02, 90.05, 30.0, 30.02
+    name = "SAT_L2_HR_Raster_100m_UTM{}N_N_x_x_x_034_287_00{}F_20250618T233535_20250618T233556_PID0_01"
+    granules, px = [], []
+    for k, (zone, level) in enumerate(((45, 10.0), (46, 12.0))):
+        x, y = geo.utm_forward(F.lit((west + east) / 2), F.lit((south + north) / 2), F.lit(32600 + zone))
+        at = spark.range(1).select(F.floor(x / 100), F.floor(y / 100)).first()
+        minx, miny = (at[0] - 30) * 100.0, (at[1] - 30) * 100.0
+        granules.append((f"/d/{name.format(zone, k)}.nc", minx, miny, minx + 6000, miny + 6000, 100.0, 100.0, f"WGS 84 / UTM zone {zone}N"))
+        px += [(name.format(zone, k), r, c, minx + (c + 0.5) * 100, miny + 6000 - (r + 0.5) * 100, level, 1.0, 0.5, 0, 0, 20000.0) for r in range(60) for c in range(60)]
+    spark.createDataFrame(granules, "path string, minx double, miny double, maxx double, maxy double, res_x double, res_y double, crs_wkt string").write.parquet(f"{tmp_path}/raw/granules")
+    spark.createDataFrame(px, "granule_id string, row int, col int, x double, y double, wse double, wse_uncert double, water_frac double, wse_qual short, water_area_qual short, cross_track double").write.parquet(f"{tmp_path}/raw/pixels")
+    ring = [[west, south], [west, north], [east, north], [east, south], [west, south]]
+    (tmp_path / "lakes.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"lake_id": i}, "geometry": {"type": "Polygon", "coordinates": [[[x + d, y] for x, y in ring]]}} for i, d in (("7", 0.0), ("8", 5.0))]}))
+    run(spark, "all", f"file://{tmp_path}/lakes.geojson", f"{tmp_path}/raw", f"{tmp_path}/out", lake_ids=["7"])
+    rows = readers.read_series(spark, f"{tmp_path}/out/summary/lake_timeseries.csv").collect()
+    km2 = spark.range(1).select(geo.equal_area(geo.box_polygon(F.lit(west), F.lit(south), F.lit(east), F.lit(north))) / 1e6).first()[0]
+    assert [r.lake_id for r in rows] == ["7"] and rows[0].valid_pixels == pytest.approx(km2 * 100, rel=0.03)
+    assert rows[0].wse == pytest.approx(11.0, abs=1e-6) and rows[0].wse_med == pytest.approx(11.0)
+    merged = spark.read.parquet(f"{tmp_path}/out/merged").where(F.col("wse").isNotNull())
+    assert {round(r.wse, 3) for r in merged.select("wse").distinct().collect()} == {10.0, 11.0, 12.0}
+    lakes = reproject.lakes_in_target(spark.createDataFrame([("1", [[(600000.0, 3300000.0)]], 99)], "lake_id string, rings array<array<struct<x:double,y:double>>>, srid int"), 32646)
+    with pytest.raises(Exception, match="unknown projection"):
+        lakes.collect()
+
+
+def test_lakes_of_another_zone_move(spark):
+    ring = [[(200000.0, 3300000.0), (210000.0, 3300000.0), (210000.0, 3310000.0)]]
+    there = reproject.lakes_in_target(spark.createDataFrame([("1", ring, 32646)], "lake_id string, rings array<array<struct<x:double,y:double>>>, srid int"), 32645)
+    back = reproject.lakes_in_target(there, 32646).first()
+    assert [(round(p.x, 3), round(p.y, 3)) for p in back.rings[0]] == ring[0] and there.first().minx > 700000
+
+
+def test_one_scan_and_one_fit(spark):
+    """Scans, Python fits and shuffles of the plans as they were executed."""
+
+    def executed(name):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        text = text.split("+- == Initial Plan ==")[0] if "== Final Plan ==" in text else text
+        return text.count("FileScan"), text.count("FlatMapGroupsInPandas")
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    for name, scans, fits in (("lake_timeseries", 1, 0), ("mad_filter_join_summary", 2, 0), ("fit_metrics", 2, 0), ("area_wse_curves", 2, 1)):
+        got = executed(name)
+        assert got[0] <= scans and got[1] == fits, (name, got)
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    name = "SAT_L2_HR_Raster_100m_UTM{}N_N_x_x_x_034_287_00{}F_20250618T233535_20250618T233556_PIC0_01"
+    rows = [(f"/d/{name.format(46, 1)}.nc", "EPSG:32646"), (f"/d/{name.format(46, 2)}.nc", "EPSG:32645"), (f"/d/{name.format(46, 3)}.nc", None)]
+    table = spark.createDataFrame(rows, "path string, crs_wkt string").withColumns({"minx": F.lit(0.0), "miny": F.lit(0.0), "maxx": F.lit(1000.0), "maxy": F.lit(1000.0), "lon_min": F.lit(90.0), "lat_min": F.lit(30.0), "lon_max": F.lit(91.0), "lat_max": F.lit(31.0)})
+    table.write.parquet(f"{tmp_path}/raw/granules")
+    px = [(name.format(46, i), r, c, 9.96921e36 if (r, c) == (3, 3) else 5.0, float(r)) for i in (1, 2) for r in range(10) for c in range(10)]
+    spark.createDataFrame(px, "granule_id string, row int, col int, wse double, cross_track double").write.parquet(f"{tmp_path}/raw/pixels")
+    projection.main(["-d", f"{tmp_path}/raw/granules", "-o", f"{tmp_path}/projection"])
+    document = json.loads(spark.read.text(f"{tmp_path}/projection").first().value)
+    assert document["utm_analysis"]["utm_zone_by_content"] == {"None": 1, "45N": 1, "46N": 1} and document["utm_analysis"]["mismatch_count"] == 1 and document["utm_analysis"]["error_count"] == 1
+    assert document["group_analysis"]["inconsistent_groups"] == 1 and "must be reprojected" in capsys.readouterr().out
+    assert projection.examine(spark.read.parquet(f"{tmp_path}/raw/granules"), max_files=1, sample_groups=1)["utm_analysis"]["total_files"] == 1
+    explorer.main(["-p", f"{tmp_path}/raw/pixels", "-n", "1", "-o", f"{tmp_path}/explored"])
+    assert "| wse | 99 | 1 |" in capsys.readouterr().out
+    connectivity.main(["-r", f"{tmp_path}/raw", "--passes", "287", "--point", "90.5", "30.5", "--box", "101", "101", "899", "899", "-o", f"{tmp_path}/continuity"])
+    out = spark.read.json(f"{tmp_path}/continuity").orderBy("raster_id").collect()
+    assert [(r.file_version, r.n_components, r.hole_cells, r.height, r.width) for r in out] == [("PIC0", 1, 1, 8, 8)] * 2
+
+
+def test_plot_series(spark):
+    rows = [("1", float(h), 0.1, h * 1e6) for h in range(1, 11)] + [("1", 5.0, 0.1, 9e9)]
+    series = spark.createDataFrame(rows, "lake_id string, wse double, wse_uncert double, water_area double")
+    plot = curve.plot_series(series, curve.area_level_curves(series), n=10)
+    n = {r.kind: r["count"] for r in plot.groupBy("kind").count().collect()}
+    assert n == {"raw": 11, "cleaned": 10, "curve": 10}
+    assert all(r.area == pytest.approx(r.wse, abs=1e-3) for r in plot.where("kind = 'curve'").collect())
+    assert plot.where("kind = 'cleaned'").agg(F.min("shown_sigma")).first()[0] == pytest.approx(0.135)
+
+
+def test_numbered_lakes(spark):
+    n = {r.lake_id: r.minx for r in clip.with_lake_ids(spark.range(50).select((F.col("id") * 7 % 50).cast("double").alias("minx"), *[F.lit(1.0).alias(c) for c in ("miny", "maxx", "maxy")])).collect()}
+    assert n == {f"lake_{i}": float(i) for i in range(50)}
+    assert clip.with_lake_ids(spark.range(0).select(*[F.lit(1.0).alias(c) for c in ("minx", "miny", "maxx", "maxy")])).count() == 0
+
+
+def test_vector_observations(spark):
+    rows = [("/d/LakeSP_123_20240102", {"lake_id": "7", "wse": "5.5", "wse_u": "0.1", "area_total": "x", "quality_f": "1", "ice_clim_f": "0"}), ("/d/other", {"lake_id": "no_data"})]
+    shapes = spark.createDataFrame(rows, "source string, attributes map<string,string>")
+    a, b = readers.vector_observations(shapes).collect()
+    assert (a.lake_id, str(a.obs_date), a["pass"], a.wse, a.area, a.quality_f) == ("7", "2024-01-02", "123", 5.5, None, 1) and (b.lake_id, b.obs_date, b["pass"]) == (None, None, None)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("1", f"2024-01-0{d} 0{h}:00:00", 10.0 + h, 1.0) for d in (1, 2, 3) for h in range(3)]
     batch = spark.createDataFrame(rows, "lake_id string, t string, wse double, wse_uncert double").select("lake_id", F.col("t").cast("timestamp").alias("obs_ts"), "wse", "wse_uncert")
