@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but blanks; the six ASCII blanks are the only separators.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of one Arrow batch, about.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Keys that join_hot may broadcast.
 HOT = 1000
 ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
@@ -72,6 +77,19 @@ def write_shared(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As write_shared, but in buckets of the column key: later joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets are written by the partitions that hash to them, one file each. Only a catalog knows of buckets, so the files have a name there for a moment.
+    known = f"hydroseries_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", new_table(spark, name)).saveAsTable(known)
+    table = spark.table(known)
+    table.schema  # resolved now
+    spark.sql(f"DROP TABLE {known}")  # the files stay
+    return table
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, n: int) -> DataFrame:
     """The inner join of rows with keyed (one row a key; count: how many of the n rows have it) on a key that may be very hot.
 
@@ -84,6 +102,43 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, n: int) ->
     return rows.join(F.broadcast(hot), key).unionByName(apart)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and what it holds adds to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _tidied(run):
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's own limit to the bytes of an Arrow batch, it gets a lower one; whatever else was set stays."""
+    if spark.conf.get(BATCH_LIMIT) == "67108864b":
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def map_pandas(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInPandas over batches bounded in bytes, and the worker's memory is released after each task."""
+    bound_batches(df.sparkSession)
+    return df.mapInPandas(_tidied(run), schema)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """As map_pandas, by mapInArrow."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(_tidied(run), schema)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

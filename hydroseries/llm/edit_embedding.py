@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import map_pandas, mix
 from .simhash import BkForest
 
 BITS = 256
@@ -165,7 +165,7 @@ def compare_with_edited(docs: DataFrame, buckets: int | None = None) -> DataFram
             yield pd.DataFrame(out, columns=[x.split()[0] for x in EDITED.split(", ")]).astype({"doc_id": "Int64"})
 
     runs = with_following(docs, n).repartition(F.col("bucket")).sortWithinPartitions("bucket", "lent", F.col("doc_id").desc_nulls_last(), F.desc("h"), F.desc("text"))
-    return runs.select("bucket", "lent", "doc_id", "text").mapInPandas(run, EDITED)
+    return map_pandas(runs.select("bucket", "lent", "doc_id", "text"), run, EDITED)
 
 
 def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int) -> np.ndarray:
@@ -211,5 +211,5 @@ def near_fingerprints(distinct: DataFrame, radius: int, bands: int, width: int)
                 other = np.flatnonzero(label != np.arange(len(label)))
                 yield pd.DataFrame({"a": np.minimum(names[other], names[label[other]]), "b": np.maximum(names[other], names[label[other]])})
 
-    rows = distinct.mapInPandas(band, "key long, fingerprint string").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
-    return rows.mapInPandas(link, "a string, b string").distinct()
+    rows = map_pandas(distinct, band, "key long, fingerprint string").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
+    return map_pandas(rows, link, "a string, b string").distinct()

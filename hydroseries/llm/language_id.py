@@ -1,6 +1,6 @@
 """Language identification of whole texts, with spans for mixed-language texts.
 
-A word is a run of letters. Its script, from Unicode ranges, narrows the candidate languages; each candidate's score is the
+A word is a run of letters and of the marks and joiners that belong to them. Its script, from Unicode ranges, narrows the candidate languages; each candidate's score is the
 log-likelihood of the word's character trigrams. Viterbi decoding over the words, with a penalty for each switch of language, labels
 spans. The language of a text is the one that most of its letters carry.
 
@@ -15,6 +15,8 @@ labelled alike; further columns are kept, except those named lang_pred, lang_sco
 from __future__ import annotations
 
 import functools
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample
+from .common import bound_batches, hash_sample, map_pandas, release_memory
 
 UNKNOWN = "und"
 #: Unicode ranges (first, last) by script.
@@ -49,15 +51,18 @@ SCRIPTS = {
 CELLS = 1 << 24
 BUCKETS = 1 << 16
 #: Code points that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BLOCKED = -40.0
 
 
 @functools.lru_cache(1)
-def _unicode() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: is it a letter, its simple lower case, its script's number (0: other)."""
+def _unicode() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: is it a letter, may it stand in a word (letters, combining marks, joiners), its simple lower case, its script's number (0: other)."""
     n = 0x110000
     letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+    inside = letter.copy()
+    inside[[i for i in range(n) if unicodedata.category(chr(i))[0] == "M"]] = True
+    inside[[0x200C, 0x200D]] = True
     lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(letter):
         low = chr(i).lower()
@@ -67,7 +72,7 @@ def _unicode() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = k
-    return letter, lower, script
+    return letter, inside, lower, script
 
 
 @dataclass(frozen=True)
@@ -82,12 +87,15 @@ class Words:
 
 
 def words_of(texts: list[str], buckets: int) -> Words:
-    letter, lower, scripts = _unicode()
+    letter, inside, lower, scripts = _unicode()
     joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letter[codes]
-    low = np.where(is_letter, lower[codes], 0).astype(np.uint64)
-    at = np.flatnonzero(is_letter)
+    at = np.flatnonzero(inside[codes])
+    if len(at):  # runs without a letter are no words
+        run = np.cumsum(np.concatenate(([0], np.diff(at) > 1)))
+        at = at[np.bincount(run, weights=letter[codes[at]])[run] > 0]
+    low = np.zeros(len(codes), np.uint64)
+    low[at] = lower[codes[at]]
     if not len(at):
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, empty, empty, empty)
@@ -196,7 +204,7 @@ def train(docs: DataFrame, max_docs: int = 20_000, switch: float = 12.0) -> Lang
                     i, j = np.flatnonzero(n), np.flatnonzero(used)
                     yield pd.DataFrame({"lang": lang, "cell": np.concatenate((i, buckets + j)), "n": np.concatenate((n[i], used[j].astype(np.int64)))})
 
-    counted = sample.mapInPandas(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_pandas(sample, count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((buckets + n_scripts, len(langs)))
     table[counted["cell"], counted["lang"].map({x: i for i, x in enumerate(langs)})] = counted["n"]
     grams, scripts = table[:buckets] + 0.5, table[buckets:]
@@ -216,11 +224,17 @@ def label(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """docs with lang_pred, lang_score and lang_spans; no shuffle. The model is broadcast: at most CELLS floats."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf(RESULT)
-    def predict(column: pd.Series) -> pd.DataFrame:
-        texts = [t if t is not None else "" for t in column]
-        found = [x for b in blocks(texts) for x in shared.value.label(texts[b])]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "lang_score": [x[1] for x in found], "lang_spans": [[{"first_word": a, "n_words": n, "lang": k} for a, n, k in x[2]] for x in found]})
+    def predict(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for column in columns:
+                texts = [t if t is not None else "" for t in column]
+                found = [x for b in blocks(texts) for x in shared.value.label(texts[b])]
+                yield pd.DataFrame({"lang_pred": [x[0] for x in found], "lang_score": [x[1] for x in found], "lang_spans": [[{"first_word": a, "n_words": n, "lang": k} for a, n, k in x[2]] for x in found]})
+        finally:
+            release_memory()
 
     out = [c for c in docs.columns if c.lower() not in RESULT.fieldNames()]
     return docs.withColumn("_lang", predict(F.col(text))).select(*out, *[F.col(f"_lang.{c}").alias(c) for c in RESULT.fieldNames()])

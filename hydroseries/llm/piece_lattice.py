@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 MARK = "▁"
 PENALTY, GRAIN = 10.0, 1 << 20
 #: Mandelbrot's offset to the rank.
 OFFSET = 2.7
 #: Characters of texts, and of distinct words, that a task works on at once.
-BLOCK, WORDS = 1 << 22, 1 << 17
+BLOCK, WORDS = 1 << 20, 1 << 17
 #: Longer words are segmented one by one.
 LONG = 48
 INF = float("inf")
@@ -452,7 +454,7 @@ def encode(docs: DataFrame, n: int = 4, model_file: str | None = None) -> DataFr
                 told = [[[{"start": i, "n": k, "ids": x} for i, k, x in c] for c in row] for row in changes]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(scores, pa.list_(pa.float64())), pa.array(told, pa.list_(pa.list_(change)))], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return map_arrow(narrow, run, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model_file: str | None = None) -> DataFrame:
@@ -467,7 +469,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model_file: str | None = None)
                 texts = [None if x is None else pieces.decode(x) for x in _lists(part.column(place))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return map_arrow(narrow, run, schema)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray | None]:
@@ -498,4 +500,4 @@ def round_trips(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
                     out.append([pieces.decode(x) == (t or "") for x in tried])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.bool_()))], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return map_arrow(narrow, run, schema)

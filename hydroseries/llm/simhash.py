@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, join_hot, mix, write_shared
+from .common import join_hot, map_pandas, mix, write_bucketed, write_shared
 
 SEED = 42
 #: Rows that are worked on at once in a task: fingerprints, and pairs of query and node.
-ROWS, PAIRS = 1 << 18, 1 << 18
+ROWS, PAIRS = 1 << 16, 1 << 17
 #: Characters of text that are worked on at once.
-CHARACTERS = 1 << 21
+CHARACTERS = 1 << 20
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -145,21 +145,21 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
             lanes = np.array([simhash(t or "", shingle, bits) for t in pdf["text"]], np.uint64).reshape(len(pdf), bits // 64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp_id": lane_id(lanes), "lanes": pd.Series(list(lanes.view(np.int64)), index=pdf.index, dtype=object)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp_id long, lanes array<long>")
+    return map_pandas(docs.select("doc_id", "text"), run, "doc_id long, fp_id long, lanes array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """doc_id, text_id (a hash of the text), fp_id (a hash of the set), lanes and sorted distinct shingles of each row of docs; no shuffle."""
+def shingle_sets(rows: DataFrame, shingle: int, bits: int, most: int | None = None) -> DataFrame:
+    """uid, fp_id (a hash of the set), lanes and sorted distinct shingles of the texts of rows (uid, text); no shuffle. Sets of more than `most` shingles are left null."""
 
     def run(batches):
         for pdf in _text_parts(batches):
             sets = [np.unique(shingle_hashes(t or "", shingle)) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].to_numpy(), "text_id": pdf["text_id"].to_numpy(), "fp_id": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
-                "lanes": [fold(s, bits).view(np.int64) for s in sets], "shingles": [s.view(np.int64) for s in sets],
+                "uid": pdf["uid"].to_numpy(), "fp_id": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                "lanes": [fold(s, bits).view(np.int64) for s in sets], "shingles": [s.view(np.int64) if most is None or len(s) <= most else None for s in sets],
             })
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(run, "doc_id long, text_id long, fp_id long, lanes array<long>, shingles array<long>")
+    return map_pandas(rows.select("uid", "text"), run, "uid long, fp_id long, lanes array<long>, shingles array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,7 +275,7 @@ def _shards(distinct: DataFrame, scheme: Blocks | Sampled, carried: list[str]) -
                 yield pd.DataFrame({"key": keys.ravel()[part]} | {f"l{k}": lanes[row, k].view(np.int64) for k in range(width)} | {c: pdf[c].to_numpy()[row] for c in carried})
 
     names = ["key", *[f"l{k}" for k in range(width)], *carried]
-    rows = distinct.select("lanes", *carried).mapInPandas(shard, ", ".join(f"{c} long" for c in names))
+    rows = map_pandas(distinct.select("lanes", *carried), shard, ", ".join(f"{c} long" for c in names))
     return rows.repartition(F.col("key")).sortWithinPartitions("key")
 
 
@@ -300,7 +300,7 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled, named: bool = False) ->
                 lanes = _lanes_of(frame, scheme)
                 yield _forest(BkForest(lanes, frame["key"].to_numpy()).components(scheme.radius), frame["fp_id"].to_numpy() if named else lane_id(lanes))
 
-    return _shards(distinct, scheme, ["fp_id"] if named else []).mapInPandas(run, "a long, b long").distinct()
+    return map_pandas(_shards(distinct, scheme, ["fp_id"] if named else []), run, "a long, b long").distinct()
 
 
 def links_between(distinct: DataFrame, scheme: Sampled) -> DataFrame:
@@ -326,7 +326,7 @@ def links_between(distinct: DataFrame, scheme: Sampled) -> DataFrame:
                 a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
                 yield pd.DataFrame({"a": ids[a], "b": ids[b], "part_a": part[a], "part_b": part[b]}).drop_duplicates()
 
-    return _shards(distinct, scheme, ["fp_id", "part"]).mapInPandas(run, "a long, b long, part_a long, part_b long").distinct()
+    return map_pandas(_shards(distinct, scheme, ["fp_id", "part"]), run, "a long, b long, part_a long, part_b long").distinct()
 
 
 def _needed(similarity: float, n: int) -> int:
@@ -354,12 +354,17 @@ def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def _longest_met(similarity: float) -> int:
+    """Shingles that a set similar to one of SHORT shingles has at most."""
+    return int(SHORT / similarity + 1e-9)
+
+
 def short_links(sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: a spanning forest, in each shard, of all links of a set of SHORT shingles or fewer, from fp_id and shingles. Exact.
 
     Sets that similar share one of the first shingles of each, so a shard is a shingle; its sets come along and are compared there.
     """
-    most = int(SHORT / similarity + 1e-9)
+    most = _longest_met(similarity)
 
     def keys(batches):
         for pdf in batches:
@@ -379,8 +384,8 @@ def short_links(sets: DataFrame, similarity: float) -> DataFrame:
                 label[a:b] = a + set_components(sets[a:b], similarity)
             yield _forest(label, ids)
 
-    short = one_each(sets.where(F.size("shingles").between(1, most))).mapInPandas(keys, "key long, fp_id long, shingles array<long>")
-    return short.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    short = map_pandas(one_each(sets.where(F.size("shingles").between(1, most))), keys, "key long, fp_id long, shingles array<long>")
+    return map_pandas(short.repartition(F.col("key")).sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -443,32 +448,39 @@ def one_each(sets: DataFrame) -> DataFrame:
     return sets.groupBy("fp_id").agg(F.any_value("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets (fp_id, shingles) have at least that Jaccard similarity; exact."""
+def verified(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets have at least that Jaccard similarity; exact. sets_of gives the sets (fp_id, shingles) of some fp_ids."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp_id")).distinct()
-    told = write_shared(one_each(sets).join(ends, "fp_id", "left_semi"), "shingle-sets")
+    told = write_shared(sets_of(ends), "shingle-sets")
     both = pairs.join(told.select(F.col("fp_id").alias("a"), F.col("shingles").alias("_a")), "a").join(told.select(F.col("fp_id").alias("b"), F.col("shingles").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(pairs.columns)
 
 
-def similar_classes(fps: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """fp_id, component_id: the smallest (doc_id, text_id) of the component by verified links, and rows, for each distinct set. fps: as of shingle_sets.
+def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+    """fp_id, component_id: the smallest (doc_id, text_id, uid) of the component by verified links, and rows, for each distinct set.
 
-    Candidates are first a forest in each shard; where one of its links fails, all candidates between the parts that remain.
+    fps: uid, doc_id, text_id, fp_id, lanes, shingles (of short sets); texts: uid, text, bucketed by uid, from which the sets of candidates
+    are made anew, one text a set. Candidates are first a forest in each shard; where one of its links fails, all candidates between
+    the parts that remain.
     """
-    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
-    sets = fps.select("fp_id", "shingles")
+    distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
+        return shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles")
+
     scheme = Sampled.at(similarity, bits, distinct.count())
     near = write_shared(links(distinct, scheme, named=True), "candidates")
-    edges = write_shared(verified(near, sets, similarity).union(short_links(sets, similarity)).distinct(), "verified")
+    short = short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity)
+    edges = write_shared(verified(near, sets_of, similarity).union(short).distinct(), "verified")
     label = components(edges)
     if not near.join(edges, ["a", "b"], "left_anti").isEmpty():
         parts = components(near).withColumnRenamed("label", "whole").join(label, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("part"))
         broken = parts.groupBy("whole").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("whole")
         rest = distinct.join(parts.join(broken, "whole").select(F.col("node").alias("fp_id"), "part"), "fp_id")
         more = write_shared(links_between(rest, scheme), "candidates")
-        joined = verified(more, sets, similarity).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
+        joined = verified(more, sets_of, similarity).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
         label = components(edges.union(joined).distinct())
     return class_ids(distinct, label)
 
@@ -477,17 +489,12 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """docs with one row of each group of near copies, the one with the smallest (doc_id, hash of the text); rows with a null doc_id stay.
 
     Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give
-    candidates; each link is verified on whole sets.
+    candidates; each link is verified on whole sets. Texts are shuffled once, by row number, and later joins shuffle numbers only.
     """
-    fps = write_shared(shingle_sets(docs.where(F.col("doc_id").isNotNull()), shingle, bits), "doc-fingerprints")
-    found = write_shared(similar_classes(fps, similarity, bits), "classes")
-    rows = join_hot(fps.select("fp_id", F.struct("doc_id", "text_id").alias("row")), found, "fp_id", "rows", fps.count())
-    dropped = rows.where(F.col("row") != F.col("component_id")).select("row.doc_id", F.col("row.text_id").alias("_text_id")).distinct()
-    own = free_name(docs, "_text_id")
-    named = docs.withColumn(own, F.xxhash64("text"))
-    kept = named.join(dropped.withColumnRenamed("_text_id", own), ["doc_id", own], "left_anti").select(*[f"`{c}`" for c in named.columns])
-    # Rows alike in doc_id and text were not told apart so far.
-    if not fps.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():
-        some, nameless = kept.where(F.col("doc_id").isNotNull()), kept.where(F.col("doc_id").isNull())
-        kept = some.dropDuplicates(["doc_id", own]).unionByName(nameless)
-    return kept.drop(own)
+    rows = write_bucketed(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("doc")), "uid", "documents")
+    texts = rows.where(F.col("doc.doc_id").isNotNull()).select("uid", "doc.doc_id", "doc.text")
+    made = shingle_sets(texts, shingle, bits, _longest_met(similarity))
+    fps = write_shared(made.join(texts.select("uid", "doc_id", F.xxhash64("text").alias("text_id")), "uid"), "doc-fingerprints")
+    found = write_shared(similar_classes(fps, texts.select("uid", "text"), similarity, shingle, bits), "classes")
+    dropped = join_hot(fps.select("uid", "fp_id"), found, "fp_id", "rows", fps.count()).where(F.col("uid") != F.col("component_id.uid")).select("uid")
+    return rows.join(dropped, "uid", "left_anti").select("doc.*")

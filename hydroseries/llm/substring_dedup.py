@@ -19,14 +19,14 @@ remove_repeats keeps all columns of its input.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FlatWords, join_hot, new_table, write_shared
+from .common import FlatWords, bound_batches, join_hot, map_pandas, release_memory, write_bucketed, write_shared
 from .fm_index import FmIndex
 
 GRAM = 4
@@ -42,18 +42,9 @@ LAST = (1 << 63) - 1
 
 def _words_table(docs: DataFrame, keep: list[str]) -> DataFrame:
     """uid, ord, text, digest (of its words) and the columns keep, bucketed by uid in the shared folder."""
-    spark = docs.sparkSession
     body = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"), *keep)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"hydroseries_words_{uuid.uuid4().hex}"
-    # Buckets are written by the partitions that hash to them, one file each. Only a catalog knows of buckets, so the files get a name there, for a moment.
-    rows = rows.withColumn("digest", F.md5(body)).repartition(n, "uid")
-    rows.write.bucketBy(n, "uid").option("compression", "zstd").option("path", new_table(spark, "words")).saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # resolved now
-    spark.sql(f"DROP TABLE {name}")  # the files stay
-    return table
+    return write_bucketed(rows.withColumn("digest", F.md5(body)), "uid", "words")
 
 
 def _joined(text: str) -> bytes:
@@ -118,7 +109,7 @@ def _minimisers(table: DataFrame, window: int) -> DataFrame:
                 new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, bool)
                 yield pd.DataFrame({"h": h[new], "uid": pdf["uid"].to_numpy()[text[new]], "ord": pdf["ord"].to_numpy()[text[new]]})
 
-    return table.select("uid", "ord", "text").mapInPandas(run, "h long, uid long, ord long")
+    return map_pandas(table.select("uid", "ord", "text"), run, "h long, uid long, ord long")
 
 
 def _stretches(flagged: DataFrame, window: int) -> DataFrame:
@@ -142,7 +133,7 @@ def _stretches(flagged: DataFrame, window: int) -> DataFrame:
                             out += [(int(windows[a]), w.stretch(a, a + window - 1), uid, ord_, a - base) for a in range(i, i + n)]
                 yield pd.DataFrame(out, columns=["h", "seg", "uid", "ord", "at"])
 
-    return flagged.select("uid", "ord", "text", "hs", "frequent").mapInPandas(run, "h long, seg string, uid long, ord long, at int")
+    return map_pandas(flagged.select("uid", "ord", "text", "hs", "frequent"), run, "h long, seg string, uid long, ord long, at int")
 
 
 def _matches(segments: DataFrame, shards: int, window: int) -> DataFrame:
@@ -206,26 +197,31 @@ def _keep_words(text: Column, copy: Column, begins: Column, ends: Column, window
     """struct(kept: the kept words joined by single spaces, n_words, n_removed)."""
 
     @F.pandas_udf("kept string, n_words long, n_removed long")
-    def keep(texts: pd.Series, copies: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, same, a, b in zip(texts, copies, begin, end, strict=True):
-            words = t.encode().split()
-            n = len(words)
-            if same and n >= window:
-                words = []
-            elif len(a):
-                # Both lists are collected in one order; their sums do not depend on it.
-                depth = np.zeros(n + 1, np.int64)
-                np.add.at(depth, a, 1)
-                np.subtract.at(depth, b, 1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
-            out.append((b" ".join(words).decode(), n, n - len(words)))
-        return pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        try:
+            for batch in batches:
+                out = []
+                for t, same, a, b in zip(*batch, strict=True):
+                    words = t.encode().split()
+                    n = len(words)
+                    if same and n >= window:
+                        words = []
+                    elif len(a):
+                        # Both lists are collected in one order; their sums do not depend on it.
+                        depth = np.zeros(n + 1, np.int64)
+                        np.add.at(depth, a, 1)
+                        np.subtract.at(depth, b, 1)
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
+                    out.append((b" ".join(words).decode(), n, n - len(words)))
+                yield pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
+        finally:
+            release_memory()
 
     return keep(text, copy, begins, ends)
 
 
 def _kept(docs: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    bound_batches(docs.sparkSession)
     rows = covered(docs, window, keep)
     return rows.withColumn("out", _keep_words(F.col("text"), F.col("copy"), F.col("begins"), F.col("ends"), window))
 
