@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_hot, map_pandas, mix, write_bucketed, write_shared
@@ -33,6 +34,8 @@ SEED = 42
 ROWS, PAIRS = 1 << 16, 1 << 17
 #: Characters of text that are worked on at once.
 CHARACTERS = 1 << 20
+#: Rows of a shard among which a nearest one is sought.
+NEAR = 1024
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -291,42 +294,44 @@ def _forest(label: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": least[label[linked]], "b": ids[linked]})
 
 
-def links(distinct: DataFrame, scheme: Blocks | Sampled, named: bool = False) -> DataFrame:
-    """a, b: a spanning forest of the links in each shard, from fp_id and lanes of distinct fingerprints. named: fp_id is not lane_id."""
+def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
+    """a, b: a spanning forest of the links in each shard, from fp_id (as of lane_id) and lanes of distinct fingerprints."""
 
     def run(batches):
         for frame in _whole_keys(batches):
             if len(frame):
                 lanes = _lanes_of(frame, scheme)
-                yield _forest(BkForest(lanes, frame["key"].to_numpy()).components(scheme.radius), frame["fp_id"].to_numpy() if named else lane_id(lanes))
+                yield _forest(BkForest(lanes, frame["key"].to_numpy()).components(scheme.radius), lane_id(lanes))
 
-    return map_pandas(_shards(distinct, scheme, ["fp_id"] if named else []), run, "a long, b long").distinct()
+    return map_pandas(_shards(distinct, scheme, []), run, "a long, b long").distinct()
 
 
-def links_between(distinct: DataFrame, scheme: Sampled) -> DataFrame:
-    """a, b, part_a, part_b: all links whose ends are in different parts, from fp_id, lanes and part."""
+def nearest_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
+    """src, dst, d: for each fingerprint and shard, the nearest other one within the radius, ties to the smaller id, from fp_id and lanes.
+
+    A shard of more than NEAR rows is sorted by its fingerprints and searched in runs of NEAR rows, so work and output grow with the
+    rows, however many near copies one shard holds; the same two meet in other tables again.
+    """
 
     def run(batches):
         for frame in _whole_keys(batches):
             if not len(frame):
                 continue
-            ids, part = frame["fp_id"].to_numpy(), frame["part"].to_numpy()
-            forest = BkForest(_lanes_of(frame, scheme), frame["key"].to_numpy())
-            # Of a shard's largest part no row need ask: the other end of each of its links does.
-            both, which, count = np.unique(np.stack([forest.root, part], 1), axis=0, return_inverse=True, return_counts=True)
-            order = np.lexsort((count, both[:, 0]))
-            largest = np.zeros(len(both), bool)
-            largest[order[np.concatenate((both[order][1:, 0] != both[order][:-1, 0], [True]))]] = True
-            asking = np.flatnonzero(~largest[which.ravel()])
-            work = np.cumsum(forest.size[np.searchsorted(forest.first, forest.root[asking])])
-            for rows in np.split(asking, np.flatnonzero(np.diff(work // PAIRS)) + 1):
+            lanes, key = _lanes_of(frame, scheme), frame["key"].to_numpy()
+            order = np.lexsort((*lanes.T[::-1], key))
+            lanes, key, ids = lanes[order], key[order], frame["fp_id"].to_numpy()[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            place = np.arange(len(key)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            forest = BkForest(lanes, np.cumsum(new | (place % NEAR == 0)))
+            work = np.cumsum(forest.size[np.searchsorted(forest.first, forest.root)])
+            for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(work // PAIRS)) + 1):
                 a, b = forest.search(rows, scheme.radius)
-                apart = part[a] != part[b]
-                a, b = a[apart], b[apart]
-                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-                yield pd.DataFrame({"a": ids[a], "b": ids[b], "part_a": part[a], "part_b": part[b]}).drop_duplicates()
+                d = _distance(lanes[a], lanes[b])
+                best = np.lexsort((ids[b], d, a))
+                best = best[np.concatenate(([True], np.diff(a[best]) != 0))] if len(best) else best
+                yield pd.DataFrame({"src": ids[a[best]], "dst": ids[b[best]], "d": d[best]})
 
-    return map_pandas(_shards(distinct, scheme, ["fp_id", "part"]), run, "a long, b long, part_a long, part_b long").distinct()
+    return map_pandas(_shards(distinct, scheme, ["fp_id"]), run, "src long, dst long, d long").distinct()
 
 
 def _needed(similarity: float, n: int) -> int:
@@ -448,41 +453,41 @@ def one_each(sets: DataFrame) -> DataFrame:
     return sets.groupBy("fp_id").agg(F.any_value("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """The pairs a, b whose sets have at least that Jaccard similarity; exact. sets_of gives the sets (fp_id, shingles) of some fp_ids."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp_id")).distinct()
-    told = write_shared(sets_of(ends), "shingle-sets")
-    both = pairs.join(told.select(F.col("fp_id").alias("a"), F.col("shingles").alias("_a")), "a").join(told.select(F.col("fp_id").alias("b"), F.col("shingles").alias("_b")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets (fp_id, shingles; one row a set) have at least that Jaccard similarity; exact."""
+    both = pairs.join(sets.select(F.col("fp_id").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("fp_id").alias("b"), F.col("shingles").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select(pairs.columns)
+    return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b")
 
 
 def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
     """fp_id, component_id: the smallest (doc_id, text_id, uid) of the component by verified links, and rows, for each distinct set.
 
     fps: uid, doc_id, text_id, fp_id, lanes, shingles (of short sets); texts: uid, text, bucketed by uid, from which the sets of candidates
-    are made anew, one text a set. Candidates are first a forest in each shard; where one of its links fails, all candidates between
-    the parts that remain.
+    are made anew, one text a set. Candidates are each set's nearest one in each of its shards. In rounds, each set tries its nearest
+    candidates that are not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
     """
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
-
-    def sets_of(ends: DataFrame) -> DataFrame:
-        one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
-        return shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles")
-
-    scheme = Sampled.at(similarity, bits, distinct.count())
-    near = write_shared(links(distinct, scheme, named=True), "candidates")
-    short = short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity)
-    edges = write_shared(verified(near, sets_of, similarity).union(short).distinct(), "verified")
+    left = write_shared(nearest_links(distinct, Sampled.at(similarity, bits, distinct.count())), "candidates")
+    ends = left.select(F.explode(F.array("src", "dst")).alias("fp_id")).distinct()
+    one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
+    sets = write_shared(shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles"), "shingle-sets")
+    edges = write_shared(short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity), "verified")
     label = components(edges)
-    if not near.join(edges, ["a", "b"], "left_anti").isEmpty():
-        parts = components(near).withColumnRenamed("label", "whole").join(label, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("part"))
-        broken = parts.groupBy("whole").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("whole")
-        rest = distinct.join(parts.join(broken, "whole").select(F.col("node").alias("fp_id"), "part"), "fp_id")
-        more = write_shared(links_between(rest, scheme), "candidates")
-        joined = verified(more, sets_of, similarity).select(F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).distinct()
-        label = components(edges.union(joined).distinct())
-    return class_ids(distinct, label)
+    most = 1
+    while True:
+        of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("src", "dst")}
+        apart = left.join(of["src"], "src", "left").join(of["dst"], "dst", "left").where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
+        # A set has as many candidates as tables at most.
+        ranked = write_shared(apart.select("src", "dst", "d", (F.row_number().over(W.partitionBy("src").orderBy("d", "dst")) <= most).alias("now")), "candidates")
+        pairs = ranked.where("now").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        found = write_shared(verified(pairs, sets, similarity), "verified")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            label = components(edges)
+        left, most = ranked.where("NOT now").select("src", "dst", "d"), 2 * most
+        if left.isEmpty():
+            return class_ids(distinct, label)
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256) -> DataFrame:
