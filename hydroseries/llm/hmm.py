@@ -6,7 +6,8 @@ and the others share classes by a hash of their last letters and shape. Latent s
     P(token | state) = P(class | state) * (c + 0.5) / (N_class + 0.5 * (V_class + 1))
 
 with c, N_class and V_class counted over all training texts; an unseen token has c = 0 in its class. A class of one token emits it surely.
-States are trained by Baum-Welch: expected counts are summed over partitions, every iteration over all training texts. A text's likelihood is
+States start from the company that classes keep: counts of each class beside the most frequent ones, over all training texts, are clustered.
+They are trained by Baum-Welch: expected counts are summed over partitions, every iteration over all training texts. A text's likelihood is
 exact, by the scaled forward recursion over all its tokens. Texts of a batch run side by side, the longest first.
 
 What is gathered grows with the corpus: the table of token counts is a shuffled table, joined to the tokens by word. Only tables of
@@ -26,16 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, write_shared
+from .common import map_pandas, write_shared
 
 #: The end of a text; no word is empty.
 END = ""
 FREQUENT, SHARED = 2048, 2048
 #: Frequent words whose counts each task holds; the others' counts are joined.
 KNOWN = 1 << 16
-STATES, ITERATIONS = 8, 3
-#: Texts, and rounds over them, from which training starts.
-START_TEXTS, START_ROUNDS = 2000, 12
+STATES, ITERATIONS = 8, 4
+#: Frequent classes that tell of a class by standing before and after it, and how far off they may stand.
+BESIDE, NEAR = 32, 4
 #: Tokens that are worked on at once.
 BLOCK = 1 << 20
 PRIOR = 0.01
@@ -79,11 +80,10 @@ class Hmm:
     emit: np.ndarray  # classes x states
 
     @classmethod
-    def first(cls, totals: np.ndarray, states: int, seed: int = 5) -> Hmm:
-        rng = np.random.default_rng(seed)
-        emit = (totals[:, None] + PRIOR) * rng.uniform(0.5, 1.5, (len(totals), states))
-        move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-        return cls(np.full(states, 1.0 / states), move / move.sum(1)[:, None], emit / emit.sum(0))
+    def first(cls, totals: np.ndarray, group: np.ndarray, states: int) -> Hmm:
+        """Each class is emitted mostly by the state of its group, and states last."""
+        emit = (totals[:, None] + PRIOR) * np.where(group[:, None] == np.arange(states), 1.0, 0.02)
+        return cls(np.full(states, 1.0 / states), np.full((states, states), 0.2 / states) + 0.8 * np.eye(states), emit / emit.sum(0))
 
     @classmethod
     def of_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
@@ -151,7 +151,7 @@ def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, list[int], list[i
 
 
 def count_tokens(docs: DataFrame, training: Column) -> DataFrame:
-    """word, c: how often each token occurs in training texts, in the shared folder. Counts are summed in each task first."""
+    """word, c: how often each token occurs in training texts, in the shared folder. Counts are summed in each batch of texts, then in each task."""
 
     def run(batches):
         for pdf in batches:
@@ -160,7 +160,7 @@ def count_tokens(docs: DataFrame, training: Column) -> DataFrame:
                 n.update(tokens(text))
             yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in n], "c": list(n.values())})
 
-    rows = docs.where(training).select("text").mapInPandas(run, "word string, c long")
+    rows = map_pandas(docs.where(training).select("text"), run, "word string, c long")
     return write_shared(rows.groupBy("word").agg(F.sum("c").alias("c")), "token-counts")
 
 
@@ -178,7 +178,7 @@ def class_totals(counts: DataFrame, own: list[bytes]) -> tuple[np.ndarray, np.nd
         k = np.flatnonzero(v)
         yield pd.DataFrame({"k": k, "n": n[k], "v": v[k]})
 
-    rows = counts.mapInPandas(run, "k int, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
+    rows = map_pandas(counts, run, "k int, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
     n, v = np.zeros(FREQUENT + SHARED), np.zeros(FREQUENT + SHARED)
     n[rows["k"]], v[rows["k"]] = rows["n"], rows["v"]
     return n, v
@@ -196,33 +196,66 @@ def _parts(sequences: list[np.ndarray], limit: int = BLOCK) -> list[np.ndarray]:
     return [part for part in np.split(order, cut) if len(part)]
 
 
-def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
-    """Baum-Welch over the column classes of all rows of encoded. Each task sends its sums, states x classes numbers, whatever its rows.
+def _summed(encoded: DataFrame, size: int, add) -> np.ndarray:
+    """size numbers, which add(sequences) gives for some texts, summed over all rows of encoded. Each task sends its sums, whatever its rows."""
 
-    It starts from START_ROUNDS rounds over START_TEXTS of the texts, a fixed bound.
-    """
+    def run(batches):
+        total = np.zeros(size)
+        for pdf in batches:
+            sequences = _sequences(pdf["classes"])
+            for p in _parts(sequences):
+                total += add([sequences[i] for i in p])
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    rows = map_pandas(encoded.select("classes"), run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    out[rows["at"]] = rows["n"]
+    return out
+
+
+def groups_of(beside: np.ndarray, weight: np.ndarray, states: int, seed: int = 5) -> np.ndarray:
+    """k-means of classes by the square roots of their shares of company (beside: classes x companions); weight: how often each class occurs."""
+    rng = np.random.default_rng(seed)
+    x = np.sqrt(beside / np.maximum(beside.sum(1, keepdims=True), 1.0))
+    weight = weight * (beside.sum(1) > 0)
+    if not weight.sum():
+        return np.arange(len(x)) % states
+    centre = x[[int(weight.argmax())]]
+    for _ in range(states - 1):
+        far = ((x[:, None, :] - centre) ** 2).sum(2).min(1) * weight
+        chosen = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else int(weight.argmax())
+        centre = np.concatenate((centre, x[[chosen]]))
+    for _ in range(20):
+        group = ((x[:, None, :] - centre) ** 2).sum(2).argmin(1)
+        for k in range(states):
+            if weight[group == k].sum() > 0:
+                centre[k] = np.average(x[group == k], axis=0, weights=weight[group == k])
+    return group
+
+
+def train(encoded: DataFrame, totals: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
+    """Baum-Welch over the column classes of all rows of encoded."""
     spark = encoded.sparkSession
-    model = Hmm.first(totals, states)
-    some = _sequences(hash_sample(encoded, START_TEXTS, encoded.count(), "doc_id").orderBy("doc_id", "classes").select("classes").toPandas()["classes"])
-    for _ in range(START_ROUNDS if some else 0):
-        sums = [model.expect([some[i] for i in p]) for p in _parts(some)]
-        model = Hmm.of_counts(*[sum(x) for x in zip(*sums, strict=True)])
+    kinds = len(totals)
+
+    def company(sequences: list[np.ndarray]) -> np.ndarray:
+        # The most frequent classes come first, for classes of their own are in order of their counts.
+        flat = np.concatenate(sequences).astype(np.int64)
+        text = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+        out = np.zeros(kinds * 2 * BESIDE)
+        for far in range(1, NEAR + 1):
+            same = text[far:] == text[:-far]
+            a, b = flat[:-far][same], flat[far:][same]
+            before, after = a < BESIDE, b < BESIDE
+            out += np.bincount(np.concatenate((b[before] * 2 * BESIDE + a[before], a[after] * 2 * BESIDE + BESIDE + b[after])), minlength=len(out))
+        return out
+
+    beside = _summed(encoded, kinds * 2 * BESIDE, company).reshape(kinds, 2 * BESIDE)
+    model = Hmm.first(totals, groups_of(beside, totals, states), states)
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            total = [np.zeros(states), np.zeros((states, states)), np.zeros(shared.value.emit.shape)]
-            for pdf in batches:
-                sequences = _sequences(pdf["classes"])
-                for p in _parts(sequences):
-                    total = [a + b for a, b in zip(total, shared.value.expect([sequences[i] for i in p]), strict=True)]
-            flat = np.concatenate([x.ravel() for x in total])
-            at = np.flatnonzero(flat)
-            yield pd.DataFrame({"at": at, "n": flat[at]})
-
-        rows = encoded.select("classes").mapInPandas(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        flat = np.zeros(states + states * states + model.emit.size)
-        flat[rows["at"]] = rows["n"]
+        flat = _summed(encoded, states + states * states + model.emit.size, lambda seqs, shared=shared: np.concatenate([x.ravel() for x in shared.value.expect(seqs)]))
         model = Hmm.of_counts(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(model.emit.shape))
     return model
 
@@ -270,7 +303,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(training, F.lit(False)).alias("training"), "text")
     schema = "uid long, doc_id long, training boolean, classes binary, n_tokens long, seen long, log_c double, log_below double, rare array<string>, times array<int>"
-    encoded = write_shared(rows.mapInPandas(encode, schema), "encoded")
+    encoded = write_shared(map_pandas(rows, encode, schema), "encoded")
 
     # 2. The states, from all training texts.
     model = spark.sparkContext.broadcast(train(encoded.where("training"), class_n))
@@ -290,7 +323,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             yield pdf.drop(columns="classes").assign(log_states=log / np.log(10.0))
 
     lighter = "uid long, doc_id long, n_tokens long, seen long, log_c double, log_below double, log_states double"
-    scored = encoded.select("uid", "doc_id", "classes", "n_tokens", "seen", "log_c", "log_below").mapInPandas(forward, lighter)
+    scored = map_pandas(encoded.select("uid", "doc_id", "classes", "n_tokens", "seen", "log_c", "log_below"), forward, lighter)
     log_all = F.col("log_c") + F.coalesce("rare_log", F.lit(0.0))
     return scored.join(looked, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("seen") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"), F.lit(int(n_train)).cast("bigint").alias("train_tokens"),
