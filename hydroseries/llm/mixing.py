@@ -20,6 +20,8 @@ from .common import free_name
 PART = 16.0
 #: Terms of a part's distribution: beyond them less than 1e-16 of the mass is left at a mean of PART.
 TERMS = 64
+#: Copies that one row of a heavily repeated document gives out.
+CHUNK = 64
 #: Rates that may be broadcast: TERMS numbers and a name each, a few MB.
 FEW = 4096
 
@@ -46,7 +48,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """The replicated documents in a random order, and the names of the columns copy number and rate.
 
     The one large shuffle is the global one that is asked for. Rates are one row a source, and they are broadcast only after a count has
-    shown that there are FEW at most; else the join is a shuffle, in which Spark splits a hot source.
+    shown that there are FEW at most; else the join is a shuffle, in which Spark splits a hot source. Documents of sources with a rate
+    above PART are first dealt out in rows of CHUNK copies, so that a document of a tiny source is not repeated by one task.
     """
     copy, rate, key = (free_name(docs, x) for x in ("copy_no", "mix_rate", "_mix_key"))
     rates = repetition_rates(docs, weights, total, source)
@@ -60,6 +63,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
         lambda acc: acc["cdf"],
     )
     rates = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias(rate), parts.alias("_mix_parts"), cdf.alias("_mix_cdf"))
+    heavy = rates.where(F.col("_mix_parts") > 1)
     if rates.limit(FEW + 1).count() <= FEW:
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -71,6 +75,13 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
             lambda n, u: n + F.size(F.filter("_mix_cdf", lambda c: u >= c)),
         ),
     )
-    copies = drawn.where(F.col("_mix_count") > 0).select(*docs.columns, rate, F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias(copy))
+    drawn = drawn.where(F.col("_mix_count") > 0)
+    copies = drawn.where(F.col("_mix_parts") == 1).select("*", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias(copy))
+    if not heavy.isEmpty():
+        chunks = drawn.where(F.col("_mix_parts") > 1).withColumn("_mix_chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_mix_count") / CHUNK).cast("int") - 1)))
+        dealt = chunks.repartition(F.md5(F.concat_ws("|", ident, F.col("_mix_chunk").cast("string")).cast("binary")))
+        last = F.least(F.col("_mix_count"), (F.col("_mix_chunk") + 1) * CHUNK)
+        copies = copies.unionByName(dealt.select("*", F.explode(F.sequence(F.col("_mix_chunk") * CHUNK + 1, last)).alias(copy)).drop("_mix_chunk"))
+    copies = copies.select(*[F.col(f"`{c}`") for c in docs.columns], rate, copy)
     shuffled = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), ident, F.col(copy).cast("string")).cast("binary")))
     return shuffled.repartition(F.col(key)).sortWithinPartitions(key).drop(key), copy, rate
