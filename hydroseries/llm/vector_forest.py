@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: a forest of random-projection trees, searched through one shared priority queue, then exact reranking.
 
 The trees are grown on a bounded sample; every vector is then filed in its leaf of each tree. A query walks all trees at once: one
-queue holds the branches not taken, nearest splitting plane first, and gives the leaves to visit until they hold enough vectors. Leaves
-and queries meet in a join, and candidates are reranked by exact cosine in double precision on the original vectors.
+queue holds the branches not taken, least squared distance to the planes crossed first, and gives the leaves to visit until that gap
+exceeds a bound. The bound is fitted to a recall: of PROBES vectors of the sample, the share `recall` of their true nearest ones in it lies
+in leaves within it. So clustered vectors take few visits, and those without clusters as many as they need, at any size. Leaves and queries
+meet by leaf, and candidates are reranked by exact cosine in double precision on the original vectors.
 
 Copies of a vector are one entry: with ties going to the smaller id, only the k + 1 smallest ids of a vector can be among k nearest.
 
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import write_shared
+from .common import map_pandas, write_shared
 
 #: Vectors that the trees are grown on, at most.
 SAMPLE = 100_000
+#: Vectors of the sample whose nearest ones are sought exactly, to fit the bound.
+PROBES = 256
 
 
 @dataclass
@@ -73,23 +77,56 @@ def grow(x: np.ndarray, leaf: float, rng: np.random.Generator) -> Tree:
     return Tree(np.array(normal).reshape(-1, x.shape[1]), np.array(offset), np.array(child, np.int64).reshape(-1, 2))
 
 
-def search_leaves(trees: list[Tree], x: np.ndarray, visits: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the first visits leaves over all trees in one queue: least squared distance to the planes crossed first."""
+def search_leaves(trees: list[Tree], x: np.ndarray, bound: float) -> list[tuple[int, int]]:
+    """(tree, leaf) of all leaves over all trees in one queue, least squared distance to the planes crossed first, until it exceeds the bound."""
     at = [t.normal @ x - t.offset for t in trees]
     queue = [(0.0, k, 0 if len(t.offset) else -1) for k, t in enumerate(trees)]
     heapq.heapify(queue)
     out = []
-    while queue and len(out) < visits:
+    while queue and queue[0][0] <= bound:
         gap, k, node = heapq.heappop(queue)
         while node >= 0:
             d = at[k][node]
             side = int(d > 0)
-            heapq.heappush(queue, (gap + d * d, k, int(trees[k].child[node, 1 - side])))
+            if gap + d * d <= bound:
+                heapq.heappush(queue, (gap + d * d, k, int(trees[k].child[node, 1 - side])))
             node = int(trees[k].child[node, side])
         out.append((k, ~node))
     return out
 
 
+def leaf_gaps(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """For each row of x and each leaf, the squared distance to the planes crossed on the way to it."""
+    out = np.zeros((len(tree.offset) + 1, len(x)))
+    gap = np.zeros((len(tree.offset), len(x)))
+    for i, (normal, offset, child) in enumerate(zip(tree.normal, tree.offset, tree.child.tolist(), strict=True)):  # a node comes before its children
+        d = x @ normal - offset
+        for side, c in enumerate(child):
+            way = gap[i] + np.where((d > 0) == bool(side), 0.0, d * d)
+            if c >= 0:
+                gap[c] = way
+            else:
+                out[~c] = way
+    return out.T
+
+
+def fitted_bound(trees: list[Tree], sample: np.ndarray, k: int, recall: float) -> float:
+    """The gap within which the share recall of the k nearest others of some rows of the sample lie, in the best tree for each."""
+    n = len(sample)
+    probes = np.unique(np.linspace(0, n - 1, min(PROBES, n)).astype(np.int64))
+    k = min(k, n - 1)
+    if k < 1:
+        return 0.0
+    nearest = []
+    for part in np.array_split(probes, len(probes) // 32 + 1):
+        near = sample[part] @ sample.T
+        near[np.arange(len(part)), part] = -np.inf
+        nearest.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
+    nearest = np.concatenate(nearest)
+    gaps = [leaf_gaps(t, sample[probes])[np.arange(len(probes))[:, None], t.leaf_of(sample)[nearest]] for t in trees]
+    return float(np.quantile(np.minimum.reduce(gaps), recall, method="higher"))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v (array<double>): the vectors that take part, of the most frequent length."""
     v = F.col(vec_col).cast("array<double>")
@@ -135,12 +172,11 @@ class _Tops:
         return pd.DataFrame(out, columns=["query", "entry", "score"])
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 4, share: float = 0.3, least_visits: int = 64, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 4, recall: float = 0.96, seed: int = 11) -> DataFrame:
     """query_id, rank, id, score: the k vectors found nearest by cosine to each query; is_query: a condition on the id as a column `id`.
 
     A tree has about as many leaves as a leaf has vectors, the root of the table's size, so a leaf fits in a task at any size.
-    share is the part of all leaves that a query may visit: vectors without clusters need a fixed share for a fixed recall, and
-    clustered ones less. A query meets a leaf's vectors where the leaf is, and a task gives out only its best k + 1 for each query.
+    recall is what the bound to a query's walk is fitted to. A query meets a leaf's vectors where the leaf is, and a task gives out only its best k + 1 for each query.
     Only the sample (SAMPLE vectors) and counts come to the driver.
     """
     spark = vectors.sparkSession
@@ -153,8 +189,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     sample = unit_rows(chosen.select("v").toPandas()["v"]) if n > SAMPLE else unit_rows(distinct.select("v").toPandas()["v"])
     rng = np.random.default_rng(seed)
     leaf = max(32.0, math.sqrt(n)) * len(sample) / n
-    forest = spark.sparkContext.broadcast([grow(sample, max(1.0, leaf), rng) for _ in range(trees)])
-    visits = max(least_visits, math.ceil(share * sum(len(t.offset) + 1 for t in forest.value)))
+    grown = [grow(sample, max(1.0, leaf), rng) for _ in range(trees)]
+    forest = spark.sparkContext.broadcast(grown)
+    bound = fitted_bound(grown, sample, k, recall)
     filed = "tree long, leaf long, asks boolean, entry long, v array<double>"
 
     def file(batches):
@@ -167,7 +204,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     def visit(batches):
         for pdf in batches:
             for entry, x in zip(pdf["entry"], unit_rows(pdf["v"]) if len(pdf) else (), strict=True):
-                found = search_leaves(forest.value, x, visits)
+                found = search_leaves(forest.value, x, bound)
                 yield pd.DataFrame({"tree": [a for a, _ in found], "leaf": [b for _, b in found], "asks": True, "entry": entry, "v": [x] * len(found)})
 
     def score(batches):
@@ -192,9 +229,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
                 yield tops.rows()
         yield tops.rows()
 
-    placed = distinct.select("v", "entry").mapInPandas(file, filed).union(distinct.where("asks").select("v", "entry").mapInPandas(visit, filed))
+    placed = map_pandas(distinct.select("v", "entry"), file, filed).union(map_pandas(distinct.where("asks").select("v", "entry"), visit, filed))
     placed = placed.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "asks")
-    scored = placed.mapInPandas(score, "query long, entry long, score double").dropDuplicates(["query", "entry"])
+    scored = map_pandas(placed, score, "query long, entry long, score double").dropDuplicates(["query", "entry"])
     # The k + 1 best entries of a query hold its k best other vectors, for one of the entries may be the query alone.
     best = scored.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k + 1).drop("r")
     first = own.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r").join(distinct.select("v", "entry"), "v").select("entry", "id")
