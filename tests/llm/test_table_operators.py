@@ -113,6 +113,14 @@ def test_mixing_hits_its_targets(spark, make):
     assert abs(heavy.mean() - 50) < 1.5 and abs(heavy.var() - 50) < 12
 
 
+def test_a_tiny_source_is_dealt_out(spark, make):
+    rows = [(1, "x" * 100_000, "aa", "tiny"), (2, "y", "aa", "tiny")] + [(i, "z", "aa", "big") for i in range(10, 3010)]
+    out, copy, _ = mixing.poisson_mix(make(rows))
+    n = {r.doc_id: (r["count"], r.low, r.high, r.kinds) for r in out.where("source = 'tiny'").groupBy("doc_id").agg(F.count("*").alias("count"), F.min(copy).alias("low"), F.max(copy).alias("high"), F.count_distinct(copy).alias("kinds")).collect()}
+    assert sum(k for k, *_ in n.values()) == pytest.approx(1501, abs=160)
+    assert all(low == 1 and high == kinds == k for k, low, high, kinds in n.values())
+
+
 def test_mixing_edges(spark, make, none, corpus):
     assert mixing.poisson_mix(none)[0].count() == 0
     docs = make([(None, None, None, None), (None, None, None, None), (1, "", "aa", "s")]).withColumn("COPY_NO", F.lit("x"))
@@ -164,6 +172,60 @@ def test_mined_rules_match_by_their_items(spark):
     assert {r.k: r.label for r in url_rules.match_rules(urls, rules, "k").collect()} == {1: "block", 2: "allow"}
 
 
+def plain_verdicts(urls, min_support=0.005, min_confidence=0.8):
+    """Rules mined by enumeration of all item sets, pruned, and matched one by one. Sums and shares are exact in both."""
+    import itertools
+    import math
+    import re
+
+    def items(url):
+        host, path = verdict(url)[:2]
+        rest = (url or "").split("://", 1)[-1] if "://" in (url or "") else (url or "")
+        query = rest.split("#")[0].partition("?")[2]
+        out = ["h:" + x for x in host.split(".")] + ["p:" + re.sub(r"\d+", "0", x) for x in re.split("[^a-z0-9]+", path.translate(brute.LOWER))] + ["q:" + x.partition("=")[0] for x in query.split("&")]
+        return frozenset(x for x in out if len(x) > 2)
+
+    told = [(items(u), *verdict(u)[2:]) for u in urls]
+    labelled = [(x, v) for x, r, v in told if r]
+    least = math.ceil(min_support * len(labelled))
+    n, by = {}, {}
+    for x, v in labelled:
+        for k in range(1, len(x) + 1):
+            for c in itertools.combinations(sorted(x), k):
+                n[c] = n.get(c, 0) + 1
+                by[c, v] = by.get((c, v), 0) + 1
+    rules = {(c, v): (m / n[c], m / len(labelled)) for (c, v), m in by.items() if m >= least and m / n[c] >= min_confidence}
+    kept = {(c, v): x for (c, v), x in rules.items() if not any(rules.get((d, v), (0,))[0] >= x[0] for k in range(1, len(c)) for d in itertools.combinations(c, k))}
+    out = []
+    for x, r, v in told:
+        met = [(figures, label) for (c, label), figures in kept.items() if x.issuperset(c)]
+        out.append({v} if r else {label for figures, label in met if figures == max(met)[0]} or {"allow"})
+    return out
+
+
+def test_mined_verdicts_equal_plain_mining(spark):
+    rng = random.Random(31)
+    urls = [f"https://{rng.choice(['shop', 'news', 'www', 'a.b'])}.{rng.choice(['example.com', 'example.net', 'x.net', 'y.org', 'z.io', 'w.org'])}/{rng.choice(['de', 'en', 'fr', 'it'])}/{rng.choice(['buy', 'read', 'ad'])}/{rng.randint(1, 99)}{rng.choice(['', '?id=3', '?ref=1&ad=2'])}" for _ in range(220)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, queries.URL_RULES).collect()}
+    want = plain_verdicts(urls)
+    assert all(out[i] in w for i, w in enumerate(want))
+    assert sum(len(w) == 1 for w in want) > 180 and len({next(iter(w)) for w in want}) == 2
+
+
+def test_long_urls_do_not_widen_mining(spark):
+    common = "/".join(f"part{chr(97 + i)}" for i in range(26))
+    urls = [f"https://h{i % 3}.example.com/de/{common}/{i}" for i in range(60)] + [f"https://other.io/{common}/{i}" for i in range(5)] + ["https://x.io/" + "y/" * 50_000, f"https://other.io/{common}?" + "q=1&" * 20_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = [r.verdict for r in url_rules.judge_urls(pages, queries.URL_RULES).orderBy("page_id").collect()]
+    assert out[:65] == ["block"] * 65 and out[65] == "allow" and out[66] == "block"
+
+
+def test_equal_rules_go_to_the_last_label(spark):
+    rules = spark.createDataFrame([(["a"], "allow", 0.9, 0.5), (["b"], "block", 0.9, 0.5)], "items array<string>, label string, confidence double, support double")
+    assert url_rules.match_rules(spark.createDataFrame([(1, ["a", "b"])], "k long, items array<string>"), rules, "k").first().label == "block"
+
+
 def test_url_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge_urls(empty, queries.URL_RULES).count() == 0
@@ -205,6 +267,36 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[100]] == [0, 101, 102, 103, 104] and [i for _, i, _ in got[0]] == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_on_the_table_with_the_shipped_bound(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toPandas()
+    x = np.stack(rows["v"].to_numpy())
+    ids = rows["vec_id"].tolist()
+    asked = [i for i in ids if i % 50 == 0]
+    want = exact(ids, x, asked)
+    got = {}
+    for r in vector_forest.nearest(table, F.col("id") % 50 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    recall = sum(len(got[q] & {i for i, _ in want[q]}) for q in asked) / (5 * len(asked))
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_bound_follows_the_clusters():
+    rng = np.random.default_rng(17)
+    loose = rng.normal(size=(2000, 16))
+    tight = 0.02 * rng.normal(size=(2000, 16)) + rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)]
+    share = []
+    for x in (vector_forest.unit_rows(loose), vector_forest.unit_rows(tight)):
+        trees = [vector_forest.grow(x, 45.0, rng) for _ in range(4)]
+        bound = vector_forest.fitted_bound(trees, x, 5, 0.95)
+        share.append(np.mean([len(vector_forest.search_leaves(trees, q, bound)) for q in x[:100]]) / sum(len(t.offset) + 1 for t in trees))
+        gaps = vector_forest.leaf_gaps(trees[0], x[:5])
+        assert all(sorted(np.flatnonzero(g <= bound).tolist()) == sorted(leaf for _, leaf in vector_forest.search_leaves(trees[:1], q, bound)) for g, q in zip(gaps, x[:5], strict=True))
+    assert share[1] < 0.2 * share[0]
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1e200, 1e200]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [1e200, 1e200])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))

@@ -59,9 +59,125 @@ def test_language_edges(spark, make, none, corpus):
     assert clash.columns.count("lang_pred") == 1 and clash.count() == 2 and clash.first().lang_pred in ("aa", "bb")
 
 
+def plain_language(train, texts, switch=12.0):
+    """Trigram scores, scripts, and Viterbi by plain loops; the trigrams' buckets are the operator's."""
+    import math
+    import unicodedata
+
+    def words(text):
+        out, at = [], 0
+        inside = lambda c: c.isalpha() or unicodedata.category(c)[0] == "M" or c in "\u200c\u200d"
+        while at < len(text):
+            end = at
+            while end < len(text) and inside(text[end]):
+                end += 1
+            if end > at and any(c.isalpha() for c in text[at:end]):
+                out.append(text[at:end])
+            at = max(end, at + 1)
+        return out
+
+    def low(c):
+        return c.lower() if c.isalpha() and len(c.lower()) == 1 else c
+
+    def trigrams(word):
+        w = [0, *[ord(low(c)) for c in word], 0]
+        m = (1 << 64) - 1
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & m
+            h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & m
+            yield (h >> 40) % language_id.BUCKETS
+
+    script = lambda w: next((n for n, r in language_id.SCRIPTS.items() if any(a <= ord(w[0]) <= b for a, b in r)), None)
+    langs = sorted({x for _, x in train})
+    n = {x: {} for x in langs}
+    used = {x: {} for x in langs}
+    for text, x in train:
+        for w in words(text):
+            used[x][script(w)] = used[x].get(script(w), 0) + len(w)
+            for t in trigrams(w):
+                n[x][t] = n[x].get(t, 0) + 1
+    total = {x: sum(n[x].values()) + 0.5 * language_id.BUCKETS for x in langs}
+    allowed = {x: {s for s, k in used[x].items() if k > 0.001 * sum(used[x].values())} for x in langs}
+    known = set().union(*allowed.values())
+    out = []
+    for text in texts:
+        ws = words(text)
+        score = [[sum(math.log((n[x].get(t, 0) + 0.5) / total[x]) for t in trigrams(w)) + (0 if script(w) in allowed[x] or script(w) not in known else -40.0 * len(w)) for x in langs] for w in ws]
+        if not ws:
+            out.append("und")
+            continue
+        v, back = list(score[0]), []
+        for row in score[1:]:
+            come = [max(range(len(langs)), key=lambda j, k=k: (v[j] - switch * (j != k), -j)) for k in range(len(langs))]
+            v = [v[come[k]] - switch * (come[k] != k) + row[k] for k in range(len(langs))]
+            back.append(come)
+        path = [max(range(len(langs)), key=lambda k: (v[k], -k))]
+        for come in reversed(back):
+            path.append(come[path[-1]])
+        share = [sum(len(w) for w, k in zip(ws, reversed(path), strict=True) if k == j) for j in range(len(langs))]
+        out.append(langs[max(range(len(langs)), key=lambda k: (share[k], -k))])
+    return out
+
+
+def test_labels_equal_plain_version(spark, corpus, make):
+    rows = [r for r in corpus if r[0] < 60]
+    model = language_id.train(make(rows))
+    texts = [t for _, t, _, _ in corpus if t and len(t) < 5000] + ["नमस्ते दुनिया", "abc déf ж", "ab1cd", "a\u0301b"]
+    want = plain_language([(t, x) for _, t, x, _ in rows if t and x], texts)
+    assert [x[0] for x in model.label(texts)] == want
+
+
+def test_marks_are_part_of_words():
+    for text, n in (("नमस्ते सुंदर दुनिया", 3), ("আমার সোনার বাংলা", 3), ("வணக்கம் உலகம்", 2), ("నమస్కారం ప్రపంచం", 2), ("สวัสดี ชาวโลก", 2), ("می\u200cخواهم برو", 2), ("e\u0301te\u0301 \u0301 a", 2), ("\u0301\u0302", 0)):
+        assert len(language_id.words_of([text], 1 << 16).start) == n, text
+
+
+def test_equal_scores_go_to_the_first_name(spark, make):
+    model = language_id.train(make([(1, "same words", "zz", None), (2, "same words", "aa", None)]))
+    assert model.label(["same words"])[0][0] == "aa"
+
+
 # Fingerprints.
 
 
+def plain_fingerprint(text):
+    """The walk character by character, its steps one by one."""
+    rng = np.random.default_rng(20240601)
+    bits = rng.integers(0, 2, (251, 1024), dtype=np.int64)
+    bits[:, -1] |= bits.sum(1) == 0
+    at = t = 0
+    stood = []
+    while at < len(text):
+        stood.append(ord(text[at]))
+        at += int(bits[ord(text[at]) % 251, t % 1024])
+        t += 1
+    if not stood:
+        return "0" * 64
+    top, chain = np.full(256, float(1 << 40)), []
+    for _ in range(96):
+        top = np.floor(rng.random(256) * top)
+        chain.append(top.astype(int))
+    m, out = (1 << 64) - 1, []
+    for slot in range(256):
+        step = next(int(c[slot]) for c in chain if c[slot] < len(stood))
+        h = stood[step] * 256 + slot
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & m
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m
+        out.append((h ^ h >> 31) >> 33 & 1)
+    return np.packbits(np.array(out, np.uint8)).tobytes().hex()
+
+
+def test_fingerprints_and_likeness_equal_plain_version(spark, corpus, corpus_dir):
+    rows = sorted([(i, t or "") for i, t, _, _ in corpus], reverse=True)
+    got = {r.doc_id: r for r in queries.op2_edit_embedding(spark, corpus_dir).collect()}
+    like = lambda a, b: max(0.0, 2 * (256 - bin(int(a, 16) ^ int(b, 16)).count("1")) / 256 - 1)
+    for k, (i, text) in enumerate(rows):
+        following, n = rows[(k + 1) % len(rows)][1], len(text) // 3
+        own, new = plain_fingerprint(text), plain_fingerprint(text[: len(text) - n] + following[:n])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, new)
+        assert got[i].near_edited == pytest.approx(like(own, new)) and got[i].near_next == pytest.approx(like(own, plain_fingerprint(following)))
+
+
 def test_edited_texts_and_likeness(spark, corpus, corpus_dir):
     got = {r.doc_id: r for r in queries.op2_edit_embedding(spark, corpus_dir).collect()}
     want = brute.edited([(i, t) for i, t, _, _ in corpus])
