@@ -34,8 +34,8 @@ SEED = 42
 ROWS, PAIRS = 1 << 16, 1 << 17
 #: Characters of text that are worked on at once.
 CHARACTERS = 1 << 20
-#: Rows of a shard among which a nearest one is sought.
-NEAR = 1024
+#: Rows of a shard among which a row's nearest ones are sought, and how many of these it names there.
+NEAR, NEAREST = 1024, 2
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -307,7 +307,7 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
 
 
 def nearest_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
-    """src, dst, d: for each fingerprint and shard, the nearest other one within the radius, ties to the smaller id, from fp_id and lanes.
+    """src, dst, d: for each fingerprint and shard, the NEAREST nearest others within the radius, ties to the smaller id, from fp_id and lanes.
 
     A shard of more than NEAR rows is sorted by its fingerprints and searched in runs of NEAR rows, so work and output grow with the
     rows, however many near copies one shard holds; the same two meet in other tables again.
@@ -328,7 +328,8 @@ def nearest_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
                 a, b = forest.search(rows, scheme.radius)
                 d = _distance(lanes[a], lanes[b])
                 best = np.lexsort((ids[b], d, a))
-                best = best[np.concatenate(([True], np.diff(a[best]) != 0))] if len(best) else best
+                # Of each asking row the first few.
+                best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < NEAREST]
                 yield pd.DataFrame({"src": ids[a[best]], "dst": ids[b[best]], "d": d[best]})
 
     return map_pandas(_shards(distinct, scheme, ["fp_id"]), run, "src long, dst long, d long").distinct()
@@ -464,7 +465,7 @@ def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle
     """fp_id, component_id: the smallest (doc_id, text_id, uid) of the component by verified links, and rows, for each distinct set.
 
     fps: uid, doc_id, text_id, fp_id, lanes, shingles (of short sets); texts: uid, text, bucketed by uid, from which the sets of candidates
-    are made anew, one text a set. Candidates are each set's nearest one in each of its shards. In rounds, each set tries its nearest
+    are made anew, one text a set. Candidates are each set's nearest ones in each of its shards. In rounds, each set tries its nearest
     candidates that are not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
     """
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
@@ -478,7 +479,7 @@ def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle
     while True:
         of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("src", "dst")}
         apart = left.join(of["src"], "src", "left").join(of["dst"], "dst", "left").where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
-        # A set has as many candidates as tables at most.
+        # A set has at most NEAREST candidates a table.
         ranked = write_shared(apart.select("src", "dst", "d", (F.row_number().over(W.partitionBy("src").orderBy("d", "dst")) <= most).alias("now")), "candidates")
         pairs = ranked.where("now").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
         found = write_shared(verified(pairs, sets, similarity), "verified")
