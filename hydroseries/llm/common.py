@@ -83,10 +83,12 @@ def write_bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Buckets are written by the partitions that hash to them, one file each. Only a catalog knows of buckets, so the files have a name there for a moment.
     known = f"hydroseries_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", new_table(spark, name)).saveAsTable(known)
-    table = spark.table(known)
-    table.schema  # resolved now
-    spark.sql(f"DROP TABLE {known}")  # the files stay
+    try:
+        df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", new_table(spark, name)).saveAsTable(known)
+        table = spark.table(known)
+        table.schema  # resolved now
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {known}")  # the files stay
     return table
 
 
@@ -174,7 +176,7 @@ class FlatWords:
     #: Bytes that are hashed at once.
     CHUNK = 1 << 19
 
-    def __init__(self, joined: list[bytes]):
+    def __init__(self, joined: list[bytes], chunk: int = CHUNK):
         self.buffer = b"\n".join(joined) + b"\n"
         raw = np.frombuffer(self.buffer, np.uint8)
         space = np.flatnonzero((raw == 32) | (raw == 10))
@@ -184,7 +186,7 @@ class FlatWords:
         lengths = np.fromiter((len(x) for x in joined), np.int64, len(joined))
         self.first = np.searchsorted(self.start, np.concatenate(([0], np.cumsum(lengths + 1))))
         self.hash = np.empty(len(self.start), np.uint64)
-        cut = [0, *(np.flatnonzero(np.diff(self.end // self.CHUNK)) + 1).tolist(), len(self.start)]
+        cut = [0, *(np.flatnonzero(np.diff(self.end // chunk)) + 1).tolist(), len(self.start)]
         for a, b in zip(cut, cut[1:], strict=False):
             if a < b:
                 self.hash[a:b] = self._hashed(raw[self.start[a] : self.end[b - 1]], self.start[a:b] - self.start[a], self.end[a:b] - self.start[a:b])
@@ -194,8 +196,8 @@ class FlatWords:
         powers = np.full(int(place.max()) + 1, self.BASE)
         powers[0] = 1
         with np.errstate(over="ignore"):
-            # The space after a word counts as zero.
-            return mix(np.add.reduceat(np.where(raw == 32, 0, raw + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64)[place], start))
+            # What follows a word, a space or the end of its text, counts as zero, so that a word's hash is that of its bytes alone.
+            return mix(np.add.reduceat(np.where((raw == 32) | (raw == 10), 0, raw + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64)[place], start))
 
     def grams(self, n: int) -> np.ndarray:
         """A mixed 64-bit hash of each n consecutive words; equal words have equal hashes."""

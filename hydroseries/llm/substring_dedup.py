@@ -53,9 +53,9 @@ def _joined(text: str) -> bytes:
 
 
 class _Windows:
-    """The minimiser runs of some texts: stretches of consecutive windows of one text that share a minimiser, of STRETCH windows at most."""
+    """The minimiser runs of some texts: stretches of consecutive windows of one text that share a minimiser, of longest windows at most."""
 
-    def __init__(self, texts: list[str], window: int):
+    def __init__(self, texts: list[str], window: int, longest: int):
         self.words = w = FlatWords([_joined(t) for t in texts])
         n = np.diff(w.first)
         grams = len(w.start) - GRAM + 1
@@ -77,21 +77,21 @@ class _Windows:
         new = np.concatenate(([True], (np.diff(value) != 0) | (np.diff(text) != 0)))
         first = np.flatnonzero(new)
         length = np.diff(np.concatenate((first, [len(text)])))
-        pieces = -(-length // STRETCH)
+        pieces = -(-length // longest)
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = np.repeat(first, pieces) + nth * STRETCH
+        first = np.repeat(first, pieces) + nth * longest
         self.run_text, self.run_start, self.run_hash = text[first], at[first], value[first]
-        self.run_length = np.minimum(np.repeat(length, pieces) - nth * STRETCH, STRETCH)
+        self.run_length = np.minimum(np.repeat(length, pieces) - nth * longest, longest)
 
     def stretch(self, i: int, j: int) -> str:
         """Words i to j of all texts, both included."""
         return self.words.buffer[self.words.start[i] : self.words.end[j]].decode()
 
 
-def _blocks(pdf: pd.DataFrame):
-    """Parts of a batch with about BLOCK characters."""
+def _blocks(pdf: pd.DataFrame, block: int):
+    """Parts of a batch with about block characters."""
     size = pdf["text"].str.len().cumsum().to_numpy()
-    cut = np.flatnonzero(np.diff(size // BLOCK)) + 1
+    cut = np.flatnonzero(np.diff(size // block)) + 1
     for a, b in zip([0, *cut], [*cut, len(pdf)], strict=True):
         if b > a:
             yield pdf.iloc[a:b]
@@ -99,11 +99,12 @@ def _blocks(pdf: pd.DataFrame):
 
 def _minimisers(table: DataFrame, window: int) -> DataFrame:
     """h, uid, ord: the distinct minimisers of each text."""
+    block, longest = BLOCK, STRETCH
 
     def run(batches):
         for batch in batches:
-            for pdf in _blocks(batch):
-                w = _Windows(pdf["text"].tolist(), window)
+            for pdf in _blocks(batch, block):
+                w = _Windows(pdf["text"].tolist(), window, longest)
                 order = np.lexsort((w.run_hash, w.run_text))
                 text, h = w.run_text[order], w.run_hash[order]
                 new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, bool)
@@ -114,11 +115,12 @@ def _minimisers(table: DataFrame, window: int) -> DataFrame:
 
 def _stretches(flagged: DataFrame, window: int) -> DataFrame:
     """h, seg, uid, ord, at: candidate stretches and the word at which each starts in its text. flagged: uid, ord, text, hs, frequent."""
+    block, longest = BLOCK, STRETCH
 
     def run(batches):
         for batch in batches:
-            for pdf in _blocks(batch):
-                w = _Windows(pdf["text"].tolist(), window)
+            for pdf in _blocks(batch, block):
+                w = _Windows(pdf["text"].tolist(), window, longest)
                 cut = np.searchsorted(w.run_text, np.arange(len(pdf) + 1))
                 windows = w.words.grams(window).view(np.int64)
                 out = []
