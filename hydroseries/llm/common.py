@@ -166,6 +166,16 @@ def hash_sample(df: DataFrame, most: int, n: int, *columns: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < F.lit(int(0.9 * most / n * (1 << 40))))
 
 
+def parts(data: bytes, size: int):
+    """data in parts of about size bytes, each cut before a space, so that no word is split."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
 class FlatWords:
     """Words of many texts in one byte buffer, each with a 64-bit hash.
 

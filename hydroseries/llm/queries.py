@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, hmm, language_id, mixing, piece_lattice, simhash, substring_dedup, url_rules, vector_forest
+from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, simhash, substring_dedup, url_rules, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -133,6 +133,12 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_no FROM counted, generate_series(1, c::BIGINT) AS j(j)
 """
 
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.draw(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_edit_embedding": op2_edit_embedding,
@@ -144,5 +150,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op13_importance": op13_importance,
 }
 ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_poisson_mixing": OP10_SQL}
