@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, simhash, substring_dedup, url_rules, vector_forest
+from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, secret_scan, simhash, substring_dedup, url_rules, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -134,6 +134,13 @@ SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_n
 """
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    base = F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), base, secret_scan.spans_text(F.col("secrets")).alias("spans"), "n_random")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.draw(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
@@ -150,6 +157,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op12_secret_scan": op12_secret_scan,
     "op13_importance": op13_importance,
 }
 ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_poisson_mixing": OP10_SQL}
