@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, secret_scan, simhash, substring_dedup, url_rules, vector_forest
+from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, secret_scan, simhash, substring_dedup, url_rules, variants, vector_forest
 from .common import held_out
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
@@ -134,6 +134,11 @@ SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, j.j::INT AS copy_n
 """
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(_table(spark, sf_dir, "documents"), misspell=31)
+    return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
@@ -157,6 +162,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op11_variants": op11_variants,
     "op12_secret_scan": op12_secret_scan,
     "op13_importance": op13_importance,
 }
