@@ -32,7 +32,7 @@ from .common import map_pandas, parts, write_shared
 
 #: Characters of the words in one automaton.
 SHARD = 1 << 19
-#: Longer words are compared one by one; hashes without each of their characters would take too long.
+#: Halves are in automata by this many outer characters at most; longer rests are compared one by one, as hashes without each of their characters would take too long.
 LONG = 64
 #: A-Z become a-z, those and U+00C0 to U+00FF are letters in Latin-1; the rest, and what Latin-1 lacks, separates words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -136,7 +136,7 @@ def search_block(words: list[str], n: np.ndarray, owner: np.ndarray, scanned: np
     owners = defaultdict(list)  # of a half and side, by length
     for k in np.flatnonzero(owner).tolist():
         w, s = words[k], bool(last[k])
-        half = w[len(w) // 2 :] if s else w[: len(w) // 2]
+        half = w[len(w) // 2 :][-LONG:] if s else w[: len(w) // 2][:LONG]
         owners[halves.setdefault(half, len(halves)), s, len(w)].append(k)
     automaton = ahocorasick.Automaton()
     for half, g in halves.items():
@@ -146,11 +146,11 @@ def search_block(words: list[str], n: np.ndarray, owner: np.ndarray, scanned: np
         automaton.make_automaton()
         for k in np.flatnonzero(scanned).tolist():
             w, s = words[k], bool(last[k])
-            size = len(w)
-            for end, (g, length) in automaton.iter(w):
-                if end == size - 1 if s else end == length - 1:
+            size, seen = len(w), w[-LONG:] if s else w[:LONG]
+            for end, (g, length) in automaton.iter(seen):
+                if end == len(seen) - 1 if s else end == length - 1:
                     for own in (size - 1, size):
-                        if length == (own - own // 2 if s else own // 2):
+                        if length == min(own - own // 2 if s else own // 2, LONG):
                             hits[s, own, size].append((g, k))
     by_length = defaultdict(lambda: ([], []))
     for (g, s, size), ks in owners.items():
@@ -160,14 +160,17 @@ def search_block(words: list[str], n: np.ndarray, owner: np.ndarray, scanned: np
     who, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for (s, own, size), pairs in hits.items():
         groups, ks = by_length.get((s, own), ([], []))
-        rest = (lambda w, own=own: w[: len(w) - (own - own // 2)]) if s else (lambda w, own=own: w[own // 2 :])
+        if own - own // 2 > LONG:  # the automaton has part of the half, so whole words are compared
+            rest = lambda w: w
+        else:
+            rest = (lambda w, own=own: w[: len(w) - (own - own // 2)]) if s else (lambda w, own=own: w[own // 2 :])
         hit, js = np.array(pairs, np.int64).T
         ks = np.array(ks, np.int64)
         i, j = near_rests(np.array(groups, np.int64), [rest(words[k]) for k in ks.tolist()], hit, [rest(words[k]) for k in js.tolist()])
         i, j = ks[i], js[j]
-        if s and size > own:  # where both halves are whole, the first one tells
-            once = np.array([not words[y].startswith(words[x][: own // 2]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            i, j = i[once], j[once]
+        # The first half tells, where it is whole: each pair is met once.
+        once = np.array([words[y].startswith(words[x][: own // 2]) != s for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[once], j[once]
         who.append(j)
         other.append(i)
         if size > own:  # words of equal length find each other, a shorter one is found only

@@ -81,6 +81,8 @@ def test_near_words_equal_all_pairs(spark, monkeypatch, shard, seed):
     for w in list(n)[:100]:
         n.setdefault("aaa" + w, 2)
     long = "ab" * 60
+    longer = "".join(rng.choices("ab", k=300))
+    n |= {longer: 9, longer[:80] + "x" + longer[81:]: 2, longer[:200] + "x" + longer[201:]: 2, longer[:140] + longer[141:]: 2, longer[:149] + "xx" + longer[151:]: 2, longer[:150] + "x" + longer[150:]: 3, longer[:10] + longer[11:]: 2, "x" + longer: 90, longer + "x": 90}
     n |= {long: 50, long + "b": 3, long[:-1]: 3, "b" + long[1:]: 2, long[:70] + "x" + long[70:]: 4, long[:70] + "yy" + long[70:]: 4}
     vocabulary = spark.createDataFrame(list(n.items()), "word string, n long")
     want = plain_groups(n)
