@@ -56,6 +56,17 @@ def intermediates(spark: SparkSession):
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def remembered():
+    """Gives the list of the tables written inside; they stay."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield mine
+    finally:
+        _scopes.remove(mine)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -16,6 +16,7 @@ group, so rows of one doc_id with texts that are no near copies all stay; of row
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 import math
 from dataclasses import dataclass
@@ -34,8 +35,10 @@ SEED = 42
 ROWS, PAIRS = 1 << 16, 1 << 17
 #: Characters of text that are worked on at once.
 CHARACTERS = 1 << 20
-#: Rows of a shard among which a row's nearest ones are sought, and how many of these it names there.
+#: Rows of a shard among which a row's nearest ones are sought, and how many of these it names there, where not all links are asked for.
 NEAR, NEAREST = 1024, 2
+#: Tables of sampled bits are searched in so many passes; each pass seeks outside of the components that those before it have found.
+PASSES = 3
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -58,12 +61,17 @@ class Blocks:
 
 @dataclass(frozen=True)
 class Sampled:
-    """tables keys of width random bits each: two fingerprints at the radius share one with probability recall."""
+    """tables keys of width random bits each: two fingerprints at the radius share one with probability recall. chosen: the tables that are used, if not all."""
 
     radius: int
     bits: int
     width: int
     tables: int
+    chosen: tuple[int, ...] | None = None
+
+    def passes(self, n: int) -> list[Sampled]:
+        """The tables in n parts or fewer."""
+        return [dataclasses.replace(self, chosen=tuple(part.tolist())) for part in np.array_split(np.arange(self.tables), n) if len(part)]
 
     @classmethod
     def of(cls, radius: int, bits: int, n: int, recall: float = 0.95) -> Sampled:
@@ -85,11 +93,9 @@ class Sampled:
     def keys(self, lanes: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng(SEED)
         bit = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
-        out = np.empty((len(lanes), self.tables), np.int64)
-        for t in range(self.tables):
-            chosen = rng.permutation(self.bits)[: self.width]
-            out[:, t] = bit[:, chosen].astype(np.int64) @ (1 << np.arange(self.width)) + (t << self.width)
-        return out
+        which = [rng.permutation(self.bits)[: self.width] for _ in range(self.tables)]
+        tables = range(self.tables) if self.chosen is None else self.chosen
+        return np.stack([bit[:, which[t]].astype(np.int64) @ (1 << np.arange(self.width)) + (t << self.width) for t in tables], 1)
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -306,11 +312,12 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
     return map_pandas(_shards(distinct, scheme, []), run, "a long, b long").distinct()
 
 
-def nearest_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
-    """src, dst, d: for each fingerprint and shard, the NEAREST nearest others within the radius, ties to the smaller id, from fp_id and lanes.
+def nearest_links(distinct: DataFrame, scheme: Sampled, nearest: int | None = NEAREST) -> DataFrame:
+    """src, dst, d: for each fingerprint and shard, the nearest others of another part within the radius, so many, ties to the smaller id, from fp_id, lanes and part.
 
     A shard of more than NEAR rows is sorted by its fingerprints and searched in runs of NEAR rows, so work and output grow with the
-    rows, however many near copies one shard holds; the same two meet in other tables again.
+    rows, however many near copies one shard holds; the same two meet in other tables again. With nearest None, every link of
+    every shard is given, once: the exact way, whose work and output grow with the square of a group of near copies.
     """
 
     def run(batches):
@@ -319,20 +326,22 @@ def nearest_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
                 continue
             lanes, key = _lanes_of(frame, scheme), frame["key"].to_numpy()
             order = np.lexsort((*lanes.T[::-1], key))
-            lanes, key, ids = lanes[order], key[order], frame["fp_id"].to_numpy()[order]
+            lanes, key, ids, part = lanes[order], key[order], frame["fp_id"].to_numpy()[order], frame["part"].to_numpy()[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
             place = np.arange(len(key)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            forest = BkForest(lanes, np.cumsum(new | (place % NEAR == 0)))
+            forest = BkForest(lanes, np.cumsum(new | (place % NEAR == 0) if nearest else new))
             work = np.cumsum(forest.size[np.searchsorted(forest.first, forest.root)])
             for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(work // PAIRS)) + 1):
                 a, b = forest.search(rows, scheme.radius)
+                apart = (part[a] != part[b]) & ((ids[a] < ids[b]) | (nearest is not None))
+                a, b = a[apart], b[apart]
                 d = _distance(lanes[a], lanes[b])
                 best = np.lexsort((ids[b], d, a))
-                # Of each asking row the first few.
-                best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < NEAREST]
+                if nearest:  # of each asking row the first few
+                    best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < nearest]
                 yield pd.DataFrame({"src": ids[a[best]], "dst": ids[b[best]], "d": d[best]})
 
-    return map_pandas(_shards(distinct, scheme, ["fp_id"]), run, "src long, dst long, d long").distinct()
+    return map_pandas(_shards(distinct, scheme, ["fp_id", "part"]), run, "src long, dst long, d long").distinct()
 
 
 def _needed(similarity: float, n: int) -> int:
@@ -461,46 +470,54 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b")
 
 
-def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int) -> DataFrame:
+def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, nearest: int | None = NEAREST) -> DataFrame:
     """fp_id, component_id: the smallest (doc_id, text_id, uid) of the component by verified links, and rows, for each distinct set.
 
     fps: uid, doc_id, text_id, fp_id, lanes, shingles (of short sets); texts: uid, text, bucketed by uid, from which the sets of candidates
-    are made anew, one text a set. Candidates are each set's nearest ones in each of its shards. In rounds, each set tries its nearest
-    candidates that are not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
+    are made anew, one text a set. Candidates are each set's nearest ones in each of its shards (all links with nearest None), outside of its
+    component so far: the tables are searched in PASSES. In the rounds of a pass, each set tries its nearest candidates that are
+    not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
     """
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
-    left = write_shared(nearest_links(distinct, Sampled.at(similarity, bits, distinct.count())), "candidates")
-    ends = left.select(F.explode(F.array("src", "dst")).alias("fp_id")).distinct()
-    one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
-    sets = write_shared(shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles"), "shingle-sets")
     edges = write_shared(short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity), "verified")
     label = components(edges)
-    most = 1
-    while True:
-        of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("src", "dst")}
-        apart = left.join(of["src"], "src", "left").join(of["dst"], "dst", "left").where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
-        # A set has at most NEAREST candidates a table.
-        ranked = write_shared(apart.select("src", "dst", "d", (F.row_number().over(W.partitionBy("src").orderBy("d", "dst")) <= most).alias("now")), "candidates")
-        pairs = ranked.where("now").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-        found = write_shared(verified(pairs, sets, similarity), "verified")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            label = components(edges)
-        left, most = ranked.where("NOT now").select("src", "dst", "d"), 2 * most
-        if left.isEmpty():
-            return class_ids(distinct, label)
-
-
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256) -> DataFrame:
+    refused = None
+    for tables in Sampled.at(similarity, bits, distinct.count()).passes(PASSES):
+        parts = distinct.select("fp_id", "lanes").join(label.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("part", F.coalesce("label", "fp_id"))
+        left = nearest_links(parts, tables, nearest).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst", "d")
+        if refused is not None:
+            left = left.join(refused, ["a", "b"], "left_anti")
+        left = write_shared(left.drop("a", "b"), "candidates")
+        ends = left.select(F.explode(F.array("src", "dst")).alias("fp_id")).distinct()
+        one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
+        sets = write_shared(shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles"), "shingle-sets")
+        most = 1
+        while not left.isEmpty():
+            of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("src", "dst")}
+            apart = left.join(of["src"], "src", "left").join(of["dst"], "dst", "left").where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst"))
+            # A set has at most nearest candidates a table.
+            ranked = write_shared(apart.select("src", "dst", "d", (F.row_number().over(W.partitionBy("src").orderBy("d", "dst")) <= most).alias("now")), "candidates")
+            pairs = write_shared(ranked.where("now").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
+            found = write_shared(verified(pairs, sets, similarity), "verified")
+            if not found.isEmpty():
+                edges = edges.unionByName(found)
+                label = components(edges)
+            wrong = pairs.join(found, ["a", "b"], "left_anti")
+            refused = wrong if refused is None else refused.unionByName(wrong)
+            left, most = ranked.where("NOT now").select("src", "dst", "d"), 2 * most
+    return class_ids(distinct, label)
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, nearest: int | None = NEAREST) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest (doc_id, hash of the text); rows with a null doc_id stay.
 
     Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give
-    candidates; each link is verified on whole sets. Texts are shuffled once, by row number, and later joins shuffle numbers only.
+    candidates, nearest of each text in each shard, or with nearest None all that its shards hold; each link is verified on whole sets. Texts are shuffled once, by row number, and later joins shuffle numbers only.
     """
     rows = write_bucketed(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("doc")), "uid", "documents")
     texts = rows.where(F.col("doc.doc_id").isNotNull()).select("uid", "doc.doc_id", "doc.text")
     made = shingle_sets(texts, shingle, bits, _longest_met(similarity))
     fps = write_shared(made.join(texts.select("uid", "doc_id", F.xxhash64("text").alias("text_id")), "uid"), "doc-fingerprints")
-    found = write_shared(similar_classes(fps, texts.select("uid", "text"), similarity, shingle, bits), "classes")
+    found = write_shared(similar_classes(fps, texts.select("uid", "text"), similarity, shingle, bits, nearest), "classes")
     dropped = join_hot(fps.select("uid", "fp_id"), found, "fp_id", "rows", fps.count()).where(F.col("uid") != F.col("component_id.uid")).select("uid")
     return rows.join(dropped, "uid", "left_anti").select("doc.*")
