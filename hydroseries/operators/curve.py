@@ -1,25 +1,23 @@
-"""Area against water level: outlier cleaning, five weighted models, choice by BIC, and grading.
+"""Area against water level: outlier cleaning, weighted models (see models), choice by BIC, and grading.
 
-The two polynomial models are normal equations in sums, so they stay in Spark's aggregates; the other three are iterative, and each lake's
-few hundred observations are fitted in a grouped task.
+All models are fitted as sums over a lake's points, in Spark's aggregates; the iterative ones take rounds of them (see fitting).
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hydroseries.config import NODATA, CurveConfig
+from hydroseries.operators import fitting
+from hydroseries.operators.models import MODELS, Model, by_model
+from hydroseries.operators.selection import beside, percentiles
+from hydroseries.sources.shared import write_shared
 
-#: In the order that breaks ties, with the number of parameters.
-MODELS = {"linear": 2, "quadratic": 3, "power": 3, "exponential": 3, "logarithmic": 3}
-FLOOR = 1e-6
 MONOTONE_SLACK = -1e-10
 #: A residual sum below this share of the total one is round-off: the fit is exact.
 EXACT = 1e-12
@@ -30,9 +28,8 @@ def curve_input(series: DataFrame) -> DataFrame:
 
 
 def iqr_clean(series: DataFrame, keys: list[str], value: str, cfg: CurveConfig = CurveConfig()) -> DataFrame:
-    """Rows whose value is within the quartiles widened by iqr_factor times their distance; all rows where that is 0. One shuffle, by keys."""
-    whole = W.partitionBy(*keys)
-    q = series.withColumns({"_q1": F.percentile(value, 0.25).over(whole), "_q3": F.percentile(value, 0.75).over(whole)})
+    """Rows whose value is within the quartiles widened by iqr_factor times their distance; all rows where that is 0. A key may have any number of rows."""
+    q = beside(series, percentiles(series, keys, F.col(value), {"_q1": 0.25, "_q3": 0.75}), keys)
     iqr = F.col("_q3") - F.col("_q1")
     inside = F.col(value).between(F.col("_q1") - cfg.iqr_factor * iqr, F.col("_q3") + cfg.iqr_factor * iqr)
     return q.where((iqr == 0) | inside).drop("_q1", "_q3")
@@ -41,15 +38,16 @@ def iqr_clean(series: DataFrame, keys: list[str], value: str, cfg: CurveConfig =
 def with_sigma(series: DataFrame, keys: list[str], uncert: str = "wse_uncert") -> DataFrame:
     """Adds sigma: the uncertainty, its median over the valid ones where it is not positive, 1 if none is."""
     ok = F.when((F.col(uncert) > 0) & ~F.isnan(uncert), F.col(uncert).cast("double"))
-    return series.withColumn("sigma", F.coalesce(ok, F.median(ok).over(W.partitionBy(*keys)), F.lit(1.0)))
+    middle = beside(series, percentiles(series, keys, ok, {"_middle": 0.5}), keys, "left")
+    return middle.withColumn("sigma", F.coalesce(ok, "_middle", F.lit(1.0))).drop("_middle")
 
 
 def fit_polynomials(points: DataFrame, keys: list[str], h: str = "wse", area: str = "area", sigma: str = "sigma") -> DataFrame:
     """Weighted line and parabola of each key, in powers of h centred at its mean: h_mean, l0, l1, q0, q1, q2. A singular system gives NULL.
 
-    The centre is a window and the sums are an aggregate over the same shuffle, none if the points have met by keys.
+    Both the centre and the sums around it are partial in each task.
     """
-    centred = points.withColumn("h_mean", F.avg(h).over(W.partitionBy(*keys)))
+    centred = beside(points, points.groupBy(*keys).agg(F.avg(h).alias("h_mean")), keys)
     d, w, a = F.col(h) - F.col("h_mean"), 1.0 / (F.col(sigma) * F.col(sigma)), F.col(area)
     sums = centred.groupBy(*keys).agg(
         F.any_value("h_mean").alias("h_mean"), *[F.sum(w * F.pow(d, F.lit(float(p)))).alias(f"s{p}") for p in range(5)], *[F.sum(w * a * F.pow(d, F.lit(float(p)))).alias(f"t{p}") for p in range(3)], F.count(F.lit(1)).alias("n")
@@ -80,7 +78,7 @@ def fit_polynomials(points: DataFrame, keys: list[str], h: str = "wse", area: st
 def fit_metrics(points: DataFrame, keys: list[str], predicted: Column, n_params: int, area: str = "area") -> DataFrame:
     """n, rss, r_squared (0 without spread), bic and rmse of each key; all unweighted. No points give an infinite bic, no residual a negative one."""
     y = F.col(area)
-    both = points.withColumns({"_p": predicted, "_mean": F.avg(y).over(W.partitionBy(*keys))})
+    both = beside(points.withColumn("_p", predicted), points.groupBy(*keys).agg(F.avg(y).alias("_mean")), keys)
     sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((y - F.col("_p")) * (y - F.col("_p"))).alias("rss"), F.sum((y - F.col("_mean")) * (y - F.col("_mean"))).alias("_tot"))
     n, rss = F.col("n"), F.col("rss")
     return sums.select(
@@ -114,92 +112,6 @@ def grade(r_squared: Column, n: Column, wse_range: Column, monotonic: Column) ->
     )
 
 
-# Iterative models, for one lake.
-
-
-def predict(model: str, h: np.ndarray, p) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        if model == "linear":
-            return p[0] * h + p[1]
-        if model == "quadratic":
-            return (p[0] * h + p[1]) * h + p[2]
-        if model == "exponential":
-            return p[0] * np.exp(p[1] * (h - p[2]))
-        above = np.maximum(h - p[2 if model == "power" else 1], FLOOR)
-        return p[0] * above ** p[1] if model == "power" else p[0] * np.log(above) + p[2]
-
-
-def first_guess(model: str, h: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Slope from the ranges (1 for a range of 0), levels from the minima."""
-    span_h, span_a = float(np.ptp(h)) or 1.0, float(np.ptp(a)) or 1.0
-    slope, below = span_a / span_h, float(h.min()) - 0.1 * span_h
-    if model == "linear":
-        return np.array([slope, a.min() - slope * h.min()])
-    if model == "quadratic":
-        return np.array([0.0, slope, a.min()])
-    return np.array([slope, below, 1.0]) if model == "logarithmic" else np.array([slope, 1.0, below])
-
-
-def damped_least_squares(model: str, h: np.ndarray, a: np.ndarray, sigma: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Parameters and their covariance by Levenberg's and Marquardt's method with numeric derivatives; None if it breaks down."""
-    p = first_guess(model, h, a)
-    if model in ("linear", "quadratic"):
-        # Solved directly around the mean level, then expanded: levels are large against their range.
-        d = h - h.mean()
-        powers = np.stack([d**k for k in range(MODELS[model] - 1, -1, -1)], 1) / sigma[:, None]
-        if np.linalg.matrix_rank(powers) < powers.shape[1]:
-            return None
-        c, inverse = np.linalg.lstsq(powers, a / sigma, rcond=None)[0], np.linalg.inv(powers.T @ powers)
-        m = h.mean()
-        turn = np.array([[1, 0], [-m, 1]]) if model == "linear" else np.array([[1, 0, 0], [-2 * m, 1, 0], [m * m, -m, 1]])
-        return turn @ c, turn @ inverse @ turn.T
-
-    def residual(q):
-        return (a - predict(model, h, q)) / sigma
-
-    def slopes(q):
-        out = np.empty((len(h), len(q)))
-        for k in range(len(q)):
-            step = 1.5e-8 * max(abs(q[k]), 1e-4)
-            up = q.copy()
-            up[k] += step
-            out[:, k] = (predict(model, h, up) - predict(model, h, q)) / step / sigma
-        return out
-
-    r = residual(p)
-    cost, damping, used = float(r @ r), 1e-3, 1
-    if not np.isfinite(cost):
-        return None
-    while used < limit:
-        j = slopes(p)
-        used += len(p)
-        if not np.isfinite(j).all():
-            return None
-        gram, down = j.T @ j, j.T @ r
-        better = False
-        while damping < 1e16 and used < limit:
-            try:
-                step = np.linalg.solve(gram + damping * np.diag(np.maximum(np.diag(gram), 1e-30)), down)
-            except np.linalg.LinAlgError:
-                damping *= 10
-                continue
-            r_new = residual(p + step)
-            used += 1
-            new = float(r_new @ r_new)
-            if np.isfinite(new) and new <= cost:
-                better = True
-                break
-            damping *= 4
-        if not better:
-            break
-        gain = cost - new
-        p, r, cost, damping = p + step, r_new, new, max(damping / 9, 1e-12)
-        if gain <= 1e-12 * cost or np.abs(step).max() <= 1e-12 * np.abs(p).max():
-            break
-    covariance = np.linalg.pinv(slopes(p).T @ slopes(p))
-    return (p, covariance) if np.isfinite(p).all() else None
-
-
 CANDIDATE = T.StructType([
     T.StructField("function_type", T.StringType()), T.StructField("params", T.ArrayType(T.DoubleType())), T.StructField("param_errors", T.ArrayType(T.DoubleType())),
     T.StructField("r_squared", T.DoubleType()), T.StructField("bic", T.DoubleType()), T.StructField("rmse", T.DoubleType()), T.StructField("monotonic", T.BooleanType()),
@@ -207,41 +119,49 @@ CANDIDATE = T.StructType([
 ])
 
 
-def fit_lake(h: np.ndarray, a: np.ndarray, sigma: np.ndarray, cfg: CurveConfig) -> list[tuple]:
-    """A candidate for each model, fitted or not."""
-    out = []
-    n = len(h)
-    total = float(((a - a.mean()) ** 2).sum()) if n else 0.0
-    for i, (model, k) in enumerate(MODELS.items()):
-        found = damped_least_squares(model, h, a, sigma, cfg.max_evaluations) if n >= 2 else None
-        if found is None:
-            out.append((model, [], [], None, math.inf, math.inf, False, False, i))
-            continue
-        p, covariance = found
-        rss = float(((a - predict(model, h, p)) ** 2).sum())
-        rss = 0.0 if rss <= EXACT * total else rss
-        bic = n * math.log(rss / n) + k * math.log(n) if rss > 0 else -math.inf
-        curve = predict(model, np.linspace(h.min(), h.max(), cfg.n_curve_samples), p)
-        out.append((model, p.tolist(), np.sqrt(np.maximum(np.diag(covariance), 0)).tolist(), 1 - rss / total if total else 0.0, bic, math.sqrt(rss / n), bool((np.diff(curve) >= MONOTONE_SLACK).all()), True, i))
-    return out
+def fit_models(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig(), models: Sequence[Model] = MODELS) -> DataFrame:
+    """lake_id and models, an array of all candidates in the order of models, fitted or not.
 
+    Points without a finite level, area or positive sigma are left out; a lake of fewer than two others gets no fit. Null lakes are left out.
+    """
+    finite = F.lit(True)
+    for c in (h, area, sigma):
+        finite = finite & (F.abs(F.col(c).cast("double")) < float("inf"))
+    taken = points.where(finite & (F.col(sigma) > 0) & F.col("lake_id").isNotNull())
+    rows = taken.select(F.col("lake_id").cast("string").alias("lake_id"), *[F.col(c).cast("double").alias(x) for c, x in ((h, "h"), (area, "a"), (sigma, "sigma"))])
+    points_ = write_shared(rows.repartition(points.sparkSession.sparkContext.defaultParallelism), "points")  # evenly, for all rounds
+    ends = [f(x).alias(f"{x}_{name}") for x in ("h", "a") for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    extents = write_shared(points_.groupBy("lake_id").agg(*ends, F.count(F.lit(1)).alias("n")), "extents")
+    fits = write_shared(fitting.fit(points_, extents.where("n >= 2"), models, cfg.max_evaluations), "fits")
+
+    shown = points_.join(fits.join(extents.select("lake_id", "a_mean"), "lake_id").select("lake_id", "model", "params", "a_mean"), "lake_id")
+    predicted = by_model(models, F.col("model"), lambda m: m.curve(F.col("params"), F.col("h")))
+    off, spread = F.col("a") - predicted, F.col("a") - F.col("a_mean")
+    sums = shown.groupBy("lake_id", "model").agg(F.sum(off * off).alias("rss"), F.sum(spread * spread).alias("total"))
+    told = fits.join(sums, ["lake_id", "model"]).withColumn("rss", F.when(F.col("rss") <= EXACT * F.col("total"), 0.0).otherwise(F.col("rss")))
+
+    every = extents.crossJoin(F.broadcast(_listed(points.sparkSession, models)))  # one row a model
+    both = every.join(told, ["lake_id", "model"], "left")
+    there, n, rss = F.col("rss").isNotNull(), F.col("n"), F.col("rss")
+    samples = curve_samples(F.col("h_min"), F.col("h_max"), lambda x: by_model(models, F.col("model"), lambda m: m.curve(F.col("params"), x)), cfg.n_curve_samples)
+    none, far = F.array().cast("array<double>"), F.lit(float("inf"))
+    candidate = F.struct(
+        F.col("name").alias("function_type"), F.coalesce("params", none).alias("params"), F.coalesce("param_errors", none).alias("param_errors"),
+        F.when(F.col("total") == 0, 0.0).otherwise(1.0 - F.try_divide(rss, F.col("total"))).alias("r_squared"),
+        F.when(~there, far).when(rss <= 0, -far).otherwise(n * F.ln(rss / n) + F.col("n_params") * F.ln(n.cast("double"))).alias("bic"),
+        F.when(there, F.sqrt(rss / n)).otherwise(far).alias("rmse"), (there & F.coalesce(is_monotone(samples), F.lit(False))).alias("monotonic"), there.alias("fitted"), F.col("model").alias("reg_idx"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("model", candidate.alias("candidate"))))
+    return both.groupBy("lake_id").agg(ordered.alias("all")).select("lake_id", F.transform("all", lambda m: m["candidate"]).cast(T.ArrayType(CANDIDATE)).alias("models"))
 
-def fit_models(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig()) -> DataFrame:
-    """lake_id and models, an array of all candidates in the order of MODELS. A lake's points, one a day, are a small group, and are fitted once."""
-    names = CANDIDATE.fieldNames()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([h, area, sigma])
-        rows = fit_lake(*[pdf[c].to_numpy(np.float64) for c in (h, area, sigma)], cfg)
-        return pd.DataFrame({"lake_id": [pdf["lake_id"].iat[0]], "models": [[dict(zip(names, r, strict=True)) for r in rows]]})
 
-    schema = T.StructType([T.StructField("lake_id", T.StringType()), T.StructField("models", T.ArrayType(CANDIDATE))])
-    return points.select("lake_id", h, area, sigma).groupBy("lake_id").applyInPandas(run, schema)
+def _listed(spark, models: Sequence[Model]) -> DataFrame:
+    return spark.createDataFrame([(i, m.name, m.n_params) for i, m in enumerate(models)], "model int, name string, n_params int")
 
 
-def fit_candidates(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig()) -> DataFrame:
+def fit_candidates(points: DataFrame, h: str = "wse", area: str = "area", sigma: str = "sigma", cfg: CurveConfig = CurveConfig(), models: Sequence[Model] = MODELS) -> DataFrame:
     """lake_id and one candidate a row."""
-    return fit_models(points, h, area, sigma, cfg).select("lake_id", F.explode("models").alias("m")).select("lake_id", "m.*")
+    return fit_models(points, h, area, sigma, cfg, models).select("lake_id", F.explode("models").alias("m")).select("lake_id", "m.*")
 
 
 def best_of(models: Column) -> Column:
@@ -250,18 +170,20 @@ def best_of(models: Column) -> Column:
     return F.array_min(ranked)["model"]
 
 
-def area_level_curves(series: DataFrame, cfg: CurveConfig = CurveConfig()) -> DataFrame:
+def area_level_curves(series: DataFrame, cfg: CurveConfig = CurveConfig(), models: Sequence[Model] = MODELS) -> DataFrame:
     """One row a lake: n_obs, n_cleaned, the chosen function with its figures and grade, and all candidates. series: lake_id, wse, wse_uncert, water_area.
 
-    All steps work over one shuffle by lake, and each lake is fitted once.
+    The series is read once; its quartiles, the cleaned points and all rounds of the fits are told from tables that are written here.
     """
     keys = ["lake_id"]
-    points = curve_input(series).withColumn("area", F.col("water_area") / 1e6).withColumn("n_obs", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    clean = with_sigma(iqr_clean(points, keys, "area", cfg), keys)
-    counts = clean.groupBy(*keys).agg(F.any_value("n_obs").alias("n_obs"), F.count(F.lit(1)).alias("n_cleaned"), (F.max("wse") - F.min("wse")).alias("wse_range"), (F.max("area") - F.min("area")).alias("area_range_km2"))
+    points = curve_input(series).select("lake_id", "wse", "wse_uncert", (F.col("water_area") / 1e6).alias("area"))
+    points = write_shared(points.repartition(series.sparkSession.sparkContext.defaultParallelism), "series")  # evenly, for all passes
+    clean = write_shared(with_sigma(iqr_clean(points, keys, "area", cfg), keys).select("lake_id", "wse", "area", "sigma"), "cleaned")
+    counts = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cleaned"), (F.max("wse") - F.min("wse")).alias("wse_range"), (F.max("area") - F.min("area")).alias("area_range_km2"))
+    counts = write_shared(beside(counts, points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs")), keys), "counts")
     enough = F.col("n_cleaned") >= cfg.min_cleaned_points
-    many = clean.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_n") >= cfg.min_cleaned_points)
-    out = counts.join(fit_models(many, cfg=cfg), keys, "left").withColumn("best", best_of(F.col("models")))
+    many = beside(clean, counts.where(enough).select("lake_id"), keys, "left_semi")
+    out = beside(counts, fit_models(many, cfg=cfg, models=models), keys, "left").withColumn("best", best_of(F.col("models")))
     best, there = F.col("best"), F.coalesce(F.col("best.fitted"), F.lit(False))
     told = [c for c in CANDIDATE.fieldNames() if c not in ("reg_idx", "fitted")]
     shown = F.transform("models", lambda m: F.struct(m["reg_idx"].alias("reg_idx"), *[m[c].alias(c) for c in told]))
@@ -282,34 +204,30 @@ def run_summary(curves: DataFrame) -> DataFrame:
     return by_grade.union(by_function).orderBy("kind", F.desc("n"), "value")
 
 
-def curve_at(function: Column, p: Column, h: Column) -> Column:
+def curve_at(function: Column, p: Column, h: Column, models: Sequence[Model] = MODELS) -> Column:
     """The area of a chosen function at a level; p: its parameters."""
-    above = lambda base: F.greatest(h - base, F.lit(FLOOR))
-    return (
-        F.when(function == "linear", p[0] * h + p[1])
-        .when(function == "quadratic", (p[0] * h + p[1]) * h + p[2])
-        .when(function == "power", p[0] * F.pow(above(p[2]), p[1]))
-        .when(function == "exponential", p[0] * F.exp(p[1] * (h - p[2])))
-        .when(function == "logarithmic", p[0] * F.ln(above(p[1])) + p[2])
-    )
+    out = F.lit(None).cast("double")
+    for m in models:
+        out = F.when(function == m.name, m.curve(p, h)).otherwise(out)
+    return out
 
 
-def plot_series(series: DataFrame, curves: DataFrame, cfg: CurveConfig = CurveConfig(), n: int = 300) -> DataFrame:
+def plot_series(series: DataFrame, curves: DataFrame, cfg: CurveConfig = CurveConfig(), n: int = 300, models: Sequence[Model] = MODELS) -> DataFrame:
     """What a diagnostic plot of each lake shows: lake_id, kind (raw, cleaned or curve), wse, area (square kilometres), shown_sigma.
 
     shown_sigma, of cleaned points, is their sigma, but 1.5 % of the range of cleaned levels at least (of 1 if they have none). The curve has n even levels over that range.
     """
     keys = ["lake_id"]
     points = curve_input(series).withColumn("area", F.col("water_area") / 1e6)
-    whole = W.partitionBy(*keys)
-    clean = with_sigma(iqr_clean(points, keys, "area", cfg), keys).withColumns({"_low": F.min("wse").over(whole), "_high": F.max("wse").over(whole)})
+    tidy = write_shared(with_sigma(iqr_clean(points, keys, "area", cfg), keys).select("lake_id", "wse", "area", "sigma"), "cleaned")
+    ends = tidy.groupBy(*keys).agg(F.min("wse").alias("_low"), F.max("wse").alias("_high"))
+    clean = beside(tidy, ends, keys)
     span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
     none = F.lit(None).cast("double")
     raw = points.select("lake_id", F.lit("raw").alias("kind"), "wse", "area", none.alias("shown_sigma"))
     cleaned = clean.select("lake_id", F.lit("cleaned").alias("kind"), "wse", "area", F.greatest("sigma", span * 0.015).alias("shown_sigma"))
-    ends = clean.groupBy(*keys).agg(F.min("wse").alias("_low"), F.max("wse").alias("_high"))
     chosen = curves.where("function_type <> 'none'").select("lake_id", "function_type", F.from_json("params_json", "array<double>").alias("_p")).join(ends, keys)
     level = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_i") / F.lit(float(n - 1))
     drawn = chosen.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("wse", level)
-    drawn = drawn.select("lake_id", F.lit("curve").alias("kind"), "wse", curve_at(F.col("function_type"), F.col("_p"), F.col("wse")).alias("area"), none.alias("shown_sigma"))
+    drawn = drawn.select("lake_id", F.lit("curve").alias("kind"), "wse", curve_at(F.col("function_type"), F.col("_p"), F.col("wse"), models).alias("area"), none.alias("shown_sigma"))
     return raw.unionByName(cleaned).unionByName(drawn)
