@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hydroseries.operators.tiles import TILE, connected, enclosed
+from hydroseries.sources.shared import write_shared
+
 VERSIONS = ("PIC0", "PIC2", "PID0", "PGC0")
 
 
@@ -26,43 +27,15 @@ def version_families(files: DataFrame) -> DataFrame:
     return c.unionByName(files.where(F.col("file_version") == "PID0").withColumn("family", F.lit("D")))
 
 
-def label_cells(row: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """For each cell, the first index of its component; cells touch by their sides."""
-    if not len(row):
-        return np.zeros(0, np.int64)
-    width = int(col.max()) - int(col.min()) + 3
-    place = (row - row.min() + 1).astype(np.int64) * width + (col - col.min() + 1)
-    order = np.argsort(place, kind="stable")
-    where = place[order]
-    pairs = []
-    for step in (1, width):
-        at = np.searchsorted(where, place + step)
-        hit = (at < len(where)) & (where[np.minimum(at, len(where) - 1)] == place + step)
-        pairs.append((np.flatnonzero(hit), order[at[hit]]))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    label = np.arange(len(place))
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label != label[label]).any():
-            label = label[label]
-    return label
-
-
-def components(cells: DataFrame) -> DataFrame:
+def components(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """raster_id, row, col, component: 1 for the first component in reading order, and so on. cells: the valid ones.
 
-    A raster is a lake's window of one granule, which fits in a task.
+    A raster may be of any size: it is labelled by tiles (see tiles).
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"], ignore_index=True)
-        label = label_cells(pdf["row"].to_numpy(), pdf["col"].to_numpy())
-        return pd.DataFrame({"raster_id": pdf["raster_id"], "row": pdf["row"], "col": pdf["col"], "component": np.unique(label, return_inverse=True)[1].astype(np.int32) + 1})
-
-    return cells.select("raster_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).groupBy("raster_id").applyInPandas(run, "raster_id string, row int, col int, component int")
+    joined = connected(cells, tile)
+    first = joined.select("raster_id", "root").distinct()
+    numbers = first.withColumn("component", F.row_number().over(W.partitionBy("raster_id").orderBy("root")))
+    return joined.join(numbers, ["raster_id", "root"]).select(F.col("raster_id").cast("string").alias("raster_id"), "row", "col", "component")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -77,19 +50,10 @@ def fill_ratio(cells: DataFrame) -> DataFrame:
     return box.withColumn("fill_ratio", F.col("n_valid") / (F.col("height") * F.col("width")))
 
 
-def continuity(cells: DataFrame, top: int = 5) -> DataFrame:
+def continuity(cells: DataFrame, top: int = 5, tile: int = TILE) -> DataFrame:
     """n_components, the largest sizes, the largest one's share and holes (invalid cells that it encloses), of each raster."""
-    labelled = components(cells)
+    labelled = write_shared(components(cells, tile), "components")
     sizes = component_sizes(labelled)
     best = sizes.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_components"), F.sum("size").alias("n_valid"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "size")))), lambda x: x["size"]).alias("largest"))
     main = labelled.join(sizes.where("rank = 1").select("raster_id", "component"), ["raster_id", "component"])
-
-    def holes(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy() - pdf["row"].min() + 1, pdf["col"].to_numpy() - pdf["col"].min() + 1
-        free = np.ones((r.max() + 2, c.max() + 2), bool)
-        free[r, c] = False
-        fr, fc = np.nonzero(free)
-        label = label_cells(fr, fc)
-        return pd.DataFrame({"raster_id": [pdf["raster_id"].iat[0]], "hole_cells": [int((label != label[0]).sum())]})
-
-    return best.join(main.groupBy("raster_id").applyInPandas(holes, "raster_id string, hole_cells long"), "raster_id").withColumn("largest_share", F.col("largest")[0] / F.col("n_valid"))
+    return best.join(enclosed(main.select("raster_id", "row", "col"), tile), "raster_id").withColumn("largest_share", F.col("largest")[0] / F.col("n_valid"))
