@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroseries.config import LONLAT_SRID
 from hydroseries.functions.naming import epsg_of_zone, utm_zone_of_text
+from hydroseries.sources.netcdf import read_granules
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 TIMESERIES_SCHEMA = "lake_id string, date date, wse double, wse_med double, wse_std double, wse_uncert double, water_area double, valid_pixels bigint, granule_id string"
@@ -40,27 +41,9 @@ def read_pixels(spark: SparkSession, path: str, variables=None) -> DataFrame:
     return select_variables(spark.read.parquet(path), variables)
 
 
-def read_netcdf(spark: SparkSession, path: str) -> DataFrame:
-    """Raw NetCDF granules need a library that not every installation has."""
-    try:
-        import netCDF4  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading NetCDF granules needs the netCDF4 library on all executors; convert them to pixel Parquet first") from e
-    files = scan_files(spark, path).select("path")
-
-    def run(batches):
-        import netCDF4 as nc
-        import numpy as np
-
-        for pdf in batches:
-            for p in pdf["path"]:
-                with nc.Dataset(p.removeprefix("file:")) as d:
-                    d.set_auto_mask(False)
-                    names = [v for v in DEFAULT_VARIABLES if v in d.variables and d.variables[v].ndim == 2]
-                    rows, cols = d.variables[names[0]].shape
-                    yield pd.DataFrame({"granule_id": p.rsplit("/", 1)[-1].removesuffix(".nc"), "row": np.repeat(np.arange(rows), cols), "col": np.tile(np.arange(cols), rows)} | {v: d.variables[v][:].ravel().astype(float) if v in names else None for v in DEFAULT_VARIABLES})
-
-    return files.mapInPandas(run, "granule_id string, row int, col int, " + ", ".join(f"{v} double" for v in DEFAULT_VARIABLES))
+def read_netcdf(spark: SparkSession, path: str, variables=DEFAULT_VARIABLES) -> DataFrame:
+    """Pixels of raw granules (see netcdf), with the asked variables only."""
+    return read_granules(spark, path, list(variables))
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,113 @@
+"""NetCDF files of the classic formats, written here by their published layout, read on workers."""
+
+import struct
+
+import numpy as np
+import pytest
+
+from hydroseries.sources import netcdf, readers
+
+CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8, "u4": 9, "i8": 10, "u8": 11}
+
+
+def classic(version, dims, variables, attributes=(), records=0):
+    """dims: {name: length, 0 for the unlimited one}; variables: {name: (dims, array, attributes)}."""
+    size = ">q" if version == 5 else ">i"
+    num = lambda x: struct.pack(size, x)
+    pad = lambda b: b + bytes(-len(b) % 4)
+    name = lambda s: num(len(s.encode())) + pad(s.encode())
+
+    def attrs(a):
+        out = struct.pack(">i", 12 if a else 0) + num(len(a))
+        for k, v in dict(a).items():
+            raw = v.encode() if isinstance(v, str) else np.asarray(v).astype(np.asarray(v).dtype.newbyteorder(">")).tobytes()
+            code, n = (2, len(raw)) if isinstance(v, str) else (CODES[np.asarray(v).dtype.str[1:]], np.asarray(v).size)
+            out += name(k) + struct.pack(">i", code) + num(n) + pad(raw)
+        return out
+
+    order = list(dims)
+    big = {k: (d, np.asarray(v).astype(np.asarray(v).dtype.newbyteorder(">")), a) for k, (d, v, a) in variables.items()}
+    of_records = [k for k, (d, _, _) in big.items() if d and dims[d[0]] == 0]
+    piece = lambda k: big[k][1][0].tobytes() if k in of_records else big[k][1].tobytes()
+    padded = lambda k: piece(k) if len(of_records) == 1 and k in of_records else pad(piece(k))
+
+    def head(begin):
+        out = b"CDF" + bytes([version]) + num(records) + struct.pack(">i", 10 if dims else 0) + num(len(dims)) + b"".join(name(k) + num(n) for k, n in dims.items()) + attrs(dict(attributes))
+        out += struct.pack(">i", 11) + num(len(big))
+        for k, (d, v, a) in big.items():
+            out += name(k) + num(len(d)) + b"".join(num(order.index(x)) for x in d) + attrs(a) + struct.pack(">i", CODES[v.dtype.str[1:]]) + num(len(pad(piece(k)))) + struct.pack(">i" if version == 1 else ">q", begin.get(k, 0))
+        return out
+
+    begin, at = {}, len(head({}))
+    body = b""
+    for k in [k for k in big if k not in of_records] + of_records:
+        begin[k] = at + len(body)
+        body += padded(k)
+    first = len(b"".join(padded(k) for k in big if k not in of_records))
+    body = body[:first]
+    for r in range(records):
+        for k in of_records:
+            raw = big[k][1][r].tobytes()
+            body += raw if len(of_records) == 1 else pad(raw)
+    return head(begin) + body
+
+
+@pytest.mark.parametrize("version", [1, 2, 5])
+@pytest.mark.parametrize("n_records", [1, 2])
+def test_layout(version, n_records):
+    rng = np.random.default_rng(version)
+    dims = {"t": 0, "y": 3, "x": 5}
+    fixed = {"a": (("y", "x"), rng.integers(-9, 9, (3, 5)).astype(np.int16), {"scale_factor": np.float64(0.5), "note": "text é"}), "s": ((), np.float64(7.5), {}), "c": (("x",), np.array(list("abcde"), "S1"), {})}
+    recs = {"r": (("t", "x"), rng.normal(size=(4, 5)).astype(np.float32), {}), "q": (("t", "y"), rng.integers(0, 99, (4, 3)).astype(np.int8), {})}
+    kept = dict(list(recs.items())[:n_records])
+    data = classic(version, dims, fixed | kept, {"title": "x", "n": np.array([1, 2, 3], np.int32)}, records=4)
+    file = netcdf.Classic(data)
+    assert file.attributes == {"title": "x", "n": [1, 2, 3]} and file.dims == {"t": 4, "y": 3, "x": 5} and file.variables["a"].attributes == {"scale_factor": [0.5], "note": "text é"}
+    for k, (_, v, _) in (fixed | kept).items():
+        assert np.array_equal(file.read(k), v), k
+    streamed = netcdf.Classic(data[:4] + (b"\xff" * (8 if version == 5 else 4)) + data[(12 if version == 5 else 8) :])
+    assert streamed.records == 4
+    with pytest.raises(ValueError):
+        netcdf.Classic(b"no file at all")
+
+
+def granule(shift, rows=4, cols=3, **more):
+    """Nine variables, two of them wanted."""
+    grid = np.arange(rows * cols, dtype=np.float32).reshape(rows, cols) + shift
+    grid[0, 0] = 9.96921e36
+    wide = ("y", "x")
+    variables = {"wse": (wide, grid, {"_FillValue": np.float32(9.96921e36)}), "wse_qual": (wide, np.full((rows, cols), 2, np.int8), {"_FillValue": np.int8(-1)}), "x": (("x",), 100.0 * np.arange(cols), {}), "y": (("y",), -100.0 * np.arange(rows), {}), "crs": ((), np.int32(0), {"crs_wkt": "WGS 84 / UTM zone 46N"})}
+    variables |= {f"v{i}": (wide, grid, {}) for i in range(4)}
+    return classic(2, {"y": rows, "x": cols}, variables | more, {"title": "granule"})
+
+
+def test_granules_are_read_on_workers(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "g1.nc").write_bytes(granule(0))
+    (tmp_path / "deep/g2.nc").write_bytes(granule(100, rows=2))
+    (tmp_path / "notes.txt").write_text("no granule")
+    got = readers.read_netcdf(spark, f"file://{tmp_path}", ["wse", "x", "y", "wse_qual", "gone"])
+    assert got.columns == ["granule_id", "row", "col", "wse", "x", "y", "wse_qual", "gone"]
+    cells = {(r.granule_id, r.row, r.col): r for r in got.collect()}
+    assert len(cells) == 12 + 6 and cells["g1", 0, 0].wse is None and cells["g1", 3, 2].wse == 11.0 and cells["g2", 1, 1].wse == 104.0
+    assert (cells["g1", 3, 2].x, cells["g1", 3, 2].y, cells["g1", 3, 2].wse_qual, cells["g1", 3, 2].gone) == (200.0, -300.0, 2.0, None)
+    table = {r.granule_id: r for r in netcdf.read_granule_table(spark, f"file://{tmp_path}").collect()}
+    assert table["g1"].dims == {"y": 4, "x": 3} and table["g1"].attributes == {"title": "granule"} and table["g1"].crs_wkt.endswith("46N")
+    assert (table["g2"].minx, table["g2"].maxx, table["g2"].miny, table["g2"].maxy, table["g2"].res_x) == (-50.0, 250.0, -150.0, 50.0, 100.0)
+    touched = []
+    read = netcdf.Classic.read
+    monkeypatch.setattr(netcdf.Classic, "read", lambda self, name: touched.append(name) or read(self, name))
+    attributes, there, reading = netcdf._open(granule(0))
+    assert [v for v in ("wse", "wse_qual") if v in there and reading(v) is not None] == touched and len(there) == 9
+
+
+def test_damaged_and_large_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "bad.nc").write_bytes(granule(0)[:-200])
+    with pytest.raises(Exception, match="bad.nc"):
+        readers.read_netcdf(spark, f"file://{tmp_path}", ["v3"]).collect()
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "ok/large.nc").write_bytes(granule(0, rows=700, cols=600))
+    out = readers.read_netcdf(spark, f"file://{tmp_path}/ok", ["v0"])
+    assert out.count() == 420_000 and out.selectExpr("max(v0)").first()[0] == pytest.approx(9.96921e36)
+    with pytest.raises(Exception, match="two dimensions"):
+        readers.read_netcdf(spark, f"file://{tmp_path}/ok", ["x"]).collect()
