@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 FIELDS = {"resolution": 4, "grid": 5, "overlap": 6, "cycle": 10, "pass": 11, "scene": 12, "start_time": 13, "end_time": 14, "crid": 15, "version": 16}
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once: expressions that name a parsed text several times would grow beyond what generated code may hold."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.nc$", "")
 
@@ -49,10 +54,10 @@ def utm_zone_of_text(crs: Column) -> Column:
     """46N from a CRS text: what follows its words "UTM zone", in any case and spacing, else the last part of its first EPSG code, if that is a UTM zone's."""
     words = F.split(F.regexp_replace(F.upper(crs), r"[^A-Z0-9]+", ""), "UTMZONE", 2)
     after = F.regexp_extract(F.get(words, F.lit(1)), "^([0-9]+)([NS])", 0)
-    number, half = F.try_to_number(F.nullif(F.rtrim(after, F.lit("NS")), F.lit("")), F.lit("99")).cast("int"), F.right(after, F.lit(1))
+    number = lambda a: F.try_to_number(F.nullif(F.rtrim(a, F.lit("NS")), F.lit("")), F.lit("99")).cast("int").cast("string")
     code = F.regexp_extract(F.get(F.split(F.upper(crs), "EPSG", 2), F.lit(1)), "^[^A-Z0-9]*([0-9]+)", 1)
     srid = F.try_to_number(F.nullif(code, F.lit("")), F.lit("9999999999")).cast("int")
-    return F.coalesce(F.concat(number.cast("string"), half), zone_of_epsg(srid))
+    return F.coalesce(_once(after, lambda a: F.concat(number(a), F.right(a, F.lit(1)))), _once(srid, zone_of_epsg))
 
 
 def zone_of_epsg(srid: Column) -> Column:
@@ -64,8 +69,11 @@ def zone_of_epsg(srid: Column) -> Column:
 
 def epsg_of_zone(zone: Column) -> Column:
     """32646 from 46N; NULL for anything else."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(zone, "^([0-9]{1,2})[NS]$", 1), F.lit("")), F.lit("99")).cast("int")
-    return F.when(number.between(1, 60), number + F.when(F.endswith(zone, F.lit("S")), 32700).otherwise(32600))
+    def code(z: Column) -> Column:
+        number = F.try_to_number(F.nullif(F.regexp_extract(z, "^([0-9]{1,2})[NS]$", 1), F.lit("")), F.lit("99")).cast("int")
+        return _once(number, lambda n: F.when(n.between(1, 60), n + F.when(F.endswith(z, F.lit("S")), 32700).otherwise(32600)))
+
+    return _once(zone, code)
 
 
 def utm_epsg_of_bounds(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

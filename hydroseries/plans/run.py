@@ -18,8 +18,11 @@ from hydroseries.operators.quality import apply_quality, quality_stats
 from hydroseries.operators.reproject import in_target, lakes_in_target, reproject_nearest, split_unprojected, with_srid
 from hydroseries.operators.timeseries import DAY, day_series, merge_same_day
 from hydroseries.operators.wse_filter import mad_filter, mad_keep, mean_retention, with_summary
-from hydroseries.sources.readers import lakes_to_read, read_lakes, read_series
-from hydroseries.sources.writers import typed_lake_id, write_csv, write_curves, write_outlines, write_pixels, write_statistics
+from hydroseries.sources.netcdf import read_granule_table
+from hydroseries.sources.raster import write_rasters
+from hydroseries.sources.readers import lakes_to_read, read_lakes, read_netcdf, read_series
+from hydroseries.sources.shapefile import write_shapefiles
+from hydroseries.sources.writers import MERGED_BANDS, typed_lake_id, write_csv, write_curves, write_outlines, write_pixels, write_statistics
 
 STAGES = ("all", "merge", "clip", "filter", "curve")
 
@@ -65,8 +68,45 @@ def day_outlines(day: DataFrame, figures: DataFrame, res: float = 100.0) -> Data
     return figures.withColumn("lake_day", F.concat_ws("|", "lake_id", F.col("date").cast("string"))).join(shapes, "lake_day").drop("lake_day")
 
 
-def run(spark: SparkSession, stage: str, prior: str, raster: str, output: str, cfg: Config = Config(), max_groups: int | None = None, lake_ids: list[str] | None = None, max_lakes: int | None = None, target_srid: int = TARGET_SRID) -> None:
-    """Reads tables, writes tables, series and outlines. raster holds pixels/ and granules/; prior is a lake table, GeoJSON or shapefiles.
+def merged_rasters(merged: DataFrame, srid: int, res: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """Cells and grids of merged groups, for write_rasters; a raster is a group and a day."""
+    key = F.concat_ws("_", "group_id", F.coalesce(F.col("obs_date").cast("string"), F.lit("unknown")))
+    cells = merged.select(key.alias("raster_id"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col"), "x", "y", "wse", "water_frac", "wse_uncert", "group_id", "obs_date")
+    ends = cells.groupBy("raster_id").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"), F.min(F.col("x") - (F.col("col") + 0.5) * res).alias("minx"), F.max(F.col("y") + (F.col("row") + 0.5) * res).alias("maxy"), F.any_value("group_id").alias("group_id"), F.any_value("obs_date").alias("obs_date"))
+    return cells, _grids(ends, srid, res, "group_id")
+
+
+def lake_rasters(day: DataFrame, srid: int, res: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """Cells and grids of same-day lake pixels, for write_rasters; a raster is a lake and a day. Cell rows count northward there."""
+    ends = day.groupBy("lake_id", "obs_date").agg(*[f(c).alias(n) for c, n, f in (("cell_row", "low", F.min), ("cell_row", "top", F.max), ("cell_col", "left", F.min), ("cell_col", "right", F.max))], F.any_value("sources").alias("sources"))
+    ends = ends.withColumn("raster_id", F.concat_ws("_", "lake_id", F.col("obs_date").cast("string")))
+    cells = day.join(ends.select("lake_id", "obs_date", "raster_id", "top", "left"), ["lake_id", "obs_date"]).select("raster_id", (F.col("top") - F.col("cell_row")).alias("row"), (F.col("cell_col") - F.col("left")).alias("col"), "wse", "water_frac", "wse_uncert")
+    sized = ends.select("raster_id", "lake_id", "obs_date", "sources", (F.col("right") - F.col("left") + 1).alias("width"), (F.col("top") - F.col("low") + 1).alias("height"), (F.col("left") * res).alias("minx"), ((F.col("top") + 1) * res).alias("maxy"))
+    return cells, _grids(sized, srid, res, "lake_id", "sources")
+
+
+def _grids(sized: DataFrame, srid: int, res: float, *told: str) -> DataFrame:
+    attributes = F.create_map(F.lit("date"), F.coalesce(F.col("obs_date").cast("string"), F.lit("unknown")), *[x for c in told for x in (F.lit(c), F.col(c).cast("string"))])
+    return sized.select("raster_id", "width", "height", "minx", "maxy", F.lit(res).alias("res_x"), F.lit(res).alias("res_y"), F.lit(srid).alias("srid"), attributes.alias("attributes"))
+
+
+def write_files(spark: SparkSession, output: str, stages: tuple[str, ...], srid: int) -> None:
+    """What the stages have written as tables, as GeoTIFF files and shapefiles too: rasters/merged, rasters/lakes, rasters/filtered, shapes/lakes and shapes/filtered."""
+    bands = list(MERGED_BANDS)
+    if "merge" in stages:
+        write_rasters(*merged_rasters(spark.read.parquet(f"{output}/merged"), srid), f"{output}/rasters/merged", bands)
+    for stage, pixels, figures, name in (("clip", "lake_pixels", "lake_timeseries", "lakes"), ("filter", "lake_pixels_filtered", "lake_timeseries_filtered", "filtered")):
+        if stage not in stages:
+            continue
+        day = spark.read.parquet(f"{output}/{pixels}")
+        write_rasters(*lake_rasters(day, srid), f"{output}/rasters/{name}", bands)
+        told = spark.read.option("header", True).option("inferSchema", True).csv(f"{output}/summary/{figures}.csv").withColumn("lake_id", F.col("lake_id").cast("string"))
+        shapes = day_outlines(day, told)
+        write_shapefiles(shapes.where(F.size("rings") > 0), f"{output}/shapes/{name}", [c for c in told.columns], crs=f"EPSG:{srid}")
+
+
+def run(spark: SparkSession, stage: str, prior: str, raster: str, output: str, cfg: Config = Config(), max_groups: int | None = None, lake_ids: list[str] | None = None, max_lakes: int | None = None, target_srid: int = TARGET_SRID, files: bool = False, netcdf: bool = False) -> None:
+    """Reads tables (or, with netcdf, raw NetCDF granules under raster), writes tables, series and outlines; with files, also rasters and shapefiles, to an output that is a local path for driver and executors alike. raster holds pixels/ and granules/; prior is a lake table, GeoJSON or shapefiles.
 
     Granules whose name or projection is not told go to errors/, and are not merged. statistics/ has a row for each stage and figure.
     """
@@ -81,10 +121,11 @@ def run(spark: SparkSession, stage: str, prior: str, raster: str, output: str, c
         figures.extend([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("stage"), F.lit(name).alias("figure"), F.col("n").cast("double").alias("value")) for name, df in counts.items()])
 
     if stage in ("all", "merge"):
-        raw = spark.read.parquet(f"{raster}/granules").drop("granule_id", "group_id", "obs_date")
+        raw = read_granule_table(spark, raster).drop("dims", "attributes") if netcdf else spark.read.parquet(f"{raster}/granules")
+        raw = raw.drop("granule_id", "group_id", "obs_date")
         named, unnamed = split_malformed(raw)
         good, unprojected = split_unprojected(with_srid(named))
-        pixels = spark.read.parquet(f"{raster}/pixels")
+        pixels = read_netcdf(spark, raster) if netcdf else spark.read.parquet(f"{raster}/pixels")
         write_pixels(merge(pixels, good, lakes, cfg, max_groups, target_srid), f"{output}/merged")
         unnamed.unionByName(unprojected).write.json(f"{output}/errors")
         quality_stats(fill_to_null(pixels), ["granule_id"], cfg.quality).write.parquet(f"{output}/quality")
@@ -113,6 +154,8 @@ def run(spark: SparkSession, stage: str, prior: str, raster: str, output: str, c
         write_curves(curves, f"{output}/curves")
         plot_series(series, spark.read.schema(curves.schema).json(f"{output}/curves/area_wse_curves.json"), cfg.curve).write.parquet(f"{output}/curves/plots")
         tell("curve", lakes=curves)
+    if files:
+        write_files(spark, output, STAGES[1:] if stage == "all" else (stage,), target_srid)
     whole = figures[0]
     for more in figures[1:]:
         whole = whole.unionByName(more)
@@ -130,9 +173,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--target-srid", type=int, default=TARGET_SRID)
     p.add_argument("--test", "-t", action="store_true", help="three time groups and five lakes only")
     p.add_argument("--stage", "-s", choices=STAGES, default="all")
+    p.add_argument("--netcdf", action="store_true", help="the raster folder holds raw NetCDF granules")
+    p.add_argument("--files", action="store_true", help="write GeoTIFF rasters and shapefiles too")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("hydroseries").getOrCreate()
-    run(spark, a.stage, a.prior, a.raster, a.output, max_groups=3 if a.test else a.max_files, lake_ids=a.lakes, max_lakes=5 if a.test else a.max_lakes, target_srid=a.target_srid)
+    run(spark, a.stage, a.prior, a.raster, a.output, max_groups=3 if a.test else a.max_files, lake_ids=a.lakes, max_lakes=5 if a.test else a.max_lakes, target_srid=a.target_srid, files=a.files, netcdf=a.netcdf)
 
 
 if __name__ == "__main__":

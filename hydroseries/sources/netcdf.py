@@ -130,7 +130,7 @@ def read_granules(spark: SparkSession, path: str, variables: Sequence[str], patt
     """granule_id, row, col and the variables, as doubles (fills are NULL), of each pixel of the files under path, one task a file or more.
 
     The grid is that of the asked variables with two dimensions; one along only one of those is repeated over the other; a variable
-    that a file lacks, or of another shape, is NULL there. A file that is damaged or holds none of the variables fails the job, with its name.
+    that a file lacks, or of another shape, is NULL there. Rows count from the north: where the coordinate y grows with the rows, they are turned. A file that is damaged or holds none of the variables fails the job, with its name.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -146,10 +146,12 @@ def read_granules(spark: SparkSession, path: str, variables: Sequence[str], patt
                 except Exception as e:
                     raise ValueError(f"{name}: {e}") from e
                 height, width = next(x.shape for x in decoded.values() if x.ndim == 2)
+                up = _decoded(np.asarray(read("y")), there["y"][1]) if "y" in there and there["y"][0] == grid[:1] else np.zeros(0)
+                turned = len(up) > 1 and up[-1] > up[0]
                 at_once = max(1, BATCH // max(width, 1))
                 for r in range(0, height, at_once):
                     rows = np.arange(r, min(r + at_once, height))
-                    out = {"granule_id": _granule_id(name), "row": np.repeat(rows, width).astype(np.int32), "col": np.tile(np.arange(width, dtype=np.int32), len(rows))}
+                    out = {"granule_id": _granule_id(name), "row": np.repeat(height - 1 - rows if turned else rows, width).astype(np.int32), "col": np.tile(np.arange(width, dtype=np.int32), len(rows))}
                     for v in variables:
                         x = decoded.get(v)
                         if x is None:

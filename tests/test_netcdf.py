@@ -5,7 +5,10 @@ import struct
 import numpy as np
 import pytest
 
-from hydroseries.sources import netcdf, readers
+from pyspark.sql import functions as F
+
+from hydroseries.plans.run import run
+from hydroseries.sources import netcdf, raster, readers
 
 CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8, "u4": 9, "i8": 10, "u8": 11}
 
@@ -111,3 +114,39 @@ def test_damaged_and_large_files(spark, tmp_path, monkeypatch):
     assert out.count() == 420_000 and out.selectExpr("max(v0)").first()[0] == pytest.approx(9.96921e36)
     with pytest.raises(Exception, match="two dimensions"):
         readers.read_netcdf(spark, f"file://{tmp_path}/ok", ["x"]).collect()
+
+
+def test_raw_files_to_rasters_and_shapefiles(spark, tmp_path):
+    """The whole pipeline from NetCDF granules, one with rows from the south, to GeoTIFF files and shapefiles, which agree with its tables."""
+    name = "SAT_L2_HR_Raster_100m_UTM46N_N_x_x_x_034_287_{}F_20250618T233535_20250618T233556_PID0_01.nc"
+    (tmp_path / "raw").mkdir()
+    for k, scene in enumerate(("001", "002")):
+        wide, grid = ("y", "x"), np.add.outer(np.arange(10.0) / 100, np.arange(10.0) / 1000)
+        y, wse = 1000.0 - 50 - 100 * np.arange(10.0), grid + 10 + k / 10
+        if k:
+            y, wse = y[::-1], wse[::-1]
+        full = lambda v, kind: np.full((10, 10), v, kind)
+        variables = {"x": (("x",), 500.0 * k + 50 + 100 * np.arange(10.0), {}), "y": (("y",), y.copy(), {}), "wse": (wide, wse.astype(np.float32), {}), "wse_uncert": (wide, full(0.5, np.float32), {}), "water_frac": (wide, full(0.5, np.float32), {})}
+        variables |= {"wse_qual": (wide, full(0, np.int8), {}), "water_area_qual": (wide, full(0, np.int8), {}), "cross_track": (wide, full(20000.0, np.float32), {}), "crs": ((), np.int32(0), {"crs_wkt": "EPSG:32646"})}
+        (tmp_path / "raw" / name.format(scene)).write_bytes(classic(1, {"y": 10, "x": 10}, variables))
+    ring = [{"x": a, "y": b} for a, b in ((0.0, 0.0), (0.0, 1000.0), (1500.0, 1000.0), (1500.0, 0.0), (0.0, 0.0))]
+    lakes = spark.createDataFrame([("1", [ring], 0.0, 0.0, 1500.0, 1000.0, 32646)], f"lake_id string, rings {readers.RINGS}, minx double, miny double, maxx double, maxy double, srid int")
+    lakes.write.parquet(f"{tmp_path}/lakes")
+    out = f"{tmp_path}/out"
+    for stage in ("merge", "clip", "filter"):
+        run(spark, stage, f"{tmp_path}/lakes", f"{tmp_path}/raw", out, files=True, netcdf=True)
+    merged = spark.read.parquet(f"{out}/merged")
+    tables = {"merged": merged.select("x", "y", "wse", "wse_uncert", "water_frac")}
+    for folder, pixels in (("lakes", "lake_pixels"), ("filtered", "lake_pixels_filtered")):
+        tables[folder] = spark.read.parquet(f"{out}/{pixels}").select(((F.col("cell_col") + 0.5) * 100).alias("x"), ((F.col("cell_row") + 0.5) * 100).alias("y"), "wse", "wse_uncert", "water_frac")
+    for folder, table in tables.items():
+        files = raster.read_rasters(spark, f"file://{out}/rasters/{folder}", ["wse", "wse_uncert", "water_frac"])
+        told = lambda df: sorted((r.x, r.y, *(None if r[c] is None else float(np.float32(r[c])) for c in ("wse", "wse_uncert", "water_frac"))) for r in df.where("wse IS NOT NULL").collect())
+        assert told(files) == told(table) and files.count() > 20, folder
+    north = merged.where("y = 950.0 AND x = 50.0").first()
+    assert north.wse == pytest.approx(10.0) and merged.where("y = 950.0 AND x = 1450.0").first().wse == pytest.approx(10.109)
+    grid = raster.read_raster_table(spark, f"file://{out}/rasters/merged").first()
+    assert (grid.width, grid.height, grid.minx, grid.maxy, grid.srid) == (15, 10, 0.0, 1000.0, 32646)
+    shape = readers.read_shapefiles(spark, f"file://{out}/shapes/lakes").first()
+    assert shape.attributes["lake_id"] == "1" and {tuple(p) for p in shape.rings[0]} == {(0.0, 0.0), (0.0, 1000.0), (1500.0, 0.0), (1500.0, 1000.0)}
+    assert readers.read_shapefiles(spark, f"file://{out}/shapes/filtered").count() == 1
