@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pandas, mix
-from .simhash import BkForest
+from .common import join_hot, map_pandas, mix, write_shared
+from .simhash import BkForest, components
 
 BITS = 256
+#: Fingerprints whose bands are made at once.
+ROWS = 4096
 #: The random bits repeat after PERIOD steps, and characters share CLASSES rows of them; both only add chance agreement.
 PERIOD, CLASSES = 1024, 251
 CHAIN = 96
@@ -169,11 +171,12 @@ def compare_with_edited(docs: DataFrame, buckets: int | None = None) -> DataFram
 
 
 def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int) -> np.ndarray:
-    """bands hashes of width sampled bits each."""
+    """bands hashes of width sampled bits each, for each fingerprint (the last axis)."""
     rng = np.random.default_rng(7)
+    weights = np.uint64(257) ** np.arange((width + 7) // 8, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        keys = [np.packbits(fingerprint_bits[rng.permutation(BITS)[:width]]).astype(np.uint64) @ (np.uint64(257) ** np.arange((width + 7) // 8, dtype=np.uint64)) for _ in range(bands)]
-        return mix(np.array(keys, np.uint64) * np.uint64(64) + np.arange(bands, dtype=np.uint64))
+        keys = [np.packbits(fingerprint_bits[..., rng.permutation(BITS)[:width]], axis=-1).astype(np.uint64) @ weights for _ in range(bands)]
+        return mix(np.stack(keys, -1) * np.uint64(64) + np.arange(bands, dtype=np.uint64))
 
 
 def bands_for(radius: int, width: int, recall: float) -> int:
@@ -194,9 +197,10 @@ def near_fingerprints(distinct: DataFrame, radius: int, bands: int, width: int)
 
     def band(batches):
         for pdf in batches:
-            for fp in pdf["fingerprint"]:
-                bits = np.unpackbits(np.frombuffer(bytes.fromhex(fp), np.uint8))
-                yield pd.DataFrame({"key": band_keys(bits, bands, width).view(np.int64), "fingerprint": fp})
+            for a in range(0, len(pdf), ROWS):
+                names = pdf["fingerprint"].to_numpy()[a : a + ROWS]
+                bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), BITS // 8), axis=1)
+                yield pd.DataFrame({"key": band_keys(bits, bands, width).ravel().view(np.int64), "fingerprint": np.repeat(names, bands)})
 
     def link(batches):
         held = pd.DataFrame({"key": [], "fingerprint": []})
@@ -213,3 +217,21 @@ def near_fingerprints(distinct: DataFrame, radius: int, bands: int, width: int)
 
     rows = map_pandas(distinct, band, "key long, fingerprint string").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
     return map_pandas(rows, link, "a string, b string").distinct()
+
+
+def near_groups(rows: DataFrame, radius: int = 40, width: int = 16, recall: float = 0.95) -> DataFrame:
+    """rows (with fingerprint) and near_group: the least fingerprint that verified links lead to, the row's own if it has none.
+
+    Links are of fingerprints within the radius that share a band; two at the radius share one with probability recall, nearer ones more
+    surely, and a fingerprint that misses one link of its group is in it by any other. Copies are one fingerprint. rows is read
+    several times, so it should be written; it is not shuffled for common fingerprints.
+    """
+    counts = write_shared(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows")), "fingerprints")
+    pairs = write_shared(near_fingerprints(counts.select("fingerprint"), radius, bands_for(radius, width, recall), width), "near-pairs")
+    node = F.xxhash64("fingerprint")
+    label = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    linked = counts.select("fingerprint", node.alias("node")).join(label, "node")
+    least = linked.groupBy("label").agg(F.min("fingerprint").alias("near_group"))
+    told = counts.join(linked.join(least, "label").select("fingerprint", "near_group"), "fingerprint", "left")
+    told = write_shared(told.select("fingerprint", "rows", F.coalesce("near_group", "fingerprint").alias("near_group")), "near-groups")
+    return join_hot(rows, told, "fingerprint", "rows", rows.count()).drop("rows")

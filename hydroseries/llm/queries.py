@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, edit_embedding, hmm, importance, language_id, mixing, piece_lattice, secret_scan, simhash, substring_dedup, url_rules, variants, vector_forest
-from .common import held_out
+from .common import held_out, write_shared
 
 URL_RULES = [url_rules.UrlRule("net/", "block"), url_rules.UrlRule("example.net/en/", "allow"), url_rules.UrlRule("example.com/de/", "block"), url_rules.UrlRule("org/fr/", "allow")]
 
@@ -23,7 +23,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.compare_with_edited(_table(spark, sf_dir, "documents"))
+    compared = write_shared(edit_embedding.compare_with_edited(_table(spark, sf_dir, "documents")), "compared")
+    return edit_embedding.near_groups(compared)
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,37 @@ def test_passes_share_out_the_tables():
 
     lanes = np.random.default_rng(1).integers(1 << 62, size=(9, 4), dtype=np.uint64)
     assert np.array_equal(scheme.keys(lanes), np.concatenate([p.keys(lanes) for p in parts], 1))
+
+
+def test_groups_of_fingerprints_against_brute_force(spark, make, made):
+    """Banding and verification: a group never joins what links do not; links that are missed are few, and copies are together."""
+    from hydroseries.llm import edit_embedding
+
+    docs = made[0] + made[0][:20] + ["", ""]
+    rows = edit_embedding.fingerprint(make([(i, d, None, None) for i, d in enumerate(docs)])).select("doc_id", "fingerprint")
+    got = {r.doc_id: (r.fingerprint, r.near_group) for r in edit_embedding.near_groups(rows).collect()}
+    assert len(got) == len(docs)
+    prints = sorted({fp for fp, _ in got.values()})
+    bits = [int(fp, 16) for fp in prints]
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, a in enumerate(bits):
+        for j in range(i):
+            if (a ^ bits[j]).bit_count() <= 40:
+                links.append((i, j))
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {fp: prints[find(k)] for k, fp in enumerate(prints)}
+    group = {}
+    for fp, near in got.values():
+        assert group.setdefault(fp, near) == near and near <= fp and want[near] == want[fp] and group.get(near, near) == near
+    together = sum(group[prints[i]] == group[prints[j]] for i, j in links)
+    assert len(links) > 300 and together >= 0.97 * len(links)
+    assert len({near for near in group.values()}) <= 1.05 * len(set(want.values()))
+    assert edit_embedding.near_groups(rows.limit(0)).count() == 0
