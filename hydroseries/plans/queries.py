@@ -306,6 +306,13 @@ def _lonlat(spark, sf_dir):
     return v.table(spark, sf_dir, "customer").select(k.alias("point_id"), (84.0 + (k * 7 % 1800) / 100.0).alias("lon"), (25.0 + (k * 13 % 1500) / 100.0).alias("lat"))
 
 
+@query("""SELECT c_custkey AS point_id FROM customer WHERE 84.0::DOUBLE + (c_custkey * 7 % 1800) / 100.0::DOUBLE BETWEEN 88.004 AND 95.506 AND 25.0::DOUBLE + (c_custkey * 13 % 1500) / 100.0::DOUBLE BETWEEN 28.503 AND 36.207""")
+def lonlat_box_filter(spark, sf_dir):
+    """Points that are given in a zone, by a lon/lat box."""
+    placed = geo.to_utm(_lonlat(spark, sf_dir), "lon", "lat", F.lit(32646), "x", "y").select("point_id", "x", "y")
+    return geo.filter_lonlat_box(placed, (88.004, 28.503, 95.506, 36.207), 32646).select("point_id")
+
+
 _K = geo.SCALE * geo.RADIUS
 _SUM = {f: " + ".join(f"{a!r} * {t.format(j=2 * j)}" for j, a in enumerate(geo.FORWARD, 1)) for f, t in (("e", "cos({j} * xi) * sinh({j} * eta)"), ("n", "sin({j} * xi) * cosh({j} * eta)"))}
 

@@ -136,12 +136,14 @@ pt AS (SELECT o_orderkey AS point_id, (o_orderkey * 17 % 1000) + 0.5::DOUBLE AS
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raster_id, row, col: valid cells of rasters of 12 by 12, from events."""
+    """raster_id, row, col: valid cells of rasters of 12 by 12, from events. Each event sees a cell; a cell is valid if one that sees it is a valid observation."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").where(e % 3 == 0).select(F.col("user_id").cast("string").alias("raster_id"), (e % 12).cast("int").alias("row"), (F.floor(F.col("value") * 7) % 12).cast("int").alias("col")).distinct()
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("raster_id"), (e % 12).cast("int").alias("row"), (F.floor(F.col("value") * 7) % 12).cast("int").alias("col"), (e % 3 == 0).alias("valid"))
+    return seen.groupBy("raster_id", "row", "col").agg(F.max("valid").alias("valid")).where("valid").drop("valid")
 
 
-CELL = "ce AS (SELECT DISTINCT user_id::VARCHAR AS raster_id, (event_id % 12)::INT AS row, (floor(value * 7)::BIGINT % 12)::INT AS col FROM events WHERE event_id % 3 = 0)"
+CELL = """ce AS (SELECT raster_id, row, col FROM (SELECT user_id::VARCHAR AS raster_id, (event_id % 12)::INT AS row, (floor(value * 7)::BIGINT % 12)::INT AS col, event_id % 3 = 0 AS valid FROM events)
+  GROUP BY raster_id, row, col HAVING bool_or(valid))"""
 
 
 def vector_obs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,22 @@ def test_projection_known_point_and_round_trip(spark):
     assert box.minx < 310000 and 400000 < box.maxx < 405000 and box.miny < box.maxy
 
 
+def test_lonlat_box_reaches_the_scan(spark, tmp_path):
+    """The scan gets four comparisons; what stays is just what is in the box, points close to its curved edges too."""
+    rng = np.random.default_rng(4)
+    box = (85.0, 40.0, 101.0, 55.0)
+    near = [(float(x), float(y)) for x in rng.uniform(85.0, 101.0, 300) for y in (40.0 + 1e-7, 40.0 - 1e-7, 55.0 - 1e-7, 55.0 + 1e-7)] + [(float(a), float(y)) for y in rng.uniform(40.0, 55.0, 300) for a in (85.0 + 1e-7, 85.0 - 1e-7, 101.0 - 1e-7, 101.0 + 1e-7)]
+    points = geo.to_utm(spark.createDataFrame(near, "lon double, lat double"), "lon", "lat", F.lit(32646), "x", "y")
+    points.write.parquet(f"{tmp_path}/points")
+    out = geo.filter_lonlat_box(spark.read.parquet(f"{tmp_path}/points"), box, 32646)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    pushed = out._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1].split("]")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f"{c}(x," in pushed and f"{c}(y," in pushed for c in ("GreaterThanOrEqual", "LessThanOrEqual"))
+    got = {(r.lon, r.lat) for r in out.collect()}
+    assert got == {(a, b) for a, b in near if 85.0 <= a <= 101.0 and 40.0 <= b <= 55.0} and len(got) == 1200
+
+
 def test_equal_area_of_a_degree_cell(spark):
     lon, lat = 95.0, 40.0
     got = spark.range(1).select(geo.equal_area(geo.box_polygon(F.lit(lon), F.lit(lat), F.lit(lon + 0.01), F.lit(lat + 0.01))).alias("a")).first().a
