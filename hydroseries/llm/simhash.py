@@ -425,6 +425,16 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label: the smallest node) with further links a, b between nodes. Only the components that links join are gone through, each as one node."""
+    of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("a", "b")}
+    parts = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).where("a <> b")
+    joined = components(parts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    onward = joined.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    moved = label.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return write_shared(moved.unionByName(joined.join(label, "node", "left_anti")), "labels")
+
+
 def classes(fps: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
     """fp_id, component_id (the smallest doc_id of the component), rows, for each distinct fingerprint. fps: doc_id, fp_id, lanes."""
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
@@ -479,8 +489,7 @@ def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle
     not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
     """
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
-    edges = write_shared(short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity), "verified")
-    label = components(edges)
+    label = components(short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity))
     refused = None
     for tables in Sampled.at(similarity, bits, distinct.count()).passes(PASSES):
         parts = distinct.select("fp_id", "lanes").join(label.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("part", F.coalesce("label", "fp_id"))
@@ -500,8 +509,7 @@ def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle
             pairs = write_shared(ranked.where("now").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
             found = write_shared(verified(pairs, sets, similarity), "verified")
             if not found.isEmpty():
-                edges = edges.unionByName(found)
-                label = components(edges)
+                label = merged(label, found)
             wrong = pairs.join(found, ["a", "b"], "left_anti")
             refused = wrong if refused is None else refused.unionByName(wrong)
             left, most = ranked.where("NOT now").select("src", "dst", "d"), 2 * most

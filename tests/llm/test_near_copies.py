@@ -108,3 +108,13 @@ def test_groups_of_fingerprints_against_brute_force(spark, make, made):
     assert len(links) > 300 and together >= 0.97 * len(links)
     assert len({near for near in group.values()}) <= 1.05 * len(set(want.values()))
     assert edit_embedding.near_groups(rows.limit(0)).count() == 0
+
+
+def test_labels_take_further_links(spark):
+    import random
+
+    rng = random.Random(2)
+    first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 15))
+    frame = lambda pairs: spark.createDataFrame([(min(p), max(p)) for p in pairs if p[0] != p[1]], "a long, b long").distinct()
+    told = {r.node: r.label for r in simhash.merged(simhash.components(frame(first)), frame(more)).collect()}
+    assert told == {r.node: r.label for r in simhash.components(frame(first + more)).collect()}
