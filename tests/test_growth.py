@@ -1,0 +1,22 @@
+"""What must not grow: plans, what the driver holds, work that one task does, pairs that are tested."""
+
+from pyspark.sql import functions as F
+
+from hydroseries.functions import geo
+from hydroseries.operators import reproject
+from hydroseries.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_filter_on_projected_points_does_not_multiply_their_expressions(spark):
+    there = geo.to_utm(spark.createDataFrame([(1, 93.0, 30.0), (2, None, 30.0), (3, 80.0, 30.0)], "id int, lon double, lat double"), "lon", "lat", F.lit(32646), "x", "y")
+    back = geo.from_utm(there.drop("lon", "lat"), "x", "y", F.lit(32646), "lon", "lat")
+    near = back.where(F.col("lon").between(92.0, 94.0) & F.col("lat").between(29.0, 31.0))
+    assert len(near._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    assert [r.id for r in near.collect()] == [1] and back.count() == 3  # a missing coordinate stays a row
+    assert len(QUERIES["lonlat_box_filter"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) < 10_000
