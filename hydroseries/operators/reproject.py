@@ -78,10 +78,13 @@ def reproject_nearest(pixels: DataFrame, granules: DataFrame, target_srid: int)
     at = {"row": (F.col("maxy") - F.col("_sy")) / F.col("res_y"), "col": (F.col("_sx") - F.col("minx")) / F.col("res_x")}
     cells = cells.select("granule_id", *[F.coalesce(F.floor(c).cast("int"), F.lit(-1)).alias(n) for n, c in at.items()], "t_row", "t_col", "t_x", "t_y")
     variables = [c for c in pixels.columns if c not in ("granule_id", "row", "col", "x", "y", "longitude", "latitude")]
-    moved = cells.join(pixels, ["granule_id", "row", "col"]).select("granule_id", F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.col("t_x").alias("x"), F.col("t_y").alias("y"), *variables)
+    # Pixels are many whatever Spark takes them for (it does not see that an explode makes rows): they are never sent to all.
+    moved = cells.join(pixels.hint("merge"), ["granule_id", "row", "col"]).select("granule_id", F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.col("t_x").alias("x"), F.col("t_y").alias("y"), *variables)
     # A pixel's centre, where the table does not have it.
     place = {"x": F.col("_minx") + (F.col("col") + 0.5) * F.col("_rx"), "y": F.col("_maxy") - (F.col("row") + 0.5) * F.col("_ry")}
-    kept = pixels.join(same.select("granule_id", F.col("minx").alias("_minx"), F.col("maxy").alias("_maxy"), F.col("res_x").alias("_rx"), F.col("res_y").alias("_ry")), "granule_id")
-    kept = kept.withColumns({k: x for k, x in place.items() if k not in pixels.columns}).select("granule_id", "row", "col", "x", "y", *variables)
+    missing = {k: x for k, x in place.items() if k not in pixels.columns}
+    frames = same.select("granule_id", F.col("minx").alias("_minx"), F.col("maxy").alias("_maxy"), F.col("res_x").alias("_rx"), F.col("res_y").alias("_ry"))
+    kept = pixels.join(frames, "granule_id") if missing else pixels.join(frames.select("granule_id"), "granule_id", "left_semi")
+    kept = kept.withColumns(missing).select("granule_id", "row", "col", "x", "y", *variables)
     both = from_utm(kept.unionByName(moved), "x", "y", target, "longitude", "latitude")
     return both.withColumns({"longitude": F.col("longitude").cast("float"), "latitude": F.col("latitude").cast("float")})

@@ -20,3 +20,14 @@ def test_a_filter_on_projected_points_does_not_multiply_their_expressions(spark)
     assert len(near._jdf.queryExecution().optimizedPlan().toString()) < 10_000
     assert [r.id for r in near.collect()] == [1] and back.count() == 3  # a missing coordinate stays a row
     assert len(QUERIES["lonlat_box_filter"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def test_exploded_pixels_are_not_sent_to_all_tasks(spark):
+    granules = spark.createDataFrame([("a", 32646, 7e5, 3.3e6, 7e5 + 300, 3.3e6 + 300, 100.0, 100.0), ("b", 32645, 7e5, 3.3e6, 7e5 + 300, 3.3e6 + 300, 100.0, 100.0)], "granule_id string, srid int, minx double, miny double, maxx double, maxy double, res_x double, res_y double")
+    cells = granules.select("granule_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("col")).withColumn("wse", F.col("row") * 1.0)
+    placed = cells.join(granules.select("granule_id", "minx", "maxy"), "granule_id").select("granule_id", "row", "col", (F.col("minx") + F.col("col") * 100 + 50).alias("x"), (F.col("maxy") - F.col("row") * 100 - 50).alias("y"), "wse")
+    for pixels in (cells, placed):
+        plan = executed(reproject.reproject_nearest(pixels, granules, 32646))
+        assert "SortMergeJoin [granule_id" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "row#" in line]
+    one, other = ({(r.granule_id, r.row, r.col): r for r in reproject.reproject_nearest(p, granules, 32646).collect()} for p in (cells, placed))
+    assert one == other and len([k for k in one if k[0] == "a"]) == 9
