@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroseries.functions import geo
-from hydroseries.operators import reproject
+from hydroseries.operators import clip, curve, reproject
 from hydroseries.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +31,11 @@ def test_exploded_pixels_are_not_sent_to_all_tasks(spark):
         assert "SortMergeJoin [granule_id" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "row#" in line]
     one, other = ({(r.granule_id, r.row, r.col): r for r in reproject.reproject_nearest(p, granules, 32646).collect()} for p in (cells, placed))
     assert one == other and len([k for k in one if k[0] == "a"]) == 9
+
+
+def test_monotone_goes_through_samples_once(spark):
+    rows = [([1.0, 2.0, 2.0],), ([1.0, 0.5],), ([3.0],), ([],), ([1.0, None, 2.0],), ([2.0, 1.0, None],), (None,), ([1.0, 1.0 - 1e-11],)]
+    df = spark.createDataFrame(rows, "s array<double>").select(curve.is_monotone(F.col("s")).alias("m"))
+    assert [r.m for r in df.collect()] == [True, False, True, True, None, False, None, True]
+    query = QUERIES["monotonic_check"](spark, SF)
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("sequence(0, 199") <= 1 and query.rdd.getNumPartitions() > 1
