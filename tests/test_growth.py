@@ -39,3 +39,16 @@ def test_monotone_goes_through_samples_once(spark):
     assert [r.m for r in df.collect()] == [True, False, True, True, None, False, None, True]
     query = QUERIES["monotonic_check"](spark, SF)
     assert query._jdf.queryExecution().optimizedPlan().toString().count("sequence(0, 199") <= 1 and query.rdd.getNumPartitions() > 1
+
+
+def test_a_place_and_an_outline_are_tested_once(spark):
+    """Many points on few places, many boxes and lakes alike: the tests see places and outlines, the rows come by equi-joins."""
+    points = spark.range(2000).select("id", (F.col("id") % 2 * 50.0 + 5.0).alias("x"), F.lit(5.0).alias("y"))
+    ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0))])
+    boxes = spark.range(300).select(F.col("id").cast("string").alias("lake_id"), F.array(ring).alias("rings"), *[F.lit(v).alias(c) for c, v in zip(clip.BOX, (0.0, 0.0, 10.0, 10.0), strict=True)])
+    met = clip._places_met(points, boxes.select(*clip.BOX).distinct(), 7.0, "x", "y")
+    assert met.count() == 1
+    held = clip.points_in_boxes(points, boxes.drop("rings"), 7.0)
+    assert held.columns == ["id", "x", "y", "lake_id", *clip.BOX] and held.count() == held.distinct().count() == 1000 * 300
+    lakes = clip.clip_to_lakes(points.withColumnRenamed("id", "row"), boxes.unionByName(boxes), tile=7.0)
+    assert lakes.count() == lakes.select("row", "lake_id").distinct().count() == 1000 * 300
