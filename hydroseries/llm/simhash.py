@@ -39,6 +39,10 @@ CHARACTERS = 1 << 20
 NEAR, NEAREST = 1024, 2
 #: Tables of sampled bits are searched in so many passes; each pass seeks outside of the components that those before it have found.
 PASSES = 3
+#: Shards of more rows are grown one by one.
+LARGE = 64
+#: Shingles of a block of a class, about, and sets that are worked on at once, about.
+BLOCK, SETS = 1 << 18, 1024
 #: Sets of so many shingles or fewer are linked without fingerprints, whose distance tells little of them.
 SHORT = 24
 
@@ -73,6 +77,11 @@ class Sampled:
         """The tables in n parts or fewer."""
         return [dataclasses.replace(self, chosen=tuple(part.tolist())) for part in np.array_split(np.arange(self.tables), n) if len(part)]
 
+    def growing(self, n: int) -> list[Sampled]:
+        """The tables in n parts or fewer, each about four times as large as the one before."""
+        cut = sorted({min(self.tables, math.ceil(self.tables / 4**k)) for k in range(n)})
+        return [dataclasses.replace(self, chosen=tuple(range(a, b))) for a, b in zip([0, *cut], cut, strict=False)]
+
     @classmethod
     def of(cls, radius: int, bits: int, n: int, recall: float = 0.95) -> Sampled:
         """The width grows with the logarithm of n, so that chance meetings stay few; the tables grow to keep the recall."""
@@ -235,8 +244,8 @@ class BkForest:
         return label
 
 
-def _whole_keys(batches):
-    """Frames sorted by key, of about ROWS rows, cut so that the rows of a key stay together; keys of one row are left out."""
+def _whole_keys(batches, rows: int = ROWS):
+    """Frames sorted by key, of about `rows` rows, cut so that the rows of a key stay together; keys of one row are left out."""
     done: list[pd.DataFrame] = []  # of keys that are complete
     last: list[pd.DataFrame] = []  # of the key that may go on
     n = 0
@@ -260,7 +269,7 @@ def _whole_keys(batches):
             done.append(pdf[:cut])
             n += cut
         last.append(pdf[cut:])
-        if n >= ROWS:
+        if n >= rows:
             yield several(done)
             done, n = [], 0
     if done or last:
@@ -312,12 +321,62 @@ def links(distinct: DataFrame, scheme: Blocks | Sampled) -> DataFrame:
     return map_pandas(_shards(distinct, scheme, []), run, "a long, b long").distinct()
 
 
-def nearest_links(distinct: DataFrame, scheme: Sampled, nearest: int | None = NEAREST) -> DataFrame:
+def grown(part: np.ndarray, near) -> np.ndarray:
+    """For each row, the first row of its component; near(k, left) tells which of the rows left are linked to row k. Rows of one part are linked.
+
+    Rows that have been reached are not asked about again, so a dense group costs few comparisons a row.
+    """
+    label = np.arange(len(part))
+    left = label.copy()
+    while len(left):
+        first, asking, reached = left[0], [], part[left] == part[left[0]]
+        while True:
+            label[left[reached]] = first
+            asking += left[reached].tolist()
+            left = left[~reached]
+            if not asking or not len(left):
+                break
+            reached = near(asking.pop(), left)
+            if reached.any():
+                reached = np.isin(part[left], part[left[reached]])
+    return label
+
+
+def _linked(lanes: np.ndarray, key: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, the first row of its component within its shard (rows of one key): large shards are grown, small ones searched together."""
+    size = np.diff(np.concatenate((at := np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
+    large = np.repeat(size > LARGE, size)
+    label = np.arange(len(key))
+    small = np.flatnonzero(~large)
+    if len(small):
+        label[small] = small[BkForest(lanes[small], key[small]).components(radius)]
+    for a, n in zip(at[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
+        mine = lanes[a : a + n]
+        label[a : a + n] = a + grown(np.arange(n), lambda k, left, mine=mine: _distance(mine[left], mine[k]) <= radius)
+    return label
+
+
+def part_links(distinct: DataFrame, scheme: Sampled) -> DataFrame:
+    """a, b: links between parts, a spanning forest in each shard, from lanes and part. Every link within the radius counts; a shard gives fewer rows than it holds parts."""
+
+    def run(batches):
+        for frame in _whole_keys(batches):
+            if not len(frame):
+                continue
+            key, part = frame["key"].to_numpy(), frame["part"].to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            several = np.repeat(np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first), np.diff([*first, len(key)]))
+            if several.any():
+                yield _forest(_linked(_lanes_of(frame[several], scheme), key[several], scheme.radius), part[several]).drop_duplicates()
+
+    return map_pandas(_shards(distinct, scheme, ["part"]), run, "a long, b long").distinct()
+
+
+def nearest_links(distinct: DataFrame, scheme: Sampled, nearest: int) -> DataFrame:
     """src, dst, d: for each fingerprint and shard, the nearest others of another part within the radius, so many, ties to the smaller id, from fp_id, lanes and part.
 
     A shard of more than NEAR rows is sorted by its fingerprints and searched in runs of NEAR rows, so work and output grow with the
-    rows, however many near copies one shard holds; the same two meet in other tables again. With nearest None, every link of
-    every shard is given, once: the exact way, whose work and output grow with the square of a group of near copies.
+    rows, however many near copies one shard holds; the same two meet in other tables again. part_links and class_links lose none of the rest.
     """
 
     def run(batches):
@@ -329,16 +388,15 @@ def nearest_links(distinct: DataFrame, scheme: Sampled, nearest: int | None = NE
             lanes, key, ids, part = lanes[order], key[order], frame["fp_id"].to_numpy()[order], frame["part"].to_numpy()[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
             place = np.arange(len(key)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            forest = BkForest(lanes, np.cumsum(new | (place % NEAR == 0) if nearest else new))
+            forest = BkForest(lanes, np.cumsum(new | (place % NEAR == 0)))
             work = np.cumsum(forest.size[np.searchsorted(forest.first, forest.root)])
             for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(work // PAIRS)) + 1):
                 a, b = forest.search(rows, scheme.radius)
-                apart = (part[a] != part[b]) & ((ids[a] < ids[b]) | (nearest is not None))
+                apart = part[a] != part[b]
                 a, b = a[apart], b[apart]
                 d = _distance(lanes[a], lanes[b])
                 best = np.lexsort((ids[b], d, a))
-                if nearest:  # of each asking row the first few
-                    best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < nearest]
+                best = best[np.arange(len(best)) - np.searchsorted(a[best], a[best]) < nearest]  # of each asking row the first few
                 yield pd.DataFrame({"src": ids[a[best]], "dst": ids[b[best]], "d": d[best]})
 
     return map_pandas(_shards(distinct, scheme, ["fp_id", "part"]), run, "src long, dst long, d long").distinct()
@@ -403,6 +461,56 @@ def short_links(sets: DataFrame, similarity: float) -> DataFrame:
     return map_pandas(short.repartition(F.col("key")).sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
+def similar_sets(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set, the first one of its component by links of at least that Jaccard similarity; exact. Sets of one part are linked; where there are two sides, only sets of different ones are compared."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(n) - n
+    there, full = np.zeros(len(names), np.int32), n > 0
+    across = (side != side[0]).any()
+
+    def near(k: int, left: np.ndarray) -> np.ndarray:
+        mine = at[start[k] : start[k] + n[k]]
+        there[mine] = 1
+        shared = np.zeros(len(left), np.int64)
+        if 8 * len(left) < len(sets):
+            shared[:] = [there[at[start[i] : start[i] + n[i]]].sum() for i in left.tolist()]
+        elif full.any():
+            whole = np.zeros(len(sets), np.int64)
+            whole[full] = np.add.reduceat(there[at], start[full])
+            shared = whole[left]
+        there[mine] = 0
+        hit = shared >= similarity * (n[left] + n[k] - shared) - 1e-9
+        return hit & (side[left] != side[k]) if across else hit
+
+    return grown(part, near)
+
+
+def class_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: a spanning forest of all links of at least that Jaccard similarity between sets of one class, from members (fp_id, class, part) and sets (fp_id, shingles); exact.
+
+    A class of more than BLOCK shingles is dealt into blocks, and each two of them meet in a task of their own: no task holds more than two blocks,
+    and a pair of blocks gives fewer rows than it has sets.
+    """
+    sized = members.join(sets.select("fp_id", F.size("shingles").alias("n")), "fp_id").groupBy("class").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    side = F.pmod(F.xxhash64("fp_id"), F.col("blocks")).alias("side")
+    dealt = members.join(F.broadcast(sized.where("blocks > 1")), "class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint"))).select("*", side)
+    met = dealt.select("fp_id", "class", "part", "side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    keyed = met.select(F.xxhash64("class", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "fp_id", "part", "side")
+
+    def run(batches):
+        for frame in _whole_keys(batches, SETS):
+            key, ids, part, side = (frame[c].to_numpy() for c in ("key", "fp_id", "part", "side"))
+            sets_, label = [np.asarray(s, np.int64) for s in frame["shingles"]], np.arange(len(key))
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
+            for a, b in zip(cut, [*cut[1:], len(key)], strict=True) if len(key) else ():
+                label[a:b] = a + similar_sets(sets_[a:b], part[a:b], side[a:b], similarity)
+            yield _forest(label, ids)
+
+    rows = keyed.join(sets, "fp_id").repartition(F.col("key")).sortWithinPartitions("key")
+    return map_pandas(rows.select("key", "fp_id", "part", "side", "shingles"), run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each component, for all nodes that have a link. edges: a, b; a node is b in a few rows at most.
 
@@ -480,26 +588,57 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b")
 
 
-def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, nearest: int | None = NEAREST) -> DataFrame:
+def _parts(distinct: DataFrame, label: DataFrame) -> DataFrame:
+    """fp_id, lanes and part: the label of a linked node, else the fingerprint itself."""
+    return distinct.select("fp_id", "lanes").join(label.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("part", F.coalesce("label", "fp_id"))
+
+
+def _sets_of(distinct: DataFrame, ends: DataFrame, texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """fp_id and shingles of those distinct sets that are in ends (fp_id), made anew from one text each."""
+    one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
+    return write_shared(shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles"), "shingle-sets")
+
+
+def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, nearest: int | None = None) -> DataFrame:
     """fp_id, component_id: the smallest (doc_id, text_id, uid) of the component by verified links, and rows, for each distinct set.
 
     fps: uid, doc_id, text_id, fp_id, lanes, shingles (of short sets); texts: uid, text, bucketed by uid, from which the sets of candidates
-    are made anew, one text a set. Candidates are each set's nearest ones in each of its shards (all links with nearest None), outside of its
-    component so far: the tables are searched in PASSES. In the rounds of a pass, each set tries its nearest candidates that are
-    not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
+    are made anew, one text a set. Fingerprints within the radius that meet in a table are in one class, whatever leads from one to the other;
+    within a class all sets are compared. The tables are searched in PASSES, of which the first, small one joins most: later ones seek between classes only.
+    With `nearest`, see _nearest_classes.
     """
     distinct = write_shared(fps.groupBy("fp_id").agg(F.any_value("lanes").alias("lanes"), F.min(F.struct("doc_id", "text_id", "uid")).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     label = components(short_links(fps.where(F.col("shingles").isNotNull()).select("fp_id", "shingles"), similarity))
+    scheme = Sampled.at(similarity, bits, distinct.count())
+    if nearest:
+        return class_ids(distinct, _nearest_classes(distinct, label, texts, similarity, shingle, bits, scheme, nearest))
+    wide = label
+    for tables in scheme.growing(PASSES):
+        found = write_shared(part_links(_parts(distinct, wide), tables), "class-links")
+        if not found.isEmpty():
+            wide = merged(wide, found)
+    of = label.select(F.col("node").alias("fp_id"), F.col("label").alias("part"))
+    members = wide.select(F.col("node").alias("fp_id"), F.col("label").alias("class")).join(of, "fp_id", "left").select("fp_id", "class", F.coalesce("part", "fp_id").alias("part"))
+    # Classes that short sets have linked already have nothing to compare.
+    several = members.groupBy("class").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    members = write_shared(members.join(several, "class", "left_semi"), "members")
+    found = write_shared(class_links(members, _sets_of(distinct, members, texts, shingle, bits), similarity), "verified")
+    return class_ids(distinct, label if found.isEmpty() else merged(label, found))
+
+
+def _nearest_classes(distinct: DataFrame, label: DataFrame, texts: DataFrame, similarity: float, shingle: int, bits: int, scheme: Sampled, nearest: int) -> DataFrame:
+    """The labels with further links between each set and its nearest candidates only, so many in each of its shards: bounded work, which can miss links.
+
+    The tables are searched in PASSES, each outside of the components so far. In the rounds of a pass, each set tries its nearest candidates that are
+    not in its component yet: one, then two, four and so on, until every candidate is verified, refused, or joined by others.
+    """
     refused = None
-    for tables in Sampled.at(similarity, bits, distinct.count()).passes(PASSES):
-        parts = distinct.select("fp_id", "lanes").join(label.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("part", F.coalesce("label", "fp_id"))
-        left = nearest_links(parts, tables, nearest).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst", "d")
+    for tables in scheme.passes(PASSES):
+        left = nearest_links(_parts(distinct, label), tables, nearest).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst", "d")
         if refused is not None:
             left = left.join(refused, ["a", "b"], "left_anti")
         left = write_shared(left.drop("a", "b"), "candidates")
-        ends = left.select(F.explode(F.array("src", "dst")).alias("fp_id")).distinct()
-        one = distinct.join(ends, "fp_id", "left_semi").select("least.uid")
-        sets = write_shared(shingle_sets(texts.join(one, "uid", "left_semi"), shingle, bits).select("fp_id", "shingles"), "shingle-sets")
+        sets = _sets_of(distinct, left.select(F.explode(F.array("src", "dst")).alias("fp_id")).distinct(), texts, shingle, bits)
         most = 1
         while not left.isEmpty():
             of = {end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("src", "dst")}
@@ -513,14 +652,14 @@ def similar_classes(fps: DataFrame, texts: DataFrame, similarity: float, shingle
             wrong = pairs.join(found, ["a", "b"], "left_anti")
             refused = wrong if refused is None else refused.unionByName(wrong)
             left, most = ranked.where("NOT now").select("src", "dst", "d"), 2 * most
-    return class_ids(distinct, label)
+    return label
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, nearest: int | None = NEAREST) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, nearest: int | None = None) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest (doc_id, hash of the text); rows with a null doc_id stay.
 
-    Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give
-    candidates, nearest of each text in each shard, or with nearest None all that its shards hold; each link is verified on whole sets. Texts are shuffled once, by row number, and later joins shuffle numbers only.
+    Near copies have sets of distinct shingles of at least that Jaccard similarity. Fingerprints and short texts' shingles give classes, within
+    which all whole sets are compared, or with `nearest` so many candidates of each text in each shard; each link is verified on whole sets. Texts are shuffled once, by row number, and sets of classes with several texts once more.
     """
     rows = write_bucketed(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("doc")), "uid", "documents")
     texts = rows.where(F.col("doc.doc_id").isNotNull()).select("uid", "doc.doc_id", "doc.text")
