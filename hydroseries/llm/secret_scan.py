@@ -5,13 +5,12 @@
    alphabet that holds it. A battery asks whether its symbols could be drawn evenly from that alphabet: a chi-squared test of their
    counts, a runs test about the alphabet's middle and a test of serial correlation; Fisher's rule joins the three to one number u, which
    is even on 0..1 for random strings and near 0 for others.
-3. What ordinary text makes of the battery depends on length and encoding, so it is measured: every document gives one decoy for each
-   encoding and length class, a stretch (its start from a hash) of those of its own characters outside candidates that the alphabet
-   has, in the alphabet's case where it has one case only. The share of decoys with as high a u is a candidate's p-value, and in each encoding and length class the step-up rule of
+3. What ordinary text makes of the battery depends on length and encoding, so it is measured: the characters of every document outside candidates
+   that the alphabet has, in the alphabet's case where it has one case only, are cut into decoys of each length class, all of them from end to end. The share of decoys with as high a u is a candidate's p-value, and in each encoding and length class the step-up rule of
    false-discovery control keeps candidates as long as at most `rate` of the kept are expected to be false. Short strings, of which much
    ordinary text looks random, pass only where the evidence is there.
 
-Texts are read once; what a document gives is a row of spans, candidates and decoys in the shared folder. Candidates and decoys are
+Texts are read once; what a document gives is a row of spans and candidates in the shared folder, and a batch's first row holds the counts of its decoys. Candidates and decoys are
 counted in cells of (encoding, length class, u in BINS steps): a fixed number, whatever the input.
 
 Positions are code points, ends exclusive. Defined cases: a null or empty text has no spans; a string of characters from no single
@@ -22,10 +21,10 @@ columns that are kept keep their names, whatever they are, except those of the r
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -51,6 +50,8 @@ ENCODINGS = {
 #: Shortest length of each length class; decoys have just that length.
 LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 BINS = 1000
+#: Characters of text whose decoys are counted at once, and symbols of decoys.
+CHARACTERS, SYMBOLS = 1 << 18, 1 << 17
 #: Kinds of spans: patterns first, then strings found by their randomness.
 KINDS = ("assign", "access", "hex", *ENCODINGS)
 #: Each pattern, which group must be how long at least; matches that are shorter are dropped after matching.
@@ -65,6 +66,8 @@ _OTHERS = [bytes(b for b in range(256) if b not in alphabet) for alphabet in ENC
 _SIZES = np.array([len(a) for a in ENCODINGS.values()])
 #: The case of encodings that have one.
 _CASE = {"lower_hex": "l", "lower_base36": "l", "upper_hex": "u", "base32": "u", "upper_base36": "u"}
+#: Encodings whose decoys are those of another one in the other case.
+_ALIKE = {"upper_hex": "lower_hex", "upper_base36": "lower_base36"}
 _LEAST = 1e-300
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
@@ -122,13 +125,62 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return sorted((m.start(), kind, m.end()) for kind, (pattern, group, least) in enumerate(PATTERNS) for m in pattern.finditer(data) if m.end(group) - m.start(group) >= least)
 
 
+@functools.cache
+def _evidence(size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minus the logarithms of the battery's p-values of strings of n symbols: by the sum of squared counts, by symbols above the middle and changes, and by points of the serial correlation's z."""
+    minus_log = lambda p: -np.log(np.maximum(p, _LEAST))
+    spread = 2 / (9 * (size - 1) * n / (n - 1))
+    uniform = _normal((np.cbrt((size / n * np.arange(n * n + 1) - n) / (size - 1)) - (1 - spread)) / math.sqrt(spread))
+    above, changes = np.arange(n + 1)[:, None], np.arange(n)
+    expected = 1 + 2 * above * (n - above) / n
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    runs = _normal((changes + 1 - expected) / np.sqrt(np.where(variance > 0, variance, 1)))
+    runs[[0, n]] = 2.0 ** (1 - n)
+    z = np.linspace(0, 2 * math.sqrt(n), 8193)
+    return minus_log(uniform), minus_log(runs), z, minus_log(_normal(z))
+
+
+def _count_decoys(e: int, pieces: list[bytes], counts: np.ndarray) -> None:
+    """Adds the cells of the decoys of pieces, of LENGTHS[0] symbols or more each, to counts: for each length, each piece from end to end, the last one up to its end."""
+    if not pieces:
+        return
+    size, lengths = int(_SIZES[e]), np.fromiter(map(len, pieces), np.int64, len(pieces))
+    offset = np.cumsum(lengths) - lengths
+    x = _SYMBOL[e][np.frombuffer(b"".join(pieces), np.uint8)]
+    high = 2 * x >= size
+    total, squares, products, above, changes = (np.concatenate(([0], np.cumsum(a))) for a in (x, x * x, x[1:] * x[:-1], high, high[1:] != high[:-1]))
+    for n in LENGTHS:
+        there = lengths >= n
+        if not there.any():
+            break
+        each = -(-lengths[there] // n)
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        start = np.repeat(offset[there], each) + np.minimum(step * n, np.repeat(lengths[there] - n, each))
+        uniform, runs, z, serial = _evidence(size, n)
+        square, window = np.empty(len(start), np.int64), np.lib.stride_tricks.sliding_window_view(x, n)
+        for a in range(0, len(start), SYMBOLS // n):
+            some = window[start[a : a + SYMBOLS // n]]
+            some += size * np.arange(len(some))[:, None]
+            count = np.bincount(some.ravel(), minlength=len(some) * size).reshape(len(some), size)
+            square[a : a + len(some)] = np.einsum("ij,ij->i", count, count)
+        end = start + n
+        sums = (total[end] - total[start]).astype(float)
+        power = squares[end] - squares[start] - sums * sums / n
+        product = products[end - 1] - products[start] - sums / n * (2 * sums - x[start] - x[end - 1]) + (n - 1) * (sums / n) ** 2
+        even = power > 1e-6  # whole numbers over n: not all symbols are the same
+        correlation = np.abs(product / np.where(even, power, 1) + 1 / n) * math.sqrt(n)
+        f = uniform[square] + runs[above[end] - above[start], changes[end - 1] - changes[start]] + np.where(even, np.interp(correlation, z, serial), -math.log(_LEAST))
+        low = (e * len(LENGTHS) + LENGTHS.index(n)) * BINS
+        counts[low : low + BINS] += np.bincount(np.minimum((np.exp(-f) * (1 + f + f * f / 2) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+
+
 class Texts:
     """Base spans, candidates and decoys of some texts. Texts are held as one byte a code point; what is no ASCII is in no pattern and no alphabet."""
 
     def __init__(self, texts: list[str | None]):
         self.base, self.candidates = [], []  # of each text: (start, kind, end), (start, end, encoding)
-        tokens, self.owner, pieces = [], [], [([], []) for _ in ENCODINGS]
-        for k, text in enumerate(texts):
+        tokens, self.ordinary = [], []
+        for text in texts:
             data = (text or "").encode("ascii", "replace")
             self.base.append(base_spans(data))
             found, rest, at = [], [], 0
@@ -137,21 +189,11 @@ class Texts:
                 if encoding >= 0:
                     found.append((m.start(), m.end(), encoding))
                     tokens.append(m.group(1))
-                    self.owner.append(k)
                 rest.append(data[at : m.start()])
                 at = m.end()
             self.candidates.append(found)
-            ordinary = b" ".join([*rest, data[at:]]) if rest else data
-            cases = {"": ordinary, "l": ordinary.lower(), "u": ordinary.upper()}
-            for e, (name, others) in enumerate(zip(ENCODINGS, _OTHERS, strict=True)):
-                kept = cases[_CASE.get(name, "")].translate(None, others)
-                if len(kept) >= LENGTHS[0]:
-                    first = crc32(data) % len(kept)
-                    piece = kept[first : first + LENGTHS[-1]]
-                    pieces[e][0].append((piece + kept[: LENGTHS[-1] - len(piece)])[: len(kept)])
-                    pieces[e][1].append(k)
+            self.ordinary.append(b" ".join([*rest, data[at:]]) if rest else data)
         self._judge(tokens)
-        self._make_decoys(pieces, len(texts))
 
     def _judge(self, tokens: list[bytes]) -> None:
         encoding = np.array([e for found in self.candidates for _, _, e in found], np.int64)
@@ -162,18 +204,22 @@ class Texts:
             *tests, u = battery(_SYMBOL[e][np.frombuffer(b"".join(tokens[i] for i in at), np.uint8)], lengths, _SIZES[e])
             self.tests[at], self.cell[at] = np.stack(tests, 1), _cells(e, lengths, u)
 
-    def _make_decoys(self, pieces, n: int) -> None:
-        owners, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for e, (strings, owner) in enumerate(pieces):
-            for length in LENGTHS:
-                at = [i for i, s in enumerate(strings) if len(s) >= length]
-                symbols = _SYMBOL[e][np.frombuffer(b"".join(strings[i][:length] for i in at), np.uint8)]
-                lengths = np.full(len(at), length)
-                cells.append(_cells(e, lengths, battery(symbols, lengths, _SIZES[e])[3]))
-                owners.append(np.array([owner[i] for i in at], np.int64))
-        owner, cell = np.concatenate(owners), np.concatenate(cells)
-        order = np.argsort(owner, kind="stable")
-        self.decoys = np.split(cell[order], np.searchsorted(owner[order], np.arange(1, n))) if n else []
+    def decoys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the decoys of all texts, and how many there are of each."""
+        counts = np.zeros(len(ENCODINGS) * len(LENGTHS) * BINS, np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum([len(x) for x in self.ordinary]) // CHARACTERS)) + 1 if self.ordinary else []
+        for a, b in zip([0, *cut], [*cut, len(self.ordinary)], strict=True):
+            cases = {"": self.ordinary[a:b], "l": [x.lower() for x in self.ordinary[a:b]], "u": [x.upper() for x in self.ordinary[a:b]]}
+            for e, (name, others) in enumerate(zip(ENCODINGS, _OTHERS, strict=True)):
+                if name in _ALIKE:
+                    continue
+                kept = [x.translate(None, others) for x in cases[_CASE.get(name, "")]]
+                _count_decoys(e, [x for x in kept if len(x) >= LENGTHS[0]], counts)
+        each = counts.reshape(len(ENCODINGS), -1)
+        for name, as_ in _ALIKE.items():
+            each[list(ENCODINGS).index(name)] = each[list(ENCODINGS).index(as_)]
+        cells = np.flatnonzero(counts)
+        return cells, counts[cells]
 
     def outside(self, k: int) -> list[bool]:
         """Of each candidate of text k: does it overlap no base span?"""
@@ -191,7 +237,7 @@ _FOUND = "struct<start: long, end: long, encoding: int, cell: int, apart: boolea
 
 
 def examine(docs: DataFrame) -> DataFrame:
-    """base (spans), found (candidates) and decoys (cells) of each row's text, and the other columns."""
+    """base (spans) and found (candidates) of each row's text, decoys (cells and how many) of all texts of a batch in its first row, and the other columns."""
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,19 +252,26 @@ def examine(docs: DataFrame) -> DataFrame:
                     cell, (p, q, r) = next(row)
                     each.append({"start": start, "end": end, "encoding": encoding, "cell": cell, "apart": apart, "p_uniform": p, "p_runs": q, "p_serial": r})
                 found.append(each)
-            yield pdf[keep].assign(base=pd.Series(base, index=pdf.index, dtype=object), found=pd.Series(found, index=pdf.index, dtype=object), decoys=pd.Series(t.decoys, index=pdf.index, dtype=object))
+            decoys = [[{"cell": c, "n": n} for c, n in zip(*(a.tolist() for a in t.decoys()), strict=True)]] + [[]] * (len(pdf) - 1)
+            yield pdf[keep].assign(base=pd.Series(base, index=pdf.index, dtype=object), found=pd.Series(found, index=pdf.index, dtype=object), decoys=pd.Series(decoys[: len(pdf)], index=pdf.index, dtype=object))
 
-    made = T.StructType.fromDDL(f"base array<{_SPAN}>, found array<{_FOUND}>, decoys array<int>")
+    made = T.StructType.fromDDL(f"base array<{_SPAN}>, found array<{_FOUND}>, decoys array<struct<cell: int, n: long>>")
     return map_pandas(docs.select(*keep, "text"), run, T.StructType([docs.schema[c] for c in keep] + made.fields))
 
 
 def thresholds(examined: DataFrame, rate: float) -> list[int]:
     """For each encoding and length class, the least step of u at which a candidate is called random; BINS where none is.
 
-    Of n candidates, k of them at the step or above, and m decoys, d of them there, n * (d + 1) / (m + 1) / k are expected to be false.
+    decoys: cells, or cells and how many there are of each. Of n candidates, k of them at the step or above, and m decoys, d of them there, n * (d + 1) / (m + 1) / k are expected to be false.
     """
-    of = lambda cells, kind: examined.select(F.explode(cells).alias("cell"), F.lit(kind).alias("decoy"))
-    counts = of(F.col("found.cell"), 0).unionByName(of(F.col("decoys"), 1)).groupBy("cell").agg(F.sum(1 - F.col("decoy")).alias("n"), F.sum("decoy").alias("d"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    decoy = F.explode("decoys").alias("c")
+    if isinstance(examined.schema["decoys"].dataType.elementType, T.StructType):
+        decoys = examined.select(decoy).select("c.cell", none.alias("n"), F.col("c.n").alias("d"))
+    else:
+        decoys = examined.select(decoy).select(F.col("c").alias("cell"), none.alias("n"), one.alias("d"))
+    found = examined.select(F.explode("found.cell").alias("cell"), one.alias("n"), none.alias("d"))
+    counts = found.unionByName(decoys).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     stratum = F.floor(F.col("cell") / BINS)
     whole = Window.partitionBy(stratum)  # at most BINS rows
     above = whole.orderBy(F.desc("cell"))

@@ -148,3 +148,21 @@ def test_edges(spark, none):
     # 5,000,000 letters a are hex digits.
     assert sorted((r.doc_id is None, r.n, r.encoding) for r in out) == [(False, 0, "m"), (False, 1, "m"), (False, 3000, "m"), (False, 3000, "m"), (True, 0, "m")]
     assert all(r["all"] == r.n for r in out)
+
+
+def test_decoys_are_all_of_the_text():
+    """Every stretch counts, not one a document: random hex in the middle of a long text gives decoys that look random, as the battery says of each."""
+    rng = random.Random(6)
+    text = "abc " * 900 + " ".join("".join(rng.choices("0123456789abcdef", k=15)) for _ in range(400)) + " cab" * 900
+    cells, counts = secret_scan.Texts([text, None, "zz"]).decoys()
+    e = list(secret_scan.ENCODINGS).index("lower_hex")
+    kept = "".join(c for c in text if c in "0123456789abcdef")
+    want = {}
+    for n in secret_scan.LENGTHS:
+        for start in range(0, len(kept), n):
+            piece = np.array([int(c, 16) for c in kept[min(start, len(kept) - n) :][:n]])
+            cell = int(secret_scan._cells(e, np.array([n]), secret_scan.battery(piece, np.array([n]), 16)[3])[0])
+            want[cell] = want.get(cell, 0) + 1
+    here = {c: k for c, k in zip(cells.tolist(), counts.tolist()) if c // secret_scan.BINS // len(secret_scan.LENGTHS) == e}
+    assert sum(here.values()) == sum(want.values()) and sum(abs(here.get(c, 0) - want.get(c, 0)) for c in here.keys() | want) <= 4
+    assert sum(k for c, k in here.items() if c % secret_scan.BINS >= 100) > 500
