@@ -99,3 +99,34 @@ def test_labels_of_extreme_cells():
     rows, cols = np.array([-(1 << 31), 0, (1 << 31) - 1]), np.array([-(1 << 31), 0, (1 << 31) - 1])
     n = tiles._number(rows, cols)
     assert n[0] < n[1] < n[2] and tiles._number(np.array([5]), np.array([9]))[0] > tiles._number(np.array([5]), np.array([-9]))[0]
+
+
+def test_small_rasters_are_labelled_together(spark, rasters, monkeypatch):
+    """No task or tile of its own for a small raster, and no links between tiles; batches may end anywhere in a tile."""
+    many = {f"{k}-{i}": v for k, v in rasters.items() for i in range(3)}
+    cells = table(spark, many)
+    links, write = [], tiles.write_shared
+
+    def seen(df, name):
+        out = write(df, name)
+        links.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(tiles, "write_shared", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            labelled = tiles.tile_labels(cells)
+            assert "FlatMapGroups" not in labelled._jdf.queryExecution().executedPlan().toString()
+            got = {}
+            for r in labelled.collect():
+                got.setdefault(r.raster_id, {}).setdefault((r.row < 0, r.col < 0, r.node), set()).add((r.row, r.col))
+            for k, v in many.items():
+                quarters = [{c for c in v if (c[0] < 0, c[1] < 0) == q} for q in ((a, b) for a in (False, True) for b in (False, True))]
+                want = sorted(sorted(c for c in plain if plain[c] == n) for plain in map(plain_components, quarters) for n in set(plain.values()))
+                assert sorted(map(sorted, got[k].values())) == want
+            assert {r.raster_id: r.hole_cells for r in tiles.enclosed(cells).collect()} == {k: plain_holes(v) for k, v in many.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert links and not any(links)
