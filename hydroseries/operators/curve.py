@@ -130,15 +130,16 @@ def fit_models(points: DataFrame, h: str = "wse", area: str = "area", sigma: str
         finite = finite & (F.abs(F.col(c).cast("double")) < float("inf"))
     taken = points.where(finite & (F.col(sigma) > 0) & F.col("lake_id").isNotNull())
     rows = taken.select(F.col("lake_id").cast("string").alias("lake_id"), *[F.col(c).cast("double").alias(x) for c, x in ((h, "h"), (area, "a"), (sigma, "sigma"))])
-    points_ = write_shared(rows.repartition(points.sparkSession.sparkContext.defaultParallelism), "points")  # evenly, for all rounds
-    ends = [f(x).alias(f"{x}_{name}") for x in ("h", "a") for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
-    extents = write_shared(points_.groupBy("lake_id").agg(*ends, F.count(F.lit(1)).alias("n")), "extents")
-    fits = write_shared(fitting.fit(points_, extents.where("n >= 2"), models, cfg.max_evaluations), "fits")
+    at = write_shared(fitting.levels(rows), "levels")  # points are read once; figures and all rounds are told from here
+    n, h_, mean = F.col("n"), F.col("h"), F.col("a_mean")
+    ends = [F.min("h").alias("h_min"), F.max("h").alias("h_max"), F.min("a_min").alias("a_min"), F.max("a_max").alias("a_max")]
+    extents = write_shared(at.groupBy("lake_id").agg(*ends, (F.sum(n * h_) / F.sum("n")).alias("h_mean"), (F.sum(n * mean) / F.sum("n")).alias("a_mean"), F.sum("n").alias("n")), "extents")
+    fits = write_shared(fitting.fit(at, extents.where("n >= 2"), models, cfg.max_evaluations), "fits")
 
-    shown = points_.join(fits.join(extents.select("lake_id", "a_mean"), "lake_id").select("lake_id", "model", "params", "a_mean"), "lake_id")
+    shown = at.withColumnRenamed("a_mean", "a").join(fits.join(extents.select("lake_id", "a_mean"), "lake_id").select("lake_id", "model", "params", "a_mean"), "lake_id")
     predicted = by_model(models, F.col("model"), lambda m: m.curve(F.col("params"), F.col("h")))
     off, spread = F.col("a") - predicted, F.col("a") - F.col("a_mean")
-    sums = shown.groupBy("lake_id", "model").agg(F.sum(off * off).alias("rss"), F.sum(spread * spread).alias("total"))
+    sums = shown.groupBy("lake_id", "model").agg(F.sum(F.col("a_off") + n * off * off).alias("rss"), F.sum(F.col("a_off") + n * spread * spread).alias("total"))
     told = fits.join(sums, ["lake_id", "model"]).withColumn("rss", F.when(F.col("rss") <= EXACT * F.col("total"), 0.0).otherwise(F.col("rss")))
 
     every = extents.crossJoin(F.broadcast(_listed(points.sparkSession, models)))  # one row a model

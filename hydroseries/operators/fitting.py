@@ -3,8 +3,9 @@
 Each model is a sum of basis functions times coefficients (see models). For given shape parameters, the sums of products of the basis functions,
 their slopes and the area, over a lake's points, tell all there is to tell: the best coefficients, the cost, and how the cost with the best coefficients
 changes with the shape (variable projection). So a round proposes a few shapes for each lake and model - steps of Levenberg's and Marquardt's
-method, stretched ones for long valleys and damped ones - sums over all points once, and keeps the best. Lakes and models that
+method, stretched ones for long valleys and damped ones - sums over all levels once, and keeps the best. Lakes and models that
 have converged leave the rounds. The points of a lake may be any number, in any tasks: what is shuffled is one row of sums a task, lake, model and proposal.
+As a curve depends on the level alone, points are summed once for each lake and distinct level (see levels), and rounds go over these sums.
 """
 
 from __future__ import annotations
@@ -154,10 +155,20 @@ def _finish(models: Sequence[Model]):
     return run
 
 
-def fit(points: DataFrame, extents: DataFrame, models: Sequence[Model], limit: int) -> DataFrame:
+def levels(points: DataFrame) -> DataFrame:
+    """One row for each lake_id and distinct h of points (lake_id, h, a, sigma, without nulls): all that a curve of h alone can be told from.
+
+    n, a_mean and a_off (the squares of a about a_mean, summed), a_min, a_max; w, wa and waa: the weights summed, times a, and times a squared.
+    """
+    w, a = 1.0 / (F.col("sigma") * F.col("sigma")), F.col("a")
+    sums = [F.sum(w).alias("w"), F.sum(w * a).alias("wa"), F.sum(w * a * a).alias("waa")]
+    return points.groupBy("lake_id", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a_mean"), (F.var_pop("a") * F.count(F.lit(1))).alias("a_off"), F.min("a").alias("a_min"), F.max("a").alias("a_max"), *sums)
+
+
+def fit(at: DataFrame, extents: DataFrame, models: Sequence[Model], limit: int) -> DataFrame:
     """lake_id, model (its place in models), params and param_errors, for each lake and model that could be fitted.
 
-    points: lake_id, h, a, sigma, without nulls; it is read once a round, so it should be written. extents: one row a lake, with the ends and mean of h and the ends of a.
+    at: see levels; it is read once a round, so it should be written. extents: one row a lake, with the ends and mean of h and the ends of a.
     limit: evaluations of one model for one lake. A lake with fewer points than coefficients gets what least squares of the smallest size gives.
     """
     n_basis, width = max(m.n_basis for m in models), max(m.n_basis * (1 + m.n_shape) for m in models)
@@ -175,12 +186,14 @@ def fit(points: DataFrame, extents: DataFrame, models: Sequence[Model], limit: i
     # The basis first: slopes are told from it.
     basis = [column(j, lambda m: m.basis(level(m), shape(m))) for j in range(n_basis)]
     every = [column(j, slopes) for j in range(width)]
-    products = F.array(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(width + 1) for j in range(i, width + 1)]).alias("sums")
+    x = [F.col(f"x{i}") for i in range(width)]
+    product = lambda i, j: F.col("waa") if i == width else F.col("wa") * x[i] if j == width else F.col("w") * x[i] * x[j]
+    products = F.array(*[F.sum(product(i, j)) for i in range(width + 1) for j in range(i, width + 1)]).alias("sums")
     state = write_shared(extents.select("lake_id", "h_mean", "h_min", "h_max", "a_min", "a_max").mapInPandas(_start(models), STATE), "fits")
     while not (open_ := state.where(~F.col("done"))).isEmpty():
         proposed = open_.select("lake_id", "model", "h_mean", F.posexplode("proposals").alias("k", "shape"))
-        rows = points.join(proposed, "lake_id").withColumns({f"x{j}": c for j, c in enumerate(basis)})
-        seen = rows.select("lake_id", "model", "k", (1.0 / (F.col("sigma") * F.col("sigma"))).alias("w"), *every, F.col("a").alias(f"x{width}"))
+        rows = at.join(proposed, "lake_id").withColumns({f"x{j}": c for j, c in enumerate(basis)})
+        seen = rows.select("lake_id", "model", "k", "w", "wa", "waa", *every)
         sums = seen.groupBy("lake_id", "model", "k").agg(products)
         told = sums.groupBy("lake_id", "model").agg(F.collect_list(F.struct("k", "sums")).alias("told"))  # one a proposal
         moved = open_.join(told, ["lake_id", "model"], "left").mapInPandas(_advance(models, limit), STATE)

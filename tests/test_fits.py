@@ -91,3 +91,19 @@ def test_a_sixth_model_can_win(spark):
     drawn = curve.plot_series(series, curve.area_level_curves(series, models=(*MODELS, wave)), n=5, models=(*MODELS, wave)).where("kind = 'curve'").collect()
     assert all(r.area == pytest.approx(2 * math.sin(3 * r.wse) + 8 * r.wse + 1, abs=1e-4) for r in drawn)
     assert curve.area_level_curves(series).first().function_type != "wave"
+
+
+def test_rounds_go_over_levels(spark, monkeypatch):
+    """Many points on few levels: points are summed once, rounds see one row a lake and level, and the fits and figures are those of all points."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 30, 3000) / 5 + 4800
+    a = plain_fits.predict("quadratic", h, SHAPES["quadratic"])
+    lake = (h, a + 0.05 * np.ptp(a) * rng.standard_normal(len(h)), rng.uniform(0.05, 0.3, len(h)))
+    seen, fit = [], fitting.fit
+    monkeypatch.setattr(fitting, "fit", lambda at, *more: seen.append(at.count()) or fit(at, *more))
+    got = curve.fit_models(table(spark, {"a": lake, "b": lake}).repartition(3)).collect()
+    assert seen == [60] and {r.lake_id for r in got} == {"a", "b"}
+    for m, want in zip(got[0].models[:2], plain_fits.fit_lake(*lake, CurveConfig())[:2], strict=True):
+        name, params, errors, r2, bic, rmse, *_ = want
+        assert m.function_type == name and np.allclose(m.params, params, rtol=1e-5) and np.allclose(m.param_errors, errors, rtol=1e-3)
+        assert m.r_squared == pytest.approx(r2, abs=1e-9) and m.bic == pytest.approx(bic, rel=1e-9) and m.rmse == pytest.approx(rmse, rel=1e-9)
