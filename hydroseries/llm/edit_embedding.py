@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, map_pandas, mix, write_shared
-from .simhash import BkForest, components
+from .simhash import BkForest, components, merged
 
 BITS = 256
 #: Fingerprints whose bands are made at once.
@@ -32,6 +32,8 @@ ROWS = 4096
 #: The random bits repeat after PERIOD steps, and characters share CLASSES rows of them; both only add chance agreement.
 PERIOD, CLASSES = 1024, 251
 CHAIN = 96
+#: Bands that are searched before the others.
+FIRST_BANDS = 3
 
 
 @functools.lru_cache(1)
@@ -170,13 +172,14 @@ def compare_with_edited(docs: DataFrame, buckets: int | None = None) -> DataFram
     return map_pandas(runs.select("bucket", "lent", "doc_id", "text"), run, EDITED)
 
 
-def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int) -> np.ndarray:
-    """bands hashes of width sampled bits each, for each fingerprint (the last axis)."""
+def band_keys(fingerprint_bits: np.ndarray, bands: int, width: int, first: int = 0) -> np.ndarray:
+    """bands hashes of width sampled bits each, from the first one on, for each fingerprint (the last axis)."""
     rng = np.random.default_rng(7)
     weights = np.uint64(257) ** np.arange((width + 7) // 8, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        keys = [np.packbits(fingerprint_bits[..., rng.permutation(BITS)[:width]], axis=-1).astype(np.uint64) @ weights for _ in range(bands)]
-        return mix(np.stack(keys, -1) * np.uint64(64) + np.arange(bands, dtype=np.uint64))
+        samples = [rng.permutation(BITS)[:width] for _ in range(bands)][first:]
+        keys = [np.packbits(fingerprint_bits[..., sample], axis=-1).astype(np.uint64) @ weights for sample in samples]
+        return mix(np.stack(keys, -1) * np.uint64(64) + np.arange(first, bands, dtype=np.uint64))
 
 
 def bands_for(radius: int, width: int, recall: float) -> int:
@@ -194,42 +197,64 @@ def near_fingerprints(distinct: DataFrame, radius: int, bands: int, width: int)
 
     Copies are one fingerprint. Buckets meet by band, links are verified on whole fingerprints, and no bucket gives out all pairs.
     """
+    return part_links(distinct.withColumn("part", F.col("fingerprint")), radius, bands, width)
+
+
+def part_links(distinct: DataFrame, radius: int, bands: int, width: int, first: int = 0) -> DataFrame:
+    """a < b: links between parts of fingerprint and part, a spanning forest in each bucket of the bands from the first one on. Every link within the radius counts."""
+    of = distinct.schema["part"].dataType.simpleString()
 
     def band(batches):
         for pdf in batches:
             for a in range(0, len(pdf), ROWS):
-                names = pdf["fingerprint"].to_numpy()[a : a + ROWS]
+                some = pdf.iloc[a : a + ROWS]
+                names = some["fingerprint"].to_numpy()
                 bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), BITS // 8), axis=1)
-                yield pd.DataFrame({"key": band_keys(bits, bands, width).ravel().view(np.int64), "fingerprint": np.repeat(names, bands)})
+                keys = band_keys(bits, bands, width, first)
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "fingerprint": np.repeat(names, bands - first), "part": np.repeat(some["part"].to_numpy(), bands - first)})
 
     def link(batches):
-        held = pd.DataFrame({"key": [], "fingerprint": []})
+        held = pd.DataFrame({"key": [], "fingerprint": [], "part": []})
         for pdf in [*batches, None]:
-            whole = held if pdf is None else pd.concat((held, pdf), ignore_index=True)
+            whole = held if pdf is None else pd.concat((held, pdf), ignore_index=True) if len(held) else pdf
             cut = len(whole) if pdf is None or not len(whole) else int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iat[-1]))
             done, held = whole[:cut], whole[cut:]
-            if len(done):
-                names = done["fingerprint"].to_numpy()
+            if not len(done):
+                continue
+            key = done["key"].to_numpy().astype(np.int64)
+            part, each = pd.factorize(done["part"], sort=True)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            several = np.repeat(np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts), np.diff([*starts, len(key)]))
+            if several.any():
+                key, part, names = key[several], part[several], done["fingerprint"].to_numpy()[several]
                 lanes = np.frombuffer(bytes.fromhex("".join(names)), np.uint64).reshape(len(names), BITS // 64)
-                label = BkForest(lanes, done["key"].to_numpy().astype(np.int64)).components(radius)
-                other = np.flatnonzero(label != np.arange(len(label)))
-                yield pd.DataFrame({"a": np.minimum(names[other], names[label[other]]), "b": np.maximum(names[other], names[label[other]])})
+                label, least = BkForest(lanes, key).components(radius), part.copy()
+                np.minimum.at(least, label, part)
+                a, b = least[label], part
+                each = np.asarray(each)
+                yield pd.DataFrame({"a": each[a[a != b]], "b": each[b[a != b]]}).drop_duplicates()
 
-    rows = map_pandas(distinct, band, "key long, fingerprint string").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
-    return map_pandas(rows, link, "a string, b string").distinct()
+    rows = map_pandas(distinct.select("fingerprint", "part"), band, f"key long, fingerprint string, part {of}").repartition(F.col("key")).sortWithinPartitions("key", "fingerprint")
+    return map_pandas(rows, link, f"a {of}, b {of}").distinct()
 
 
 def near_groups(rows: DataFrame, radius: int = 40, width: int = 16, recall: float = 0.95) -> DataFrame:
     """rows (with fingerprint) and near_group: the least fingerprint that verified links lead to, the row's own if it has none.
 
     Links are of fingerprints within the radius that share a band; two at the radius share one with probability recall, nearer ones more
-    surely, and a fingerprint that misses one link of its group is in it by any other. Copies are one fingerprint. rows is read
+    surely, and a fingerprint that misses one link of its group is in it by any other. A few bands are searched first, the others for links
+    between the groups that these give: a large group is gone through once, not once a band. Copies are one fingerprint. rows is read
     several times, so it should be written; it is not shuffled for common fingerprints.
     """
     counts = write_shared(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows")), "fingerprints")
-    pairs = write_shared(near_fingerprints(counts.select("fingerprint"), radius, bands_for(radius, width, recall), width), "near-pairs")
     node = F.xxhash64("fingerprint")
-    label = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    bands = bands_for(radius, width, recall)
+    begun = min(FIRST_BANDS, bands)
+    label = components(write_shared(part_links(counts.select("fingerprint", node.alias("part")), radius, begun, width), "near-pairs"))
+    if begun < bands:
+        parts = counts.select("fingerprint", node.alias("node")).join(label, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("part"))
+        found = write_shared(part_links(parts, radius, bands, width, begun), "near-pairs")
+        label = label if found.isEmpty() else merged(label, found)
     linked = counts.select("fingerprint", node.alias("node")).join(label, "node")
     least = linked.groupBy("label").agg(F.min("fingerprint").alias("near_group"))
     told = counts.join(linked.join(least, "label").select("fingerprint", "near_group"), "fingerprint", "left")

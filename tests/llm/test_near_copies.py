@@ -152,3 +152,27 @@ def test_growing_tables():
     parts = scheme.growing(3)
     assert [t for p in parts for t in p.chosen] == list(range(scheme.tables)) and len(parts[0].chosen) < len(parts[1].chosen) < len(parts[2].chosen)
     assert [p.chosen for p in scheme.growing(1)] == [tuple(range(scheme.tables))]
+
+
+def test_a_large_group_is_not_linked_in_every_band(spark, monkeypatch):
+    """Near copies of one text meet in all bands: links are few a fingerprint, and all are in one group."""
+    import random
+
+    from hydroseries.llm import edit_embedding
+
+    rng = random.Random(4)
+    base = rng.getrandbits(256)
+    prints = sorted({f"{base ^ sum(1 << b for b in rng.sample(range(256), 12)):064x}" for _ in range(600)})
+    alone = [f"{rng.getrandbits(256):064x}" for _ in range(50)]
+    rows = spark.createDataFrame([(i, fp) for i, fp in enumerate(prints + alone)], "doc_id long, fingerprint string")
+    given, write = [], edit_embedding.write_shared
+
+    def seen(df, name):
+        out = write(df, name)
+        given.extend([out.count()] if name == "near-pairs" else [])
+        return out
+
+    monkeypatch.setattr(edit_embedding, "write_shared", seen)
+    got = {r.fingerprint: r.near_group for r in edit_embedding.near_groups(rows).collect()}
+    assert got == {fp: prints[0] for fp in prints} | {fp: fp for fp in alone}
+    assert sum(given) <= 4 * len(prints), given
