@@ -52,6 +52,8 @@ LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 BINS = 1000
 #: Characters of text whose decoys are counted at once, and symbols of decoys.
 CHARACTERS, SYMBOLS = 1 << 18, 1 << 17
+#: Symbols whose counts are told once for all lengths that it divides.
+BLOCK = 8
 #: Kinds of spans: patterns first, then strings found by their randomness.
 KINDS = ("assign", "access", "hex", *ENCODINGS)
 #: Each pattern, which group must be how long at least; matches that are shorter are dropped after matching.
@@ -140,15 +142,51 @@ def _evidence(size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return minus_log(uniform), minus_log(runs), z, minus_log(_normal(z))
 
 
+def _blocks(x: np.ndarray, offset: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece, the number of its first whole block of BLOCK symbols, and the counts of each symbol in each block of all pieces."""
+    each = lengths // BLOCK
+    first = np.cumsum(each) - each
+    start = np.repeat(offset, each) + (np.arange(each.sum()) - np.repeat(first, each)) * BLOCK
+    counts, window = np.empty((len(start), size), np.uint8), np.lib.stride_tricks.sliding_window_view(x, BLOCK)
+    for a in range(0, len(start), SYMBOLS // BLOCK):
+        some = window[start[a : a + SYMBOLS // BLOCK]]
+        some += size * np.arange(len(some))[:, None]
+        counts[a : a + len(some)] = np.bincount(some.ravel(), minlength=len(some) * size).reshape(len(some), size)
+    return first, counts
+
+
+def _squares(blocks: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The sums of squared counts of n blocks from each first one on; a count is at most LENGTHS[-1], so the sums fit in 16 bits."""
+    out = np.empty(len(first), np.int64)
+    rows = max(1, SYMBOLS // blocks.shape[1])
+    for a in range(0, len(first), rows):
+        at = first[a : a + rows]
+        count = blocks[at]
+        for k in range(1, n):
+            count += blocks[at + k]
+        count = count.astype(np.uint16)
+        out[a : a + rows] = np.einsum("ij,ij->i", count, count)
+    return out
+
+
+def _even_interp(x: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """np.interp for points z in even steps from 0."""
+    place = np.minimum(x * ((len(z) - 1) / z[-1]), len(z) - 1)
+    low = np.minimum(place.astype(np.int64), len(z) - 2)
+    return y[low] + (y[low + 1] - y[low]) * (place - low)
+
+
 def _count_decoys(e: int, pieces: list[bytes], counts: np.ndarray) -> None:
     """Adds the cells of the decoys of pieces, of LENGTHS[0] symbols or more each, to counts: for each length, each piece from end to end, the last one up to its end."""
     if not pieces:
         return
     size, lengths = int(_SIZES[e]), np.fromiter(map(len, pieces), np.int64, len(pieces))
     offset = np.cumsum(lengths) - lengths
-    x = _SYMBOL[e][np.frombuffer(b"".join(pieces), np.uint8)]
+    x = _SYMBOL[e].astype(np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
     high = 2 * x >= size
-    total, squares, products, above, changes = (np.concatenate(([0], np.cumsum(a))) for a in (x, x * x, x[1:] * x[:-1], high, high[1:] != high[:-1]))
+    kind = np.int32 if len(x) < 1 << 19 else np.int64  # sums of squares of symbols below 64 fit
+    total, squares, products, above, changes = (np.concatenate((np.zeros(1, kind), np.cumsum(a, dtype=kind))) for a in (x, x * x, x[1:] * x[:-1], high, high[1:] != high[:-1]))
+    block_of, blocks = _blocks(x, offset, lengths, size)
     for n in LENGTHS:
         there = lengths >= n
         if not there.any():
@@ -157,19 +195,27 @@ def _count_decoys(e: int, pieces: list[bytes], counts: np.ndarray) -> None:
         step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         start = np.repeat(offset[there], each) + np.minimum(step * n, np.repeat(lengths[there] - n, each))
         uniform, runs, z, serial = _evidence(size, n)
-        square, window = np.empty(len(start), np.int64), np.lib.stride_tricks.sliding_window_view(x, n)
-        for a in range(0, len(start), SYMBOLS // n):
-            some = window[start[a : a + SYMBOLS // n]]
+        square = np.empty(len(start), np.int64)
+        whole = step < np.repeat(lengths[there] // n, each)  # these begin at a multiple of n in their piece
+        if n % BLOCK:
+            rest = np.arange(len(start))
+        else:
+            at = np.flatnonzero(whole)
+            square[at] = _squares(blocks, np.repeat(block_of[there], each)[at] + step[at] * (n // BLOCK), n // BLOCK)
+            rest = np.flatnonzero(~whole)
+        window = np.lib.stride_tricks.sliding_window_view(x, n)
+        for a in range(0, len(rest), SYMBOLS // n):
+            some = window[start[rest[a : a + SYMBOLS // n]]]
             some += size * np.arange(len(some))[:, None]
             count = np.bincount(some.ravel(), minlength=len(some) * size).reshape(len(some), size)
-            square[a : a + len(some)] = np.einsum("ij,ij->i", count, count)
+            square[rest[a : a + SYMBOLS // n]] = np.einsum("ij,ij->i", count, count)
         end = start + n
         sums = (total[end] - total[start]).astype(float)
         power = squares[end] - squares[start] - sums * sums / n
         product = products[end - 1] - products[start] - sums / n * (2 * sums - x[start] - x[end - 1]) + (n - 1) * (sums / n) ** 2
         even = power > 1e-6  # whole numbers over n: not all symbols are the same
         correlation = np.abs(product / np.where(even, power, 1) + 1 / n) * math.sqrt(n)
-        f = uniform[square] + runs[above[end] - above[start], changes[end - 1] - changes[start]] + np.where(even, np.interp(correlation, z, serial), -math.log(_LEAST))
+        f = uniform[square] + runs[above[end] - above[start], changes[end - 1] - changes[start]] + np.where(even, _even_interp(correlation, z, serial), -math.log(_LEAST))
         low = (e * len(LENGTHS) + LENGTHS.index(n)) * BINS
         counts[low : low + BINS] += np.bincount(np.minimum((np.exp(-f) * (1 + f + f * f / 2) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
 

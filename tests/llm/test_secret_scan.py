@@ -166,3 +166,29 @@ def test_decoys_are_all_of_the_text():
     here = {c: k for c, k in zip(cells.tolist(), counts.tolist()) if c // secret_scan.BINS // len(secret_scan.LENGTHS) == e}
     assert sum(here.values()) == sum(want.values()) and sum(abs(here.get(c, 0) - want.get(c, 0)) for c in here.keys() | want) <= 4
     assert sum(k for c, k in here.items() if c % secret_scan.BINS >= 100) > 500
+
+
+def test_decoys_are_counted_from_blocks():
+    """Symbols are counted once in blocks for all lengths that these divide, with the cells that each decoy has on its own."""
+    import numpy as np
+
+    from hydroseries.llm import secret_scan
+
+    rng = np.random.default_rng(3)
+    name = list(secret_scan.ENCODINGS).index("base64")
+    alphabet = np.frombuffer(secret_scan.ENCODINGS["base64"], np.uint8)
+    pieces = [bytes(alphabet[np.minimum(rng.integers(0, 64, n), rng.integers(0, 64, n))]) for n in (16, 17, 23, 24, 128, 131, 300, 1000)] + [b"a" * 300]
+    x, lengths = secret_scan._SYMBOL[name][np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces])
+    first, blocks = secret_scan._blocks(x, np.cumsum(lengths) - lengths, lengths, 64)
+    for k, piece in enumerate(pieces):
+        for n in (1, 2, 3, 16):
+            if len(piece) >= 8 * n:
+                want = (np.bincount(secret_scan._SYMBOL[name][np.frombuffer(piece[: 8 * n], np.uint8)], minlength=64) ** 2).sum()
+                assert secret_scan._squares(blocks, first[k : k + 1], n).tolist() == [want]
+    got, want = (np.zeros(len(secret_scan.ENCODINGS) * len(secret_scan.LENGTHS) * secret_scan.BINS, np.int64) for _ in range(2))
+    secret_scan._count_decoys(name, pieces, got)
+    for n in secret_scan.LENGTHS:
+        decoys = [p[min(a, len(p) - n) :][:n] for p in pieces if len(p) >= n for a in range(0, len(p), n)]
+        u = secret_scan.battery(secret_scan._SYMBOL[name][np.frombuffer(b"".join(decoys), np.uint8)], np.full(len(decoys), n), 64)[3]
+        np.add.at(want, secret_scan._cells(name, np.full(len(decoys), n), u), 1)
+    assert got.sum() == want.sum() and np.abs(np.cumsum(got) - np.cumsum(want)).max() <= 1  # a point of the tables may fall in the next cell
