@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The lowest 0 to 63 bits of a word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class RankBits:
     """A bit vector in 64-bit words with a count for each word: rank in constant time."""
 
@@ -17,8 +21,7 @@ class RankBits:
 
     def ones_before(self, i: np.ndarray) -> np.ndarray:
         word = i >> 6
-        low = self.words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return self.before[word] + np.bitwise_count(low)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[i & 63])
 
 
 class WaveletMatrix:
@@ -34,13 +37,11 @@ class WaveletMatrix:
 
     def ranks(self, symbol: np.ndarray, *positions: np.ndarray) -> list[np.ndarray]:
         """For each position, how often the symbol occurs before it, counted from where the symbol's block begins on the last level."""
-        out = [p.copy() for p in positions]
+        at = np.stack(positions)
         for k, level in enumerate(self.levels):
-            one = ((symbol >> (self.depth - 1 - k)) & 1).astype(bool)
-            for j, at in enumerate(out):
-                ones = level.ones_before(at)
-                out[j] = np.where(one, level.zeros + ones, at - ones)
-        return out
+            ones = level.ones_before(at)
+            at = np.where(symbol & (1 << (self.depth - 1 - k)), level.zeros + ones, at - ones)
+        return list(at)
 
 
 class FmIndex:

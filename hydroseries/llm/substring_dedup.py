@@ -5,10 +5,10 @@
 2. A prefilter tells which stretches can repeat at all: each window of `window` words has a minimiser, the least hash of the GRAM-word
    grams in it, and equal windows have equal minimisers. Only stretches whose minimiser occurs in two documents go on, most of a corpus
    does not. A stretch has STRETCH windows at most; longer ones are cut, with the words of a window less one in common.
-3. Stretches meet by minimiser in shards. A shard's distinct stretches form a compressed FM-index, and each is streamed through it from
-   right to left: backward search over the wavelet matrix gives its matching statistics against the documents earlier than its own
-   earliest one, and the intervals that reach the window's length are reported. A later document with the same stretch repeats
-   all of it. Minimisers that are very frequent are cut into single windows, dealt by the window itself, so no shard grows with one passage.
+3. Stretches meet by minimiser in shards. Those of a shard's distinct stretches that hold a window whose hash occurs twice there form a
+   compressed FM-index (no other can repeat a window of one), and each is streamed through it from right to left: backward search over the
+   wavelet matrix gives its matching statistics against the documents earlier than its own earliest one, and the intervals that reach
+   the window's length are reported. A later document with the same stretch repeats all of it. Minimisers that are very frequent are cut into single windows, dealt by the window itself, so no shard grows with one passage.
 
 Shards hold about SHARD_WORDS words whatever the input. Nothing but counts comes to the driver.
 
@@ -42,14 +42,20 @@ LAST = (1 << 63) - 1
 
 def _words_table(docs: DataFrame, keep: list[str]) -> DataFrame:
     """uid, ord, text, digest (of its words) and the columns keep, bucketed by uid in the shared folder."""
-    body = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    body = F.trim(F.regexp_replace("text", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))  # single spaces are right as they are
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     return write_bucketed(rows.withColumn("digest", F.md5(body)), "uid", "words")
 
 
+#: The six ASCII blanks become spaces.
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+
+
 def _joined(text: str) -> bytes:
     """Its words, with single spaces. Bytes are split at the six ASCII blanks only."""
-    return b" ".join(text.encode().split())
+    data = text.encode().translate(_SPACES)
+    single = b"  " not in data and data[:1] != b" " and data[-1:] != b" "
+    return data if single else b" ".join(data.split())
 
 
 class _Windows:
@@ -70,22 +76,24 @@ class _Windows:
             reach *= 2
         if reach < span:
             least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-        count = np.maximum(n - window + 1, 0)
-        text = np.repeat(np.arange(len(n)), count)
-        at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + w.first[:-1][text]
-        value = least[at]
-        new = np.concatenate(([True], (np.diff(value) != 0) | (np.diff(text) != 0)))
+        # A run ends where the minimiser changes, at the end of a text, and at its last windows, which would reach into the next text.
+        new = np.concatenate(([True], least[1:] != least[:-1]))
+        edges = np.concatenate((w.first, np.maximum(w.first[1:] - window + 1, w.first[:-1])))
+        new[edges[edges < len(new)]] = True
         first = np.flatnonzero(new)
-        length = np.diff(np.concatenate((first, [len(text)])))
+        length = np.diff(np.concatenate((first, [len(new)])))
+        text = np.searchsorted(w.first, first, side="right") - 1
+        inside = first + window <= w.first[text + 1]
+        first, length, text = first[inside], length[inside], text[inside]
         pieces = -(-length // longest)
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = np.repeat(first, pieces) + nth * longest
-        self.run_text, self.run_start, self.run_hash = text[first], at[first], value[first]
+        self.run_text, self.run_start = np.repeat(text, pieces), np.repeat(first, pieces) + nth * longest
+        self.run_hash = least[self.run_start]
         self.run_length = np.minimum(np.repeat(length, pieces) - nth * longest, longest)
 
-    def stretch(self, i: int, j: int) -> str:
+    def stretches(self, i: np.ndarray, j: np.ndarray) -> list[str]:
         """Words i to j of all texts, both included."""
-        return self.words.buffer[self.words.start[i] : self.words.end[j]].decode()
+        return [self.words.buffer[a:b].decode() for a, b in zip(self.words.start[i].tolist(), self.words.end[j].tolist(), strict=True)]
 
 
 def _blocks(pdf: pd.DataFrame, block: int):
@@ -121,23 +129,31 @@ def _stretches(flagged: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for pdf in _blocks(batch, block):
                 w = _Windows(pdf["text"].tolist(), window, longest)
-                cut = np.searchsorted(w.run_text, np.arange(len(pdf) + 1))
-                windows = w.words.grams(window).view(np.int64)
-                out = []
-                for k, (uid, ord_, hs, frequent) in enumerate(zip(pdf["uid"], pdf["ord"], pdf["hs"], pdf["frequent"], strict=True)):
-                    often = set(frequent.tolist())
-                    base = int(w.words.first[k])
-                    for r in (cut[k] + np.flatnonzero(np.isin(w.run_hash[cut[k] : cut[k + 1]], hs))).tolist():
-                        h, i, n = int(w.run_hash[r]), int(w.run_start[r]), int(w.run_length[r])
-                        if h not in often:
-                            out.append((h, w.stretch(i, i + n + window - 2), uid, ord_, i - base))
-                        else:
-                            out += [(int(windows[a]), w.stretch(a, a + window - 1), uid, ord_, a - base) for a in range(i, i + n)]
-                yield pd.DataFrame(out, columns=["h", "seg", "uid", "ord", "at"])
+                # A minimiser that is shared is so in every text.
+                run = np.flatnonzero(np.isin(w.run_hash, np.concatenate(pdf["hs"].tolist())))
+                often = np.isin(w.run_hash[run], np.concatenate(pdf["frequent"].tolist()))
+                each = np.where(often, w.run_length[run], 1)  # very frequent ones go window by window
+                run, often, nth = np.repeat(run, each), np.repeat(often, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                text, at, h = w.run_text[run], w.run_start[run] + nth, w.run_hash[run]
+                if often.any():
+                    h = np.where(often, w.words.grams(window).view(np.int64)[at], h)
+                seg = w.stretches(at, at + np.where(often, 1, w.run_length[run]) + window - 2)
+                yield pd.DataFrame({"h": h, "seg": pd.Series(seg, dtype=object), "uid": pdf["uid"].to_numpy()[text], "ord": pdf["ord"].to_numpy()[text], "at": at - w.words.first[text]})
 
     return map_pandas(flagged.select("uid", "ord", "text", "hs", "frequent"), run, "h long, seg string, uid long, ord long, at int")
 
 
+def _repeating(segs: pd.Series, window: int) -> np.ndarray:
+    """Of each stretch: does it hold a window whose hash stands elsewhere too? Equal windows have equal hashes, so others hold no passage of another stretch."""
+    words = FlatWords([s.encode() for s in segs])
+    n = np.diff(words.first) - window + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    _, of, count = np.unique(words.grams(window)[np.arange(len(owner)) + (window - 1) * owner], return_inverse=True, return_counts=True)
+    out = np.zeros(len(n), bool)
+    out[owner[count[of] > 1]] = True
+    return out
+
+
 def _matches(segments: DataFrame, shards: int, window: int) -> DataFrame:
     """h, seg, least, begins, ends: in each distinct stretch, the intervals of words that documents earlier than its earliest one (least) have.
 
@@ -145,6 +161,9 @@ def _matches(segments: DataFrame, shards: int, window: int) -> DataFrame:
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        again = _repeating(pdf["seg"], window)
+        apart = pdf[~again & (pdf["most"] > pdf["least"]).to_numpy()]  # no window for the index, but a later document has all of it
+        pdf = pdf[again]
         words = [s.split(" ") for s in pdf["seg"]]
         n = np.fromiter(map(len, words), np.int64, len(words))
         flat, _ = pd.factorize(np.array([x for s in words for x in s], dtype=object))
@@ -161,8 +180,9 @@ def _matches(segments: DataFrame, shards: int, window: int) -> DataFrame:
         cut = np.searchsorted(owner, np.arange(len(n) + 1))
         begins, ends = first - (end - n)[owner], after - 1 + window - (end - n)[owner]
         told = np.flatnonzero((np.diff(cut) > 0) | (pdf["most"].to_numpy() > pdf["least"].to_numpy()))
-        each = lambda x: pd.Series([x[cut[k] : cut[k + 1]] for k in told.tolist()], dtype=object)
-        return pd.DataFrame({"h": pdf["h"].to_numpy()[told], "seg": pdf["seg"].to_numpy()[told], "least": pdf["least"].to_numpy()[told], "begins": each(begins), "ends": each(ends)})
+        rows = pd.concat([pdf.iloc[told], apart], ignore_index=True)[["h", "seg", "least"]]
+        each = lambda x: pd.Series([x[cut[k] : cut[k + 1]] for k in told.tolist()] + [x[:0]] * len(apart), dtype=object)
+        return rows.assign(begins=each(begins), ends=each(ends))
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda pdf: search(pdf), "h long, seg string, least long, begins array<int>, ends array<int>")
@@ -204,17 +224,18 @@ def _keep_words(text: Column, copy: Column, begins: Column, ends: Column, window
             for batch in batches:
                 out = []
                 for t, same, a, b in zip(*batch, strict=True):
-                    words = t.encode().split()
-                    n = len(words)
+                    kept = _joined(t)
+                    n = left = kept.count(b" ") + 1 if kept else 0
                     if same and n >= window:
-                        words = []
+                        kept, left = b"", 0
                     elif len(a):
                         # Both lists are collected in one order; their sums do not depend on it.
                         depth = np.zeros(n + 1, np.int64)
                         np.add.at(depth, a, 1)
                         np.subtract.at(depth, b, 1)
-                        words = [words[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
-                    out.append((b" ".join(words).decode(), n, n - len(words)))
+                        words, stay = kept.split(b" "), np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()
+                        kept, left = b" ".join([words[i] for i in stay]), len(stay)
+                    out.append((kept.decode(), n, n - left))
                 yield pd.DataFrame(out, columns=["kept", "n_words", "n_removed"])
         finally:
             release_memory()

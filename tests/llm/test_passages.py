@@ -5,6 +5,7 @@ import random
 
 import brute
 import duckdb
+import pandas as pd
 import pytest
 
 from hydroseries.llm import queries, substring_dedup
@@ -55,6 +56,36 @@ def test_passages_at_the_end_of_texts(spark, make, monkeypatch, block, stretch,
     assert {i: " ".join(t.split()) for i, t in left.items()} == {i: kept for i, (_, _, kept) in want.items() if kept}
 
 
+def test_only_stretches_with_a_repeated_window_are_indexed(spark):
+    rng = random.Random(5)
+    segs = [" ".join(rng.choices("ab" if k % 3 else "cdefghijkl", k=rng.randint(13, 30))) for k in range(300)]
+    windows = [[tuple(s.split(" ")[i : i + 13]) for i in range(len(s.split(" ")) - 12)] for s in segs]
+    count = {}
+    for w in sum(windows, []):
+        count[w] = count.get(w, 0) + 1
+    want = [any(count[w] > 1 for w in each) for each in windows]
+    assert substring_dedup._repeating(pd.Series(segs), 13).tolist() == want and 30 < sum(want) < 270
+    # Where none repeats, the index is empty; stretches that a later document has are told all the same.
+    alone = [(k, s, k, k + k % 2) for k, (s, w) in enumerate(zip(segs, want)) if not w]
+    told = substring_dedup._matches(spark.createDataFrame(alone, "h long, seg string, least long, most long"), 1, 13).collect()
+    assert sorted((r.h, r.seg, r.least, r.begins, r.ends) for r in told) == [(k, s, k, [], []) for k, s, _, most in alone if most > k]
+
+
+def test_any_blanks_separate_words(make):
+    rng = random.Random(9)
+    blanks, others = " \t\n\x0b\x0c\r", "\x1c\x85\u00a0\u2003"
+    docs = []
+    for i in range(60):
+        words = [f"w{(i % 4) * 50 + k}{others[k % 4]}" for k in range(rng.choice([5, 14, 20]))]
+        glue = lambda most: "".join(rng.choices(blanks, k=rng.randint(1, most)))
+        docs.append((i, glue(2)[1:] + "".join(w + glue(1 + i % 3) for w in words)[: -1 if i % 3 == 0 else None]))
+    for _, t in docs:
+        assert substring_dedup._joined(t) == b" ".join(t.encode().split())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(make([(i, t, None, None) for i, t in docs])).collect()}
+    want = brute.substring_dedup(docs)
+    assert got == want and sum(k for _, k, _ in want.values()) > 300
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_on_the_larger_tables(spark, name):
