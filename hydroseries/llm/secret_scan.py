@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +63,12 @@ PATTERNS = (
     (re.compile(rb"AKIA[A-Z0-9]+"), 0, 18),
     (re.compile(rb"[0-9a-f]{16,}"), 0, 16),  # runs are maximal, so shorter ones need not be matched
 )
+#: One of these is in each match of the first pattern, in some case.
+_TELLING = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _CANDIDATE = re.compile(rb"([A-Za-z0-9+/_-]{%d,})={0,2}" % LENGTHS[0])
+#: Characters of a run are ones, others zeros; and the shortest run.
+_HEX, _TOKEN = (bytes(int(b in alphabet) for b in range(256)) for alphabet in (ENCODINGS["lower_hex"], ENCODINGS["base64"] + b"-_"))
+_RUN = b"\1" * LENGTHS[0]
 _SYMBOL = np.array([[alphabet.find(bytes([b])) for b in range(256)] for alphabet in ENCODINGS.values()], np.int64)
 _OTHERS = [bytes(b for b in range(256) if b not in alphabet) for alphabet in ENCODINGS.values()]
 _SIZES = np.array([len(a) for a in ENCODINGS.values()])
@@ -70,6 +76,8 @@ _SIZES = np.array([len(a) for a in ENCODINGS.values()])
 _CASE = {"lower_hex": "l", "lower_base36": "l", "upper_hex": "u", "base32": "u", "upper_base36": "u"}
 #: Encodings whose decoys are those of another one in the other case.
 _ALIKE = {"upper_hex": "lower_hex", "upper_base36": "lower_base36"}
+#: Encodings whose symbols of many texts are another one's, plus a number: those of texts without the characters that it adds to the other alphabet, or, where a number is added, of letters only.
+_ALONG = {list(ENCODINGS).index(name): (list(ENCODINGS).index(lead), added) for name, lead, added in (("base64", "base62", 0), ("base64url", "base62", 0), ("lower_base36", "base32", 10))}
 _LEAST = 1e-300
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
@@ -123,8 +131,10 @@ def _cells(encoding: int | np.ndarray, lengths: np.ndarray, u: np.ndarray) -> np
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of each pattern's matches, in order."""
-    return sorted((m.start(), kind, m.end()) for kind, (pattern, group, least) in enumerate(PATTERNS) for m in pattern.finditer(data) if m.end(group) - m.start(group) >= least)
+    """(start, kind, end) of each pattern's matches, in order. What each match must hold is sought first, as most texts lack it."""
+    low = data.lower()
+    there = any(name in low for name in _TELLING), b"AKIA" in data, _RUN in data.translate(_HEX)
+    return sorted((m.start(), kind, m.end()) for kind, (pattern, group, least) in enumerate(PATTERNS) if there[kind] for m in pattern.finditer(data) if m.end(group) - m.start(group) >= least)
 
 
 @functools.cache
@@ -155,8 +165,8 @@ def _blocks(x: np.ndarray, offset: np.ndarray, lengths: np.ndarray, size: int) -
     return first, counts
 
 
-def _squares(blocks: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """The sums of squared counts of n blocks from each first one on; a count is at most LENGTHS[-1], so the sums fit in 16 bits."""
+def _squares(blocks: np.ndarray, first: np.ndarray, n: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The sums of squared counts of n blocks from each first one on; a count is at most LENGTHS[-1], so the sums fit in 16 bits. Their counts are put into counts."""
     out = np.empty(len(first), np.int64)
     rows = max(1, SYMBOLS // blocks.shape[1])
     for a in range(0, len(first), rows):
@@ -164,6 +174,8 @@ def _squares(blocks: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
         count = blocks[at]
         for k in range(1, n):
             count += blocks[at + k]
+        if counts is not None:
+            counts[a : a + rows] = count
         count = count.astype(np.uint16)
         out[a : a + rows] = np.einsum("ij,ij->i", count, count)
     return out
@@ -176,48 +188,72 @@ def _even_interp(x: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[low] + (y[low + 1] - y[low]) * (place - low)
 
 
-def _count_decoys(e: int, pieces: list[bytes], counts: np.ndarray) -> None:
-    """Adds the cells of the decoys of pieces, of LENGTHS[0] symbols or more each, to counts: for each length, each piece from end to end, the last one up to its end."""
+def _sums(a: np.ndarray, kind: type) -> np.ndarray:
+    """The sums of the first 0, 1, 2... numbers."""
+    out = np.zeros(len(a) + 1, kind)
+    np.cumsum(a, dtype=kind, out=out[1:])
+    return out
+
+
+def _count_decoys(e: int, pieces: list[bytes], counts: np.ndarray, alike: tuple[tuple[int, int], ...] = ()) -> None:
+    """Adds the cells of the decoys of pieces, of LENGTHS[0] symbols or more each, to counts: for each length, each piece from end to end, the last one up to its end.
+
+    alike: other encodings in which the symbols of all these pieces are those of e plus a number, and that number; their cells are added too. Counts of equal symbols and the
+    serial correlation are the same for them, so they are told once.
+    """
     if not pieces:
         return
     size, lengths = int(_SIZES[e]), np.fromiter(map(len, pieces), np.int64, len(pieces))
     offset = np.cumsum(lengths) - lengths
     x = _SYMBOL[e].astype(np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
-    high = 2 * x >= size
     kind = np.int32 if len(x) < 1 << 19 else np.int64  # sums of squares of symbols below 64 fit
-    total, squares, products, above, changes = (np.concatenate((np.zeros(1, kind), np.cumsum(a, dtype=kind))) for a in (x, x * x, x[1:] * x[:-1], high, high[1:] != high[:-1]))
-    block_of, blocks = _blocks(x, offset, lengths, size)
+    total, squares, products = _sums(x, kind), _sums(x * x, kind), _sums(x[1:] * x[:-1], kind)
+    judged = {}  # by alphabet size and added number: symbols above the middle, changes, and the encodings
+    for other, added in ((e, 0), *alike):
+        key = int(_SIZES[other]), added
+        if key not in judged:
+            high = 2 * (x + added) >= key[0]
+            judged[key] = _sums(high, kind), _sums(high[1:] != high[:-1], kind), []
+        judged[key][2].append(other)
+    tables = {BLOCK: _blocks(x, offset, lengths, size)}  # by length: each piece's first stretch of that length, and the symbols' counts in each
     for n in LENGTHS:
-        there = lengths >= n
-        if not there.any():
+        if not (lengths >= n).any():
             break
-        each = -(-lengths[there] // n)
-        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        start = np.repeat(offset[there], each) + np.minimum(step * n, np.repeat(lengths[there] - n, each))
-        uniform, runs, z, serial = _evidence(size, n)
-        square = np.empty(len(start), np.int64)
-        whole = step < np.repeat(lengths[there] // n, each)  # these begin at a multiple of n in their piece
-        if n % BLOCK:
-            rest = np.arange(len(start))
-        else:
-            at = np.flatnonzero(whole)
-            square[at] = _squares(blocks, np.repeat(block_of[there], each)[at] + step[at] * (n // BLOCK), n // BLOCK)
-            rest = np.flatnonzero(~whole)
+        each = lengths // n
+        first = np.cumsum(each) - each
+        own = np.repeat(np.arange(len(each)), each)
+        step = np.arange(len(own)) - first[own]
+        last = np.flatnonzero((lengths > n) & (lengths % n > 0))
+        start = np.concatenate((offset[own] + step * n, (offset + lengths - n)[last]))
+        square, done = np.empty(len(start), np.int64), 0
+        part = max((m for m in tables if n % m == 0), default=0)
+        if part:  # counts of whole stretches are added up from shorter ones
+            done, count = len(own), None
+            if any(m > n and m % n == 0 for m in LENGTHS):
+                count = np.empty((len(own), size), np.uint8)
+                tables[n] = first, count
+            square[:done] = _squares(tables[part][1], tables[part][0][own] + step * (n // part), n // part, count)
         window = np.lib.stride_tricks.sliding_window_view(x, n)
-        for a in range(0, len(rest), SYMBOLS // n):
-            some = window[start[rest[a : a + SYMBOLS // n]]]
+        for a in range(done, len(start), SYMBOLS // n):
+            some = window[start[a : a + SYMBOLS // n]]
             some += size * np.arange(len(some))[:, None]
             count = np.bincount(some.ravel(), minlength=len(some) * size).reshape(len(some), size)
-            square[rest[a : a + SYMBOLS // n]] = np.einsum("ij,ij->i", count, count)
+            square[a : a + SYMBOLS // n] = np.einsum("ij,ij->i", count, count)
         end = start + n
-        sums = (total[end] - total[start]).astype(float)
-        power = squares[end] - squares[start] - sums * sums / n
-        product = products[end - 1] - products[start] - sums / n * (2 * sums - x[start] - x[end - 1]) + (n - 1) * (sums / n) ** 2
-        even = power > 1e-6  # whole numbers over n: not all symbols are the same
-        correlation = np.abs(product / np.where(even, power, 1) + 1 / n) * math.sqrt(n)
-        f = uniform[square] + runs[above[end] - above[start], changes[end - 1] - changes[start]] + np.where(even, _even_interp(correlation, z, serial), -math.log(_LEAST))
-        low = (e * len(LENGTHS) + LENGTHS.index(n)) * BINS
-        counts[low : low + BINS] += np.bincount(np.minimum((np.exp(-f) * (1 + f + f * f / 2) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+        # n ** 2 times the sums about the mean: whole numbers, the same whatever is added to the symbols.
+        one, two, next_ = ((s[b] - s[a]).astype(float) for s, a, b in ((total, start, end), (squares, start, end), (products, start, end - 1)))
+        power = n * two - one * one
+        product = n * (n * next_ + one * (x[start] + x[end - 1]) + two) - (n + 2) * one * one  # with the power, for the statistic's 1 / n
+        even = power > 0  # not all symbols are the same
+        z, serial = _evidence(size, n)[2:]
+        serial = np.where(even, _even_interp(np.abs(product) / np.where(even, power * math.sqrt(n), 1), z, serial), -math.log(_LEAST))
+        for (among, _), (above, changes, encodings) in judged.items():
+            uniform, runs, *_ = _evidence(among, n)
+            f = uniform[square] + runs.ravel()[(above[end] - above[start]) * n + (changes[end - 1] - changes[start])] + serial
+            cells = np.bincount(np.minimum((np.exp(-f) * (1 + f + f * f / 2) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+            for other in encodings:
+                low = (other * len(LENGTHS) + LENGTHS.index(n)) * BINS
+                counts[low : low + BINS] += cells
 
 
 class Texts:
@@ -230,7 +266,7 @@ class Texts:
             data = (text or "").encode("ascii", "replace")
             self.base.append(base_spans(data))
             found, rest, at = [], [], 0
-            for m in _CANDIDATE.finditer(data):
+            for m in _CANDIDATE.finditer(data) if _RUN in data.translate(_TOKEN) else ():
                 encoding = encoding_of(m.group(1))
                 if encoding >= 0:
                     found.append((m.start(), m.end(), encoding))
@@ -256,11 +292,20 @@ class Texts:
         cut = np.flatnonzero(np.diff(np.cumsum([len(x) for x in self.ordinary]) // CHARACTERS)) + 1 if self.ordinary else []
         for a, b in zip([0, *cut], [*cut, len(self.ordinary)], strict=True):
             cases = {"": self.ordinary[a:b], "l": [x.lower() for x in self.ordinary[a:b]], "u": [x.upper() for x in self.ordinary[a:b]]}
-            for e, (name, others) in enumerate(zip(ENCODINGS, _OTHERS, strict=True)):
-                if name in _ALIKE:
-                    continue
-                kept = [x.translate(None, others) for x in cases[_CASE.get(name, "")]]
-                _count_decoys(e, [x for x in kept if len(x) >= LENGTHS[0]], counts)
+            kept = {e: [x.translate(None, _OTHERS[e]) for x in cases[_CASE.get(name, "")]] for e, name in enumerate(ENCODINGS) if name not in _ALIKE}
+            pieces = defaultdict(list)  # by encoding and those that go along
+            for k in range(b - a):
+                along = defaultdict(tuple)
+                for e, (lead, added) in _ALONG.items():
+                    x = kept[e][k]
+                    if len(x) == len(kept[lead][k]) and (not added or x.isalpha()):
+                        along[lead] += ((e, added),)
+                    else:
+                        pieces[e, ()].append(x)
+                for e in kept.keys() - _ALONG.keys():
+                    pieces[e, along[e]].append(kept[e][k])
+            for (e, alike), some in pieces.items():
+                _count_decoys(e, [x for x in some if len(x) >= LENGTHS[0]], counts, alike)
         each = counts.reshape(len(ENCODINGS), -1)
         for name, as_ in _ALIKE.items():
             each[list(ENCODINGS).index(name)] = each[list(ENCODINGS).index(as_)]

@@ -192,3 +192,36 @@ def test_decoys_are_counted_from_blocks():
         u = secret_scan.battery(secret_scan._SYMBOL[name][np.frombuffer(b"".join(decoys), np.uint8)], np.full(len(decoys), n), 64)[3]
         np.add.at(want, secret_scan._cells(name, np.full(len(decoys), n), u), 1)
     assert got.sum() == want.sum() and np.abs(np.cumsum(got) - np.cumsum(want)).max() <= 1  # a point of the tables may fall in the next cell
+
+
+def test_encodings_share_what_is_the_same(monkeypatch):
+    """Texts of the same symbols in several encodings are counted once for these, with the cells that each encoding has on its own."""
+    rng = random.Random(11)
+    odd = ["", "-", "_", "+", "/", "3", "9", "-+", "é"]
+    texts = ["".join(rng.choices(string.ascii_letters, k=400)) + " " + odd[k % 9].join(prose(rng, 60).title().split()) for k in range(45)] + ["7" * 40, "27" * 30 + " AZ" * 20, None, "x" * 200]
+    t = secret_scan.Texts(texts)
+    cells, counts = t.decoys()
+    names, want = list(secret_scan.ENCODINGS), np.zeros((len(secret_scan.ENCODINGS), len(secret_scan.LENGTHS) * secret_scan.BINS), np.int64)
+    for e, name in enumerate(names):
+        like = names.index(secret_scan._ALIKE.get(name, name))
+        case = {"l": bytes.lower, "u": bytes.upper}.get(secret_scan._CASE.get(names[like]), bytes)
+        kept = [case(x).translate(None, secret_scan._OTHERS[like]) for x in t.ordinary]
+        own = np.zeros(want.size, np.int64)
+        secret_scan._count_decoys(like, [x for x in kept if len(x) >= secret_scan.LENGTHS[0]], own)
+        want[e] = own.reshape(want.shape)[like]
+    want = want.ravel()
+    assert cells.tolist() == np.flatnonzero(want).tolist() and counts.tolist() == want[cells].tolist()
+
+    worked, blocks = [], secret_scan._blocks
+    monkeypatch.setattr(secret_scan, "_blocks", lambda x, *rest: worked.append(len(x)) or blocks(x, *rest))
+    plain = [prose(rng).title() for _ in range(20)]
+    secret_scan.Texts(plain).decoys()
+    assert sum(worked) <= 3 * sum(map(len, plain))  # on their own: some five and a half times
+
+
+def test_base_spans_of_odd_texts():
+    rng = random.Random(12)
+    parts = ["PassWord", "passwd", "SECRET", "toKen", "API_key", "apikey", "api__key", "pass word", "AKIA", "AKI", "ſecret", "=", ": '", '"', " ", "\n", "é", "a" * 12, "B7" * 9, "0f" * 7, "0f" * 8, "deadbeef", "/+", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        assert secret_scan.base_spans(text.encode("ascii", "replace")) == plain_base(text.replace("ſ", "?"))
