@@ -52,3 +52,28 @@ def test_a_place_and_an_outline_are_tested_once(spark):
     assert held.columns == ["id", "x", "y", "lake_id", *clip.BOX] and held.count() == held.distinct().count() == 1000 * 300
     lakes = clip.clip_to_lakes(points.withColumnRenamed("id", "row"), boxes.unionByName(boxes), tile=7.0)
     assert lakes.count() == lakes.select("row", "lake_id").distinct().count() == 1000 * 300
+
+
+def test_points_and_boxes_meet_in_parts(spark, monkeypatch):
+    """Parts of few rows: all pairs, each as often as its point and its box occur, and nothing of places or boxes that are missing."""
+    monkeypatch.setattr(clip, "POINTS", 4)
+    monkeypatch.setattr(clip, "BOXES", 3)
+    places = [(i % 40, float(i % 5), float(i % 3)) for i in range(90)] + [(7, None, 1.0), (8, -0.0, 0.0), (9, 50.0, 50.0)]
+    shapes = [(f"b{i % 17}", float(i % 2), 0.0, 2.0 + i % 2, 1.0) for i in range(43)] + [("n", None, 0.0, 9.0, 9.0), ("m", 0.0, 0.0, -0.0, 9.0), ("far", 90.0, 90.0, 99.0, 99.0)]
+    points = spark.createDataFrame(places, "id long, x double, y double")
+    boxes = spark.createDataFrame(shapes, "name string, minx double, miny double, maxx double, maxy double")
+    held = clip.points_in_boxes(points, boxes, 2.0)
+    want = sorted((p[0], b[0]) for p in places for b in shapes if None not in (p[1], b[1]) and b[1] <= p[1] <= b[3] and b[2] <= p[2] <= b[4])
+    assert sorted((r.id, r.name) for r in held.collect()) == want
+    assert clip.points_in_boxes(points, boxes.drop("name"), 2.0).count() == len(want)
+    assert clip.points_in_boxes(points.where("id < 0"), boxes, 2.0).count() == clip.points_in_boxes(points, boxes.where("minx < -1"), 2.0).count() == 0
+
+
+def test_points_in_boxes_take_few_bytes_when_written(spark, tmp_path):
+    """The rows grow with the product of points and boxes, so their order decides how much disk a written result needs."""
+    points = spark.range(4000).select("id", (F.col("id") * 7 % 40 * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    boxes = spark.range(12800).select(F.concat(F.lit("granule"), "id").alias("name"), (F.col("id") % 40 * 10.0 - 1).alias("minx"), F.lit(-1.0).alias("miny"), (F.col("id") % 40 * 10.0 + 1).alias("maxx"), F.lit(1.0).alias("maxy"))
+    held = clip.points_in_boxes(points, boxes, 25.0).select("id", "name")
+    held.write.parquet(f"{tmp_path}/held")
+    assert spark.read.parquet(f"{tmp_path}/held").count() == 4000 * 320
+    assert sum(f.stat().st_size for f in (tmp_path / "held").glob("*.parquet")) < 4000 * 320
